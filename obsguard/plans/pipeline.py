@@ -1,0 +1,144 @@
+"""The cleaning + featurising plan that turns an observation table into labelled points.
+
+Jobs are constant in the number of entities: one profile aggregate, one index per string column,
+one per-entity min/max aggregate; the rest is one lazy plan that Catalyst optimises as a whole.
+"""
+
+from __future__ import annotations
+
+import logging
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import constants as C
+from ..operators.clean import as_of, complete_rows, compute_profile, Profile
+from ..operators.features import assemble, index_strings, scale_by_entity, sort_by_time, to_double_all
+from ..functions.exprs import binarize_status
+from ..schema import DEFAULT_SCHEMA, ObsSchema
+from ..sources.tables import load_rows
+
+log = logging.getLogger(__name__)
+
+FEATURE_MODES = ("all", "time")
+
+
+@dataclass
+class LabeledPoints:
+    """Result of the plan: (id, time, label, features) plus what decided its shape."""
+
+    frame: DataFrame
+    feature_names: list = field(default_factory=list)
+    profile: Profile | None = None
+    scaled: bool = False
+    label_source: str = ""
+
+    def expanded(self, round_to: int | None = None) -> DataFrame:
+        """Vector expanded into one double column per feature name (for SQL comparison)."""
+        from pyspark.ml.functions import vector_to_array
+
+        arr = vector_to_array(F.col(C.FEATURES_COL))
+        cols = []
+        for i, name in enumerate(self.feature_names):
+            v = arr[i]
+            cols.append((F.round(v, round_to) if round_to is not None else v).alias(f"f_{name}"))
+        return self.frame.select(*[c for c in self.frame.columns if c != C.FEATURES_COL], *cols)
+
+
+def _prepare(df: DataFrame, label: str, null_threshold: float, features: str, as_of_ms: int | None,
+             schema: ObsSchema, scale: bool | None):
+    if features not in FEATURE_MODES:
+        raise ValueError(f"features must be one of {FEATURE_MODES}")
+    if label not in df.columns:
+        raise ValueError(f"Label feature '{label}' is not a column of the frame")
+    if features == "time":
+        # time-only features read (entity, time, label) alone, as the projected scan does
+        df = load_rows(df, label, True, schema)
+
+    profile = compute_profile(df, null_threshold, schema)
+    dropped = set(profile.to_drop)
+    if label in dropped:
+        why = "zero standard deviation" if label in profile.zero_deviation else (
+            f"a null ratio above the threshold {null_threshold}")
+        raise ValueError(f"Label feature '{label}' was dropped for {why}; raise the null threshold or choose "
+                         f"another label.")
+    for key in (schema.id_col, schema.time_col):
+        if key in dropped:
+            raise ValueError(f"Key column '{key}' was dropped for nulls (threshold {null_threshold})")
+    df = df.drop(*profile.to_drop)
+
+    df = complete_rows(df)
+    df = as_of(df, as_of_ms, schema)
+    df = index_strings(df, schema)
+    df = to_double_all(df, keep=(schema.id_col,))
+
+    if features == "time":
+        names = [schema.time_col]
+        src = df.withColumn("__t", F.col(schema.time_col))
+        feat_cols = ["__t"]
+    else:
+        names = [c for c in df.columns if c.endswith(schema.value_suffix) and c != label]
+        src = df
+        feat_cols = names
+
+    base = src.select(schema.id_col, schema.time_col, F.col(label).alias(C.LABEL_COL), *feat_cols)
+    do_scale = profile.multiple_entities if scale is None else scale
+    if do_scale:
+        if features == "time" or label.endswith(schema.value_suffix):
+            log.warning("Per-entity scaling of regression data with several entities leaves the response "
+                        "unscaled.")
+        base = scale_by_entity(base, feat_cols, key=schema.id_col)
+    if label.endswith(schema.status_suffix):
+        base = base.withColumn(C.LABEL_COL, binarize_status(C.LABEL_COL))
+    return base, feat_cols, names, profile, do_scale
+
+
+def transform_rows(df: DataFrame, label: str, null_threshold: float = C.DEFAULT_NULL_THRESHOLD,
+                   features: str = "all", as_of_ms: int | None = None, schema: ObsSchema = DEFAULT_SCHEMA,
+                   scale: bool | None = None, sort: bool = True) -> LabeledPoints:
+    """Clean and featurise: drop weak columns, keep complete rows up to `as_of_ms`, index strings,
+    cast to double, assemble features (all `_value` columns but the label, or the time only),
+    scale per entity when there are several, binarise a status label, sort by time."""
+    base, feat_cols, names, profile, do_scale = _prepare(df, label, null_threshold, features, as_of_ms,
+                                                         schema, scale)
+    lp = assemble(base, feat_cols).select(schema.id_col, schema.time_col, C.LABEL_COL, C.FEATURES_COL)
+    if sort:
+        lp = sort_by_time(lp, schema)
+    return LabeledPoints(lp, names, profile, do_scale, label)
+
+
+def scaled_frame(df: DataFrame, label: str, null_threshold: float = C.DEFAULT_NULL_THRESHOLD,
+                 features: str = "all", as_of_ms: int | None = None, schema: ObsSchema = DEFAULT_SCHEMA,
+                 scale: bool | None = None) -> tuple[DataFrame, list]:
+    """The plan before assembly: (id, time, label, one scaled double column per feature)."""
+    base, feat_cols, names, _, _ = _prepare(df, label, null_threshold, features, as_of_ms, schema, scale)
+    renamed = base.select(schema.id_col, schema.time_col, C.LABEL_COL,
+                          *[F.col(c).alias(n) for c, n in zip(feat_cols, names)])
+    return renamed, names
+
+
+def load_and_transform(spark_or_df, label: str, null_threshold: float = C.DEFAULT_NULL_THRESHOLD,
+                       single_column: bool = False, as_of_ms: int | None = None,
+                       schema: ObsSchema = DEFAULT_SCHEMA, **scan_kw) -> LabeledPoints:
+    """Scan (projected to one attribute in single-column mode) then transform."""
+    df = load_rows(spark_or_df, label, single_column, schema, **scan_kw)
+    return transform_rows(df, label, null_threshold, "time" if single_column else "all", as_of_ms, schema)
+
+
+def labeled_points(df: DataFrame, task: str, attribute: str, as_of_ms: int | None = None,
+                   features: str | None = None, null_threshold: float = C.DEFAULT_NULL_THRESHOLD,
+                   schema: ObsSchema = DEFAULT_SCHEMA, sort: bool = True) -> LabeledPoints:
+    """Task-specific loaders: classification labels the attribute's status, regression its value.
+
+    Feature mode defaults: classification and regression use all attributes, time series the time.
+    """
+    if task == "classification":
+        label, mode = schema.status_col(attribute), features or "all"
+    elif task == "regression":
+        label, mode = schema.value_col(attribute), features or "all"
+    elif task == "time_series":
+        label, mode = schema.value_col(attribute), features or "time"
+    else:
+        raise ValueError("task must be classification, regression or time_series")
+    return transform_rows(df, label, null_threshold, mode, as_of_ms, schema, sort=sort)
