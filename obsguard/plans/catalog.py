@@ -36,6 +36,226 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------------------------------------
+# Operator queries (obs / market / pred fixture views over lineitem)
+# ---------------------------------------------------------------------------------------------
+from ..functions.exprs import binarize_status  # noqa: E402
+from ..functions.metrics import classification_report, confusion_matrix, regression_report  # noqa: E402
+from ..operators import clean, columns, entity, features, split  # noqa: E402
+from ..operators.inject import SuspectInjector  # noqa: E402
+from ..sources.tables import load_rows  # noqa: E402
+
+SCALE_FEATURES = ["li_ua_quantity_value", "li_ua_price_value", "li_ua_tax_value", "li_ua_linenumber_value"]
+STD_ATTRS = ["li_ua_quantity", "li_ua_price", "li_ua_linenumber"]
+ZERO_ATTRS = ["li_ua_quantity", "li_ua_linenumber", "li_ua_flag"]
+
+
+def _round_doubles(df: DataFrame, digits: int = ROUND) -> DataFrame:
+    out = []
+    for f in df.schema.fields:
+        if f.dataType.typeName() == "double":
+            out.append(F.round(F.col(f.name), digits).alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
+def q_scan_all(spark, sf_dir):
+    return _obs(spark, sf_dir)
+
+
+def q_scan_attribute(spark, sf_dir):
+    return load_rows(_obs(spark, sf_dir), "li_ua_price_value", True)
+
+
+def q_profile_columns(spark, sf_dir):
+    return _round_doubles(clean.profile_columns(_obs(spark, sf_dir), 0.0))
+
+
+def q_profile_columns_t05(spark, sf_dir):
+    return _round_doubles(clean.profile_columns(_obs(spark, sf_dir), 0.05))
+
+
+def q_describe_columns(spark, sf_dir):
+    o = _obs(spark, sf_dir).drop("obs_key", "ado_id", "li_ua_flag_value", C.TIME_COL)
+    return _round_doubles(clean.describe_columns(o), 4)
+
+
+def q_drop_incomplete_columns(spark, sf_dir):
+    return clean.filter_incomplete_columns(_obs(spark, sf_dir), 0.0)
+
+
+def q_drop_incomplete_columns_t05(spark, sf_dir):
+    return clean.filter_incomplete_columns(_obs(spark, sf_dir), 0.05)
+
+
+def q_complete_rows(spark, sf_dir):
+    return clean.complete_rows(_obs(spark, sf_dir))
+
+
+def q_complete_rows_subset(spark, sf_dir):
+    return clean.complete_rows(fixtures.market(spark, sf_dir), ["re_ua_ask_value", "re_ua_bid_value"])
+
+
+def q_as_of(spark, sf_dir):
+    return clean.as_of(_obs(spark, sf_dir), AS_OF_MS)
+
+
+def q_split_by_date(spark, sf_dir):
+    o = _obs(spark, sf_dir).select("obs_key", C.ID_COL, C.TIME_COL)
+    train, test = split.split_by_date(o, SPLIT_MS)
+    return train.withColumn("part", F.lit(0)).unionByName(test.withColumn("part", F.lit(1)))
+
+
+def q_hash_split(spark, sf_dir):
+    o = _obs(spark, sf_dir).select("obs_key", C.ID_COL, C.TIME_COL)
+    parts = split.hash_split(o, [0.8, 0.2], SEED, key_cols=["obs_key"])
+    return parts[0].withColumn("part", F.lit(0)).unionByName(parts[1].withColumn("part", F.lit(1)))
+
+
+def q_select_by_type_strict(spark, sf_dir):
+    return columns.filter_on_type_strict(_obs(spark, sf_dir), "double")
+
+
+def q_select_by_type(spark, sf_dir):
+    return columns.filter_on_type(_obs(spark, sf_dir), "double")
+
+
+def q_select_drop_columns(spark, sf_dir):
+    o = columns.select_columns(_obs(spark, sf_dir), ["obs_key", "ado_id", "li_ua_tax_value", "li_ua_flag_value"])
+    return columns.drop_columns(o, ["li_ua_flag_value", "no_such_column"])
+
+
+def q_to_double(spark, sf_dir):
+    return features.to_double_all(_obs(spark, sf_dir), keep=(C.ID_COL, "obs_key"))
+
+
+def q_binarize_status(spark, sf_dir):
+    o = _obs(spark, sf_dir)
+    return o.select("obs_key", "li_ua_quantity_status", "li_ua_price_status",
+                    binarize_status("li_ua_quantity_status").alias("label_quantity"),
+                    binarize_status("li_ua_price_status").alias("label_price"))
+
+
+def q_index_strings(spark, sf_dir):
+    o = _obs(spark, sf_dir).select("obs_key", "li_ua_flag_value", "li_ua_tax_value")
+    return features.index_strings(o)
+
+
+def q_index_strings_events(spark, sf_dir):
+    ev = fixtures.events_obs(spark, sf_dir).select("obs_key", "ev_ua_type_value")
+    return features.index_strings(ev)
+
+
+def q_minmax_by_entity(spark, sf_dir):
+    o = _obs(spark, sf_dir).select("obs_key", C.ID_COL, *SCALE_FEATURES)
+    o = features.to_double_all(o, keep=("obs_key", C.ID_COL))
+    return _round_doubles(features.scale_by_entity(o, SCALE_FEATURES))
+
+
+def q_minmax_global(spark, sf_dir):
+    o = _obs(spark, sf_dir).select("obs_key", C.ID_COL, *SCALE_FEATURES)
+    o = features.to_double_all(o, keep=("obs_key", C.ID_COL))
+    return _round_doubles(features.scale_global(o, SCALE_FEATURES))
+
+
+def q_labeled_points_all(spark, sf_dir):
+    o = _obs(spark, sf_dir).drop("obs_key")
+    return transform_rows(o, "li_ua_quantity_status", 0.0, "all", AS_OF_MS).expanded(ROUND)
+
+
+def q_labeled_points_time(spark, sf_dir):
+    o = _obs(spark, sf_dir).drop("obs_key")
+    return transform_rows(o, "li_ua_price_value", 0.0, "time").expanded(ROUND)
+
+
+def q_labeled_points_regression(spark, sf_dir):
+    o = _obs(spark, sf_dir).drop("obs_key")
+    lp = transform_rows(o, "li_ua_price_value", 0.05, "all", AS_OF_MS)
+    return lp.expanded(ROUND)
+
+
+def q_labeled_points_events(spark, sf_dir):
+    ev = fixtures.events_obs(spark, sf_dir).drop("obs_key")
+    return transform_rows(ev, "ev_ua_value_status", 0.0, "all").expanded(ROUND)
+
+
+def q_sort_by_time(spark, sf_dir):
+    o = _obs(spark, sf_dir).select("obs_key", C.ID_COL, C.TIME_COL)
+    return features.sort_by_time(o)
+
+
+def q_entity_counts(spark, sf_dir):
+    return entity.entity_counts(_obs(spark, sf_dir))
+
+
+def q_entity_summary(spark, sf_dir):
+    return entity.entity_summary(_obs(spark, sf_dir))
+
+
+def q_distinct_entities(spark, sf_dir):
+    return entity.distinct_entities(_obs(spark, sf_dir))
+
+
+def q_entity_stddev(spark, sf_dir):
+    return _round_doubles(entity.entity_stddev(_obs(spark, sf_dir), ["li_ua_quantity", "li_ua_price"]))
+
+
+def q_join_entity_stats(spark, sf_dir):
+    o = _obs(spark, sf_dir).select("obs_key", C.ID_COL, "li_ua_quantity_value")
+    st = entity.entity_stddev(o, ["li_ua_quantity"])
+    return _round_doubles(entity.join_entity_stats(o, st))
+
+
+def _injector():
+    return SuspectInjector(key_cols=("obs_key",))
+
+
+def q_inject_stddev(spark, sf_dir):
+    return _round_doubles(_injector().stddev(_obs(spark, sf_dir), STD_ATTRS, SEED))
+
+
+def q_inject_zero(spark, sf_dir):
+    return _injector().zeroes(_obs(spark, sf_dir), ZERO_ATTRS, SEED)
+
+
+def q_inject_negate(spark, sf_dir):
+    return _injector().negatives(_obs(spark, sf_dir), ZERO_ATTRS, SEED)
+
+
+def q_inject_hilo(spark, sf_dir):
+    return _round_doubles(_injector().hilo(fixtures.market(spark, sf_dir), SEED))
+
+
+def q_inject_spread(spark, sf_dir):
+    return _round_doubles(_injector().ask_bid_mid(fixtures.market(spark, sf_dir), SEED))
+
+
+def q_inject_stack(spark, sf_dir):
+    """Stack two injected variants of the same rows (bag union by name)."""
+    inj = _injector().with_ratio(0.1)
+    o = _obs(spark, sf_dir).select("obs_key", C.ID_COL, C.TIME_COL, "li_ua_quantity_value", "li_ua_quantity_status")
+    a = inj.zeroes(o, ["li_ua_quantity"], SEED).withColumn("variant", F.lit("zero"))
+    b = inj.negatives(o, ["li_ua_quantity"], SEED).withColumn("variant", F.lit("negative"))
+    return a.unionByName(b)
+
+
+def q_confusion_matrix(spark, sf_dir):
+    return confusion_matrix(fixtures.pred(spark, sf_dir))
+
+
+def q_classification_report(spark, sf_dir):
+    return _round_doubles(classification_report(fixtures.pred(spark, sf_dir)))
+
+
+def q_classification_report_legacy(spark, sf_dir):
+    return _round_doubles(classification_report(fixtures.pred(spark, sf_dir), legacy_swap=True))
+
+
+def q_regression_report(spark, sf_dir):
+    return _round_doubles(regression_report(fixtures.pred(spark, sf_dir), label="y", prediction="y_hat"), 4)
+
+
 def _with_ckpt(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from ..session import ensure_checkpoint_dir
@@ -49,7 +269,8 @@ def _with_ckpt(fn):
 
 
 def registered() -> dict:
-    table = {
-        "flagship_entity_label_means": flagship,
-    }
+    table = {"flagship_entity_label_means": flagship}
+    for name, fn in list(globals().items()):
+        if name.startswith("q_") and callable(fn):
+            table[name[2:]] = fn
     return {k: _with_ckpt(v) for k, v in table.items()}

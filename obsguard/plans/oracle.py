@@ -56,55 +56,420 @@ pred AS (
 
 def binarize_sql(v: str) -> str:
     return (f"CASE WHEN {v} IS NULL THEN NULL WHEN ({v} >= 2 AND {v} < 3) OR ({v} >= 66 AND {v} < 67) "
-            f"OR ({v} >= 128 AND NOT isnan({v})) THEN 0.0 ELSE 1.0 END")
+            f"OR ({v} >= 128 AND NOT isnan({v})) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END")
 
 
 def scaled_sql(x: str, mn: str, mx: str) -> str:
-    return f"CASE WHEN {mx} = {mn} THEN 0.5 ELSE ({x} - {mn}) / ({mx} - {mn}) END"
+    return f"CASE WHEN {mx} = {mn} THEN 0.5::DOUBLE ELSE ({x} - {mn}) / ({mx} - {mn}) END"
 
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
 
 
-FLAGSHIP_FEATURES = ["li_ua_quantity_value", "li_ua_price_value", "li_ua_tax_value", "li_ua_linenumber_value",
-                     "li_ua_flag_value"]
-
-
-def _labeled_obs_ctes(as_of_ms: int, label: str, features: list, extra_where: str = "") -> list:
-    """CTEs ending in `sc(ado_id, timestamp, label, <features>)`: scaled features per entity."""
-    numeric = [f for f in features if f != "li_ua_flag_value"]
-    sel_feats = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in numeric)
-    flag = "li_ua_flag_value" in features
-    ctes = [
-        OBS_CTE,
-        f"f AS (SELECT * FROM obs WHERE \"timestamp\" <= {as_of_ms} {extra_where})",
-    ]
-    if flag:
-        ctes.append("idx AS (SELECT li_ua_flag_value AS v, CAST(row_number() OVER (ORDER BY count(*) DESC, "
-                    "li_ua_flag_value) - 1 AS DOUBLE) AS i FROM f GROUP BY li_ua_flag_value)")
-        ctes.append(f"g AS (SELECT f.ado_id, CAST(f.\"timestamp\" AS DOUBLE) AS \"timestamp\", "
-                    f"CAST(f.{label} AS DOUBLE) AS lab, {sel_feats}, idx.i AS li_ua_flag_value "
-                    f"FROM f JOIN idx ON f.li_ua_flag_value = idx.v)")
+EVENTS_CTE = """
+evobs AS (
+  SELECT CAST(user_id AS VARCHAR) AS ado_id,
+         epoch_us(ts) // 1000 AS "timestamp",
+         CAST(event_id AS VARCHAR) AS obs_key,
+         value AS ev_ua_value_value,
+         CAST(CASE WHEN value < 0 THEN 2 ELSE 0 END AS INTEGER) AS ev_ua_value_status,
+         event_type AS ev_ua_type_value
+  FROM events
+)"""
+
+# Fixed parameters (equal to catalog.py)
+AS_OF_MS = 946598400000
+SPLIT_MS = 915148800000
+SEED = 42
+R = 6
+
+OBS_COLS = ["ado_id", "timestamp", "obs_key", "li_ua_quantity_value", "li_ua_quantity_status", "li_ua_price_value",
+            "li_ua_price_status", "li_ua_discount_value", "li_ua_tax_value", "li_ua_linenumber_value",
+            "li_ua_flag_value", "li_ua_unit_value"]
+OBS_TYPES = {"ado_id": "s", "timestamp": "l", "obs_key": "s", "li_ua_quantity_value": "d",
+             "li_ua_quantity_status": "i", "li_ua_price_value": "d", "li_ua_price_status": "i",
+             "li_ua_discount_value": "d", "li_ua_tax_value": "d", "li_ua_linenumber_value": "i",
+             "li_ua_flag_value": "s", "li_ua_unit_value": "d"}
+MARKET_ATTRS = ["re_ua_high", "re_ua_low", "re_ua_open", "re_ua_close2", "re_ua_ask", "re_ua_bid", "re_ua_mid"]
+MARKET_COLS = (["ado_id", "timestamp", "obs_key"] + [a + "_value" for a in MARKET_ATTRS]
+               + [a + "_status" for a in MARKET_ATTRS])
+MARKET_TYPES = {c: ("s" if c in ("ado_id", "obs_key") else "l" if c == "timestamp" else
+                    "d" if c.endswith("_value") else "i") for c in MARKET_COLS}
+
+
+def q(name: str) -> str:
+    return f'"{name}"' if name == "timestamp" else name
+
+
+def rounded(cols, types, digits=R, alias=True) -> str:
+    out = []
+    for c in cols:
+        e = f"round({q(c)}, {digits})" if types.get(c) == "d" else q(c)
+        out.append(f"{e} AS {q(c)}" if alias and e != q(c) else e)
+    return ", ".join(out)
+
+
+def draw(key: str, seed: int, mode: str, slot: int) -> str:
+    return (f"(('0x' || substr(md5(concat_ws('|', {key}, '{seed}', '{mode}')), {1 + 8 * slot}, 8))::BIGINT "
+            f"/ 4294967296.0)")
+
+
+# --- labelled points -------------------------------------------------------------------------
+
+def labeled_ctes(src_cte: str, src: str, where: str, label: str, num_feats: list, str_feats: list,
+                 time_feature: bool = False, scale: bool = True) -> tuple[list, list]:
+    """CTEs ending in `sc(ado_id, timestamp, label, x0..xn)`; returns (ctes, feature names)."""
+    ctes = [src_cte.strip(), f"f AS (SELECT * FROM {src} WHERE {where})"]
+    names = ["timestamp"] if time_feature else list(num_feats) + list(str_feats)
+    sel = []
+    if time_feature:
+        sel.append('CAST(f."timestamp" AS DOUBLE) AS x0')
     else:
-        ctes.append(f"g AS (SELECT ado_id, CAST(\"timestamp\" AS DOUBLE) AS \"timestamp\", "
-                    f"CAST({label} AS DOUBLE) AS lab, {sel_feats} FROM f)")
-    stats = ", ".join(f"min({c}) AS mn_{i}, max({c}) AS mx_{i}" for i, c in enumerate(features))
-    ctes.append(f"s AS (SELECT ado_id AS sk, {stats} FROM g GROUP BY ado_id)")
+        for i, c in enumerate(num_feats):
+            sel.append(f"TRY_CAST(f.{c} AS DOUBLE) AS x{i}")
+    joins = []
+    for j, c in enumerate(str_feats):
+        ctes.append(f"idx{j} AS (SELECT {c} AS v, CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 "
+                    f"AS DOUBLE) AS i FROM f WHERE {c} IS NOT NULL GROUP BY {c})")
+        sel.append(f"idx{j}.i AS x{len(num_feats) + j}")
+        joins.append(f"JOIN idx{j} ON f.{c} = idx{j}.v")
+    ctes.append(f"g AS (SELECT f.ado_id, CAST(f.\"timestamp\" AS DOUBLE) AS \"timestamp\", "
+                f"TRY_CAST(f.{label} AS DOUBLE) AS lab, {', '.join(sel)} FROM f {' '.join(joins)})")
     lab = binarize_sql("g.lab") if label.endswith("_status") else "g.lab"
-    scaled = ", ".join(f"{scaled_sql('g.' + c, f's.mn_{i}', f's.mx_{i}')} AS {c}" for i, c in enumerate(features))
-    ctes.append(f"sc AS (SELECT g.ado_id, g.\"timestamp\", {lab} AS label, {scaled} "
-                f"FROM g JOIN s ON g.ado_id = s.sk)")
-    return ctes
+    xs = [f"x{i}" for i in range(len(names))]
+    if scale:
+        stats = ", ".join(f"min({x}) AS mn_{x}, max({x}) AS mx_{x}" for x in xs)
+        ctes.append(f"s AS (SELECT ado_id AS sk, {stats} FROM g GROUP BY ado_id)")
+        scaled = ", ".join(f"{scaled_sql('g.' + x, 's.mn_' + x, 's.mx_' + x)} AS {x}" for x in xs)
+        ctes.append(f"sc AS (SELECT g.ado_id, g.\"timestamp\", {lab} AS label, {scaled} "
+                    f"FROM g JOIN s ON g.ado_id IS NOT DISTINCT FROM s.sk)")
+    else:
+        ctes.append(f"sc AS (SELECT g.ado_id, g.\"timestamp\", {lab} AS label, {', '.join('g.' + x for x in xs)} "
+                    f"FROM g)")
+    return ctes, names
+
+
+def labeled_select(names: list) -> str:
+    fs = ", ".join(f"round(x{i}, {R}) AS f_{n}" for i, n in enumerate(names))
+    return f'SELECT ado_id, "timestamp", label, {fs} FROM sc'
+
+
+FLAG_NUMS = ["li_ua_quantity_value", "li_ua_price_value", "li_ua_tax_value", "li_ua_linenumber_value"]
 
 
 def flagship_sql() -> str:
-    ctes = _labeled_obs_ctes(946598400000, "li_ua_quantity_status", FLAGSHIP_FEATURES)
-    means = ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in FLAGSHIP_FEATURES)
+    ctes, names = labeled_ctes(OBS_CTE, "obs", f'"timestamp" <= {AS_OF_MS}', "li_ua_quantity_status",
+                               FLAG_NUMS, ["li_ua_flag_value"])
+    means = ", ".join(f"round(avg(x{i}), {R}) AS mean_{n}" for i, n in enumerate(names))
     return with_ctes(*ctes) + f"SELECT ado_id, label, count(*) AS n, {means} FROM sc GROUP BY ado_id, label"
 
 
+def labeled_points_all_sql() -> str:
+    ctes, names = labeled_ctes(OBS_CTE, "obs", f'"timestamp" <= {AS_OF_MS}', "li_ua_quantity_status",
+                               FLAG_NUMS, ["li_ua_flag_value"])
+    return with_ctes(*ctes) + labeled_select(names)
+
+
+def labeled_points_time_sql() -> str:
+    ctes, names = labeled_ctes(OBS_CTE, "obs", "TRUE", "li_ua_price_value", [], [], time_feature=True)
+    return with_ctes(*ctes) + labeled_select(names)
+
+
+def labeled_points_regression_sql() -> str:
+    where = f'"timestamp" <= {AS_OF_MS} AND li_ua_discount_value IS NOT NULL'
+    ctes, names = labeled_ctes(OBS_CTE, "obs", where, "li_ua_price_value",
+                               ["li_ua_quantity_value", "li_ua_discount_value", "li_ua_tax_value",
+                                "li_ua_linenumber_value"], ["li_ua_flag_value"])
+    return with_ctes(*ctes) + labeled_select(names)
+
+
+def labeled_points_events_sql() -> str:
+    ctes, names = labeled_ctes(EVENTS_CTE, "evobs", "TRUE", "ev_ua_value_status", ["ev_ua_value_value"],
+                               ["ev_ua_type_value"])
+    return with_ctes(*ctes) + labeled_select(names)
+
+
+# --- profile / clean -------------------------------------------------------------------------
+
+def _zero_sql(c: str, t: str) -> str:
+    x = f"TRY_CAST({q(c)} AS DOUBLE)" if t == "s" else f"CAST({q(c)} AS DOUBLE)"
+    return (f"(count({x}) >= 2 AND min({x}) = max({x}) "
+            f"AND count(CASE WHEN NOT isfinite({x}) THEN 1 END) = 0)")
+
+
+def profile_sql(threshold: float) -> str:
+    parts = []
+    for c in OBS_COLS:
+        t = OBS_TYPES[c]
+        zero = _zero_sql(c, t) if c.endswith("_value") else "FALSE"
+        ratio = f"(count(*) - count({q(c)}))::DOUBLE / count(*)"
+        parts.append(
+            f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({q(c)}) AS null_count, "
+            f"round({ratio}, {R}) AS null_ratio, CAST({zero} AS INTEGER) AS zero_deviation, "
+            f"CAST((({zero}) OR {ratio} > {threshold}) AND count(*) > 0 AS INTEGER) AS dropped FROM obs")
+    return with_ctes(OBS_CTE) + "\nUNION ALL\n".join(parts)
+
+
+def describe_sql() -> str:
+    cols = [c for c in OBS_COLS if c not in ("obs_key", "ado_id", "li_ua_flag_value", "timestamp")]
+    parts = []
+    for c in cols:
+        x = f"CAST({q(c)} AS DOUBLE)"
+        parts.append(f"SELECT '{c}' AS column_name, count({q(c)}) AS count, round(avg({x}), 4) AS mean, "
+                     f"round(stddev_samp({x}), 4) AS stddev, round(min({x}), 4) AS min, "
+                     f"round(max({x}), 4) AS max FROM obs")
+    return with_ctes(OBS_CTE) + "\nUNION ALL\n".join(parts)
+
+
+def select_obs(cols, where="TRUE") -> str:
+    return with_ctes(OBS_CTE) + f"SELECT {', '.join(q(c) for c in cols)} FROM obs WHERE {where}"
+
+
+# --- injection -------------------------------------------------------------------------------
+
+def _inject_sql(src_cte, src, cols, types, attrs, mode, value_rule, ratio=0.25, extra_ctes=(), from_clause=None,
+                guard="TRUE", status_guard="TRUE", seed=SEED, digits=R):
+    n = len(attrs)
+    d = {k: draw("obs_key", seed, mode, k) for k in range(4)}
+    base = (f"b AS (SELECT *, {d[0]} < {ratio} AS _hit, CAST(least(floor({d[1]} * {n}), {n - 1}) AS INTEGER) AS _ai, "
+            f"{d[2]} AS _u, {d[3]} < 0.5 AS _low FROM {from_clause or src})")
+    out = []
+    for c in cols:
+        t = types[c]
+        e = q(c)
+        for j, a in enumerate(attrs):
+            sel = f"_hit AND _ai = {j} AND ({guard})"
+            if c == a + "_status":
+                e = f"CASE WHEN {sel} AND {q(c)} IS NOT NULL AND ({status_guard}) THEN CAST(2 AS INTEGER) ELSE {q(c)} END"
+            elif c == a + "_value":
+                new = value_rule(c, t)
+                if new is not None:
+                    e = f"CASE WHEN {sel} AND {q(c)} IS NOT NULL THEN {new} ELSE {q(c)} END"
+        if t == "d":
+            e = f"round({e}, {digits})"
+        out.append(f"{e} AS {q(c)}")
+    return with_ctes(src_cte, *extra_ctes, base) + f"SELECT {', '.join(out)} FROM b"
+
+
+STD_ATTRS = ["li_ua_quantity", "li_ua_price", "li_ua_linenumber"]
+ZERO_ATTRS = ["li_ua_quantity", "li_ua_linenumber", "li_ua_flag"]
+
+
+def _trunc_int(x: str) -> str:
+    return f"CAST(trunc(least(greatest({x}, -2147483648.0), 2147483647.0)) AS INTEGER)"
+
+
+def inject_stddev_sql() -> str:
+    sds = ", ".join(f"stddev_samp(CAST({a}_value AS DOUBLE)) AS sd_{a}_value" for a in STD_ATTRS)
+    nn = " AND ".join(f"sd_{a}_value IS NOT NULL" for a in STD_ATTRS)
+    st = f"st AS (SELECT ado_id AS sk, {sds} FROM obs GROUP BY ado_id HAVING {nn})"
+    j = "j AS (SELECT obs.*, st.* FROM obs LEFT JOIN st ON obs.ado_id IS NOT DISTINCT FROM st.sk)"
+
+    def rule(c, t):
+        dev = f"((1.0 + _u) * sd_{c} * CASE WHEN _low THEN 2.0 ELSE -2.0 END)"
+        if t == "i":
+            return _trunc_int(f"CAST({c} AS DOUBLE) + {dev}")
+        if t == "d":
+            return f"{c} + {dev}"
+        return None
+
+    return _inject_sql(OBS_CTE, "obs", OBS_COLS, OBS_TYPES, STD_ATTRS, "stddev", rule, extra_ctes=(st, j),
+                       from_clause="j", guard="sk IS NOT NULL")
+
+
+def inject_zero_sql() -> str:
+    def rule(c, t):
+        return "CAST(0 AS INTEGER)" if t == "i" else "0.0::DOUBLE" if t == "d" else None
+
+    return _inject_sql(OBS_CTE, "obs", OBS_COLS, OBS_TYPES, ZERO_ATTRS, "zeroes", rule)
+
+
+def inject_negate_sql() -> str:
+    def rule(c, t):
+        if t == "i":
+            return f"CASE WHEN {c} = -2147483648 THEN {c} ELSE -{c} END"
+        return f"-{c}" if t == "d" else None
+
+    return _inject_sql(OBS_CTE, "obs", OBS_COLS, OBS_TYPES, ZERO_ATTRS, "negatives", rule)
+
+
+def _lo_hi(attrs):
+    vals = ", ".join(f"{a}_value" for a in attrs)
+    return f"least({vals})", f"greatest({vals})"
+
+
+def inject_hilo_sql() -> str:
+    lo, hi = _lo_hi(MARKET_ATTRS)
+    pre = f"m2 AS (SELECT *, {lo} AS _lo, {hi} AS _hi, {hi} - {lo} AS _d FROM market)"
+
+    def rule(c, t):
+        if t != "d":
+            return None
+        if c == "re_ua_high_value":
+            return "(_lo - _d) + _d * _u * 0.9 * 2.0 * 2.0"
+        if c == "re_ua_low_value":
+            return "(_lo + _d) + _d * _u * 0.9 * 2.0 * 2.0"
+        return "CASE WHEN _low THEN _lo - _d * (0.1 + _u * 0.9 * 2.0) ELSE _hi + _d * (0.1 + _u * 0.9 * 2.0) END"
+
+    return _inject_sql(MARKET_CTE, "market", MARKET_COLS, MARKET_TYPES, MARKET_ATTRS, "hilo", rule,
+                       extra_ctes=(pre,), from_clause="m2", guard="_lo IS NOT NULL")
+
+
+def inject_spread_sql() -> str:
+    attrs = ["re_ua_ask", "re_ua_bid", "re_ua_mid"]
+    lo, hi = _lo_hi(attrs)
+    pre = f"m2 AS (SELECT *, {lo} AS _lo, {hi} AS _hi FROM market)"
+
+    def rule(c, t):
+        if t != "d":
+            return None
+        return f"{c} + (0.1 + _u * 0.9) * (_hi - _lo) * CASE WHEN _low THEN -2.0 ELSE 2.0 END"
+
+    return _inject_sql(MARKET_CTE, "market", MARKET_COLS, MARKET_TYPES, attrs, "askbidmid", rule,
+                       extra_ctes=(pre,), from_clause="m2", guard="_lo IS NOT NULL", status_guard="_hi <> _lo")
+
+
+def inject_stack_sql() -> str:
+    cols = ["obs_key", "ado_id", "timestamp", "li_ua_quantity_value", "li_ua_quantity_status"]
+    types = {c: OBS_TYPES[c] for c in cols}
+    z = _inject_sql(OBS_CTE, "obs", cols, types, ["li_ua_quantity"], "zeroes",
+                    lambda c, t: "0.0::DOUBLE" if t == "d" else None, ratio=0.1, digits=15)
+    n = _inject_sql(OBS_CTE, "obs", cols, types, ["li_ua_quantity"], "negatives",
+                    lambda c, t: f"-{c}" if t == "d" else None, ratio=0.1, digits=15)
+    return (f"SELECT *, 'zero' AS variant FROM ({z})\nUNION ALL\n"
+            f"SELECT *, 'negative' AS variant FROM ({n})")
+
+
+# --- metrics ---------------------------------------------------------------------------------
+
+def classification_report_sql(legacy: bool = False) -> str:
+    y, p = ("prediction", "label") if legacy else ("label", "prediction")
+    agg = (f"a AS (SELECT model, count(*) AS n, count(CASE WHEN {y} = {p} THEN 1 END) AS correct, "
+           f"count(CASE WHEN {y} = 0.0 AND {p} = 0.0 THEN 1 END) AS tp, "
+           f"count(CASE WHEN {y} <> 0.0 AND {p} = 0.0 THEN 1 END) AS fp, "
+           f"count(CASE WHEN {y} = 0.0 AND {p} <> 0.0 THEN 1 END) AS fn, "
+           f"count(CASE WHEN {y} <> 0.0 AND {p} <> 0.0 THEN 1 END) AS tn, "
+           f"count(CASE WHEN {y} = 1.0 AND {p} = 1.0 THEN 1 END) AS atp, "
+           f"count(CASE WHEN {y} <> 1.0 AND {p} = 1.0 THEN 1 END) AS afp, "
+           f"count(CASE WHEN {y} = 1.0 THEN 1 END) AS ap FROM pred GROUP BY model)")
+    b = ("b AS (SELECT *, CASE WHEN tp + fn > 0 THEN coalesce(CASE WHEN tp + fp <> 0 THEN tp::DOUBLE / (tp + fp) END, 0.0) END AS prec, "
+         "CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) END AS tpr, "
+         "CASE WHEN tp + fn > 0 THEN CASE WHEN fp + tn <> 0 THEN fp::DOUBLE / (fp + tn) END END AS fpr, "
+         "CASE WHEN ap <> 0 THEN atp::DOUBLE / ap END AS a_tpr, "
+         "CASE WHEN n - ap <> 0 THEN afp::DOUBLE / (n - ap) END AS a_fpr, "
+         "coalesce(CASE WHEN atp + afp <> 0 THEN atp::DOUBLE / (atp + afp) END, CASE WHEN n <> 0 THEN ap::DOUBLE / n END) AS a_prec, "
+         "CASE WHEN n <> 0 THEN ap::DOUBLE / n END AS base_rate FROM a)")
+    sel = (f"SELECT model, round(CASE WHEN n <> 0 THEN correct::DOUBLE / n END, {R}) AS accuracy, "
+           f"round(prec, {R}) AS precision, round(tpr, {R}) AS true_positive_rate, "
+           f"round(fpr, {R}) AS false_positive_rate, round(1.0 - fpr, {R}) AS true_negative_rate, "
+           f"round(1.0 - tpr, {R}) AS false_negative_rate, "
+           f"round(CASE WHEN tp + fn > 0 THEN CASE WHEN prec + tpr = 0 THEN 0.0 ELSE 2.0 * prec * tpr / (prec + tpr) END END, {R}) AS f1, "
+           f"round(CASE WHEN ap = 0 THEN 0.0 WHEN n - ap = 0 THEN 1.0 ELSE (1.0 + a_tpr - a_fpr) / 2.0 END, {R}) AS area_under_roc, "
+           f"round(CASE WHEN ap = 0 THEN 0.0 WHEN n - ap = 0 THEN 1.0 ELSE a_tpr * a_prec + (1.0 - a_tpr) * (a_prec + base_rate) / 2.0 END, {R}) AS area_under_pr "
+           f"FROM b")
+    return with_ctes(OBS_CTE, PRED_CTE, agg, b) + sel
+
+
+def regression_report_sql() -> str:
+    return with_ctes(OBS_CTE, PRED_CTE) + (
+        "SELECT model, round(avg((y_hat - y) * (y_hat - y)), 4) AS mse, "
+        "round(sqrt(avg((y_hat - y) * (y_hat - y))), 4) AS rmse, "
+        "round(1.0 - avg((y_hat - y) * (y_hat - y)) / var_pop(y), 4) AS r2, "
+        "round(avg(abs(y_hat - y)), 4) AS mae FROM pred GROUP BY model")
+
+
+# --- registry --------------------------------------------------------------------------------
+
+def _scale_sql(global_: bool) -> str:
+    xs = FLAG_NUMS
+    cast = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in xs)
+    g = f"g AS (SELECT obs_key, ado_id, {cast} FROM obs)"
+    stats = ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in xs)
+    if global_:
+        s = f"s AS (SELECT {stats} FROM g)"
+        on = "TRUE"
+    else:
+        s = f"s AS (SELECT ado_id AS sk, {stats} FROM g GROUP BY ado_id)"
+        on = "g.ado_id IS NOT DISTINCT FROM s.sk"
+    sc = ", ".join(f"round({scaled_sql('g.' + c, 's.mn_' + c, 's.mx_' + c)}, {R}) AS {c}" for c in xs)
+    return with_ctes(OBS_CTE, g, s) + f"SELECT g.obs_key, g.ado_id, {sc} FROM g JOIN s ON {on}"
+
+
 def registered() -> dict:
+    value_cols = [c for c in OBS_COLS]
+    to_double = ", ".join(q(c) if c in ("ado_id", "obs_key") else f"TRY_CAST({q(c)} AS DOUBLE) AS {q(c)}"
+                          for c in OBS_COLS)
+    split_d = draw("obs_key", SEED, "split", 0)
     return {
         "flagship_entity_label_means": flagship_sql(),
+        "scan_all": select_obs(value_cols),
+        "scan_attribute": select_obs(["ado_id", "timestamp", "li_ua_price_value"]),
+        "profile_columns": profile_sql(0.0),
+        "profile_columns_t05": profile_sql(0.05),
+        "describe_columns": describe_sql(),
+        "drop_incomplete_columns": select_obs([c for c in OBS_COLS
+                                               if c not in ("li_ua_discount_value", "li_ua_unit_value")]),
+        "drop_incomplete_columns_t05": select_obs([c for c in OBS_COLS if c != "li_ua_unit_value"]),
+        "complete_rows": select_obs(OBS_COLS, " AND ".join(f"{q(c)} IS NOT NULL" for c in OBS_COLS)),
+        "complete_rows_subset": with_ctes(MARKET_CTE) + (
+            "SELECT * FROM market WHERE re_ua_ask_value IS NOT NULL AND re_ua_bid_value IS NOT NULL"),
+        "as_of": select_obs(OBS_COLS, f'"timestamp" <= {AS_OF_MS}'),
+        "split_by_date": with_ctes(OBS_CTE) + (
+            f'SELECT obs_key, ado_id, "timestamp", CASE WHEN "timestamp" <= {SPLIT_MS} THEN 0 ELSE 1 END AS part '
+            f'FROM obs WHERE "timestamp" IS NOT NULL'),
+        "hash_split": with_ctes(OBS_CTE) + (
+            f'SELECT obs_key, ado_id, "timestamp", CASE WHEN {split_d} < 0.8 THEN 0 ELSE 1 END AS part FROM obs'),
+        "select_by_type_strict": select_obs(["li_ua_quantity_value", "li_ua_price_value", "li_ua_discount_value",
+                                             "li_ua_tax_value", "li_ua_unit_value"]),
+        "select_by_type": select_obs(["li_ua_quantity_value", "li_ua_price_value", "li_ua_discount_value",
+                                      "li_ua_tax_value", "li_ua_unit_value", "li_ua_quantity_status",
+                                      "li_ua_price_status"]),
+        "select_drop_columns": select_obs(["obs_key", "ado_id", "li_ua_tax_value"]),
+        "to_double": with_ctes(OBS_CTE) + f"SELECT {to_double} FROM obs",
+        "binarize_status": with_ctes(OBS_CTE) + (
+            f"SELECT obs_key, li_ua_quantity_status, li_ua_price_status, "
+            f"{binarize_sql('CAST(li_ua_quantity_status AS DOUBLE)')} AS label_quantity, "
+            f"{binarize_sql('CAST(li_ua_price_status AS DOUBLE)')} AS label_price FROM obs"),
+        "index_strings": with_ctes(OBS_CTE) + (
+            "SELECT obs_key, li_ua_tax_value, CAST(i AS DOUBLE) AS li_ua_flag_value FROM obs JOIN "
+            "(SELECT li_ua_flag_value AS v, row_number() OVER (ORDER BY count(*) DESC, li_ua_flag_value) - 1 AS i "
+            "FROM obs WHERE li_ua_flag_value IS NOT NULL GROUP BY li_ua_flag_value) x ON obs.li_ua_flag_value = x.v"),
+        "index_strings_events": with_ctes(EVENTS_CTE) + (
+            "SELECT obs_key, CAST(i AS DOUBLE) AS ev_ua_type_value FROM evobs JOIN "
+            "(SELECT ev_ua_type_value AS v, row_number() OVER (ORDER BY count(*) DESC, ev_ua_type_value) - 1 AS i "
+            "FROM evobs WHERE ev_ua_type_value IS NOT NULL GROUP BY ev_ua_type_value) x ON evobs.ev_ua_type_value = x.v"),
+        "minmax_by_entity": _scale_sql(False),
+        "minmax_global": _scale_sql(True),
+        "labeled_points_all": labeled_points_all_sql(),
+        "labeled_points_time": labeled_points_time_sql(),
+        "labeled_points_regression": labeled_points_regression_sql(),
+        "labeled_points_events": labeled_points_events_sql(),
+        "sort_by_time": select_obs(["obs_key", "ado_id", "timestamp"]),
+        "entity_counts": with_ctes(OBS_CTE) + "SELECT ado_id, count(*) AS n_rows FROM obs GROUP BY ado_id",
+        "entity_summary": with_ctes(OBS_CTE) + (
+            "SELECT CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS n_entities, CAST(count(*) > 1 AS INTEGER) "
+            "AS multiple_entities, max(c) AS max_rows_per_entity FROM (SELECT ado_id, count(*) AS c FROM obs "
+            "GROUP BY ado_id)"),
+        "distinct_entities": with_ctes(OBS_CTE) + "SELECT DISTINCT ado_id FROM obs",
+        "entity_stddev": with_ctes(OBS_CTE) + (
+            f"SELECT ado_id, round(stddev_samp(li_ua_quantity_value), {R}) AS sd_li_ua_quantity_value, "
+            f"round(stddev_samp(li_ua_price_value), {R}) AS sd_li_ua_price_value FROM obs GROUP BY ado_id "
+            f"HAVING stddev_samp(li_ua_quantity_value) IS NOT NULL AND stddev_samp(li_ua_price_value) IS NOT NULL"),
+        "join_entity_stats": with_ctes(OBS_CTE) + (
+            f"SELECT o.obs_key, o.ado_id, round(o.li_ua_quantity_value, {R}) AS li_ua_quantity_value, "
+            f"round(s.sd, {R}) AS sd_li_ua_quantity_value FROM obs o LEFT JOIN (SELECT ado_id, "
+            f"stddev_samp(li_ua_quantity_value) AS sd FROM obs GROUP BY ado_id HAVING sd IS NOT NULL) s "
+            f"ON o.ado_id IS NOT DISTINCT FROM s.ado_id"),
+        "inject_stddev": inject_stddev_sql(),
+        "inject_zero": inject_zero_sql(),
+        "inject_negate": inject_negate_sql(),
+        "inject_hilo": inject_hilo_sql(),
+        "inject_spread": inject_spread_sql(),
+        "inject_stack": inject_stack_sql(),
+        "confusion_matrix": with_ctes(OBS_CTE, PRED_CTE) + (
+            "SELECT model, label, prediction, count(*) AS n FROM pred GROUP BY model, label, prediction"),
+        "classification_report": classification_report_sql(False),
+        "classification_report_legacy": classification_report_sql(True),
+        "regression_report": regression_report_sql(),
     }
