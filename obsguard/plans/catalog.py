@@ -256,6 +256,107 @@ def q_regression_report(spark, sf_dir):
     return _round_doubles(regression_report(fixtures.pred(spark, sf_dir), label="y", prediction="y_hat"), 4)
 
 
+# ---------------------------------------------------------------------------------------------
+# Model queries (MLlib): training per family, registry round trip, evaluations
+# ---------------------------------------------------------------------------------------------
+from pyspark.ml.feature import VectorIndexer  # noqa: E402
+from pyspark.ml.regression import LinearRegression  # noqa: E402
+
+from . import jobs, train as training  # noqa: E402
+
+
+def _cls_points(spark, sf_dir):
+    o = _obs(spark, sf_dir).drop("obs_key")
+    return transform_rows(o, "li_ua_price_status", 0.0, "all", AS_OF_MS, sort=False).frame
+
+
+def _reg_points(spark, sf_dir):
+    o = _obs(spark, sf_dir).drop("obs_key")
+    return transform_rows(o, "li_ua_price_value", 0.0, "all", None, sort=False).frame
+
+
+def _ts_points(spark, sf_dir):
+    o = _obs(spark, sf_dir).drop("obs_key")
+    return transform_rows(o, "li_ua_price_value", 0.0, "time", None, sort=False).frame
+
+
+def _train_query(task, family):
+    def run(spark, sf_dir):
+        lp = _cls_points(spark, sf_dir) if task == "classification" else _reg_points(spark, sf_dir)
+        tm = training.train_family(lp, task, family, training.TrainConfig(grid="smoke"), training.label_stats(lp))
+        return training.params_frame(spark, [tm])
+
+    run.__name__ = f"train_{task}_{family}"
+    return run
+
+
+def q_linear_fit_coefficients(spark, sf_dir):
+    """Least squares of price on quantity (no regularisation): slope and intercept."""
+    o = _obs(spark, sf_dir)
+    df = features.assemble(o.select(F.col("li_ua_price_value").alias(C.LABEL_COL), "li_ua_quantity_value"),
+                           ["li_ua_quantity_value"])
+    m = LinearRegression(regParam=0.0, solver="normal", labelCol=C.LABEL_COL).fit(df)
+    res = spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double")
+    return res.select(F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"))
+
+
+CATEGORICAL_FEATURES = ["li_ua_linenumber_value", "li_ua_tax_value", "li_ua_quantity_value", "li_ua_price_value"]
+
+
+def q_categorical_map(spark, sf_dir):
+    """VectorIndexer category maps (features with at most 32 distinct values)."""
+    o = features.to_double_all(_obs(spark, sf_dir).select(*CATEGORICAL_FEATURES), keep=())
+    vec = features.assemble(o, CATEGORICAL_FEATURES)
+    vi = VectorIndexer(inputCol=C.FEATURES_COL, outputCol="idx", maxCategories=C.DEFAULT_MAX_CATEGORIES).fit(vec)
+    rows = [(int(fi), CATEGORICAL_FEATURES[fi], float(v), int(c))
+            for fi, m in vi.categoryMaps.items() for v, c in m.items()]
+    return spark.createDataFrame(rows, "feature_index int, feature string, value double, category int")
+
+
+def q_registry_roundtrip(spark, sf_dir):
+    """Save a fitted pipeline, load it back by key, and score with both: equal confusion counts."""
+    import uuid
+
+    from ..sources.registry import ModelRegistry, default_root
+
+    lp = _cls_points(spark, sf_dir)
+    cfg = training.TrainConfig(grid="smoke")
+    tm = training.train_family(lp, "classification", "decision_tree", cfg)
+    reg = ModelRegistry(spark, f"{default_root(spark)}/{uuid.uuid4().hex}")
+    key = ("classification", "li_ua_price", "decision_tree", cfg.hash("classification", "decision_tree"))
+    reg.save(tm.model, *key, metric=tm.validation_metric)
+    loaded = reg.load(*key)
+    out = []
+    for source, model in (("saved", tm.model), ("loaded", loaded)):
+        out.append(model.transform(lp).groupBy(C.LABEL_COL, C.PREDICTION_COL).agg(F.count(F.lit(1)).alias("n"))
+                   .withColumn("source", F.lit(source)))
+    listing = reg.list_models().select(F.lit("registry").alias("source"), F.col("version").cast("double").alias(
+        C.LABEL_COL), F.col("metric").alias(C.PREDICTION_COL), F.lit(1).cast("bigint").alias("n"))
+    return out[0].unionByName(out[1]).unionByName(listing)
+
+
+def _job_config():
+    return jobs.JobConfig(train=training.TrainConfig(grid="smoke"))
+
+
+def q_evaluate_classification(spark, sf_dir):
+    return _round_doubles(jobs.evaluate_classification(_cls_points(spark, sf_dir), (0.8, 0.2), SEED,
+                                                       config=_job_config()))
+
+
+def q_evaluate_regression(spark, sf_dir):
+    return _round_doubles(jobs.evaluate_regression(_reg_points(spark, sf_dir), SPLIT_MS, config=_job_config()), 4)
+
+
+def q_evaluate_time_series(spark, sf_dir):
+    return _round_doubles(jobs.evaluate_time_series(_ts_points(spark, sf_dir), SPLIT_MS, config=_job_config()), 4)
+
+
+for _task, _fams in (("classification", training.CLASSIFIERS), ("regression", training.REGRESSORS)):
+    for _fam in _fams:
+        globals()[f"q_train_{_task}_{_fam}"] = _train_query(_task, _fam)
+
+
 def _with_ckpt(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from ..session import ensure_checkpoint_dir

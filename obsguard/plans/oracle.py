@@ -396,6 +396,20 @@ def _scale_sql(global_: bool) -> str:
     return with_ctes(OBS_CTE, g, s) + f"SELECT g.obs_key, g.ado_id, {sc} FROM g JOIN s ON {on}"
 
 
+CATEGORICAL_FEATURES = ["li_ua_linenumber_value", "li_ua_tax_value", "li_ua_quantity_value", "li_ua_price_value"]
+
+
+def categorical_map_sql(max_categories: int = 32) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT {i} AS feature_index, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM obs"
+        for i, c in enumerate(CATEGORICAL_FEATURES))
+    return with_ctes(OBS_CTE, f"v AS ({parts})", "d AS (SELECT DISTINCT feature_index, feature, value FROM v)",
+                     f"k AS (SELECT feature_index FROM d GROUP BY feature_index HAVING count(*) <= {max_categories})") + (
+        "SELECT feature_index, feature, value, CAST(row_number() OVER (PARTITION BY feature_index "
+        "ORDER BY value <> 0.0, value) - 1 AS INTEGER) AS category FROM d "
+        "WHERE feature_index IN (SELECT feature_index FROM k)")
+
+
 def registered() -> dict:
     value_cols = [c for c in OBS_COLS]
     to_double = ", ".join(q(c) if c in ("ado_id", "obs_key") else f"TRY_CAST({q(c)} AS DOUBLE) AS {q(c)}"
@@ -472,4 +486,8 @@ def registered() -> dict:
         "classification_report": classification_report_sql(False),
         "classification_report_legacy": classification_report_sql(True),
         "regression_report": regression_report_sql(),
+        "linear_fit_coefficients": with_ctes(OBS_CTE) + (
+            "SELECT round(regr_slope(li_ua_price_value, li_ua_quantity_value), 4) AS slope, "
+            "round(regr_intercept(li_ua_price_value, li_ua_quantity_value), 2) AS intercept FROM obs"),
+        "categorical_map": categorical_map_sql(),
     }
