@@ -4,9 +4,10 @@ Shared rule: a row is hit with probability `ratio`; one attribute is chosen unif
 set to suspect (2) when not null and its value is changed when not null. All other cells stay.
 
 Randomness is a pure function of the row key: one md5 digest of (key columns, seed, mode) gives four
-independent 32-bit uniform draws (hit, attribute, magnitude U, sign). Results therefore do not depend
-on partitioning, task retries or recomputation, and the whole operator is one projection
-(plus, for the stddev mode, one per-entity aggregate joined back).
+independent 32-bit uniform draws (hit, attribute, magnitude U, sign). Which rows and attributes are hit
+therefore does not depend on partitioning, task retries or recomputation (the stddev mode's magnitude
+can differ in the last bits, as partial variances merge in partition order). The whole operator is one
+projection (plus, for the stddev mode, one per-entity aggregate joined back).
 """
 
 from __future__ import annotations
