@@ -25,7 +25,7 @@ def _numeric_view(df: DataFrame, name: str) -> Column | None:
     if is_numeric(dt):
         return F.col(name).cast("double")
     if is_string(dt):
-        return to_double(name)
+        return to_double(name, dt)
     return None
 
 

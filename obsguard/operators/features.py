@@ -17,7 +17,8 @@ TWO_POW_33 = 1 << 33
 
 def to_double_all(df: DataFrame, keep=(C.ID_COL,)) -> DataFrame:
     """Cast every column but `keep` to double in one projection; unparsable values become null."""
-    return df.select(*[F.col(c) if c in keep else to_double(c).alias(c) for c in df.columns])
+    return df.select(*[F.col(f.name) if f.name in keep else to_double(f.name, f.dataType).alias(f.name)
+                       for f in df.schema.fields])
 
 
 def binarize_labels(df: DataFrame, label: str = C.LABEL_COL) -> DataFrame:

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
-from ..functions.exprs import md5_hex, negate_int, row_max, row_min, trunc_to_int, unit_draw
+from ..functions.exprs import (hex_word, md5_hex, negate_int, row_max, row_min, trunc_to_int, unit_draw,
+                               word_below, word_bucket)
 from ..schema import DEFAULT_SCHEMA, ObsSchema, require_columns
 from .entity import entity_stddev, join_entity_stats
 
@@ -35,18 +36,38 @@ class Draws:
     low_side: Column  # the sign/coin draw: "first branch" when true
 
 
+DRAW_COLS = ("__hit", "__attr", "__u", "__low")
+
+
 def draws(key_cols, seed: int, mode: str, ratio: float, n_attrs: int) -> Draws:
+    """hit = draw0 < ratio, attribute = floor(draw1 * n), U = draw2, low side = draw3 < 0.5.
+
+    Comparisons run on the digest's hex text (exact); the one hex-to-number conversion (U) is
+    evaluated for hit rows only.
+    """
     digest = md5_hex(key_cols, seed, mode)
-    d_attr = unit_draw(digest, SLOT_ATTR)
-    attr = F.least(F.floor(d_attr * F.lit(n_attrs)), F.lit(n_attrs - 1)).cast("int")
+    hit = word_below(hex_word(digest, SLOT_HIT), float(ratio))
     return Draws(
-        hit=unit_draw(digest, SLOT_HIT) < F.lit(float(ratio)),
-        attr=attr,
-        u=unit_draw(digest, SLOT_U),
-        low_side=unit_draw(digest, SLOT_SIGN) < F.lit(0.5),
+        hit=hit,
+        attr=word_bucket(hex_word(digest, SLOT_ATTR), n_attrs),
+        u=F.when(hit, unit_draw(digest, SLOT_U)),
+        low_side=word_below(hex_word(digest, SLOT_SIGN), 0.5),
     )
 
 
+def with_draws(df: DataFrame, dr: Draws, extra: dict | None = None) -> tuple[DataFrame, Draws]:
+    """Materialise the draws (and other per-row helpers) once in a lower projection.
+
+    Expressions inside CASE branches escape common-subexpression elimination; referencing these
+    columns instead keeps the hex-to-number conversions at four per row. CollapseProject does not
+    inline a non-trivial expression that is referenced several times, so the split survives.
+    """
+    cols = [dr.hit.alias("__hit"), dr.attr.alias("__attr"), dr.u.alias("__u"), dr.low_side.alias("__low")]
+    cols += [e.alias(n) for n, e in (extra or {}).items()]
+    out = df.select("*", *cols)
+    return out, Draws(F.col("__hit"), F.col("__attr"), F.col("__u"), F.col("__low"))
+
+
 def _is_int(dt) -> bool:
     return isinstance(dt, T.IntegerType)
 
@@ -97,6 +118,8 @@ class SuspectInjector:
             targets[sch.value_col(a)] = ("value", sel)
         out = []
         for f in df.schema.fields:
+            if f.name.startswith("__"):
+                continue
             c = F.col(f.name)
             if f.name not in targets:
                 out.append(c)
@@ -127,6 +150,7 @@ class SuspectInjector:
         stats = entity_stddev(df, attributes, sch, require_all=True).withColumn("_ok", F.lit(True))
         joined = join_entity_stats(df, stats, sch, how="left")
         dr = draws(self._keys(df), seed, "stddev", self.ratio, len(attributes))
+        joined, dr = with_draws(joined, dr)
         m = float(self.magnitude)
         sign = F.when(dr.low_side, F.lit(m)).otherwise(F.lit(-m))
 
@@ -147,6 +171,7 @@ class SuspectInjector:
         """int -> 0, double -> 0.0 (other types unchanged, status still set)."""
         attributes = list(attributes)
         dr = draws(self._keys(df), self._seed(seed), "zeroes", self.ratio, len(attributes))
+        df, dr = with_draws(df, dr)
 
         def rule(f, c):
             if _is_int(f.dataType):
@@ -161,6 +186,7 @@ class SuspectInjector:
         """-value for int (MIN_INT stays itself) and double."""
         attributes = list(attributes)
         dr = draws(self._keys(df), self._seed(seed), "negatives", self.ratio, len(attributes))
+        df, dr = with_draws(df, dr)
 
         def rule(f, c):
             if _is_int(f.dataType):
@@ -182,7 +208,8 @@ class SuspectInjector:
         require_columns(df, vcols, "price column")
         dr = draws(self._keys(df), self._seed(seed), "hilo", self.ratio, len(attributes))
         m = float(self.magnitude)
-        lo, hi = row_min(vcols), row_max(vcols)
+        df, dr = with_draws(df, dr, {"__lo": row_min(vcols), "__hi": row_max(vcols)})
+        lo, hi = F.col("__lo"), F.col("__hi")
         d = hi - lo
         spread_up = d * dr.u * F.lit(0.9) * F.lit(2.0) * F.lit(m)
         outside = d * (F.lit(0.1) + dr.u * F.lit(0.9) * F.lit(m))
@@ -214,7 +241,8 @@ class SuspectInjector:
         require_columns(df, vcols, "price column")
         dr = draws(self._keys(df), self._seed(seed), "askbidmid", self.ratio, len(attributes))
         m = float(self.magnitude)
-        lo, hi = row_min(vcols), row_max(vcols)
+        df, dr = with_draws(df, dr, {"__lo": row_min(vcols), "__hi": row_max(vcols)})
+        lo, hi = F.col("__lo"), F.col("__hi")
         shift = (F.lit(0.1) + dr.u * F.lit(0.9)) * (hi - lo) * F.when(dr.low_side, F.lit(-m)).otherwise(F.lit(m))
 
         def rule(f, c):

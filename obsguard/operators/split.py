@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import md5_hex, unit_draw
+from ..functions.exprs import hex_word, md5_hex, word_below
 from ..schema import DEFAULT_SCHEMA, ObsSchema
 
 
@@ -15,8 +15,16 @@ def split_by_date(df: DataFrame, split_ms: int, schema: ObsSchema = DEFAULT_SCHE
     return df.where(t <= F.lit(split_ms)), df.where(t > F.lit(split_ms))
 
 
-def split_draw(key_cols, seed: int):
-    return unit_draw(md5_hex(key_cols, seed, "split"), 0)
+def split_word(key_cols, seed: int):
+    """Word 0 of the row's digest; its unit value is the split draw (compared as text, exactly)."""
+    return hex_word(md5_hex(key_cols, seed, "split"), 0)
+
+
+def _between(word, lo: float, hi: float | None):
+    cond = ~word_below(word, lo)
+    if hi is not None:
+        cond = cond & word_below(word, hi)
+    return cond
 
 
 def hash_split(df: DataFrame, weights, seed: int, key_cols=None,
@@ -27,14 +35,11 @@ def hash_split(df: DataFrame, weights, seed: int, key_cols=None,
     total = float(sum(weights))
     if total <= 0:
         raise ValueError("weights must sum to a positive number")
-    draw = split_draw(keys, seed)
+    word = split_word(keys, seed)
     parts, lo = [], 0.0
     for i, w in enumerate(weights):
         hi = lo + w / total
-        cond = draw >= F.lit(lo)
-        if i < len(weights) - 1:
-            cond = cond & (draw < F.lit(hi))
-        parts.append(df.where(cond))
+        parts.append(df.where(_between(word, lo, hi if i < len(weights) - 1 else None)))
         lo = hi
     return parts
 
@@ -44,11 +49,12 @@ def tag_split(df: DataFrame, weights, seed: int, key_cols=None, name: str = "par
     """The same assignment as a column (part index), for one-pass inspection."""
     keys = list(key_cols) if key_cols else [schema.id_col, schema.time_col]
     total = float(sum(weights))
-    draw = split_draw(keys, seed)
+    word = split_word(keys, seed)
     expr, lo = None, 0.0
     for i, w in enumerate(weights[:-1]):
         lo += w / total
-        expr = (F.when(draw < F.lit(lo), F.lit(i)) if expr is None else expr.when(draw < F.lit(lo), F.lit(i)))
+        below = word_below(word, lo)
+        expr = F.when(below, F.lit(i)) if expr is None else expr.when(below, F.lit(i))
     last = F.lit(len(weights) - 1)
     return df.withColumn(name, last if expr is None else expr.otherwise(last))
 

@@ -123,6 +123,18 @@ def _valid_cells(task: str, family: str, cells: list, est, stats: dict) -> list:
     return out
 
 
+def spread_for_iterations(df: DataFrame) -> DataFrame:
+    """Iterative learners pass over their input many times: give it at least one partition per core.
+
+    Only an under-partitioned input (a small file read as one split) is redistributed, once, before
+    it is persisted; a large input already has more partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def train_family(df: DataFrame, task: str, family: str, config: TrainConfig = TrainConfig(),
                  label_stats: dict | None = None) -> TrainedModel:
     """Search the family's grid with a train/validation split and return the best model.
@@ -133,7 +145,7 @@ def train_family(df: DataFrame, task: str, family: str, config: TrainConfig = Tr
 
     if family == "naive_bayes" and label_stats and not label_stats.get("features_nonnegative", True):
         raise ValueError("naive Bayes needs non-negative features")
-    data = df.select(C.LABEL_COL, C.FEATURES_COL).persist(StorageLevel.MEMORY_AND_DISK)
+    data = spread_for_iterations(df.select(C.LABEL_COL, C.FEATURES_COL)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stages = []
         features_col = C.FEATURES_COL

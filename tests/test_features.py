@@ -96,3 +96,15 @@ def test_single_column_mode_rejects_string_label(spark):
     df = spark.createDataFrame([("a", 1, "u"), ("b", 2, "v")], "ado_id string, timestamp long, s_value string")
     with pytest.raises(ValueError, match="indexed string"):
         transform_rows(df, "s_value", 0.0, features="time")
+
+
+def test_guarded_string_cast_equals_try_cast(spark):
+    from obsguard.functions.exprs import to_double
+    from pyspark.sql import types as T
+
+    vals = ["1", " 2.5", "-3e2", "+4", ".5", "NaN", "nan", "-Infinity", "inf", "+inf", "Infinity", "0x1p3", "1d",
+            "N", "Na", "in", "A", "R", "", "  ", "\t7", "x1", "1x", None, "ñ", "　1"]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    got = df.select(to_double("s", T.StringType()).alias("a"), F.col("s").try_cast("double").alias("b")).collect()
+    for (a, b), v in zip(got, vals):
+        assert (a == b) or (a != a and b != b), v
