@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_SCHEMA, ObsSchema
-from .joins import lookup_join, materialise_small
+from .joins import COUNT_COL, lookup_join, materialise_small
 
 
 def distinct_entities(df: DataFrame, schema: ObsSchema = DEFAULT_SCHEMA) -> DataFrame:
@@ -35,7 +35,7 @@ def entity_summary(df: DataFrame, schema: ObsSchema = DEFAULT_SCHEMA) -> DataFra
 
 
 def entity_stddev(df: DataFrame, attributes, schema: ObsSchema = DEFAULT_SCHEMA,
-                  require_all: bool = True) -> DataFrame:
+                  require_all: bool = True, with_count: bool = False) -> DataFrame:
     """Sample stddev of each attribute's value per entity.
 
     With `require_all`, entities where any requested attribute has a null stddev (fewer than two
@@ -43,6 +43,8 @@ def entity_stddev(df: DataFrame, attributes, schema: ObsSchema = DEFAULT_SCHEMA,
     """
     cols = [schema.value_col(a) for a in attributes]
     aggs = [F.stddev_samp(F.col(c).cast("double")).alias(f"sd_{c}") for c in cols]
+    if with_count:
+        aggs.append(F.count(F.lit(1)).alias(COUNT_COL))  # rows per entity: lets a join salt hot entities
     out = df.groupBy(schema.id_col).agg(*aggs)
     if require_all and cols:
         cond = F.col(f"sd_{cols[0]}").isNotNull()

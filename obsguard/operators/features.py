@@ -10,7 +10,7 @@ from .. import constants as C
 from ..functions.exprs import binarize_status, to_double
 from ..schema import DEFAULT_SCHEMA, ObsSchema, is_string
 from ..session import reliable_checkpoint
-from .joins import broadcast_limit, lookup_join, materialise_small
+from .joins import COUNT_COL, broadcast_limit, lookup_join, materialise_small
 
 TWO_POW_33 = 1 << 33
 
@@ -36,7 +36,7 @@ def frequency_index_table(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
     ordered = counts.orderBy(F.col("_n").desc(), F.col(column).asc())
     tagged = reliable_checkpoint(ordered.select(
-        column, F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
+        column, "_n", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
     parts = tagged.groupBy("_pid").agg(
         F.count(F.lit(1)).alias("c"),
         F.sum(F.octet_length(F.col(column)) + F.lit(32)).alias("b"),
@@ -48,7 +48,7 @@ def frequency_index_table(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
         nbytes += int(r["b"] or 0)
     offset = F.create_map(*offsets)[F.col("_pid")] if offsets else F.lit(0)
     local = F.col("_mid") - F.col("_pid").cast("bigint") * F.lit(TWO_POW_33)
-    table = tagged.select(column, (offset + local).cast("double").alias("_idx"))
+    table = tagged.select(column, (offset + local).cast("double").alias("_idx"), F.col("_n").alias(COUNT_COL))
     limit = broadcast_limit(df.sparkSession)
     return table, (limit > 0 and nbytes <= limit)
 
@@ -88,6 +88,7 @@ def scale_by_entity(df: DataFrame, features, key: str = C.ID_COL, suffix: str =
     aggs = []
     for i, c in enumerate(features):
         aggs += [F.min(F.col(c)).alias(f"_mn{i}"), F.max(F.col(c)).alias(f"_mx{i}")]
+    aggs.append(F.count(F.lit(1)).alias(COUNT_COL))  # rows per entity: lets the join salt hot entities
     stats = df.groupBy(F.col(key).alias("_k")).agg(*aggs)
     stats, small = materialise_small(stats)
     joined = lookup_join(df, stats, key, "_k", how="left", null_safe=True, may_broadcast=small)

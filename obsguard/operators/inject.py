@@ -147,7 +147,7 @@ class SuspectInjector:
         attributes = list(attributes)
         seed = self._seed(seed)
         sch = self.schema
-        stats = entity_stddev(df, attributes, sch, require_all=True).withColumn("_ok", F.lit(True))
+        stats = entity_stddev(df, attributes, sch, require_all=True, with_count=True).withColumn("_ok", F.lit(True))
         joined = join_entity_stats(df, stats, sch, how="left")
         dr = draws(self._keys(df), seed, "stddev", self.ratio, len(attributes))
         joined, dr = with_draws(joined, dr)

@@ -1,23 +1,37 @@
-"""Lookup joins of a big frame against a small per-key table whose size is measured, not guessed."""
+"""Lookup joins of a big frame against a small per-key table whose size is measured, not guessed.
+
+Three plans, chosen from measurements of the (checkpointed) per-key table:
+
+1. broadcast hash join when the table fits the session's broadcast threshold: the big side is not
+   shuffled at all;
+2. otherwise a shuffle join in which *hot* keys are salted: a key whose row count exceeds twice the
+   fair share of one shuffle partition (total / P) gets S = ceil(n_key * P / total) salts; its rows
+   on the big side spread over the salts by a hash of the row, and its single row on the small side
+   is replicated S times. At most P/2 keys can be hot, so the hot-key table has a proven bound and
+   is broadcast;
+3. AQE's skew-join split stays on as a second line of defence.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
 
+COUNT_COL = "_n"
+
 
 def broadcast_limit(spark) -> int:
     """Byte bound for an explicit broadcast: the session's own auto-broadcast threshold."""
-    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        value = int(str(raw).lower().rstrip("b"))
-    except ValueError:
-        units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-        s = str(raw).lower().rstrip("b")
-        value = int(float(s[:-1]) * units.get(s[-1], 1))
-    return value
+    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    s = raw[:-1] if raw.endswith("b") else raw
+    if s and s[-1] in units:
+        return int(float(s[:-1]) * units[s[-1]])
+    return int(s)
 
 
 def measured_bytes(small: DataFrame) -> tuple[int, int]:
@@ -44,13 +58,58 @@ def materialise_small(small: DataFrame) -> tuple[DataFrame, bool]:
     return frozen, (limit > 0 and nbytes <= limit)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, how: str = "left",
-                null_safe: bool = True, may_broadcast: bool = False) -> DataFrame:
-    """Join `small` (one row per key) onto `big`; broadcast only when the caller measured it small.
+def hot_keys(small: DataFrame, key: str, count_col: str = COUNT_COL, partitions: int | None = None) -> DataFrame:
+    """(key, _salts) for keys holding more than two fair shares of a shuffle partition.
 
-    Otherwise a shuffle join: AQE splits a skewed key of `big` (one entity may hold a third of all
-    rows) while the single matching row of `small` is replicated to the split tasks.
+    Bounded by construction: the counts sum to the total, so fewer than P/2 keys qualify.
     """
-    right = F.broadcast(small) if may_broadcast else small
-    cond = big[big_key].eqNullSafe(right[small_key]) if null_safe else big[big_key] == right[small_key]
-    return big.join(right, cond, how).drop(right[small_key])
+    p = partitions or int(small.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    total = small.agg(F.sum(count_col).alias("t")).first()["t"] or 0
+    if total <= 0 or p < 2:
+        return small.where(F.lit(False)).select(F.col(key), F.lit(1).alias("_salts"))
+    share = total / p
+    salts = F.least(F.ceil(F.col(count_col) / F.lit(share)), F.lit(p)).cast("int")
+    return small.where(F.col(count_col) > F.lit(2 * share)).select(F.col(key), salts.alias("_salts"))
+
+
+def _salt_of_row(df: DataFrame, n_salts) -> F.Column:
+    """Deterministic spread of a hot key's rows: a hash of the whole row modulo its salt count."""
+    cols = [F.col(c) for c in df.columns if not c.startswith("_hot")]
+    return F.pmod(F.xxhash64(*cols), n_salts.cast("bigint")).cast("int")
+
+
+def lookup_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, how: str = "left",
+                null_safe: bool = True, may_broadcast: bool = False, count_col: str = COUNT_COL) -> DataFrame:
+    """Join `small` (one row per key) onto `big`, dropping the small side's key and helper columns."""
+    helpers = [c for c in (count_col,) if c in small.columns]
+    if may_broadcast:
+        right = F.broadcast(small)
+        cond = big[big_key].eqNullSafe(right[small_key]) if null_safe else big[big_key] == right[small_key]
+        return big.join(right, cond, how).drop(right[small_key], *[right[c] for c in helpers])
+    if count_col not in small.columns:
+        cond = big[big_key].eqNullSafe(small[small_key]) if null_safe else big[big_key] == small[small_key]
+        return big.join(small, cond, how).drop(small[small_key])
+
+    hot = hot_keys(small, small_key, count_col).withColumnRenamed(small_key, "_hot_key")
+    hot = hot.withColumnRenamed("_salts", "_hot_salts")
+    # the hot-key table is bounded (< P/2 rows), so broadcasting it is safe
+    tagged = big.join(F.broadcast(hot), big[big_key] == hot["_hot_key"], "left")
+    salt = F.when(F.col("_hot_salts").isNotNull(), _salt_of_row(tagged, F.col("_hot_salts"))).otherwise(F.lit(0))
+    left = tagged.withColumn("_salt", salt).drop("_hot_key", "_hot_salts")
+
+    rep = small.join(F.broadcast(hot), small[small_key] == hot["_hot_key"], "left")
+    rep = rep.withColumn("_salt", F.explode(F.when(F.col("_hot_salts").isNotNull(),
+                                                   F.sequence(F.lit(0), F.col("_hot_salts") - 1))
+                                            .otherwise(F.array(F.lit(0)))))
+    right = rep.drop("_hot_key", "_hot_salts", *helpers)
+    key_eq = left[big_key].eqNullSafe(right[small_key]) if null_safe else left[big_key] == right[small_key]
+    joined = left.join(right, key_eq & (left["_salt"] == right["_salt"]), how)
+    return joined.drop(right[small_key], right["_salt"], left["_salt"])
+
+
+def salt_count(total_rows: int, key_rows: int, partitions: int) -> int:
+    """Salts a key of `key_rows` gets (1 when it is not hot): mirrors `hot_keys`."""
+    share = total_rows / partitions
+    if key_rows <= 2 * share:
+        return 1
+    return min(math.ceil(key_rows / share), partitions)

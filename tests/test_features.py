@@ -108,3 +108,26 @@ def test_guarded_string_cast_equals_try_cast(spark):
     got = df.select(to_double("s", T.StringType()).alias("a"), F.col("s").try_cast("double").alias("b")).collect()
     for (a, b), v in zip(got, vals):
         assert (a == b) or (a != a and b != b), v
+
+
+def test_salted_join_equals_broadcast_join(spark):
+    """Without broadcast, a hot entity (a third of all rows) is split over salts; results are unchanged."""
+    from obsguard.operators.joins import hot_keys, lookup_join
+
+    rows = [("hot", float(i), float(i % 13)) for i in range(600)] + \
+           [(f"e{i % 40}", float(i), float(i % 7)) for i in range(1200)] + [(None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "ado_id string, timestamp double, x double")
+    ref = sorted(features.scale_by_entity(df, ["x"]).collect(), key=repr)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(features.scale_by_entity(df, ["x"]).collect(), key=repr)
+        stats = df.groupBy("ado_id").agg(F.count(F.lit(1)).alias("_n"))
+        hot = {r["ado_id"]: r["_salts"] for r in hot_keys(stats, "ado_id").collect()}
+        idx = sorted(features.index_column(df.withColumn("w", F.col("ado_id")), "w").collect(), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == ref
+    assert set(hot) == {"hot"} and hot["hot"] >= 2
+    ref_idx = sorted(features.index_column(df.withColumn("w", F.col("ado_id")), "w").collect(), key=repr)
+    assert idx == ref_idx
