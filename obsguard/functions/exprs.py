@@ -99,6 +99,23 @@ def trunc_to_int(c) -> Column:
     return F.when(F.isnan(v), F.lit(0)).otherwise(clamped.cast("int"))
 
 
+def epoch_millis(c, data_type: T.DataType) -> Column:
+    """Epoch milliseconds of a time column, independent of the session time zone.
+
+    A TIMESTAMP is an instant (unix_millis). A TIMESTAMP_NTZ is a wall-clock reading taken as UTC:
+    its millisecond distance from the NTZ epoch, so no cast through the session zone is involved.
+    Whole milliseconds are kept (sub-millisecond digits are dropped, as unix_millis does).
+    """
+    x = col_(c)
+    if isinstance(data_type, T.TimestampNTZType):
+        return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), x)
+    if isinstance(data_type, T.TimestampType):
+        return F.unix_millis(x)
+    if isinstance(data_type, T.DateType):
+        return F.unix_date(x).cast("bigint") * F.lit(86400000)
+    return x.cast("bigint")
+
+
 def negate_int(c) -> Column:
     """Java int negation: MIN_INT stays itself instead of overflowing."""
     v = col_(c)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import epoch_millis
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -18,7 +20,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _keys(li: DataFrame) -> list[Column]:
     return [
         F.col("l_suppkey").cast("string").alias("ado_id"),
-        F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("timestamp"),
+        epoch_millis("l_shipdate", li.schema["l_shipdate"].dataType).alias("timestamp"),
         F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("obs_key"),
     ]
 
@@ -87,7 +89,7 @@ def events_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     return ev.select(
         F.col("user_id").cast("string").alias("ado_id"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+        epoch_millis("ts", ev.schema["ts"].dataType).alias("timestamp"),
         F.col("event_id").cast("string").alias("obs_key"),
         F.col("value").alias("ev_ua_value_value"),
         F.when(F.col("value") < 0, 2).otherwise(0).cast("int").alias("ev_ua_value_status"),

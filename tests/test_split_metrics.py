@@ -73,3 +73,17 @@ def test_regression_matches_evaluator(spark, sf_small):
     for m in ("mse", "rmse", "r2", "mae"):
         ref = RegressionEvaluator(metricName=m).evaluate(p)
         assert math.isclose(r[m], ref, rel_tol=1e-9), m
+
+
+def test_fixture_time_is_zone_independent(spark, sf_small):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        ny = fixtures.obs(spark, sf_small).agg(F.sum("timestamp"), F.min("timestamp")).first()
+        ev_ny = fixtures.events_obs(spark, sf_small).agg(F.sum("timestamp")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    utc = fixtures.obs(spark, sf_small).agg(F.sum("timestamp"), F.min("timestamp")).first()
+    ev_utc = fixtures.events_obs(spark, sf_small).agg(F.sum("timestamp")).first()
+    assert tuple(ny) == tuple(utc) and tuple(ev_ny) == tuple(ev_utc)
+    assert utc[1] == 789004800000  # 1995-01-02T00:00:00Z, the earliest ship date at sf0.001
