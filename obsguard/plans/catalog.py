@@ -207,6 +207,26 @@ def q_join_entity_stats(spark, sf_dir):
     return _round_doubles(entity.join_entity_stats(o, st))
 
 
+def q_entity_feature_ranges(spark, sf_dir):
+    o = _obs(spark, sf_dir)
+    return _round_doubles(entity.entity_feature_ranges(o, ["li_ua_quantity_value", "li_ua_tax_value"]))
+
+
+def q_load_and_transform_single(spark, sf_dir):
+    """Projected scan of one attribute then the plan in time mode (the single-column loader)."""
+    from .pipeline import load_and_transform
+
+    return load_and_transform(_obs(spark, sf_dir), "li_ua_quantity_value", 0.0, single_column=True).expanded(ROUND)
+
+
+def q_labeled_points_classification_loader(spark, sf_dir):
+    """Task loader: classification of an attribute's status with all attributes as features."""
+    from .pipeline import labeled_points
+
+    o = _obs(spark, sf_dir).drop("obs_key")
+    return labeled_points(o, "classification", "li_ua_price", as_of_ms=AS_OF_MS).expanded(ROUND)
+
+
 def _injector():
     return SuspectInjector(key_cols=("obs_key",))
 

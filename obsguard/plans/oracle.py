@@ -184,6 +184,18 @@ def labeled_points_regression_sql() -> str:
     return with_ctes(*ctes) + labeled_select(names)
 
 
+def load_and_transform_single_sql() -> str:
+    ctes, names = labeled_ctes(OBS_CTE, "obs", "TRUE", "li_ua_quantity_value", [], [], time_feature=True)
+    return with_ctes(*ctes) + labeled_select(names)
+
+
+def labeled_points_classification_loader_sql() -> str:
+    # features: every _value column but the dropped ones (discount: nulls, unit: constant), flag indexed last
+    ctes, names = labeled_ctes(OBS_CTE, "obs", f'"timestamp" <= {AS_OF_MS}', "li_ua_price_status",
+                               FLAG_NUMS, ["li_ua_flag_value"])
+    return with_ctes(*ctes) + labeled_select(names)
+
+
 def labeled_points_events_sql() -> str:
     ctes, names = labeled_ctes(EVENTS_CTE, "evobs", "TRUE", "ev_ua_value_status", ["ev_ua_value_value"],
                                ["ev_ua_type_value"])
@@ -486,6 +498,13 @@ def registered() -> dict:
         "classification_report": classification_report_sql(False),
         "classification_report_legacy": classification_report_sql(True),
         "regression_report": regression_report_sql(),
+        "entity_feature_ranges": with_ctes(OBS_CTE) + (
+            f"SELECT ado_id, count(*) AS n_rows, round(min(li_ua_quantity_value), {R}) AS min_li_ua_quantity_value, "
+            f"round(max(li_ua_quantity_value), {R}) AS max_li_ua_quantity_value, "
+            f"round(min(li_ua_tax_value), {R}) AS min_li_ua_tax_value, "
+            f"round(max(li_ua_tax_value), {R}) AS max_li_ua_tax_value FROM obs GROUP BY ado_id"),
+        "load_and_transform_single": load_and_transform_single_sql(),
+        "labeled_points_classification_loader": labeled_points_classification_loader_sql(),
         "linear_fit_coefficients": with_ctes(OBS_CTE) + (
             "SELECT round(regr_slope(li_ua_price_value, li_ua_quantity_value), 4) AS slope, "
             "round(regr_intercept(li_ua_price_value, li_ua_quantity_value), 2) AS intercept FROM obs"),

@@ -1,0 +1,9 @@
+"""Streaming: the original application reads batches only, so there is no streaming operator to build.
+
+What carries over unchanged: the row-level operators are stateless projections and filters, so they are
+valid on a streaming DataFrame as they are (`operators.clean.complete_rows`, `operators.clean.as_of`,
+`functions.exprs.binarize_status`, the injectors of `operators.inject` whose draws hash the row key,
+and a fitted `PipelineModel.transform`). Operators that need the whole table first (the column profile,
+per-entity scaling, the frequency index, model fitting) are batch fits; their fitted results can be
+applied to a stream. `tests/test_streaming.py` runs the stateless ones on a file stream.
+"""
