@@ -18,7 +18,7 @@ def points(spark):
     return spark.createDataFrame(rows, schema)
 
 
-def test_full_grid_sizes():
+def test_full_grid_sizes(spark):
     sizes = {f: grid_size("full", "classification", f) for f in train.CLASSIFIERS}
     assert sizes == {"decision_tree": 32, "random_forest": 128, "gbt": 48, "mlp": 18, "logistic": 192,
                      "naive_bayes": 3}
@@ -58,3 +58,15 @@ def test_evaluate_classification_one_row_per_model(spark, points):
     rep = jobs.evaluate_classification(points, (0.7, 0.3), 1, families=["logistic", "decision_tree"],
                                        config=jobs.JobConfig(train=train.TrainConfig(grid="smoke")))
     assert sorted(r["model"] for r in rep.collect()) == ["decision_tree", "logistic"]
+
+
+def test_models_load_from_registry_when_not_forced(spark, points, tmp_path):
+    cfg = jobs.JobConfig(train=train.TrainConfig(grid="smoke"), registry_root=str(tmp_path / "r"))
+    first = jobs.train_models(points, "classification", "x", ["logistic"], force_train=False, config=cfg)
+    assert [t.family for t in first.trained] == ["logistic"]
+    second = jobs.train_models(points, "classification", "x", ["logistic"], force_train=False, config=cfg)
+    assert second.trained == [] and "logistic" in second.models
+    forced = jobs.train_models(points, "classification", "x", ["logistic"], force_train=True, config=cfg)
+    assert [t.family for t in forced.trained] == ["logistic"]
+    reg = ModelRegistry(spark, cfg.registry_root)
+    assert reg.latest("classification", "x", "logistic")["version"] == 2
