@@ -96,14 +96,16 @@ def evaluate_classification(labeled: DataFrame, splits=(0.8, 0.2), seed: int = 4
                             families=None, key_cols=(C.ID_COL, C.TIME_COL)) -> DataFrame:
     """Hash split → train/load classifiers → score the test part → one report row per model."""
     parts = hash_split(labeled, list(splits), seed, key_cols=list(key_cols))
-    train, test = parts[0], parts[1]
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    # both parts are reused by every family: computed once, kept in memory and on local disk
+    train = parts[0].persist(StorageLevel.MEMORY_AND_DISK)
+    test = parts[1].persist(StorageLevel.MEMORY_AND_DISK)
     try:
         ms = train_models(train, "classification", attribute, families, force_train, config)
         report = classification_report(score_all(ms.models, test), legacy_swap=legacy_swap)
         report = _with_failures(report, ms.failures).cache()
         report.count()
     finally:
+        train.unpersist()
         test.unpersist()
     if config.report_dir:
         write_report(report, f"{config.report_dir.rstrip('/')}/classificationreport", config.report_format)
@@ -113,6 +115,7 @@ def evaluate_classification(labeled: DataFrame, splits=(0.8, 0.2), seed: int = 4
 def _evaluate_regression(labeled: DataFrame, split_ms: int, force_train: bool, attribute: str,
                          config: JobConfig, families, report_name: str) -> DataFrame:
     train, test = split_by_date(labeled, split_ms)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     test = test.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         ms = train_models(train, "regression", attribute, families, force_train, config)
@@ -120,6 +123,7 @@ def _evaluate_regression(labeled: DataFrame, split_ms: int, force_train: bool, a
         report = _with_failures(report, ms.failures).cache()
         report.count()
     finally:
+        train.unpersist()
         test.unpersist()
     if config.report_dir:
         write_report(report, f"{config.report_dir.rstrip('/')}/{report_name}", config.report_format)

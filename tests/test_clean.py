@@ -83,3 +83,45 @@ def test_filter_on_type_short_names_and_duplicates(spark):
                                                 "li_ua_quantity_status int")
     assert columns.filter_on_type(wide, "double").columns == ["li_ua_quantity_value", "li_ua_qux_status"]
     assert columns.drop_columns(df, ["nope", "abc"]).columns == ["ab_value", "ab_status", "abc_status"]
+
+
+def test_all_null_and_infinite_columns(spark):
+    rows = [("a", 1, None, float("inf"), 1.0), ("b", 2, None, float("inf"), 1.0), ("c", 3, None, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "ado_id string, timestamp long, z_value double, i_value double, c_value double")
+    p = clean.compute_profile(df, 0.5)
+    assert p.null_heavy == ["z_value"]          # all null: ratio 1 > 0.5
+    assert "z_value" not in p.zero_deviation     # no values: stddev null, kept by that rule
+    assert "i_value" not in p.zero_deviation     # infinite values: stddev NaN, kept
+    assert p.zero_deviation == ["c_value"]
+
+
+def test_one_row_frame(spark):
+    from obsguard.plans.pipeline import transform_rows
+
+    df = spark.createDataFrame([("a", 5, 2.0, 66)], "ado_id string, timestamp long, x_value double, x_status int")
+    p = clean.compute_profile(df, 0.0)
+    assert p.row_count == 1 and p.to_drop == [] and not p.multiple_entities
+    lp = transform_rows(df, "x_status", 0.0)
+    rows = lp.expanded().collect()
+    assert len(rows) == 1 and rows[0]["label"] == 0.0 and rows[0]["f_x_value"] == 2.0
+
+
+def test_pipeline_empty_after_filters(spark):
+    from obsguard.plans.pipeline import transform_rows
+
+    rows = [("a", 10, 1.0, 0, "u"), ("b", 20, 2.0, 2, "v"), ("a", 30, 3.0, 1, "u")]
+    df = spark.createDataFrame(rows, "ado_id string, timestamp long, x_value double, x_status int, s_value string")
+    lp = transform_rows(df, "x_status", 0.0, as_of_ms=5)
+    assert lp.frame.count() == 0
+    assert lp.frame.columns == ["ado_id", "timestamp", "label", "features"]
+
+
+def test_key_column_dropped_is_an_error(spark):
+    import pytest
+
+    from obsguard.plans.pipeline import transform_rows
+
+    df = spark.createDataFrame([(None, 1, 1.0, 0), ("a", 2, 2.0, 1)], "ado_id string, timestamp long, x_value double, "
+                                                                     "x_status int")
+    with pytest.raises(ValueError, match="Key column 'ado_id'"):
+        transform_rows(df, "x_status", 0.0)
