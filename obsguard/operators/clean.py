@@ -45,9 +45,6 @@ def _profile_exprs(df: DataFrame, schema: ObsSchema) -> tuple[list[Column], dict
                     F.count(F.when(~is_finite(x), 1)).alias(f"nf{i}"),
                 ]
                 layout["dev"][f.name] = i
-    if schema.id_col in df.columns:
-        idc = F.col(schema.id_col)
-        exprs += [F.min(idc).alias("id_min"), F.max(idc).alias("id_max")]
     return exprs, layout
 
 
@@ -105,8 +102,16 @@ def compute_profile(df: DataFrame, threshold: float = C.DEFAULT_NULL_THRESHOLD,
                     schema: ObsSchema = DEFAULT_SCHEMA) -> Profile:
     """Run the single profile job: null counts, zero-deviation values, entity multiplicity, row count."""
     exprs, layout = _profile_exprs(df, schema)
-    if schema.id_col in df.columns:
-        exprs.append(F.count(F.col(schema.id_col)).alias("id_nn"))
+    has_id = schema.id_col in df.columns
+    if has_id:
+        # Several entities <=> some id differs from one sample id (or nulls sit beside values).
+        # Counting against a literal keeps every buffer fixed-width, so the aggregate stays a
+        # code-generated hash aggregate; min/max of a string would force the interpreted sort path.
+        idc = F.col(schema.id_col)
+        probe = df.where(idc.isNotNull()).select(idc).limit(1).collect()
+        exprs.append(F.count(idc).alias("id_nn"))
+        if probe:
+            exprs.append(F.count(F.when(idc != F.lit(probe[0][0]), 1)).alias("id_other"))
     row = df.agg(*exprs).first()
     n = row["n"]
     prof = Profile(row_count=n, threshold=threshold)
@@ -122,10 +127,11 @@ def compute_profile(df: DataFrame, threshold: float = C.DEFAULT_NULL_THRESHOLD,
         xc, mn, mx, nf = row[f"xc{i}"], row[f"mn{i}"], row[f"mx{i}"], row[f"nf{i}"]
         if xc >= 2 and nf == 0 and mn == mx:
             prof.zero_deviation.append(name)
-    if schema.id_col in df.columns:
+    if has_id:
         # distinct() counts null as a value of its own
         id_nn = row["id_nn"]
-        prof.multiple_entities = (row["id_min"] != row["id_max"]) or (0 < id_nn < n)
+        other = row["id_other"] if "id_other" in row else 0
+        prof.multiple_entities = (other or 0) > 0 or (0 < id_nn < n)
     return prof
 
 
