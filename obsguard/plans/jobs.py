@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.metrics import classification_report, regression_report
-from ..operators.split import hash_split, split_by_date
+from ..operators.split import hash_split, random_split, split_by_date
 from ..sources.registry import ModelRegistry
 from ..sources.report import write_report
 from .train import CLASSIFIERS, REGRESSORS, TrainConfig, TrainedModel, label_stats, train_family
@@ -93,9 +93,18 @@ def _with_failures(report: DataFrame, failures: dict) -> DataFrame:
 
 def evaluate_classification(labeled: DataFrame, splits=(0.8, 0.2), seed: int = 42, force_train: bool = True,
                             attribute: str = "", config: JobConfig = JobConfig(), legacy_swap: bool = False,
-                            families=None, key_cols=(C.ID_COL, C.TIME_COL)) -> DataFrame:
-    """Hash split → train/load classifiers → score the test part → one report row per model."""
-    parts = hash_split(labeled, list(splits), seed, key_cols=list(key_cols))
+                            families=None, key_cols=(C.ID_COL, C.TIME_COL), split: str = "hash") -> DataFrame:
+    """Split → train/load classifiers → score the test part → one report row per model.
+
+    `split="hash"` draws each row's part from a hash of its key (reproducible whatever the
+    partitioning); `split="random"` is Spark's randomSplit, as the original used.
+    """
+    if split == "hash":
+        parts = hash_split(labeled, list(splits), seed, key_cols=list(key_cols))
+    elif split == "random":
+        parts = random_split(labeled, list(splits), seed)
+    else:
+        raise ValueError("split must be 'hash' or 'random'")
     # both parts are reused by every family: computed once, kept in memory and on local disk
     train = parts[0].persist(StorageLevel.MEMORY_AND_DISK)
     test = parts[1].persist(StorageLevel.MEMORY_AND_DISK)

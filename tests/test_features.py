@@ -131,3 +131,16 @@ def test_salted_join_equals_broadcast_join(spark):
     assert set(hot) == {"hot"} and hot["hot"] >= 2
     ref_idx = sorted(features.index_column(df.withColumn("w", F.col("ado_id")), "w").collect(), key=repr)
     assert idx == ref_idx
+
+
+def test_scaled_features_in_unit_interval(spark, sf_small):
+    from obsguard.sources import fixtures
+
+    o = fixtures.obs(spark, sf_small).drop("obs_key")
+    lp = transform_rows(o, "li_ua_quantity_status", 0.0, "all")
+    wide = lp.expanded()
+    feats = [c for c in wide.columns if c.startswith("f_")]
+    r = wide.agg(*[F.min(c).alias("mn_" + c) for c in feats], *[F.max(c).alias("mx_" + c) for c in feats]).first()
+    for c in feats:
+        assert 0.0 <= r["mn_" + c] <= r["mx_" + c] <= 1.0, c
+    assert lp.scaled

@@ -70,3 +70,9 @@ def test_models_load_from_registry_when_not_forced(spark, points, tmp_path):
     assert [t.family for t in forced.trained] == ["logistic"]
     reg = ModelRegistry(spark, cfg.registry_root)
     assert reg.latest("classification", "x", "logistic")["version"] == 2
+
+
+def test_evaluate_with_random_split(spark, points):
+    rep = jobs.evaluate_classification(points, (0.7, 0.3), 1, families=["naive_bayes"], split="random",
+                                       config=jobs.JobConfig(train=train.TrainConfig(grid="smoke")))
+    assert [r["model"] for r in rep.collect()] == ["naive_bayes"]
