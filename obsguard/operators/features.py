@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.exprs import binarize_status, to_double
 from ..schema import DEFAULT_SCHEMA, ObsSchema, is_string
 from ..session import reliable_checkpoint
-from .joins import COUNT_COL, broadcast_limit, lookup_join, materialise_small
+from .joins import COUNT_COL, broadcast_limit, lookup_join, materialise_small, measured_bytes
 
 TWO_POW_33 = 1 << 33
 
@@ -26,14 +26,31 @@ def binarize_labels(df: DataFrame, label: str = C.LABEL_COL) -> DataFrame:
     return df.withColumn(label, binarize_status(label))
 
 
+# Ranking this many distinct values in one task is cheap; above it the ranks are computed distributed.
+RANK_IN_ONE_TASK = 1_000_000
+
+
 def frequency_index_table(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
     """(value, index) with index 0 for the most frequent value, ties in ascending value order.
 
-    Exact and distributed for any number of distinct values: counts come from a partial aggregate,
-    ranks from a range-partitioned sort plus per-partition offsets (one row per partition reaches
-    the driver). Nulls get no index. Returns the checkpointed table and whether it may be broadcast.
+    Exact for any number of distinct values. Counts come from a partial aggregate and are checkpointed
+    and measured. Up to RANK_IN_ONE_TASK values (a proven bound) are ranked by one window; beyond it,
+    by a range-partitioned sort plus per-partition offsets (one row per partition reaches the driver).
+    Nulls get no index. Returns the table and whether it may be broadcast.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    counts = reliable_checkpoint(
+        df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n")))
+    n_values, nbytes = measured_bytes(counts)
+    limit = broadcast_limit(df.sparkSession)
+    if n_values <= RANK_IN_ONE_TASK:
+        order = Window.orderBy(F.col("_n").desc(), F.col(column).asc())
+        table = counts.select(column, (F.row_number().over(order) - 1).cast("double").alias("_idx"),
+                              F.col("_n").alias(COUNT_COL))
+        return table, (limit > 0 and nbytes <= limit)
+    return _distributed_rank(counts, column, limit)
+
+
+def _distributed_rank(counts: DataFrame, column: str, limit: int) -> tuple[DataFrame, bool]:
     ordered = counts.orderBy(F.col("_n").desc(), F.col(column).asc())
     tagged = reliable_checkpoint(ordered.select(
         column, "_n", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
@@ -49,7 +66,6 @@ def frequency_index_table(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
     offset = F.create_map(*offsets)[F.col("_pid")] if offsets else F.lit(0)
     local = F.col("_mid") - F.col("_pid").cast("bigint") * F.lit(TWO_POW_33)
     table = tagged.select(column, (offset + local).cast("double").alias("_idx"), F.col("_n").alias(COUNT_COL))
-    limit = broadcast_limit(df.sparkSession)
     return table, (limit > 0 and nbytes <= limit)
 
 

@@ -38,7 +38,9 @@ def test_frequency_index_matches_string_indexer(spark):
     assert features.index_column(df, "w").columns == ["k", "w"]
 
 
-def test_frequency_index_many_values_across_partitions(spark):
+@pytest.mark.parametrize("one_task_bound", [features.RANK_IN_ONE_TASK, 10])
+def test_frequency_index_many_values_across_partitions(spark, monkeypatch, one_task_bound):
+    monkeypatch.setattr(features, "RANK_IN_ONE_TASK", one_task_bound)  # 10 forces the distributed ranks
     df = spark.range(0, 3000, numPartitions=5).select(
         F.col("id"), (F.col("id") % 997).cast("string").alias("w"))
     table, _ = features.frequency_index_table(df, "w")
