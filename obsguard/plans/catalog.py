@@ -360,16 +360,20 @@ def _job_config():
 
 
 def q_evaluate_classification(spark, sf_dir):
-    return _round_doubles(jobs.evaluate_classification(_cls_points(spark, sf_dir), (0.8, 0.2), SEED,
-                                                       config=_job_config()))
+    """Classify the price status from the raw table (attribute form of the evaluation job)."""
+    o = _obs(spark, sf_dir).drop("obs_key")
+    return _round_doubles(jobs.evaluate_classification_for(o, "li_ua_price", (0.8, 0.2), SEED,
+                                                           config=_job_config(), as_of_ms=AS_OF_MS))
 
 
 def q_evaluate_regression(spark, sf_dir):
-    return _round_doubles(jobs.evaluate_regression(_reg_points(spark, sf_dir), SPLIT_MS, config=_job_config()), 4)
+    o = _obs(spark, sf_dir).drop("obs_key")
+    return _round_doubles(jobs.evaluate_regression_for(o, "li_ua_price", SPLIT_MS, config=_job_config()), 4)
 
 
 def q_evaluate_time_series(spark, sf_dir):
-    return _round_doubles(jobs.evaluate_time_series(_ts_points(spark, sf_dir), SPLIT_MS, config=_job_config()), 4)
+    o = _obs(spark, sf_dir).drop("obs_key")
+    return _round_doubles(jobs.evaluate_time_series_for(o, "li_ua_price", SPLIT_MS, config=_job_config()), 4)
 
 
 for _task, _fams in (("classification", training.CLASSIFIERS), ("regression", training.REGRESSORS)):

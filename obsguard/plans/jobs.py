@@ -150,3 +150,36 @@ def evaluate_time_series(labeled: DataFrame, split_ms: int, force_train: bool =
     """The regression evaluation on time-only features, reported separately."""
     return _evaluate_regression(labeled, split_ms, force_train, attribute, config, families,
                                 "timeseriesregressionreport")
+
+
+# -- attribute forms: load and transform the raw observation table first ---------------------------
+
+def _points(obs: DataFrame, task: str, attribute: str, as_of_ms, config: JobConfig) -> DataFrame:
+    from .pipeline import labeled_points
+
+    return labeled_points(obs, task, attribute, as_of_ms=as_of_ms, null_threshold=config.null_threshold,
+                          sort=False).frame
+
+
+def evaluate_classification_for(obs: DataFrame, attribute: str, splits=(0.8, 0.2), seed: int = 42,
+                                force_train: bool = True, config: JobConfig = JobConfig(),
+                                as_of_ms: int | None = None, **kw) -> DataFrame:
+    """Label the attribute's status, featurise the raw table, then evaluate the classifiers."""
+    lp = _points(obs, "classification", attribute, as_of_ms, config)
+    return evaluate_classification(lp, splits, seed, force_train, attribute, config, **kw)
+
+
+def evaluate_regression_for(obs: DataFrame, attribute: str, split_ms: int, force_train: bool = True,
+                            config: JobConfig = JobConfig(), as_of_ms: int | None = None,
+                            families=None) -> DataFrame:
+    """Regress the attribute's value on the other attributes, split by date."""
+    lp = _points(obs, "regression", attribute, as_of_ms, config)
+    return evaluate_regression(lp, split_ms, force_train, attribute, config, families)
+
+
+def evaluate_time_series_for(obs: DataFrame, attribute: str, split_ms: int, force_train: bool = True,
+                             config: JobConfig = JobConfig(), as_of_ms: int | None = None,
+                             families=None) -> DataFrame:
+    """Regress the attribute's value on time alone, split by date."""
+    lp = _points(obs, "time_series", attribute, as_of_ms, config)
+    return evaluate_time_series(lp, split_ms, force_train, attribute, config, families)
