@@ -123,16 +123,21 @@ def _valid_cells(task: str, family: str, cells: list, est, stats: dict) -> list:
     return out
 
 
-def spread_for_iterations(df: DataFrame) -> DataFrame:
-    """Iterative learners pass over their input many times: give it at least one partition per core.
+def persist_for_iterations(df: DataFrame) -> DataFrame:
+    """Persist the training input; iterative learners pass over it many times.
 
-    Only an under-partitioned input (a small file read as one split) is redistributed, once, before
-    it is persisted; a large input already has more partitions than cores and is left as it is.
+    The partition count is read from the persisted frame, whose cached plan is shared with the cache
+    fill, so no stage runs twice. Only an under-partitioned input (a small file read as one split) is
+    redistributed to one partition per core; a large input already has more partitions than cores.
     """
+    data = df.persist(StorageLevel.MEMORY_AND_DISK)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    if data.rdd.getNumPartitions() >= cores:
+        return data
+    spread = data.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    spread.count()
+    data.unpersist()
+    return spread
 
 
 def train_family(df: DataFrame, task: str, family: str, config: TrainConfig = TrainConfig(),
@@ -145,7 +150,7 @@ def train_family(df: DataFrame, task: str, family: str, config: TrainConfig = Tr
 
     if family == "naive_bayes" and label_stats and not label_stats.get("features_nonnegative", True):
         raise ValueError("naive Bayes needs non-negative features")
-    data = spread_for_iterations(df.select(C.LABEL_COL, C.FEATURES_COL)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = persist_for_iterations(df.select(C.LABEL_COL, C.FEATURES_COL))
     try:
         stages = []
         features_col = C.FEATURES_COL
