@@ -16,7 +16,7 @@ from .. import constants as C
 from ..operators.clean import as_of, complete_rows, compute_profile, Profile
 from ..operators.features import assemble, index_strings, scale_by_entity, sort_by_time, to_double_all
 from ..functions.exprs import binarize_status
-from ..schema import DEFAULT_SCHEMA, ObsSchema
+from ..schema import DEFAULT_SCHEMA, ObsSchema, is_string
 from ..sources.tables import load_rows
 
 log = logging.getLogger(__name__)
@@ -68,10 +68,14 @@ def _prepare(df: DataFrame, label: str, null_threshold: float, features: str, as
             raise ValueError(f"Key column '{key}' was dropped for nulls (threshold {null_threshold})")
     df = df.drop(*profile.to_drop)
 
+    label_was_string = is_string(df.schema[label].dataType)
     df = complete_rows(df)
     df = as_of(df, as_of_ms, schema)
     df = index_strings(df, schema)
     df = to_double_all(df, keep=(schema.id_col,))
+    if label_was_string and not label.endswith(schema.value_suffix):
+        # a string status that does not parse has no label: such rows cannot be trained on
+        df = df.where(F.col(label).isNotNull())
 
     if features == "time":
         names = [schema.time_col]

@@ -146,3 +146,11 @@ def test_scaled_features_in_unit_interval(spark, sf_small):
     for c in feats:
         assert 0.0 <= r["mn_" + c] <= r["mx_" + c] <= 1.0, c
     assert lp.scaled
+
+
+def test_unparsable_string_status_rows_are_dropped(spark):
+    rows = [("a", 1, 1.0, "2"), ("a", 2, 2.0, "oops"), ("b", 3, 3.0, "0"), ("b", 4, 4.0, "66")]
+    df = spark.createDataFrame(rows, "ado_id string, timestamp long, x_value double, x_status string")
+    out = transform_rows(df, "x_status", 0.0).expanded().orderBy("timestamp").collect()
+    assert [r["timestamp"] for r in out] == [1.0, 3.0, 4.0]
+    assert [r["label"] for r in out] == [0.0, 1.0, 0.0]
