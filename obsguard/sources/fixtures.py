@@ -78,10 +78,13 @@ def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("li_ua_price_value").alias("y"),
         (F.lit(1500.0) * F.col("li_ua_quantity_value")).alias("y_hat"),
     )
-    rule_a = base.select(F.lit("rule_a").alias("model"), "label",
-                         F.when(F.col("q") > 35, 0.0).otherwise(1.0).alias("prediction"), "y", "y_hat")
-    rule_b = base.select(F.lit("rule_b").alias("model"), "label", F.lit(1.0).alias("prediction"), "y", "y_hat")
-    return rule_a.unionByName(rule_b)
+    # one scan: each row carries both rules' predictions, stacked by explode (not a union of two scans)
+    rules = F.array(
+        F.struct(F.lit("rule_a").alias("model"), F.when(F.col("q") > 35, 0.0).otherwise(1.0).alias("prediction")),
+        F.struct(F.lit("rule_b").alias("model"), F.lit(1.0).alias("prediction")),
+    )
+    return base.select(F.explode(rules).alias("r"), "label", "y", "y_hat").select(
+        "r.model", "label", "r.prediction", "y", "y_hat")
 
 
 def events_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
