@@ -148,7 +148,21 @@ def assemble(df: DataFrame, features, output: str = C.FEATURES_COL) -> DataFrame
     return VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid="error").transform(df)
 
 
+def _row_hash(df: DataFrame):
+    """Deterministic hash of a whole row (vectors through their array form)."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import VectorUDT
+
+    cols = [vector_to_array(F.col(f.name)) if isinstance(f.dataType, VectorUDT) else F.col(f.name)
+            for f in df.schema.fields]
+    return F.xxhash64(*cols)
+
+
 def sort_by_time(df: DataFrame, schema: ObsSchema = DEFAULT_SCHEMA) -> DataFrame:
-    """Global ascending time order; the entity breaks ties so equal times spread over range partitions."""
-    keys = [schema.time_col] + ([schema.id_col] if schema.id_col in df.columns else [])
-    return df.orderBy(*keys)
+    """Global ascending time order.
+
+    The entity and then a hash of the row break ties, so that rows sharing one (time, entity) key -- a
+    hot entity's burst -- still spread over the range partitions instead of landing in one task.
+    """
+    keys = [F.col(schema.time_col)] + ([F.col(schema.id_col)] if schema.id_col in df.columns else [])
+    return df.orderBy(*keys, _row_hash(df))

@@ -154,3 +154,18 @@ def test_unparsable_string_status_rows_are_dropped(spark):
     out = transform_rows(df, "x_status", 0.0).expanded().orderBy("timestamp").collect()
     assert [r["timestamp"] for r in out] == [1.0, 3.0, 4.0]
     assert [r["label"] for r in out] == [0.0, 1.0, 0.0]
+
+
+def test_sort_by_time_spreads_a_hot_key(spark):
+    rows = [("hot", 5, float(i)) for i in range(400)] + [("b", t, 1.0) for t in range(100)]
+    df = spark.createDataFrame(rows, "ado_id string, timestamp long, x double").repartition(4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sorted_df = features.sort_by_time(df)
+        parts = sorted_df.select(F.spark_partition_id().alias("p"), "timestamp", "ado_id").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    hot_parts = {r["p"] for r in parts if r["ado_id"] == "hot"}
+    assert len(hot_parts) > 1
+    times = [r["timestamp"] for r in sorted_df.collect()]
+    assert times == sorted(times)
