@@ -158,11 +158,14 @@ def _row_hash(df: DataFrame):
     return F.xxhash64(*cols)
 
 
-def sort_by_time(df: DataFrame, schema: ObsSchema = DEFAULT_SCHEMA) -> DataFrame:
+def sort_by_time(df: DataFrame, schema: ObsSchema = DEFAULT_SCHEMA, tie_col: str | None = None) -> DataFrame:
     """Global ascending time order.
 
     The entity and then a hash of the row break ties, so that rows sharing one (time, entity) key -- a
     hot entity's burst -- still spread over the range partitions instead of landing in one task.
+    `tie_col` names a precomputed row hash (dropped after the sort).
     """
     keys = [F.col(schema.time_col)] + ([F.col(schema.id_col)] if schema.id_col in df.columns else [])
+    if tie_col is not None:
+        return df.orderBy(*keys, F.col(tie_col)).drop(tie_col)
     return df.orderBy(*keys, _row_hash(df))

@@ -106,9 +106,13 @@ def transform_rows(df: DataFrame, label: str, null_threshold: float = C.DEFAULT_
     scale per entity when there are several, binarise a status label, sort by time."""
     base, feat_cols, names, profile, do_scale = _prepare(df, label, null_threshold, features, as_of_ms,
                                                          schema, scale)
-    lp = assemble(base, feat_cols).select(schema.id_col, schema.time_col, C.LABEL_COL, C.FEATURES_COL)
     if sort:
-        lp = sort_by_time(lp, schema)
+        # tie-break hash from the scalar columns, before they are packed into the vector
+        base = base.withColumn("__tie", F.xxhash64(*[F.col(c) for c in base.columns]))
+    cols = [schema.id_col, schema.time_col, C.LABEL_COL, C.FEATURES_COL] + (["__tie"] if sort else [])
+    lp = assemble(base, feat_cols).select(*cols)
+    if sort:
+        lp = sort_by_time(lp, schema, tie_col="__tie")
     return LabeledPoints(lp, names, profile, do_scale, label)
 
 
