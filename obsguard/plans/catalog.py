@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..sources import fixtures
-from .pipeline import transform_rows
+from .labelled import transform_rows
 
 # Fixed parameters of the registered queries (shared with oracle.py).
 AS_OF_MS = 946598400000          # 1999-12-31T00:00:00Z
@@ -214,14 +214,14 @@ def q_entity_feature_ranges(spark, sf_dir):
 
 def q_load_and_transform_single(spark, sf_dir):
     """Projected scan of one attribute then the plan in time mode (the single-column loader)."""
-    from .pipeline import load_and_transform
+    from .labelled import load_and_transform
 
     return load_and_transform(_obs(spark, sf_dir), "li_ua_quantity_value", 0.0, single_column=True).expanded(ROUND)
 
 
 def q_labeled_points_classification_loader(spark, sf_dir):
     """Task loader: classification of an attribute's status with all attributes as features."""
-    from .pipeline import labeled_points
+    from .labelled import labeled_points
 
     o = _obs(spark, sf_dir).drop("obs_key")
     return labeled_points(o, "classification", "li_ua_price", as_of_ms=AS_OF_MS).expanded(ROUND)

@@ -155,7 +155,7 @@ def evaluate_time_series(labeled: DataFrame, split_ms: int, force_train: bool =
 # -- attribute forms: load and transform the raw observation table first ---------------------------
 
 def _points(obs: DataFrame, task: str, attribute: str, as_of_ms, config: JobConfig) -> DataFrame:
-    from .pipeline import labeled_points
+    from .labelled import labeled_points
 
     return labeled_points(obs, task, attribute, as_of_ms=as_of_ms, null_threshold=config.null_threshold,
                           sort=False).frame

@@ -96,7 +96,7 @@ def test_all_null_and_infinite_columns(spark):
 
 
 def test_one_row_frame(spark):
-    from obsguard.plans.pipeline import transform_rows
+    from obsguard.plans.labelled import transform_rows
 
     df = spark.createDataFrame([("a", 5, 2.0, 66)], "ado_id string, timestamp long, x_value double, x_status int")
     p = clean.compute_profile(df, 0.0)
@@ -106,8 +106,8 @@ def test_one_row_frame(spark):
     assert len(rows) == 1 and rows[0]["label"] == 0.0 and rows[0]["f_x_value"] == 2.0
 
 
-def test_pipeline_empty_after_filters(spark):
-    from obsguard.plans.pipeline import transform_rows
+def test_labelled_plan_empty_after_filters(spark):
+    from obsguard.plans.labelled import transform_rows
 
     rows = [("a", 10, 1.0, 0, "u"), ("b", 20, 2.0, 2, "v"), ("a", 30, 3.0, 1, "u")]
     df = spark.createDataFrame(rows, "ado_id string, timestamp long, x_value double, x_status int, s_value string")
@@ -119,7 +119,7 @@ def test_pipeline_empty_after_filters(spark):
 def test_key_column_dropped_is_an_error(spark):
     import pytest
 
-    from obsguard.plans.pipeline import transform_rows
+    from obsguard.plans.labelled import transform_rows
 
     df = spark.createDataFrame([(None, 1, 1.0, 0), ("a", 2, 2.0, 1)], "ado_id string, timestamp long, x_value double, "
                                                                      "x_status int")

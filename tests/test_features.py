@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from obsguard.functions.exprs import binarize_status, trunc_to_int
 from obsguard.operators import features
-from obsguard.plans.pipeline import transform_rows
+from obsguard.plans.labelled import transform_rows
 
 
 def java_binarize(v):
@@ -70,7 +70,7 @@ def test_entity_scaling_matches_mllib_chain(spark):
         assert mine == ref, ent
 
 
-def test_pipeline_single_entity_not_scaled(spark):
+def test_labelled_plan_single_entity_not_scaled(spark):
     rows = [("a", i, float(i), i % 3, "x" if i % 2 else "y") for i in range(1, 9)]
     df = spark.createDataFrame(rows, "ado_id string, timestamp long, q_value double, q_status int, f_value string")
     lp = transform_rows(df, "q_status", 0.0)
@@ -81,7 +81,7 @@ def test_pipeline_single_entity_not_scaled(spark):
     assert [r["label"] for r in out] == [java_binarize(float(i % 3)) for i in range(1, 9)]
 
 
-def test_pipeline_label_guards(spark):
+def test_labelled_plan_label_guards(spark):
     df = spark.createDataFrame([("a", 1, 1.0, None), ("b", 2, 2.0, 3.0)],
                                "ado_id string, timestamp long, x_value double, y_value double")
     with pytest.raises(ValueError, match="not a column"):
