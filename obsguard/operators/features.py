@@ -69,23 +69,25 @@ def _distributed_rank(counts: DataFrame, column: str, limit: int) -> tuple[DataF
     return table, (limit > 0 and nbytes <= limit)
 
 
-def index_column(df: DataFrame, column: str) -> DataFrame:
+def index_column(df: DataFrame, column: str, force_shuffle: bool = False) -> DataFrame:
     """Replace a string column by its frequency index (double); rows with null are skipped.
 
     The indexed column moves to the end of the schema, as the original StringIndexer chain did.
+    `force_shuffle` takes the salted shuffle join even when the index table would fit a broadcast.
     """
     table, small = frequency_index_table(df, column)
     table = table.withColumnRenamed(column, "_key")
-    joined = lookup_join(df, table, column, "_key", how="inner", null_safe=False, may_broadcast=small)
+    joined = lookup_join(df, table, column, "_key", how="inner", null_safe=False,
+                         may_broadcast=small and not force_shuffle)
     rest = [c for c in df.columns if c != column]
     return joined.select(*rest, F.col("_idx").alias(column))
 
 
-def index_strings(df: DataFrame, schema: ObsSchema = DEFAULT_SCHEMA) -> DataFrame:
+def index_strings(df: DataFrame, schema: ObsSchema = DEFAULT_SCHEMA, force_shuffle: bool = False) -> DataFrame:
     """Frequency-index every string `_value` column (schema order)."""
     for f in list(df.schema.fields):
         if f.name.endswith(schema.value_suffix) and is_string(f.dataType):
-            df = index_column(df, f.name)
+            df = index_column(df, f.name, force_shuffle)
     return df
 
 
@@ -94,7 +96,8 @@ def _scaled(x, mn, mx):
     return F.when(mx == mn, F.lit(0.5)).otherwise((x - mn) / (mx - mn))
 
 
-def scale_by_entity(df: DataFrame, features, key: str = C.ID_COL, suffix: str = "") -> DataFrame:
+def scale_by_entity(df: DataFrame, features, key: str = C.ID_COL, suffix: str = "",
+                    force_shuffle: bool = False) -> DataFrame:
     """Per-entity std-scaling then min-max scaling of `features`, without a loop over entities.
 
     One groupBy (partial aggregation absorbs a hot entity) gives min/max per entity; the per-entity
@@ -107,7 +110,7 @@ def scale_by_entity(df: DataFrame, features, key: str = C.ID_COL, suffix: str =
     aggs.append(F.count(F.lit(1)).alias(COUNT_COL))  # rows per entity: lets the join salt hot entities
     stats = df.groupBy(F.col(key).alias("_k")).agg(*aggs)
     stats, small = materialise_small(stats)
-    joined = lookup_join(df, stats, key, "_k", how="left", null_safe=True, may_broadcast=small)
+    joined = lookup_join(df, stats, key, "_k", how="left", null_safe=True, may_broadcast=small and not force_shuffle)
     out = []
     for c in df.columns:
         if c in features:

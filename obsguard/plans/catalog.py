@@ -153,6 +153,19 @@ def q_minmax_by_entity(spark, sf_dir):
     return _round_doubles(features.scale_by_entity(o, SCALE_FEATURES))
 
 
+def q_index_strings_shuffled(spark, sf_dir):
+    """The index joined by the salted shuffle join: each return flag holds about a third of all rows."""
+    o = _obs(spark, sf_dir).select("obs_key", "li_ua_flag_value", "li_ua_tax_value")
+    return features.index_strings(o, force_shuffle=True)
+
+
+def q_minmax_by_entity_shuffled(spark, sf_dir):
+    """Per-entity scaling through the salted shuffle join instead of a broadcast."""
+    o = _obs(spark, sf_dir).select("obs_key", C.ID_COL, *SCALE_FEATURES)
+    o = features.to_double_all(o, keep=("obs_key", C.ID_COL))
+    return _round_doubles(features.scale_by_entity(o, SCALE_FEATURES, force_shuffle=True))
+
+
 def q_minmax_global(spark, sf_dir):
     o = _obs(spark, sf_dir).select("obs_key", C.ID_COL, *SCALE_FEATURES)
     o = features.to_double_all(o, keep=("obs_key", C.ID_COL))

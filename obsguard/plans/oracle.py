@@ -461,11 +461,16 @@ def registered() -> dict:
             "SELECT obs_key, li_ua_tax_value, CAST(i AS DOUBLE) AS li_ua_flag_value FROM obs JOIN "
             "(SELECT li_ua_flag_value AS v, row_number() OVER (ORDER BY count(*) DESC, li_ua_flag_value) - 1 AS i "
             "FROM obs WHERE li_ua_flag_value IS NOT NULL GROUP BY li_ua_flag_value) x ON obs.li_ua_flag_value = x.v"),
+        "index_strings_shuffled": with_ctes(OBS_CTE) + (
+            "SELECT obs_key, li_ua_tax_value, CAST(i AS DOUBLE) AS li_ua_flag_value FROM obs JOIN "
+            "(SELECT li_ua_flag_value AS v, row_number() OVER (ORDER BY count(*) DESC, li_ua_flag_value) - 1 AS i "
+            "FROM obs WHERE li_ua_flag_value IS NOT NULL GROUP BY li_ua_flag_value) x ON obs.li_ua_flag_value = x.v"),
         "index_strings_events": with_ctes(EVENTS_CTE) + (
             "SELECT obs_key, CAST(i AS DOUBLE) AS ev_ua_type_value FROM evobs JOIN "
             "(SELECT ev_ua_type_value AS v, row_number() OVER (ORDER BY count(*) DESC, ev_ua_type_value) - 1 AS i "
             "FROM evobs WHERE ev_ua_type_value IS NOT NULL GROUP BY ev_ua_type_value) x ON evobs.ev_ua_type_value = x.v"),
         "minmax_by_entity": _scale_sql(False),
+        "minmax_by_entity_shuffled": _scale_sql(False),
         "minmax_global": _scale_sql(True),
         "labeled_points_all": labeled_points_all_sql(),
         "labeled_points_time": labeled_points_time_sql(),
