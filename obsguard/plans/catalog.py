@@ -264,6 +264,12 @@ def q_inject_spread(spark, sf_dir):
     return _round_doubles(_injector().ask_bid_mid(fixtures.market(spark, sf_dir), SEED))
 
 
+def q_inject_negate_events(spark, sf_dir):
+    """The negation injector on the second source (events, one entity per user)."""
+    ev = fixtures.events_obs(spark, sf_dir)
+    return _round_doubles(_injector().negatives(ev, ["ev_ua_value", "ev_ua_type"], SEED))
+
+
 def q_inject_stack(spark, sf_dir):
     """Stack two injected variants of the same rows (bag union by name)."""
     inj = _injector().with_ratio(0.1)

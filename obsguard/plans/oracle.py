@@ -342,6 +342,19 @@ def inject_spread_sql() -> str:
                        extra_ctes=(pre,), from_clause="m2", guard="_lo IS NOT NULL", status_guard="_hi <> _lo")
 
 
+EVENT_COLS = ["ado_id", "timestamp", "obs_key", "ev_ua_value_value", "ev_ua_value_status", "ev_ua_type_value"]
+EVENT_TYPES = {"ado_id": "s", "timestamp": "l", "obs_key": "s", "ev_ua_value_value": "d", "ev_ua_value_status": "i",
+               "ev_ua_type_value": "s"}
+
+
+def inject_negate_events_sql() -> str:
+    def rule(c, t):
+        return f"-{c}" if t == "d" else None
+
+    return _inject_sql(EVENTS_CTE, "evobs", EVENT_COLS, EVENT_TYPES, ["ev_ua_value", "ev_ua_type"], "negatives",
+                       rule)
+
+
 def inject_stack_sql() -> str:
     cols = ["obs_key", "ado_id", "timestamp", "li_ua_quantity_value", "li_ua_quantity_status"]
     types = {c: OBS_TYPES[c] for c in cols}
@@ -498,6 +511,7 @@ def registered() -> dict:
         "inject_hilo": inject_hilo_sql(),
         "inject_spread": inject_spread_sql(),
         "inject_stack": inject_stack_sql(),
+        "inject_negate_events": inject_negate_events_sql(),
         "confusion_matrix": with_ctes(OBS_CTE, PRED_CTE) + (
             "SELECT model, label, prediction, count(*) AS n FROM pred GROUP BY model, label, prediction"),
         "classification_report": classification_report_sql(False),
