@@ -322,7 +322,7 @@ def _ts_points(spark, sf_dir):
 def _train_query(task, family):
     def run(spark, sf_dir):
         lp = _cls_points(spark, sf_dir) if task == "classification" else _reg_points(spark, sf_dir)
-        tm = training.train_family(lp, task, family, training.TrainConfig(grid="smoke"), training.label_stats(lp))
+        tm = training.train_family(lp, task, family, training.TrainConfig(grid="smoke"))
         return training.params_frame(spark, [tm])
 
     run.__name__ = f"train_{task}_{family}"

@@ -141,16 +141,21 @@ def persist_for_iterations(df: DataFrame) -> DataFrame:
 
 
 def train_family(df: DataFrame, task: str, family: str, config: TrainConfig = TrainConfig(),
-                 label_stats: dict | None = None) -> TrainedModel:
+                 stats: dict | None = None) -> TrainedModel:
     """Search the family's grid with a train/validation split and return the best model.
 
     `df` holds (label, features); it is persisted for the grid search and released afterwards.
+    `stats` (see `label_stats`) decides which grid cells are valid; without it they are computed from
+    the persisted input, so the input plan is not evaluated an extra time.
     """
     from pyspark.ml.tuning import TrainValidationSplit
 
-    if family == "naive_bayes" and label_stats and not label_stats.get("features_nonnegative", True):
-        raise ValueError("naive Bayes needs non-negative features")
     data = persist_for_iterations(df.select(C.LABEL_COL, C.FEATURES_COL))
+    if stats is None:
+        stats = label_stats(data)
+    if family == "naive_bayes" and not stats.get("features_nonnegative", True):
+        data.unpersist()
+        raise ValueError("naive Bayes needs non-negative features")
     try:
         stages = []
         features_col = C.FEATURES_COL
@@ -165,7 +170,7 @@ def train_family(df: DataFrame, task: str, family: str, config: TrainConfig = Tr
         est = make_estimator(task, family, features_col)
         n_features = feature_count(data) if family == "mlp" else 0
         cells = grid_for(config.grid, task, family)(est, n_features)
-        cells = _valid_cells(task, family, cells, est, label_stats or {})
+        cells = _valid_cells(task, family, cells, est, stats)
         if task == "classification":
             metric = config.classification_metric
             evaluator = MulticlassClassificationEvaluator(metricName=metric, labelCol=C.LABEL_COL)
