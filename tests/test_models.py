@@ -76,3 +76,14 @@ def test_evaluate_with_random_split(spark, points):
     rep = jobs.evaluate_classification(points, (0.7, 0.3), 1, families=["naive_bayes"], split="random",
                                        config=jobs.JobConfig(train=train.TrainConfig(grid="smoke")))
     assert [r["model"] for r in rep.collect()] == ["naive_bayes"]
+
+
+def test_write_report_writes_and_never_raises(spark, tmp_path):
+    import os
+
+    from obsguard.sources.report import write_report
+
+    rep = spark.createDataFrame([("m", 0.5)], "model string, accuracy double")
+    assert write_report(rep, str(tmp_path / "rep"), "json")
+    assert any(f.endswith(".json") for f in os.listdir(tmp_path / "rep"))
+    assert write_report(rep, str(tmp_path / "bad"), "no-such-format") is False
