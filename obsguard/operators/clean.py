@@ -97,6 +97,31 @@ class Profile:
         out += [c for c in self.null_heavy if c not in out]
         return out
 
+    def to_frame(self, spark) -> DataFrame:
+        """One row per column, so a profile can be stored (any format) and re-used on new data."""
+        names = list(self.null_counts) or sorted(set(self.zero_deviation) | set(self.null_heavy))
+        rows = [(c, int(self.null_counts.get(c, 0)), c in self.zero_deviation, c in self.null_heavy,
+                 int(self.row_count), float(self.threshold), bool(self.multiple_entities)) for c in names]
+        schema = ("column_name string, null_count bigint, zero_deviation boolean, null_heavy boolean, "
+                  "row_count bigint, threshold double, multiple_entities boolean")
+        return spark.createDataFrame(rows, schema)
+
+    @classmethod
+    def from_frame(cls, df: DataFrame) -> "Profile":
+        """Read back a stored profile (bounded: one row per column of the profiled table)."""
+        rows = df.collect()
+        if not rows:
+            return cls(row_count=0, threshold=0.0)
+        prof = cls(row_count=rows[0]["row_count"], threshold=rows[0]["threshold"],
+                   multiple_entities=rows[0]["multiple_entities"])
+        for r in rows:
+            prof.null_counts[r["column_name"]] = r["null_count"]
+            if r["zero_deviation"]:
+                prof.zero_deviation.append(r["column_name"])
+            if r["null_heavy"]:
+                prof.null_heavy.append(r["column_name"])
+        return prof
+
 
 def compute_profile(df: DataFrame, threshold: float = C.DEFAULT_NULL_THRESHOLD,
                     schema: ObsSchema = DEFAULT_SCHEMA) -> Profile:

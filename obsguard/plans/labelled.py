@@ -47,7 +47,7 @@ class LabeledPoints:
 
 
 def _prepare(df: DataFrame, label: str, null_threshold: float, features: str, as_of_ms: int | None,
-             schema: ObsSchema, scale: bool | None):
+             schema: ObsSchema, scale: bool | None, profile: Profile | None = None):
     if features not in FEATURE_MODES:
         raise ValueError(f"features must be one of {FEATURE_MODES}")
     if label not in df.columns:
@@ -56,8 +56,11 @@ def _prepare(df: DataFrame, label: str, null_threshold: float, features: str, as
         # time-only features read (entity, time, label) alone, as the projected scan does
         df = load_rows(df, label, True, schema)
 
-    profile = compute_profile(df, null_threshold, schema)
-    dropped = set(profile.to_drop)
+    if profile is None:
+        profile = compute_profile(df, null_threshold, schema)
+    else:
+        null_threshold = profile.threshold
+    dropped = set(profile.to_drop) & set(df.columns)
     if label in dropped:
         why = "zero standard deviation" if label in profile.zero_deviation else (
             f"a null ratio above the threshold {null_threshold}")
@@ -66,7 +69,7 @@ def _prepare(df: DataFrame, label: str, null_threshold: float, features: str, as
     for key in (schema.id_col, schema.time_col):
         if key in dropped:
             raise ValueError(f"Key column '{key}' was dropped for nulls (threshold {null_threshold})")
-    df = df.drop(*profile.to_drop)
+    df = df.drop(*dropped)
 
     label_was_string = is_string(df.schema[label].dataType)
     df = complete_rows(df)
@@ -100,12 +103,14 @@ def _prepare(df: DataFrame, label: str, null_threshold: float, features: str, as
 
 def transform_rows(df: DataFrame, label: str, null_threshold: float = C.DEFAULT_NULL_THRESHOLD,
                    features: str = "all", as_of_ms: int | None = None, schema: ObsSchema = DEFAULT_SCHEMA,
-                   scale: bool | None = None, sort: bool = True) -> LabeledPoints:
+                   scale: bool | None = None, sort: bool = True, profile: Profile | None = None) -> LabeledPoints:
     """Clean and featurise: drop weak columns, keep complete rows up to `as_of_ms`, index strings,
     cast to double, assemble features (all `_value` columns but the label, or the time only),
-    scale per entity when there are several, binarise a status label, sort by time."""
+    scale per entity when there are several, binarise a status label, sort by time.
+
+    A stored `profile` (see `Profile.to_frame` / `from_frame`) replaces the profile pass."""
     base, feat_cols, names, profile, do_scale = _prepare(df, label, null_threshold, features, as_of_ms,
-                                                         schema, scale)
+                                                         schema, scale, profile)
     if sort:
         # tie-break hash from the scalar columns, before they are packed into the vector
         base = base.withColumn("__tie", F.xxhash64(*[F.col(c) for c in base.columns]))

@@ -125,3 +125,20 @@ def test_key_column_dropped_is_an_error(spark):
                                                                      "x_status int")
     with pytest.raises(ValueError, match="Key column 'ado_id'"):
         transform_rows(df, "x_status", 0.0)
+
+
+def test_stored_profile_is_reused(spark, sf_small, tmp_path):
+    from obsguard.plans.labelled import transform_rows
+    from obsguard.sources import fixtures
+
+    o = fixtures.obs(spark, sf_small).drop("obs_key")
+    fresh = transform_rows(o, "li_ua_quantity_status", 0.0, sort=False)
+    path = str(tmp_path / "profile")
+    fresh.profile.to_frame(spark).write.parquet(path)
+    stored = clean.Profile.from_frame(spark.read.parquet(path))
+    assert stored.to_drop == fresh.profile.to_drop and stored.multiple_entities == fresh.profile.multiple_entities
+    reused = transform_rows(o, "li_ua_quantity_status", sort=False, profile=stored)
+    assert reused.feature_names == fresh.feature_names
+    a = sorted(reused.expanded(9).collect(), key=repr)
+    b = sorted(fresh.expanded(9).collect(), key=repr)
+    assert a == b
