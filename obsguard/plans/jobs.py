@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.metrics import classification_report, regression_report
-from ..operators.split import hash_split, random_split, split_by_date
+from ..operators.split import random_split, split_by_date, tag_split
 from ..sources.registry import ModelRegistry
 from ..sources.report import write_report
 from .train import CLASSIFIERS, REGRESSORS, TrainConfig, TrainedModel, label_stats, train_family
@@ -99,23 +99,24 @@ def evaluate_classification(labeled: DataFrame, splits=(0.8, 0.2), seed: int = 4
     `split="hash"` draws each row's part from a hash of its key (reproducible whatever the
     partitioning); `split="random"` is Spark's randomSplit, as the original used.
     """
+    if split not in ("hash", "random"):
+        raise ValueError("split must be 'hash' or 'random'")
+    # the labelled plan is computed once and kept (memory and local disk); both parts are filters of it
     if split == "hash":
-        parts = hash_split(labeled, list(splits), seed, key_cols=list(key_cols))
-    elif split == "random":
-        parts = random_split(labeled, list(splits), seed)
+        cached = tag_split(labeled, list(splits), seed, key_cols=list(key_cols), name="_part")
+        cached = cached.persist(StorageLevel.MEMORY_AND_DISK)
+        train = cached.where(F.col("_part") == 0).drop("_part")
+        test = cached.where(F.col("_part") == 1).drop("_part")
     else:
-        raise ValueError("split must be 'hash' or 'random'")
-    # both parts are reused by every family: computed once, kept in memory and on local disk
-    train = parts[0].persist(StorageLevel.MEMORY_AND_DISK)
-    test = parts[1].persist(StorageLevel.MEMORY_AND_DISK)
+        cached = labeled.persist(StorageLevel.MEMORY_AND_DISK)
+        train, test = random_split(cached, list(splits), seed)[:2]
     try:
         ms = train_models(train, "classification", attribute, families, force_train, config)
         report = classification_report(score_all(ms.models, test), legacy_swap=legacy_swap)
         report = _with_failures(report, ms.failures).cache()
         report.count()
     finally:
-        train.unpersist()
-        test.unpersist()
+        cached.unpersist()
     if config.report_dir:
         write_report(report, f"{config.report_dir.rstrip('/')}/classificationreport", config.report_format)
     return report
@@ -123,17 +124,15 @@ def evaluate_classification(labeled: DataFrame, splits=(0.8, 0.2), seed: int = 4
 
 def _evaluate_regression(labeled: DataFrame, split_ms: int, force_train: bool, attribute: str,
                          config: JobConfig, families, report_name: str) -> DataFrame:
-    train, test = split_by_date(labeled, split_ms)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = labeled.persist(StorageLevel.MEMORY_AND_DISK)
+    train, test = split_by_date(cached, split_ms)
     try:
         ms = train_models(train, "regression", attribute, families, force_train, config)
         report = regression_report(score_all(ms.models, test))
         report = _with_failures(report, ms.failures).cache()
         report.count()
     finally:
-        train.unpersist()
-        test.unpersist()
+        cached.unpersist()
     if config.report_dir:
         write_report(report, f"{config.report_dir.rstrip('/')}/{report_name}", config.report_format)
     return report

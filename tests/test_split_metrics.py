@@ -87,3 +87,14 @@ def test_fixture_time_is_zone_independent(spark, sf_small):
     ev_utc = fixtures.events_obs(spark, sf_small).agg(F.sum("timestamp")).first()
     assert tuple(ny) == tuple(utc) and tuple(ev_ny) == tuple(ev_utc)
     assert utc[1] == 789004800000  # 1995-01-02T00:00:00Z, the earliest ship date at sf0.001
+
+
+def test_tag_split_equals_hash_split(spark, sf_small):
+    o = fixtures.obs(spark, sf_small).select("obs_key", "timestamp")
+    w = [0.5, 0.3, 0.2]
+    parts = split.hash_split(o, w, 11, key_cols=["obs_key", "timestamp"])
+    tagged = split.tag_split(o, w, 11, key_cols=["obs_key", "timestamp"])
+    for i, p in enumerate(parts):
+        a = sorted((r[0], r[1]) for r in p.collect())
+        b = sorted((r[0], r[1]) for r in tagged.where(F.col("part") == i).select("obs_key", "timestamp").collect())
+        assert a == b
