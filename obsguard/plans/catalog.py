@@ -329,6 +329,13 @@ def _train_query(task, family):
     return run
 
 
+def q_train_classification_naive_bayes_full(spark, sf_dir):
+    """Naive Bayes over the original (full) search space: smoothing 0, 1, 2."""
+    lp = _cls_points(spark, sf_dir)
+    tm = training.train_family(lp, "classification", "naive_bayes", training.TrainConfig(grid="full"))
+    return training.params_frame(spark, [tm])
+
+
 def q_linear_fit_coefficients(spark, sf_dir):
     """Least squares of price on quantity (no regularisation): slope and intercept."""
     o = _obs(spark, sf_dir)
