@@ -76,6 +76,11 @@ def q_profile_columns_t05(spark, sf_dir):
     return _round_doubles(clean.profile_columns(_obs(spark, sf_dir), 0.05))
 
 
+def q_profile_columns_events(spark, sf_dir):
+    """The column profile on the second source (events)."""
+    return _round_doubles(clean.profile_columns(fixtures.events_obs(spark, sf_dir), 0.0))
+
+
 def q_describe_columns(spark, sf_dir):
     o = _obs(spark, sf_dir).drop("obs_key", "ado_id", "li_ua_flag_value", C.TIME_COL)
     return _round_doubles(clean.describe_columns(o), 4)

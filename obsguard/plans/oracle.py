@@ -210,17 +210,19 @@ def _zero_sql(c: str, t: str) -> str:
             f"AND count(CASE WHEN NOT isfinite({x}) THEN 1 END) = 0)")
 
 
-def profile_sql(threshold: float) -> str:
+def profile_sql(threshold: float, cols=None, types=None, cte: str = OBS_CTE, src: str = "obs") -> str:
+    cols = cols or OBS_COLS
+    types = types or OBS_TYPES
     parts = []
-    for c in OBS_COLS:
-        t = OBS_TYPES[c]
+    for c in cols:
+        t = types[c]
         zero = _zero_sql(c, t) if c.endswith("_value") else "FALSE"
         ratio = f"(count(*) - count({q(c)}))::DOUBLE / count(*)"
         parts.append(
             f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({q(c)}) AS null_count, "
             f"round({ratio}, {R}) AS null_ratio, CAST({zero} AS INTEGER) AS zero_deviation, "
-            f"CAST((({zero}) OR {ratio} > {threshold}) AND count(*) > 0 AS INTEGER) AS dropped FROM obs")
-    return with_ctes(OBS_CTE) + "\nUNION ALL\n".join(parts)
+            f"CAST((({zero}) OR {ratio} > {threshold}) AND count(*) > 0 AS INTEGER) AS dropped FROM {src}")
+    return with_ctes(cte) + "\nUNION ALL\n".join(parts)
 
 
 def describe_sql() -> str:
@@ -512,6 +514,7 @@ def registered() -> dict:
         "inject_spread": inject_spread_sql(),
         "inject_stack": inject_stack_sql(),
         "inject_negate_events": inject_negate_events_sql(),
+        "profile_columns_events": profile_sql(0.0, EVENT_COLS, EVENT_TYPES, EVENTS_CTE, "evobs"),
         "confusion_matrix": with_ctes(OBS_CTE, PRED_CTE) + (
             "SELECT model, label, prediction, count(*) AS n FROM pred GROUP BY model, label, prediction"),
         "classification_report": classification_report_sql(False),
