@@ -36,9 +36,6 @@ class Draws:
     low_side: Column  # the sign/coin draw: "first branch" when true
 
 
-DRAW_COLS = ("__hit", "__attr", "__u", "__low")
-
-
 def draws(key_cols, seed: int, mode: str, ratio: float, n_attrs: int) -> Draws:
     """hit = draw0 < ratio, attribute = floor(draw1 * n), U = draw2, low side = draw3 < 0.5.
 

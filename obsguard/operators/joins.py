@@ -14,8 +14,6 @@ Three plans, chosen from measurements of the (checkpointed) per-key table:
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,10 +104,3 @@ def lookup_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
     joined = left.join(right, key_eq & (left["_salt"] == right["_salt"]), how)
     return joined.drop(right[small_key], right["_salt"], left["_salt"])
 
-
-def salt_count(total_rows: int, key_rows: int, partitions: int) -> int:
-    """Salts a key of `key_rows` gets (1 when it is not hot): mirrors `hot_keys`."""
-    share = total_rows / partitions
-    if key_rows <= 2 * share:
-        return 1
-    return min(math.ceil(key_rows / share), partitions)

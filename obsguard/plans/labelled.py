@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators.clean import as_of, complete_rows, compute_profile, Profile
-from ..operators.features import assemble, index_strings, scale_by_entity, sort_by_time, to_double_all
-from ..functions.exprs import binarize_status
+from ..operators.features import (assemble, binarize_labels, index_strings, scale_by_entity, sort_by_time,
+                                  to_double_all)
 from ..schema import DEFAULT_SCHEMA, ObsSchema, is_string
 from ..sources.tables import load_rows
 
@@ -97,7 +97,7 @@ def _prepare(df: DataFrame, label: str, null_threshold: float, features: str, as
                         "unscaled.")
         base = scale_by_entity(base, feat_cols, key=schema.id_col)
     if label.endswith(schema.status_suffix):
-        base = base.withColumn(C.LABEL_COL, binarize_status(C.LABEL_COL))
+        base = binarize_labels(base, C.LABEL_COL)
     return base, feat_cols, names, profile, do_scale
 
 
@@ -121,16 +121,6 @@ def transform_rows(df: DataFrame, label: str, null_threshold: float = C.DEFAULT_
     return LabeledPoints(lp, names, profile, do_scale, label)
 
 
-def scaled_frame(df: DataFrame, label: str, null_threshold: float = C.DEFAULT_NULL_THRESHOLD,
-                 features: str = "all", as_of_ms: int | None = None, schema: ObsSchema = DEFAULT_SCHEMA,
-                 scale: bool | None = None) -> tuple[DataFrame, list]:
-    """The plan before assembly: (id, time, label, one scaled double column per feature)."""
-    base, feat_cols, names, _, _ = _prepare(df, label, null_threshold, features, as_of_ms, schema, scale)
-    renamed = base.select(schema.id_col, schema.time_col, C.LABEL_COL,
-                          *[F.col(c).alias(n) for c, n in zip(feat_cols, names)])
-    return renamed, names
-
-
 def load_and_transform(spark_or_df, label: str, null_threshold: float = C.DEFAULT_NULL_THRESHOLD,
                        single_column: bool = False, as_of_ms: int | None = None,
                        schema: ObsSchema = DEFAULT_SCHEMA, **scan_kw) -> LabeledPoints:

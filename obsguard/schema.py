@@ -37,10 +37,6 @@ class ObsSchema:
 DEFAULT_SCHEMA = ObsSchema()
 
 
-def field_type(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
-
-
 def is_numeric(dt: T.DataType) -> bool:
     return isinstance(dt, NUMERIC_TYPES)
 
