@@ -142,3 +142,20 @@ def test_stored_profile_is_reused(spark, sf_small, tmp_path):
     a = sorted(reused.expanded(9).collect(), key=repr)
     b = sorted(fresh.expanded(9).collect(), key=repr)
     assert a == b
+
+
+def test_scans_by_path_format_and_table(spark, sf_small):
+    from obsguard.sources.tables import load_rows, scan_all
+
+    path = f"{sf_small}/lineitem.parquet"
+    by_path = scan_all(spark, path=path, fmt="parquet", mergeSchema=False)
+    assert by_path.count() == 6000
+    by_path.createOrReplaceTempView("obsguard_scan_test")
+    assert scan_all(spark, table="obsguard_scan_test").count() == 6000
+    spark.catalog.dropTempView("obsguard_scan_test")
+    from obsguard.sources.fixtures import obs_from_lineitem
+
+    obs = obs_from_lineitem(by_path)
+    one = load_rows(obs, "li_ua_price_value", single_column=True)
+    assert one.columns == ["ado_id", "timestamp", "li_ua_price_value"]
+    assert load_rows(obs, "li_ua_price_value", single_column=False).columns == obs.columns
