@@ -41,6 +41,7 @@ def frequency_index_table(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
     counts = reliable_checkpoint(
         df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n")))
     n_values, nbytes = measured_bytes(counts)
+    nbytes += 8 * n_values  # the index column the joined table adds to the measured counts
     limit = broadcast_limit(df.sparkSession)
     if n_values <= RANK_IN_ONE_TASK:
         order = Window.orderBy(F.col("_n").desc(), F.col(column).asc())
