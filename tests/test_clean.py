@@ -159,3 +159,18 @@ def test_scans_by_path_format_and_table(spark, sf_small):
     one = load_rows(obs, "li_ua_price_value", single_column=True)
     assert one.columns == ["ado_id", "timestamp", "li_ua_price_value"]
     assert load_rows(obs, "li_ua_price_value", single_column=False).columns == obs.columns
+
+
+def test_describe_columns_matches_spark_describe(spark, sf_small):
+    import math as _m
+
+    from obsguard.sources import fixtures
+
+    o = fixtures.obs(spark, sf_small).select("li_ua_quantity_value", "li_ua_price_value", "li_ua_discount_value",
+                                             "li_ua_linenumber_value")
+    ours = {r["column_name"]: r for r in clean.describe_columns(o).collect()}
+    ref = {r["summary"]: r for r in o.describe().collect()}
+    for c in o.columns:
+        assert ours[c]["count"] == int(ref["count"][c])
+        for stat in ("mean", "stddev", "min", "max"):
+            assert _m.isclose(ours[c][stat], float(ref[stat][c]), rel_tol=1e-12), (c, stat)
