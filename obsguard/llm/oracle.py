@@ -7,3 +7,48 @@ ORACLE: dict[str, str] = {}
 
 def registered() -> dict:
     return dict(ORACLE)
+
+
+ORACLE["op10_decontaminate"] = r"""
+with dw as (
+  select doc_id, text, w, i from (
+    select doc_id, text, unnest(words) as w, generate_subscripts(words, 1) as i from (
+      select doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+      from documents))),
+bw as (
+  select item_id, w, i, n from (
+    select item_id, len(words) as n, unnest(words) as w, generate_subscripts(words, 1) as i from (
+      select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+      from benchmark))),
+bwin as (
+  select item_id, least(n, 10) as k, win from (
+    select item_id, n, i, string_agg(w, ' ') over (partition by item_id order by i
+      rows between current row and 9 following) as win from bw)
+  where i <= greatest(n - 9, 1)),
+dwin as (
+  select doc_id, i, k, win from (
+    select doc_id, i, k, string_agg(w, ' ') over (partition by doc_id, k order by i
+             rows between current row and 9 following) as win,
+           count(*) over (partition by doc_id, k order by i rows between current row and 9 following) as c
+    from dw cross join (select distinct k from bwin where k = 10))
+  where c = 10),
+short as (
+  select d.doc_id, d.i, b.k, b.item_id from bwin b join (
+    select doc_id, i, list(w) over (partition by doc_id order by i rows between current row and 8 following) as ws from dw) d
+    on b.k < 10 and array_to_string(d.ws[1:b.k], ' ') = b.win and len(d.ws) >= b.k),
+hits as (
+  select doc_id, i, dwin.k as k, item_id from dwin join bwin using (win) where bwin.k = 10
+  union all select doc_id, i, k, item_id from short),
+covered as (
+  select doc_id, count(distinct p) as n_hit from (
+    select doc_id, unnest(range(i, i + k)) as p from hits) group by doc_id),
+items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (
+    select distinct doc_id, item_id::varchar as item from hits) group by doc_id),
+sizes as (select doc_id, count(*) as n_words from dw group by doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from documents d left join sizes using (doc_id) left join covered using (doc_id) left join items using (doc_id)
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import common, language, quality, toxicity
+from . import common, decontam, language, quality, simhash, toxicity
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     lexicon = toxicity.fit_lexicon(docs, labels)
@@ -30,6 +34,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")
+    index = common.saved(decontam.build_index(docs), "decontam-index")
+    found = decontam.summarise(decontam.search(index, benchmark))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def _with_checkpoints(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
