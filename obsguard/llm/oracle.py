@@ -52,3 +52,41 @@ select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_hit, 0) as n_hit, c
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from documents d left join sizes using (doc_id) left join covered using (doc_id) left join items using (doc_id)
 """
+
+
+ORACLE["op2_mixing"] = r"""
+with d as (
+  select doc_id, source as src, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+         ('0x' || substr(md5('29|' || coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, '')))), 1, 13))::bigint as bits
+  from documents),
+t as (select src, sum(size)::bigint as source_size from d group by src),
+w as (select src, source_size, [3.0, 1.0, 2.0][((row_number() over (order by src nulls last) - 1) % 3 + 1)::int]::double as w from t),
+p as (
+  select *, (2 * source_size) as cap,
+         coalesce(sum(2 * source_size) over (order by 2 * source_size / w, w, source_size, src
+                  rows between unbounded preceding and 1 preceding), 0) as before,
+         sum(w) over (order by 2 * source_size / w, w, source_size, src rows between current row and unbounded following) as wleft,
+         sum(source_size) over () as total
+  from w),
+lev as (select arg_min(level, ratio) as level from (
+  select (1.5 * total - before)::double / wleft as level, cap / w as ratio from p) where level < ratio),
+tt as (select src, source_size, least(w * coalesce(level, 0), cap::double) as target from p cross join lev),
+m as (
+  select *, case when source_size > 0 then target / source_size else 0.0 end as ratio from tt),
+k as (
+  select d.doc_id, d.size, d.src, source_size, target, floor(ratio)::bigint as whole, ratio - floor(ratio) as chance,
+         target - floor(ratio)::bigint * source_size as need, (bits::double + 0.5) / 4503599627370496.0 as u
+  from d join m on d.src is not distinct from m.src),
+r as (
+  select *, case when chance > 0 then floor(((u / (1 - u)) / (chance / (1 - chance)))
+              / (1 + ((u / (1 - u)) / (chance / (1 - chance)))) * 4503599627370496.0)::bigint end as rk from k),
+g as (select src, rk, sum(size) as words from r where rk is not null and need > 0 and size > 0 group by src, rk),
+c as (select src, rk, words, sum(words) over (partition by src order by rk rows unbounded preceding) as after from g),
+f as (
+  select c.src, max(case when after - words + words / 2.0 < n.need then c.rk else -1 end) as cut
+  from c join (select distinct src, need from r) n on c.src is not distinct from n.src
+  where after - words < n.need group by c.src)
+select doc_id, size, source_size, target, whole + (coalesce(rk <= coalesce(cut, -1), false))::bigint as copies,
+       (whole + (coalesce(rk <= coalesce(cut, -1), false))::bigint) * size as taken
+from r left join f on r.src is not distinct from f.src
+"""
