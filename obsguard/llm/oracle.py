@@ -90,3 +90,44 @@ select doc_id, size, source_size, target, whole + (coalesce(rk <= coalesce(cut,
        (whole + (coalesce(rk <= coalesce(cut, -1), false))::bigint) * size as taken
 from r left join f on r.src is not distinct from f.src
 """
+
+
+ORACLE["op8_neighbours"] = r"""
+with e as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (
+  select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v, c.v) as score
+  from e q join e c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id)
+select query_id, rank, vec_id, score from (
+  select query_id, vec_id, score, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from p)
+where rank <= 20
+"""
+
+ORACLE["op7_chat"] = r"""
+with t as (
+  select conv_id, coalesce(role, 'unknown') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'unknown'), coalesce(text, '')) - 1 as place
+  from conversations),
+people as (select distinct conv_id, role as perspective from t where role <> 'system'),
+r as (
+  select t.conv_id, perspective, place, place // 64 as segment, role = perspective as own,
+         case when role = perspective then '<|assistant|>' when role = 'system' then '<|system|>'
+              else '<|user|>' || role end || chr(10) as head, text || '<|end|>' || chr(10) as body
+  from t join people on t.conv_id is not distinct from people.conv_id),
+s as (
+  select *, sum(length(head) + length(body)) over (partition by conv_id, perspective, segment order by place)
+             - length(body) as start,
+         sum(length(head) + length(body)) over (partition by conv_id, perspective, segment order by place) as stop
+  from r),
+g as (
+  select conv_id, perspective, segment, string_agg(head || body, '' order by place) as text,
+         coalesce(string_agg(case when own then start::varchar || '-' || stop::varchar end, ' ' order by place), '') as mask,
+         count(*) as n_turns, count(*) filter (own) as own_turns, max(stop)::bigint as n_chars
+  from s group by conv_id, perspective, segment)
+select *, coalesce(sum(n_chars) over (partition by conv_id, perspective order by segment
+                   rows between unbounded preceding and 1 preceding), 0)::bigint as "offset"
+from g
+"""

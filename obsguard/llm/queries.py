@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import common, decontam, language, mixing, quality, sharding, simhash, toxicity
+from . import chat, common, decontam, language, mixing, neighbours, quality, sharding, simhash, tokens, toxicity
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +31,26 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op5_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact length histogram with its suffix sums: one row per encoded length."""
+    lengths = tokens.token_lengths(common.table(spark, sf_dir, "documents").select("text"))
+    return tokens.suffix_sums(common.saved(tokens.length_histogram(lengths), "lengths"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every perspective's dialogue in segments; the mask spans as text, start-stop."""
+    got = chat.rotate(common.table(spark, sf_dir, "conversations"))
+    return got.withColumn("mask", F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["stop"])), " "))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     lexicon = toxicity.fit_lexicon(docs, labels)
