@@ -8,22 +8,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsguard.llm import common, language
+from obsguard.llm import common, decontam, language, mixing, sharding, simhash
+from obsguard.session import ensure_checkpoint_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose language cannot be told (no text, or no letter in it)."""
-    model = language.fit_languages(docs)
-    return language.keep_identified(docs, model)
+    return language.keep_identified(docs, language.fit_languages(docs))
 
 
-STAGES = [("language", identify_language)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of every group of near copies."""
+    return simhash.keep_one(docs)
 
-#: The stages learn models and hash with functions that SQL lacks; a brute-force test stands in.
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents in which a window of a benchmark item occurs."""
+    return decontam.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take every document as often as its source's target asks for; repeats are rows."""
+    return mixing.mixture(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add each document's shard and its slot there."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [("language", identify_language), ("near_duplicates", drop_near_duplicates), ("decontaminate", decontaminate),
+          ("mix", mix_sources), ("shard", shard)]
+
+#: Models and XXH64 fingerprints are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
     docs = common.table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
