@@ -5,7 +5,7 @@ term (hash of a lower-cased word), the sorted list of its positions; shards are
 shared storage and can be searched any number of times. A search visits every shard with the stated
 benchmark windows: for each window it starts from the positions of the window's rarest term in that shard
 and intersects them, offset by offset, with the lists of the next rarer terms. Word order decides an exact
-phrase match; with `slop`, every other term may stand up to so many words away from its place (proximity).
+phrase match; with `slop`, every term may stand up to so many words away from its place (proximity).
 Nothing is shuffled. A benchmark above `BLOCK_BYTES` is searched block after block, each block broadcast.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A window is `window` consecutive
@@ -105,11 +105,11 @@ class Shard:
         base = np.where(heads > 0, sums[np.maximum(heads - 1, 0)], 0) if len(heads) else heads
         return cls(np.asarray(n_words, dtype=np.int64), terms, counts, sums - np.repeat(base, counts))
 
-    def find(self, phrases: Phrases, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the phrase, position of its first word) of every match."""
+    def find(self, phrases: Phrases, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the phrase, position of its first word, position of its rarest term) of every match."""
         none = np.zeros(0, np.int64)
         if not len(self.terms) or not len(phrases.length):
-            return none, none
+            return none, none, none
         place = np.searchsorted(self.terms, phrases.vocabulary)
         place[place == len(self.terms)] = 0
         present = self.terms[place] == phrases.vocabulary
@@ -118,12 +118,12 @@ class Shard:
         df = np.where(inside, found[phrases.words], np.iinfo(np.int64).max)
         possible = np.flatnonzero((df > 0).all(axis=1))
         if not len(possible):
-            return none, none
+            return none, none, none
         heads = np.cumsum(self.counts) - self.counts
         # one sorted list of (term, position) keys; an offset-adjusted lookup intersects two posting lists
         span = int(self.starts[-1]) + 2 * GAP
         keys = np.repeat(np.arange(len(self.terms), dtype=np.int64) * span, self.counts) + self.positions
-        got_phrase, got_start = [], []
+        got_phrase, got_start, got_seed = [], [], []
         order = np.argsort(df[possible], axis=1, kind="stable")      # rarest first, absent words last
         rare = df[possible, order[:, 0]]
         ends = np.cumsum(rare)
@@ -135,9 +135,14 @@ class Shard:
             own = np.repeat(np.arange(len(some)), n)
             term = place[phrases.words[some, first[:, 0]]]
             within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            start = self.positions[heads[term][own] + within] - first[own, 0]
-            keep = start >= 0
-            own, start = own[keep], start[keep]
+            seed = self.positions[heads[term][own] + within]
+            start = seed - first[own, 0]
+            if slop:     # the rarest term, too, may stand that far from its place
+                around = np.arange(-slop, slop + 1)
+                own, seed = np.repeat(own, len(around)), np.repeat(seed, len(around))
+                start = (start[:, None] + around).ravel()
+            keep = start >= -slop
+            own, start, seed = own[keep], start[keep], seed[keep]
             for step in range(1, phrases.words.shape[1]):
                 if not len(own):
                     break
@@ -146,11 +151,12 @@ class Shard:
                 want = place[word] * span + start + column
                 at = np.minimum(np.searchsorted(keys, want - slop), len(keys) - 1)
                 fits = (word < 0) | ((keys[at] >= want - slop) & (keys[at] <= want + slop))
-                own, start = own[fits], start[fits]
+                own, start, seed = own[fits], start[fits], seed[fits]
             got_phrase.append(some[own])
             got_start.append(start)
+            got_seed.append(seed)
             lo = hi
-        return np.concatenate(got_phrase), np.concatenate(got_start)
+        return np.concatenate(got_phrase), np.concatenate(got_start), np.concatenate(got_seed)
 
 
 class Phrases:
@@ -181,12 +187,11 @@ class Phrases:
 
 def matches_of(shard: Shard, phrases: Phrases, slop: int = 0) -> tuple[np.ndarray, ...]:
     """Per (document, item): spans of matched words, overlapping windows of one item merged into one span."""
-    phrase, start = shard.find(phrases, slop)
-    doc = np.searchsorted(shard.starts, start, "right") - 1
-    begin = start - shard.starts[doc]
-    stop = begin + phrases.length[phrase]
-    keep = stop <= shard.n_words[doc] + slop
-    doc, item, begin, stop = doc[keep], phrases.item[phrase][keep], begin[keep], stop[keep]
+    phrase, start, seed = shard.find(phrases, slop)
+    doc = np.searchsorted(shard.starts, seed, "right") - 1
+    begin, item = start - shard.starts[doc], phrases.item[phrase]
+    stop = np.minimum(begin + phrases.length[phrase], shard.n_words[doc])
+    begin = np.maximum(begin, 0)
     order = np.lexsort((stop, begin, item, doc))
     doc, item, begin, stop = doc[order], item[order], begin[order], stop[order]
     if not len(doc):
