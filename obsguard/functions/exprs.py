@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 from pyspark.sql import Column
@@ -12,6 +13,7 @@ from .. import constants as C
 
 INT_MIN, INT_MAX = -(2 ** 31), 2 ** 31 - 1
 TWO_POW_32 = 4294967296.0
+TIME_MIN_MS, TIME_MAX_MS = -62135596800000, 253402300700000   # years 1 to 9999
 
 
 def col_(c) -> Column:
@@ -43,16 +45,34 @@ def binarize_status(c) -> Column:
     integer cast (which overflows under ANSI); NaN is normal, null stays null.
     """
     v = col_(c).cast("double")
-    suspect = (((v >= 2) & (v < 3)) | ((v >= 66) & (v < 67)) | ((v >= C.STATUS_SUSPECT_FROM) & ~F.isnan(v)))
+    codes = (C.STATUS_SUSPECT, C.STATUS_SUSPECT | C.STATUS_IGNORED_BIT)
+    suspect = (v >= C.STATUS_SUSPECT_FROM) & ~F.isnan(v)
+    for code in codes:
+        suspect = suspect | ((v >= code) & (v < code + 1))
     return F.when(v.isNull(), F.lit(None).cast("double")).when(suspect, C.LABEL_SUSPECT).otherwise(C.LABEL_NORMAL)
 
 
+def key_part(c) -> Column:
+    """One key column as text that no other value can produce: its length before it, `~` for null."""
+    text = col_(c).cast("string")
+    return F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("~"))
+
+
 def md5_hex(key_cols, seed: int, name: str) -> Column:
-    """Hex digest of (key columns, seed, name); key columns should be strings or integers."""
-    parts = [col_(k).cast("string") for k in key_cols] + [F.lit(str(seed)), F.lit(name)]
+    """Hex digest of (key columns, seed, name). Null-safe, and no separator can be forged by a value."""
+    parts = [key_part(k) for k in key_cols] + [F.lit(str(seed)), F.lit(name)]
     return F.md5(F.concat_ws("|", *parts))
 
 
+def row_key(df) -> list:
+    """A key of every row when the caller names none: all its columns and its place in the scan, so that rows
+    equal in any subset of columns, or in all, still draw separately. Arrays and the like go in by hash."""
+    simple = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    keys = [F.col(f"`{f.name}`") if isinstance(f.dataType, simple) else F.hash(F.col(f"`{f.name}`"))
+            for f in df.schema.fields if not isinstance(f.dataType, (T.UserDefinedType, T.MapType))]
+    return keys + [F.monotonically_increasing_id()]
+
+
 def hex_word(digest: Column, slot: int) -> Column:
     """The 32-bit word `slot` (0..3) of an md5 hex digest, as 8 lowercase hex characters."""
     return F.substring(digest, 1 + 8 * slot, 8)
@@ -116,6 +136,21 @@ def epoch_millis(c, data_type: T.DataType) -> Column:
     return x.cast("bigint")
 
 
+def time_at_most(c, data_type: T.DataType, epoch_ms: int) -> Column:
+    """`epoch_millis(c) <= epoch_ms`, written as a comparison of the column itself with a literal of its own
+    type, so that it reaches the scan (pushed filters, partition pruning)."""
+    x = col_(c)
+    if not isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return x <= F.lit(int(epoch_ms))
+    epoch_ms = min(max(int(epoch_ms), TIME_MIN_MS), TIME_MAX_MS)
+    after = dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=int(epoch_ms) + 1)
+    if isinstance(data_type, T.TimestampNTZType):
+        return x < F.lit(after.isoformat(sep=" ")).cast("timestamp_ntz")
+    if isinstance(data_type, T.TimestampType):
+        return x < F.lit(after.replace(tzinfo=dt.timezone.utc))
+    return x <= F.lit((dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=int(epoch_ms))).date())
+
+
 def negate_int(c) -> Column:
     """Java int negation: MIN_INT stays itself instead of overflowing."""
     v = col_(c)

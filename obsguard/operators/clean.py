@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.exprs import is_finite, to_double
+from ..functions.exprs import is_finite, time_at_most, to_double
 from ..schema import DEFAULT_SCHEMA, ObsSchema, is_numeric, is_string
 
 log = logging.getLogger(__name__)
@@ -182,24 +182,31 @@ def complete_rows(df: DataFrame, columns=None) -> DataFrame:
 
 
 def as_of(df: DataFrame, as_of_ms: int | None, schema: ObsSchema = DEFAULT_SCHEMA) -> DataFrame:
-    """Keep rows with time <= `as_of_ms` (epoch ms); no filter for a missing or non-positive date."""
-    if as_of_ms is None or as_of_ms <= 0:
+    """Keep rows with time <= `as_of_ms` (epoch ms, any sign); None is the only "no filter".
+
+    The time column may be epoch milliseconds, TIMESTAMP, TIMESTAMP_NTZ or DATE; the bound reaches the scan."""
+    if as_of_ms is None:
         return df
-    return df.where(F.col(schema.time_col) <= F.lit(int(as_of_ms)))
+    return df.where(time_at_most(schema.time_col, df.schema[schema.time_col].dataType, as_of_ms))
 
 
 def describe_columns(df: DataFrame, columns=None) -> DataFrame:
-    """Typed describe(): count, mean, sample stddev, min, max per numeric or string column, long format."""
+    """Typed describe(): count, mean, sample stddev, min, max per numeric or string column, long format.
+
+    A string column's mean and stddev are those of the values that are numbers; its least and greatest text
+    stand in min_text and max_text (a number's min and max in min and max)."""
     names = columns or [f.name for f in df.schema.fields if is_numeric(f.dataType) or is_string(f.dataType)]
     rows = []
     for name in names:
-        x = _numeric_view(df, name)
+        x, text = _numeric_view(df, name), is_string(df.schema[name].dataType)
         rows.append(F.struct(
             F.lit(name).alias("column_name"),
             F.count(F.col(name)).alias("count"),
             F.avg(x).alias("mean"),
             F.stddev_samp(x).alias("stddev"),
-            F.min(x).alias("min"),
-            F.max(x).alias("max"),
+            (F.lit(None).cast("double") if text else F.min(x)).alias("min"),
+            (F.lit(None).cast("double") if text else F.max(x)).alias("max"),
+            (F.min(F.col(name)) if text else F.lit(None)).cast("string").alias("min_text"),
+            (F.max(F.col(name)) if text else F.lit(None)).cast("string").alias("max_text"),
         ))
     return df.agg(F.array(*rows).alias("d")).select(F.explode("d").alias("p")).select("p.*")

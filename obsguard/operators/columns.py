@@ -31,16 +31,23 @@ def filter_on_type_strict(df: DataFrame, type_name: str) -> DataFrame:
 
 
 def filter_on_type(df: DataFrame, type_name: str, status_suffix: str = C.STATUS_SUFFIX,
-                   prefix_len: int = C.STATUS_PREFIX_LEN) -> DataFrame:
+                   legacy_prefix: bool = False, prefix_len: int = C.STATUS_PREFIX_LEN,
+                   value_suffix: str = C.VALUE_SUFFIX) -> DataFrame:
     """Columns of a type, followed by the status column that belongs to each of them.
 
-    The status of column `c` is the first column (schema order) that starts with the first
-    `prefix_len` characters of `c` and ends with the status suffix. Names shorter than the
-    prefix use the whole name; a status already selected is not selected twice.
+    The status of `<attr>_value` (or of a column `<attr>`) is `<attr>_status`. With `legacy_prefix` it is the
+    first column (schema order) that starts with the first `prefix_len` characters of the name and ends with
+    the status suffix, as the original looked it up; names that share a prefix then share one status.
+    A status already selected is not selected twice.
     """
     kept = _type_matches(df, type_name)
     statuses: list[str] = []
     for name in kept:
+        if not legacy_prefix:
+            status = name.removesuffix(value_suffix) + status_suffix
+            if status in df.columns and status not in kept and status not in statuses:
+                statuses.append(status)
+            continue
         prefix = name[:prefix_len]
         for f in df.schema.fields:
             if f.name.startswith(prefix) and f.name.endswith(status_suffix):

@@ -39,7 +39,9 @@ def entity_stddev(df: DataFrame, attributes, schema: ObsSchema = DEFAULT_SCHEMA,
     """Sample stddev of each attribute's value per entity.
 
     With `require_all`, entities where any requested attribute has a null stddev (fewer than two
-    values) are left out, as the stddev injector needs every one of them.
+    values) are left out, as the stddev injector needs every one of them. `with_count` is for joins: it adds
+    the rows of each entity and keeps every entity, its stddevs all null where `require_all` would leave it
+    out, so that a huge entity without a stddev is still known to be huge.
     """
     cols = [schema.value_col(a) for a in attributes]
     aggs = [F.stddev_samp(F.col(c).cast("double")).alias(f"sd_{c}") for c in cols]
@@ -50,20 +52,24 @@ def entity_stddev(df: DataFrame, attributes, schema: ObsSchema = DEFAULT_SCHEMA,
         cond = F.col(f"sd_{cols[0]}").isNotNull()
         for c in cols[1:]:
             cond = cond & F.col(f"sd_{c}").isNotNull()
-        out = out.where(cond)
+        if not with_count:
+            return out.where(cond)
+        out = out.withColumn("_all", cond)
+        out = out.withColumns({f"sd_{c}": F.when(F.col("_all"), F.col(f"sd_{c}")) for c in cols}).drop("_all")
     return out
 
 
 def join_entity_stats(df: DataFrame, stats: DataFrame, schema: ObsSchema = DEFAULT_SCHEMA,
-                      how: str = "left") -> DataFrame:
+                      how: str = "left", force_shuffle: bool = False) -> DataFrame:
     """Attach one row of per-entity statistics to every row of its entity.
 
     The statistics are checkpointed (one row per entity) and measured: broadcast when they fit the
-    session's broadcast threshold, otherwise a shuffle join whose hot keys AQE splits.
+    session's broadcast threshold, otherwise a shuffle join whose hot keys are salted.
     """
     small = stats.withColumnRenamed(schema.id_col, "_k")
     small, may_broadcast = materialise_small(small)
-    return lookup_join(df, small, schema.id_col, "_k", how=how, null_safe=True, may_broadcast=may_broadcast)
+    return lookup_join(df, small, schema.id_col, "_k", how=how, null_safe=True,
+                       may_broadcast=may_broadcast and not force_shuffle)
 
 
 def entity_feature_ranges(df: DataFrame, features, schema: ObsSchema = DEFAULT_SCHEMA) -> DataFrame:

@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as C
-from ..functions.exprs import binarize_status, to_double
+from ..functions.exprs import binarize_status, epoch_millis, to_double
 from ..schema import DEFAULT_SCHEMA, ObsSchema, is_string
-from ..session import reliable_checkpoint
-from .joins import COUNT_COL, broadcast_limit, lookup_join, materialise_small, measured_bytes
+from .joins import COUNT_COL, broadcast_limit, lookup_join, materialise_small
+from .rank import with_global_rank
 
-TWO_POW_33 = 1 << 33
+def to_double_all(df: DataFrame, keep=(C.ID_COL,)) -> DataFrame:
+    """Cast every column but `keep` to double in one projection; unparsable values become null.
 
+    Times (TIMESTAMP, TIMESTAMP_NTZ, DATE) become epoch milliseconds."""
+    def cast(f):
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            return epoch_millis(f.name, f.dataType).cast("double")
+        return to_double(f.name, f.dataType)
 
-def to_double_all(df: DataFrame, keep=(C.ID_COL,)) -> DataFrame:
-    """Cast every column but `keep` to double in one projection; unparsable values become null."""
-    return df.select(*[F.col(f.name) if f.name in keep else to_double(f.name, f.dataType).alias(f.name)
-                       for f in df.schema.fields])
+    return df.select(*[F.col(f.name) if f.name in keep else cast(f).alias(f.name) for f in df.schema.fields])
 
 
 def binarize_labels(df: DataFrame, label: str = C.LABEL_COL) -> DataFrame:
@@ -26,70 +30,69 @@ def binarize_labels(df: DataFrame, label: str = C.LABEL_COL) -> DataFrame:
     return df.withColumn(label, binarize_status(label))
 
 
-# Ranking this many distinct values in one task is cheap; above it the ranks are computed distributed.
-RANK_IN_ONE_TASK = 1_000_000
+def frequency_index_tables(df: DataFrame, columns) -> dict[str, tuple[DataFrame, bool]]:
+    """Per column: (value, index) with index 0 for the most frequent value, ties in ascending value order, and
+    whether that table may be broadcast. Nulls get no index.
+
+    All columns are counted in one pass, as (column, value) pairs, and ranked by one global sort; one row per
+    sort partition and one per column reach the driver, whatever the number of distinct values. The number of
+    jobs does not grow with the number of columns.
+    """
+    columns = list(columns)
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("string").alias("v"))
+                      for i, c in enumerate(columns)])
+    counts = (df.select(F.explode(pairs).alias("p")).where(F.col("p.v").isNotNull())
+              .groupBy(F.col("p.c").alias("c"), F.col("p.v").alias("v")).agg(F.count(F.lit(1)).alias(COUNT_COL)))
+    ranked = with_global_rank(counts, "c", F.col(COUNT_COL).desc(), "v")
+    facts = ranked.groupBy("c").agg(F.min("_rank").alias("first"),
+                                    F.sum(F.octet_length("v") + F.lit(40)).alias("bytes")).collect()
+    limit = broadcast_limit(df.sparkSession)
+    seen = {r["c"]: (int(r["first"]), int(r["bytes"])) for r in facts}
+    out = {}
+    for i, c in enumerate(columns):
+        first, nbytes = seen.get(i, (0, 0))
+        table = ranked.where(F.col("c") == i).select(
+            F.col("v").alias(c), (F.col("_rank") - F.lit(first)).cast("double").alias("_idx"), COUNT_COL)
+        out[c] = (table, 0 <= nbytes <= limit)
+    return out
 
 
 def frequency_index_table(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
-    """(value, index) with index 0 for the most frequent value, ties in ascending value order.
+    """The frequency index of one column."""
+    return frequency_index_tables(df, [column])[column]
 
-    Exact for any number of distinct values. Counts come from a partial aggregate and are checkpointed
-    and measured. Up to RANK_IN_ONE_TASK values (a proven bound) are ranked by one window; beyond it,
-    by a range-partitioned sort plus per-partition offsets (one row per partition reaches the driver).
-    Nulls get no index. Returns the table and whether it may be broadcast.
+
+def index_columns(df: DataFrame, columns, force_shuffle: bool = False) -> DataFrame:
+    """Replace string columns by their frequency index (double); rows with a null in one of them are skipped.
+
+    The indexed columns move to the end of the schema, as the original StringIndexer chain did. They are
+    indexed by the rows where all of them are present. `force_shuffle` takes the salted shuffle join even when
+    an index table would fit a broadcast.
     """
-    counts = reliable_checkpoint(
-        df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n")))
-    n_values, nbytes = measured_bytes(counts)
-    nbytes += 8 * n_values  # the index column the joined table adds to the measured counts
-    limit = broadcast_limit(df.sparkSession)
-    if n_values <= RANK_IN_ONE_TASK:
-        order = Window.orderBy(F.col("_n").desc(), F.col(column).asc())
-        table = counts.select(column, (F.row_number().over(order) - 1).cast("double").alias("_idx"),
-                              F.col("_n").alias(COUNT_COL))
-        return table, (limit > 0 and nbytes <= limit)
-    return _distributed_rank(counts, column, limit)
-
-
-def _distributed_rank(counts: DataFrame, column: str, limit: int) -> tuple[DataFrame, bool]:
-    ordered = counts.orderBy(F.col("_n").desc(), F.col(column).asc())
-    tagged = reliable_checkpoint(ordered.select(
-        column, "_n", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
-    parts = tagged.groupBy("_pid").agg(
-        F.count(F.lit(1)).alias("c"),
-        F.sum(F.octet_length(F.col(column)) + F.lit(32)).alias("b"),
-    ).orderBy("_pid").collect()
-    offsets, running, nbytes = [], 0, 0
-    for r in parts:
-        offsets += [F.lit(int(r["_pid"])), F.lit(running)]
-        running += int(r["c"])
-        nbytes += int(r["b"] or 0)
-    offset = F.create_map(*offsets)[F.col("_pid")] if offsets else F.lit(0)
-    local = F.col("_mid") - F.col("_pid").cast("bigint") * F.lit(TWO_POW_33)
-    table = tagged.select(column, (offset + local).cast("double").alias("_idx"), F.col("_n").alias(COUNT_COL))
-    return table, (limit > 0 and nbytes <= limit)
+    columns = list(columns)
+    if not columns:
+        return df
+    whole = F.col(f"`{columns[0]}`").isNotNull()
+    for c in columns[1:]:
+        whole = whole & F.col(f"`{c}`").isNotNull()
+    out = df.where(whole)
+    for c, (table, small) in frequency_index_tables(out, columns).items():
+        joined = lookup_join(out, table.withColumnRenamed(c, "_key"), c, "_key", how="inner", null_safe=False,
+                             may_broadcast=small and not force_shuffle)
+        rest = [x for x in out.columns if x != c]
+        out = joined.select(*[F.col(f"`{x}`") for x in rest], F.col("_idx").alias(c))
+    return out
 
 
 def index_column(df: DataFrame, column: str, force_shuffle: bool = False) -> DataFrame:
-    """Replace a string column by its frequency index (double); rows with null are skipped.
-
-    The indexed column moves to the end of the schema, as the original StringIndexer chain did.
-    `force_shuffle` takes the salted shuffle join even when the index table would fit a broadcast.
-    """
-    table, small = frequency_index_table(df, column)
-    table = table.withColumnRenamed(column, "_key")
-    joined = lookup_join(df, table, column, "_key", how="inner", null_safe=False,
-                         may_broadcast=small and not force_shuffle)
-    rest = [c for c in df.columns if c != column]
-    return joined.select(*rest, F.col("_idx").alias(column))
+    """Replace one string column by its frequency index."""
+    return index_columns(df, [column], force_shuffle)
 
 
 def index_strings(df: DataFrame, schema: ObsSchema = DEFAULT_SCHEMA, force_shuffle: bool = False) -> DataFrame:
     """Frequency-index every string `_value` column (schema order)."""
-    for f in list(df.schema.fields):
-        if f.name.endswith(schema.value_suffix) and is_string(f.dataType):
-            df = index_column(df, f.name, force_shuffle)
-    return df
+    return index_columns(df, [f.name for f in df.schema.fields
+                              if f.name.endswith(schema.value_suffix) and is_string(f.dataType)], force_shuffle)
 
 
 def _scaled(x, mn, mx):
@@ -153,13 +156,13 @@ def assemble(df: DataFrame, features, output: str = C.FEATURES_COL) -> DataFrame
 
 
 def _row_hash(df: DataFrame):
-    """Deterministic hash of a whole row (vectors through their array form)."""
+    """Hash of a whole row (vectors through their array form) and of where it comes from, so equal rows spread too."""
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.linalg import VectorUDT
 
     cols = [vector_to_array(F.col(f.name)) if isinstance(f.dataType, VectorUDT) else F.col(f.name)
             for f in df.schema.fields]
-    return F.xxhash64(*cols)
+    return F.xxhash64(*cols, F.spark_partition_id())
 
 
 def sort_by_time(df: DataFrame, schema: ObsSchema = DEFAULT_SCHEMA, tie_col: str | None = None) -> DataFrame:

@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
-from ..functions.exprs import (hex_word, md5_hex, negate_int, row_max, row_min, trunc_to_int, unit_draw,
+from ..functions.exprs import (hex_word, md5_hex, negate_int, row_key, row_max, row_min, trunc_to_int, unit_draw,
                                word_below, word_bucket)
 from ..schema import DEFAULT_SCHEMA, ObsSchema, require_columns
 from .entity import entity_stddev, join_entity_stats
+from .joins import COUNT_COL
 
 SLOT_HIT, SLOT_ATTR, SLOT_U, SLOT_SIGN = 0, 1, 2, 3
 
@@ -52,6 +53,20 @@ def draws(key_cols, seed: int, mode: str, ratio: float, n_attrs: int) -> Draws:
     )
 
 
+def spare_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Helper column names that no column of the frame has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for w in wanted:
+        n, name = 0, f"_{w}"
+        while name.lower() in taken:
+            n += 1
+            name = f"_{w}_{n}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def with_draws(df: DataFrame, dr: Draws, extra: dict | None = None) -> tuple[DataFrame, Draws]:
     """Materialise the draws (and other per-row helpers) once in a lower projection.
 
@@ -59,10 +74,11 @@ def with_draws(df: DataFrame, dr: Draws, extra: dict | None = None) -> tuple[Dat
     columns instead keeps the hex-to-number conversions at four per row. CollapseProject does not
     inline a non-trivial expression that is referenced several times, so the split survives.
     """
-    cols = [dr.hit.alias("__hit"), dr.attr.alias("__attr"), dr.u.alias("__u"), dr.low_side.alias("__low")]
+    names = spare_names(df, "hit", "attr", "u", "low")
+    cols = [e.alias(n) for n, e in zip(names, (dr.hit, dr.attr, dr.u, dr.low_side), strict=True)]
     cols += [e.alias(n) for n, e in (extra or {}).items()]
     out = df.select("*", *cols)
-    return out, Draws(F.col("__hit"), F.col("__attr"), F.col("__u"), F.col("__low"))
+    return out, Draws(*[F.col(n) for n in names])
 
 
 def _is_int(dt) -> bool:
@@ -79,7 +95,10 @@ def _suspect(df: DataFrame, col: str) -> Column:
 
 @dataclass
 class SuspectInjector:
-    """Configuration of the injectors: change size `magnitude`, share of hit rows `ratio`."""
+    """Configuration of the injectors: change size `magnitude`, share of hit rows `ratio`.
+
+    `key_cols` tell rows apart; rows with equal keys are hit together. Without them every row draws by all its
+    columns and its place in the scan."""
 
     magnitude: float = C.DEFAULT_MAGNITUDE
     ratio: float = C.DEFAULT_RATIO
@@ -94,17 +113,18 @@ class SuspectInjector:
 
     # -- helpers -----------------------------------------------------------------------------
     def _keys(self, df: DataFrame) -> list:
-        keys = list(self.key_cols) if self.key_cols else [self.schema.id_col, self.schema.time_col]
-        require_columns(df, keys, "key column")
-        return keys
+        if not self.key_cols:
+            return row_key(df)
+        require_columns(df, self.key_cols, "key column")
+        return list(self.key_cols)
 
     @staticmethod
     def _seed(seed):
         return random.SystemRandom().randrange(-(2 ** 31), 2 ** 31) if seed is None else int(seed)
 
-    def _per_attribute(self, df: DataFrame, attributes, dr: Draws, value_rule, extra_guard=None,
+    def _per_attribute(self, df: DataFrame, columns, attributes, dr: Draws, value_rule, extra_guard=None,
                        status_guard=None) -> DataFrame:
-        """Project every column; the chosen attribute's status/value get the mode's rule."""
+        """Project `columns` (the input's, without helpers); the chosen attribute's status/value get the mode's rule."""
         sch = self.schema
         targets = {}
         for j, a in enumerate(attributes):
@@ -114,10 +134,8 @@ class SuspectInjector:
             targets[sch.status_col(a)] = ("status", sel)
             targets[sch.value_col(a)] = ("value", sel)
         out = []
-        for f in df.schema.fields:
-            if f.name.startswith("__"):
-                continue
-            c = F.col(f.name)
+        for f in (df.schema[name] for name in columns):
+            c = F.col(f"`{f.name}`")
             if f.name not in targets:
                 out.append(c)
                 continue
@@ -144,31 +162,33 @@ class SuspectInjector:
         attributes = list(attributes)
         seed = self._seed(seed)
         sch = self.schema
-        stats = entity_stddev(df, attributes, sch, require_all=True, with_count=True).withColumn("_ok", F.lit(True))
-        joined = join_entity_stats(df, stats, sch, how="left")
+        stats = entity_stddev(df, attributes, sch, require_all=True, with_count=True)
+        if not attributes:
+            return df
+        names = spare_names(df, *[f"sd_{a}" for a in attributes])
+        sd = {sch.value_col(a): n for a, n in zip(attributes, names, strict=True)}
+        stats = stats.select(sch.id_col, COUNT_COL, *[F.col(f"sd_{v}").alias(n) for v, n in sd.items()])
         dr = draws(self._keys(df), seed, "stddev", self.ratio, len(attributes))
-        joined, dr = with_draws(joined, dr)
+        drawn, dr = with_draws(df, dr)
+        joined = join_entity_stats(drawn, stats, sch, how="left")
         m = float(self.magnitude)
         sign = F.when(dr.low_side, F.lit(m)).otherwise(F.lit(-m))
 
         def rule(f, c):
-            sd = F.col(f"sd_{f.name}")
-            dev = (F.lit(1.0) + dr.u) * sd * sign
+            dev = (F.lit(1.0) + dr.u) * F.col(sd[f.name]) * sign
             if _is_int(f.dataType):
                 return trunc_to_int(c.cast("double") + dev)
             if _is_double(f.dataType):
                 return c + dev
             return None
 
-        ok = F.col("_ok").isNotNull()
-        out = self._per_attribute(joined, attributes, dr, rule, extra_guard=ok)
-        return out.select(*df.columns)
+        return self._per_attribute(joined, df.columns, attributes, dr, rule, extra_guard=F.col(names[0]).isNotNull())
 
     def zeroes(self, df: DataFrame, attributes, seed: int | None = None) -> DataFrame:
         """int -> 0, double -> 0.0 (other types unchanged, status still set)."""
         attributes = list(attributes)
         dr = draws(self._keys(df), self._seed(seed), "zeroes", self.ratio, len(attributes))
-        df, dr = with_draws(df, dr)
+        drawn, dr = with_draws(df, dr)
 
         def rule(f, c):
             if _is_int(f.dataType):
@@ -177,13 +197,13 @@ class SuspectInjector:
                 return F.lit(0.0)
             return None
 
-        return self._per_attribute(df, attributes, dr, rule)
+        return self._per_attribute(drawn, df.columns, attributes, dr, rule)
 
     def negatives(self, df: DataFrame, attributes, seed: int | None = None) -> DataFrame:
         """-value for int (MIN_INT stays itself) and double."""
         attributes = list(attributes)
         dr = draws(self._keys(df), self._seed(seed), "negatives", self.ratio, len(attributes))
-        df, dr = with_draws(df, dr)
+        drawn, dr = with_draws(df, dr)
 
         def rule(f, c):
             if _is_int(f.dataType):
@@ -192,7 +212,7 @@ class SuspectInjector:
                 return -c
             return None
 
-        return self._per_attribute(df, attributes, dr, rule)
+        return self._per_attribute(drawn, df.columns, attributes, dr, rule)
 
     def hilo(self, df: DataFrame, seed: int | None = None, attributes=C.HILO_ATTRIBUTES,
              high: str = C.HILO_HIGH, low: str = C.HILO_LOW, skip_degenerate: bool = False) -> DataFrame:
@@ -205,8 +225,9 @@ class SuspectInjector:
         require_columns(df, vcols, "price column")
         dr = draws(self._keys(df), self._seed(seed), "hilo", self.ratio, len(attributes))
         m = float(self.magnitude)
-        df, dr = with_draws(df, dr, {"__lo": row_min(vcols), "__hi": row_max(vcols)})
-        lo, hi = F.col("__lo"), F.col("__hi")
+        lo_name, hi_name = spare_names(df, "lo", "hi")
+        drawn, dr = with_draws(df, dr, {lo_name: row_min(vcols), hi_name: row_max(vcols)})
+        lo, hi = F.col(lo_name), F.col(hi_name)
         d = hi - lo
         spread_up = d * dr.u * F.lit(0.9) * F.lit(2.0) * F.lit(m)
         outside = d * (F.lit(0.1) + dr.u * F.lit(0.9) * F.lit(m))
@@ -228,7 +249,7 @@ class SuspectInjector:
                 return None
             return values[f.name]
 
-        return self._per_attribute(df, attributes, dr, rule, extra_guard=guard)
+        return self._per_attribute(drawn, df.columns, attributes, dr, rule, extra_guard=guard)
 
     def ask_bid_mid(self, df: DataFrame, seed: int | None = None, attributes=C.SPREAD_ATTRIBUTES) -> DataFrame:
         """Move one of ask/bid/mid by ±M·(0.1 + 0.9·U)·(hi - lo); the status is not set when hi = lo."""
@@ -238,8 +259,9 @@ class SuspectInjector:
         require_columns(df, vcols, "price column")
         dr = draws(self._keys(df), self._seed(seed), "askbidmid", self.ratio, len(attributes))
         m = float(self.magnitude)
-        df, dr = with_draws(df, dr, {"__lo": row_min(vcols), "__hi": row_max(vcols)})
-        lo, hi = F.col("__lo"), F.col("__hi")
+        lo_name, hi_name = spare_names(df, "lo", "hi")
+        drawn, dr = with_draws(df, dr, {lo_name: row_min(vcols), hi_name: row_max(vcols)})
+        lo, hi = F.col(lo_name), F.col(hi_name)
         shift = (F.lit(0.1) + dr.u * F.lit(0.9)) * (hi - lo) * F.when(dr.low_side, F.lit(-m)).otherwise(F.lit(m))
 
         def rule(f, c):
@@ -247,5 +269,5 @@ class SuspectInjector:
                 return None
             return c + shift
 
-        return self._per_attribute(df, attributes, dr, rule, extra_guard=lo.isNotNull(),
+        return self._per_attribute(drawn, df.columns, attributes, dr, rule, extra_guard=lo.isNotNull(),
                                    status_guard=(hi != lo))

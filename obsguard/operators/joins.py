@@ -5,9 +5,9 @@ Three plans, chosen from measurements of the (checkpointed) per-key table:
 1. broadcast hash join when the table fits the session's broadcast threshold: the big side is not
    shuffled at all;
 2. otherwise a shuffle join in which *hot* keys are salted: a key whose row count exceeds twice the
-   fair share of one shuffle partition (total / P) gets S = ceil(n_key * P / total) salts; its rows
-   on the big side spread over the salts by a hash of the row, and its single row on the small side
-   is replicated S times. At most P/2 keys can be hot, so the hot-key table has a proven bound and
+   fair share of one shuffle partition (total / P) gets S = ceil(8 * n_key * P / total) salts; its rows
+   on the big side spread over the salts by a hash of the row and its input partition, and its single
+   row on the small side is replicated S times. At most P/2 keys can be hot, so the hot-key table has a proven bound and
    is broadcast;
 3. AQE's skew-join split stays on as a second line of defence.
 """
@@ -16,10 +16,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import reliable_checkpoint
 
 COUNT_COL = "_n"
+HELPERS = ("_hot_key", "_hot_salts")
+SALTS_A_SHARE = 8
 
 
 def broadcast_limit(spark) -> int:
@@ -66,41 +69,48 @@ def hot_keys(small: DataFrame, key: str, count_col: str = COUNT_COL, partitions:
     if total <= 0 or p < 2:
         return small.where(F.lit(False)).select(F.col(key), F.lit(1).alias("_salts"))
     share = total / p
-    salts = F.least(F.ceil(F.col(count_col) / F.lit(share)), F.lit(p)).cast("int")
+    # several salts a share: they fall into partitions by hash, and many small ones fall evenly
+    salts = F.least(F.ceil(F.col(count_col) * F.lit(SALTS_A_SHARE) / F.lit(share)), F.lit(SALTS_A_SHARE * p)).cast("int")
     return small.where(F.col(count_col) > F.lit(2 * share)).select(F.col(key), salts.alias("_salts"))
 
 
 def _salt_of_row(df: DataFrame, n_salts) -> F.Column:
-    """Deterministic spread of a hot key's rows: a hash of the whole row modulo its salt count."""
-    cols = [F.col(c) for c in df.columns if not c.startswith("_hot")]
-    return F.pmod(F.xxhash64(*cols), n_salts.cast("bigint")).cast("int")
+    """Spread of a hot key's rows over its salts: a hash of the row plus the number of its input partition.
+
+    Distinct rows spread by their hash, equal rows by where they come from. Both are the same on a retry
+    whatever the order of rows in a task, so no row is lost or doubled when a stage is run again in part."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields
+            if f.name not in HELPERS and not isinstance(f.dataType, T.MapType)]
+    spread = F.xxhash64(*cols).bitwiseAND(F.lit((1 << 40) - 1)) + F.spark_partition_id()
+    return F.pmod(spread, n_salts.cast("bigint")).cast("int")
 
 
 def lookup_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, how: str = "left",
                 null_safe: bool = True, may_broadcast: bool = False, count_col: str = COUNT_COL) -> DataFrame:
     """Join `small` (one row per key) onto `big`, dropping the small side's key and helper columns."""
-    helpers = [c for c in (count_col,) if c in small.columns]
+    key = "_lookup_key"
+    small = small.withColumnRenamed(small_key, key)
+
+    def same(left, right):
+        return F.col(left).eqNullSafe(F.col(right)) if null_safe else F.col(left) == F.col(right)
+
     if may_broadcast:
-        right = F.broadcast(small)
-        cond = big[big_key].eqNullSafe(right[small_key]) if null_safe else big[big_key] == right[small_key]
-        return big.join(right, cond, how).drop(right[small_key], *[right[c] for c in helpers])
-    if count_col not in small.columns:
-        cond = big[big_key].eqNullSafe(small[small_key]) if null_safe else big[big_key] == small[small_key]
-        return big.join(small, cond, how).drop(small[small_key])
-
-    hot = hot_keys(small, small_key, count_col).withColumnRenamed(small_key, "_hot_key")
-    hot = hot.withColumnRenamed("_salts", "_hot_salts")
+        right = small.drop(count_col)
+        return big.join(F.broadcast(right), same(big_key, key), how).drop(key)
+    if count_col not in small.columns:   # no counts came along: take them from the big side's key alone
+        counts = big.groupBy(F.col(big_key).alias("_count_key")).agg(F.count(F.lit(1)).alias(count_col))
+        small = reliable_checkpoint(small.join(counts, F.col(key).eqNullSafe(F.col("_count_key")), "left")
+                                    .drop("_count_key"))
+
+    hot = hot_keys(small, key, count_col).withColumnRenamed(key, "_hot_key").withColumnRenamed("_salts", "_hot_salts")
     # the hot-key table is bounded (< P/2 rows), so broadcasting it is safe
-    tagged = big.join(F.broadcast(hot), big[big_key] == hot["_hot_key"], "left")
-    salt = F.when(F.col("_hot_salts").isNotNull(), _salt_of_row(tagged, F.col("_hot_salts"))).otherwise(F.lit(0))
-    left = tagged.withColumn("_salt", salt).drop("_hot_key", "_hot_salts")
-
-    rep = small.join(F.broadcast(hot), small[small_key] == hot["_hot_key"], "left")
-    rep = rep.withColumn("_salt", F.explode(F.when(F.col("_hot_salts").isNotNull(),
-                                                   F.sequence(F.lit(0), F.col("_hot_salts") - 1))
-                                            .otherwise(F.array(F.lit(0)))))
-    right = rep.drop("_hot_key", "_hot_salts", *helpers)
-    key_eq = left[big_key].eqNullSafe(right[small_key]) if null_safe else left[big_key] == right[small_key]
-    joined = left.join(right, key_eq & (left["_salt"] == right["_salt"]), how)
-    return joined.drop(right[small_key], right["_salt"], left["_salt"])
-
+    found = F.col("_hot_salts").isNotNull()
+    tagged = big.join(F.broadcast(hot), F.col(big_key).eqNullSafe(F.col("_hot_key")) & found, "left")
+    salt = F.when(found, _salt_of_row(tagged, F.col("_hot_salts"))).otherwise(F.lit(0))
+    left = tagged.withColumn("_left_salt", salt).drop(*HELPERS)
+
+    rep = small.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")) & found, "left")
+    salts = F.when(found, F.sequence(F.lit(0), F.col("_hot_salts") - 1)).otherwise(F.array(F.lit(0)))
+    right = rep.withColumn("_right_salt", F.explode(salts)).drop(*HELPERS, count_col)
+    joined = left.join(right, same(big_key, key) & (F.col("_left_salt") == F.col("_right_salt")), how)
+    return joined.drop(key, "_left_salt", "_right_salt")

@@ -111,7 +111,8 @@ def rounded(cols, types, digits=R, alias=True) -> str:
 
 
 def draw(key: str, seed: int, mode: str, slot: int) -> str:
-    return (f"(('0x' || substr(md5(concat_ws('|', {key}, '{seed}', '{mode}')), {1 + 8 * slot}, 8))::BIGINT "
+    part = f"coalesce(length({key})::VARCHAR || ':' || {key}, '~')"
+    return (f"(('0x' || substr(md5(concat_ws('|', {part}, '{seed}', '{mode}')), {1 + 8 * slot}, 8))::BIGINT "
             f"/ 4294967296.0)")
 
 
@@ -226,13 +227,14 @@ def profile_sql(threshold: float, cols=None, types=None, cte: str = OBS_CTE, src
 
 
 def describe_sql() -> str:
-    cols = [c for c in OBS_COLS if c not in ("obs_key", "ado_id", "li_ua_flag_value", "timestamp")]
     parts = []
-    for c in cols:
-        x = f"CAST({q(c)} AS DOUBLE)"
+    for c in OBS_COLS:
+        text = OBS_TYPES[c] == "s"
+        x = f"TRY_CAST({q(c)} AS DOUBLE)"
+        ends = (f"NULL::DOUBLE AS min, NULL::DOUBLE AS max, min({q(c)}) AS min_text, max({q(c)}) AS max_text" if text else
+                f"round(min({x}), 4) AS min, round(max({x}), 4) AS max, NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text")
         parts.append(f"SELECT '{c}' AS column_name, count({q(c)}) AS count, round(avg({x}), 4) AS mean, "
-                     f"round(stddev_samp({x}), 4) AS stddev, round(min({x}), 4) AS min, "
-                     f"round(max({x}), 4) AS max FROM obs")
+                     f"round(stddev_samp({x}), 4) AS stddev, {ends} FROM obs")
     return with_ctes(OBS_CTE) + "\nUNION ALL\n".join(parts)
 
 

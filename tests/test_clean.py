@@ -66,22 +66,26 @@ def test_complete_rows_keeps_nan(spark):
     assert clean.complete_rows(df, ["x"]).count() == 3
 
 
-def test_as_of_skips_non_positive(spark):
+def test_as_of_filters_by_any_date(spark):
     df = spark.createDataFrame([(1, 5), (2, 10)], "ado_id int, timestamp long")
-    assert clean.as_of(df, 0).count() == 2
-    assert clean.as_of(df, -5).count() == 2
+    assert clean.as_of(df, None).count() == 2       # None alone means no filter
+    assert clean.as_of(df, 0).count() == 0
+    assert clean.as_of(df, -5).count() == 0
     assert clean.as_of(df, 5).count() == 1
 
 
 def test_filter_on_type_short_names_and_duplicates(spark):
     df = spark.createDataFrame([(1.0, 0, 2.0, 1)], "ab_value double, ab_status int, abc double, abc_status int")
     assert columns.filter_on_type_strict(df, "double").columns == ["ab_value", "abc"]
-    out = columns.filter_on_type(df, "double").columns
+    assert columns.filter_on_type(df, "double").columns == ["ab_value", "abc", "ab_status", "abc_status"]
+    out = columns.filter_on_type(df, "double", legacy_prefix=True).columns
     # the prefix of "ab_value" is the whole name, so it has no status; "abc" takes "abc_status"
     assert out == ["ab_value", "abc", "abc_status"]
     wide = spark.createDataFrame([(1.0, 0, 0)], "li_ua_quantity_value double, li_ua_qux_status int, "
                                                 "li_ua_quantity_status int")
-    assert columns.filter_on_type(wide, "double").columns == ["li_ua_quantity_value", "li_ua_qux_status"]
+    legacy = columns.filter_on_type(wide, "double", legacy_prefix=True).columns
+    assert legacy == ["li_ua_quantity_value", "li_ua_qux_status"]
+    assert columns.filter_on_type(wide, "double").columns == ["li_ua_quantity_value", "li_ua_quantity_status"]
     assert columns.drop_columns(df, ["nope", "abc"]).columns == ["ab_value", "ab_status", "abc_status"]
 
 
