@@ -36,6 +36,7 @@ BITS = 4                 # differing bits of linked fingerprints, at most
 MIN_BYTES = 8 - BITS     # positional bytes that linked fingerprints share, at least
 SEED = 42
 LONG_LIST = 1 << 15
+PENDING = 1 << 18        # links that a task holds before it contracts them
 _CHUNK = 1 << 15         # shingles unpacked at a time
 
 
@@ -98,16 +99,15 @@ def _linked(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
 
 
 def _spanning(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect every linked part of a list of distinct fingerprints."""
+    """(v, w) pairs that connect every linked part of a list of distinct fingerprints, each part as a star."""
     left, right, rest = [], [], values
     while len(rest):
-        queue, rest = [rest[0]], rest[1:]
+        first, queue, rest = rest[0], [rest[0]], rest[1:]
         while queue and len(rest):
-            v = queue.pop()
-            near = _linked(rest, v)
+            near = _linked(rest, queue.pop())
             if near.any():
                 found = rest[near]
-                left.append(np.full(len(found), v))
+                left.append(np.full(len(found), first))
                 right.append(found)
                 queue.extend(found)
                 rest = rest[~near]
@@ -115,6 +115,24 @@ def _spanning(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
+def _contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same connections as stars around the least signed value of each part."""
+    nodes, at = np.unique(np.concatenate([a, b]).view(np.int64), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        fresh = label.copy()
+        np.minimum.at(fresh, label[x], low)
+        np.minimum.at(fresh, label[y], low)
+        fresh = fresh[fresh]
+        if (fresh == label).all():
+            break
+        label = fresh
+    member = label != np.arange(len(nodes))
+    return nodes[label[member]].view(np.uint64), nodes[member].view(np.uint64)
+
+
 def _list_links(keys: np.ndarray, values: np.ndarray, small: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole lists, sorted by key: short lists all at once, longer ones one by one."""
     left, right = [], []
@@ -139,7 +157,11 @@ def _list_links(keys: np.ndarray, values: np.ndarray, small: int = 16) -> tuple[
 
 
 def _links_of(longest: int):
-    """Task over rows (key, fp) sorted by key: links (a, b), and members of over-long lists as (fp, null)."""
+    """Task over rows (key, fp) sorted by key: links (a, b), and members of over-long lists as (fp, null).
+
+    The links found by a task are contracted to stars before they leave it, which keeps them few and the
+    rounds of the components short."""
+    pending: list = []
 
     def emit(a, b=None):
         signed = a.view(np.int64)
@@ -147,6 +169,7 @@ def _links_of(longest: int):
         return pa.RecordBatch.from_arrays([pa.array(signed), other], ["a", "b"])
 
     def run(batches):
+        pending.clear()
         key = np.zeros(0, np.int64)
         val = np.zeros(0, np.uint64)
         long_key = None
@@ -172,6 +195,7 @@ def _links_of(longest: int):
                 key, val = key[:0], val[:0]
         if len(key):
             yield from lists(key, val)
+        yield from drained()
 
     def lists(k, v):
         heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -180,9 +204,16 @@ def _links_of(longest: int):
         if over.any():
             yield emit(v[over])
         keep = np.repeat((sizes > 1) & (sizes <= longest), sizes)
-        a, b = _list_links(k[keep], v[keep]) if keep.any() else (v[:0], v[:0])
+        if keep.any():
+            pending.append(_list_links(k[keep], v[keep]))
+            if sum(len(a) for a, _ in pending) > PENDING:
+                yield from drained()
+
+    def drained():
+        a, b = (np.concatenate(x) for x in zip(*pending, strict=True)) if pending else (np.zeros(0, np.uint64),) * 2
+        pending.clear()
         if len(a):
-            yield emit(np.minimum(a, b), np.maximum(a, b))
+            yield emit(*_contracted(a, b))
 
     return run
 
@@ -221,34 +252,37 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     Alternating large-star and small-star rounds until nothing changes; every round's links are kept in
     shared storage."""
     state = reliable_checkpoint(edges.where("a <> b").select("a", "b").distinct())
-    mark = None
     for _ in range(rounds):
         both = state.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             state.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        # done when the links are stars: no node but a root has two links, no root has a link to a lesser node
+        ends = both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        if not ends.where("low < u and (high > u or low <> high)").limit(1).count():
+            break
+        least = ends.select(F.col("u").alias("w"), F.least("u", "low").alias("m"))
+        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         state = reliable_checkpoint(small)
-        now = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if mark == (now["n"], now["s"]):
-            break
-        mark = (now["n"], now["s"])
-    return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return state.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
 
 
 def fingerprint_components(marked: DataFrame, key: Column, longest: int = LONG_LIST) -> DataFrame:
     """(f, least, _n): for every distinct fingerprint of `marked`, the least `key` of its component and its rows."""
     fps = reliable_checkpoint(marked.groupBy("fp").agg(F.min(key).alias("key"), F.count(F.lit(1)).alias("n")))
-    roots, small = materialise_small(components(links(fps.select("fp"), longest)))
-    rooted = lookup_join(fps, roots, "fp", "node", how="left", null_safe=False, may_broadcast=small)
-    rooted = reliable_checkpoint(rooted.select("fp", "key", "n", F.coalesce("root", "fp").alias("root")))
-    # a fingerprint without a link is its own component; only linked components need their least key looked up
-    least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("_n"))
-    least, small = materialise_small(least.where("_n > 1"))
-    out = lookup_join(rooted, least, "root", "r", how="left", null_safe=False, may_broadcast=small)
-    return out.select(F.col("fp").alias("f"), F.coalesce("least", "key").alias("least"), F.col("n").alias("_n"))
+    roots = reliable_checkpoint(components(links(fps.select("fp"), longest)))
+    # only linked fingerprints, mostly few, are gathered by component; the joins by fingerprint have unique keys
+    own = fps.select(F.col("fp").alias("f"), "key")
+    least = (roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+             .join(own, F.col("node") == F.col("f")).groupBy(F.col("root").alias("r"))
+             .agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("_n")))
+    least, small = materialise_small(least)
+    linked = lookup_join(roots, least, "root", "r", how="inner", null_safe=False, may_broadcast=small)
+    linked = linked.select("node", "least").unionByName(least.select(F.col("r").alias("node"), "least"))
+    return fps.join(linked, F.col("fp") == F.col("node"), "left").select(
+        F.col("fp").alias("f"), F.coalesce("least", "key").alias("least"), F.col("n").alias("_n"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
