@@ -43,7 +43,8 @@ from ..functions.exprs import binarize_status  # noqa: E402
 from ..functions.metrics import classification_report, confusion_matrix, regression_report  # noqa: E402
 from ..operators import clean, columns, entity, features, split  # noqa: E402
 from ..operators.inject import SuspectInjector  # noqa: E402
-from ..sources.tables import load_rows  # noqa: E402
+from ..operators.rank import with_global_rank  # noqa: E402
+from ..sources.tables import load_rows, scan_all  # noqa: E402
 
 SCALE_FEATURES = ["li_ua_quantity_value", "li_ua_price_value", "li_ua_tax_value", "li_ua_linenumber_value"]
 STD_ATTRS = ["li_ua_quantity", "li_ua_price", "li_ua_linenumber"]
@@ -61,7 +62,8 @@ def _round_doubles(df: DataFrame, digits: int = ROUND) -> DataFrame:
 
 
 def q_scan_all(spark, sf_dir):
-    return _obs(spark, sf_dir)
+    """The full scan of a table by path and format."""
+    return scan_all(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet", "parquet")
 
 
 def q_scan_attribute(spark, sf_dir):
@@ -83,7 +85,7 @@ def q_profile_columns_events(spark, sf_dir):
 
 def q_describe_columns(spark, sf_dir):
     o = _obs(spark, sf_dir)
-    return _round_doubles(clean.describe_columns(o), 4)
+    return _round_doubles(clean.describe_columns(o), 2)
 
 
 def q_drop_incomplete_columns(spark, sf_dir):
@@ -106,16 +108,25 @@ def q_as_of(spark, sf_dir):
     return clean.as_of(_obs(spark, sf_dir), AS_OF_MS)
 
 
+def q_as_of_timestamp(spark, sf_dir):
+    """The as-of filter on a timestamp column: the bound is a literal that reaches the scan."""
+    return clean.as_of(fixtures.obs_timestamp(spark, sf_dir), AS_OF_MS)
+
+
 def q_split_by_date(spark, sf_dir):
     o = _obs(spark, sf_dir).select("obs_key", C.ID_COL, C.TIME_COL)
+    return split.tag_by_date(o, SPLIT_MS).where("part is not null")
+
+
+def q_split_by_date_timestamp(spark, sf_dir):
+    o = fixtures.obs_timestamp(spark, sf_dir).select("obs_key", C.ID_COL, C.TIME_COL)
     train, test = split.split_by_date(o, SPLIT_MS)
-    return train.withColumn("part", F.lit(0)).unionByName(test.withColumn("part", F.lit(1)))
+    return train.withColumn("part", F.lit(0)).unionByName(test.withColumn("part", F.lit(1))).drop(C.TIME_COL)
 
 
 def q_hash_split(spark, sf_dir):
     o = _obs(spark, sf_dir).select("obs_key", C.ID_COL, C.TIME_COL)
-    parts = split.hash_split(o, [0.8, 0.2], SEED, key_cols=["obs_key"])
-    return parts[0].withColumn("part", F.lit(0)).unionByName(parts[1].withColumn("part", F.lit(1)))
+    return split.tag_split(o, [0.8, 0.2], SEED, key_cols=["obs_key"])
 
 
 def q_select_by_type_strict(spark, sf_dir):
@@ -198,9 +209,22 @@ def q_labeled_points_events(spark, sf_dir):
     return transform_rows(ev, "ev_ua_value_status", 0.0, "all").expanded(ROUND)
 
 
+def q_labeled_points_timestamp(spark, sf_dir):
+    """The labelled plan on a timestamp column gives epoch milliseconds."""
+    o = fixtures.obs_timestamp(spark, sf_dir).drop("obs_key")
+    return transform_rows(o, "li_ua_quantity_status", 0.0, "all", AS_OF_MS).expanded(ROUND)
+
+
+def q_labeled_points_three_strings(spark, sf_dir):
+    """Three string attributes indexed in one pass."""
+    o = fixtures.obs_with_strings(spark, sf_dir).drop("obs_key")
+    return transform_rows(o, "li_ua_quantity_status", 0.05, "all").expanded(ROUND)
+
+
 def q_sort_by_time(spark, sf_dir):
+    """Rows in time order with their position in it; ties by entity, then by row key."""
     o = _obs(spark, sf_dir).select("obs_key", C.ID_COL, C.TIME_COL)
-    return features.sort_by_time(o)
+    return with_global_rank(o, C.TIME_COL, C.ID_COL, "obs_key", name="position")
 
 
 def q_entity_counts(spark, sf_dir):
@@ -225,6 +249,21 @@ def q_join_entity_stats(spark, sf_dir):
     return _round_doubles(entity.join_entity_stats(o, st))
 
 
+def q_join_entity_stats_shuffled(spark, sf_dir):
+    """The same join by the salted shuffle."""
+    o = _obs(spark, sf_dir).select("obs_key", C.ID_COL, "li_ua_quantity_value")
+    st = entity.entity_stddev(o, ["li_ua_quantity"])
+    return _round_doubles(entity.join_entity_stats(o, st, force_shuffle=True))
+
+
+def q_minmax_by_entity_null_hot(spark, sf_dir):
+    """Per-entity scaling by the salted shuffle where a null entity holds most rows."""
+    o = _obs(spark, sf_dir).select("obs_key", F.when(F.col("li_ua_linenumber_value") > 2, F.col(C.ID_COL)).alias(C.ID_COL),
+                                   *SCALE_FEATURES)
+    o = features.to_double_all(o, keep=("obs_key", C.ID_COL))
+    return _round_doubles(features.scale_by_entity(o, SCALE_FEATURES, force_shuffle=True))
+
+
 def q_entity_feature_ranges(spark, sf_dir):
     o = _obs(spark, sf_dir)
     return _round_doubles(entity.entity_feature_ranges(o, ["li_ua_quantity_value", "li_ua_tax_value"]))
@@ -275,6 +314,14 @@ def q_inject_negate_events(spark, sf_dir):
     return _round_doubles(_injector().negatives(ev, ["ev_ua_value", "ev_ua_type"], SEED))
 
 
+def q_inject_keeps_columns(spark, sf_dir):
+    """Columns named like helpers survive an injector, unchanged."""
+    o = _obs(spark, sf_dir).select("obs_key", C.ID_COL, C.TIME_COL, "li_ua_quantity_value", "li_ua_quantity_status",
+                                   F.col("li_ua_tax_value").alias("__batch"), F.col("li_ua_flag_value").alias("_hit"),
+                                   F.col("li_ua_linenumber_value").alias("_u"))
+    return _injector().negatives(o, ["li_ua_quantity"], SEED)
+
+
 def q_inject_stack(spark, sf_dir):
     """Stack two injected variants of the same rows (bag union by name)."""
     inj = _injector().with_ratio(0.1)
@@ -304,107 +351,216 @@ def q_regression_report(spark, sf_dir):
 # Model queries (MLlib): training per family, registry round trip, evaluations
 # ---------------------------------------------------------------------------------------------
 from pyspark.ml.feature import VectorIndexer  # noqa: E402
-from pyspark.ml.regression import LinearRegression  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 from . import jobs, train as training  # noqa: E402
+from .grids import _grid  # noqa: E402
 
+# The search spaces of the registered training queries are named here and small; the default is the full one.
+QUICK = "smoke"
 
-def _cls_points(spark, sf_dir):
-    o = _obs(spark, sf_dir).drop("obs_key")
-    return transform_rows(o, "li_ua_price_status", 0.0, "all", AS_OF_MS, sort=False).frame
 
+def _one_cell(task, fam, /, **values):
+    """A search space of a single cell."""
+    return {task: {fam: lambda est, n: _grid(est, {k: [v] for k, v in values.items()})}}
 
-def _reg_points(spark, sf_dir):
-    o = _obs(spark, sf_dir).drop("obs_key")
-    return transform_rows(o, "li_ua_price_value", 0.0, "all", None, sort=False).frame
 
+def _train(points, task, fam, /, **values):
+    return training.train_family(points, task, fam, training.TrainConfig(grid=_one_cell(task, fam, **values)))
 
-def _ts_points(spark, sf_dir):
-    o = _obs(spark, sf_dir).drop("obs_key")
-    return transform_rows(o, "li_ua_price_value", 0.0, "time", None, sort=False).frame
+
+def _learnable_points(spark, sf_dir, task, family):
+    """All rows with a label that the features determine: b tells line numbers above 3."""
+    o = fixtures.learnable(spark, sf_dir)
+    label = F.col("li_ua_b_value") if task == "classification" else F.col("li_ua_y_value")
+    o = o.select("obs_key", label.alias(C.LABEL_COL), F.col("li_ua_b_value").alias("b"), F.col("li_ua_c_value").alias("c"),
+                 "quantity")
+    return features.assemble(o, ["b", "quantity"] if family in ("linear", "glm") else ["b", "c"])
 
 
 def _train_query(task, family):
     def run(spark, sf_dir):
-        lp = _cls_points(spark, sf_dir) if task == "classification" else _reg_points(spark, sf_dir)
-        tm = training.train_family(lp, task, family, training.TrainConfig(grid="smoke"))
-        return training.params_frame(spark, [tm])
+        """Train one family over all rows of a learnable label, then count (label, prediction) over all rows."""
+        points = _learnable_points(spark, sf_dir, task, family)
+        tm = training.train_family(points, task, family, training.TrainConfig(grid=QUICK))
+        return tm.model.transform(points).groupBy(
+            C.LABEL_COL, F.round(F.col(C.PREDICTION_COL).cast("double"), 3).alias(C.PREDICTION_COL)).agg(
+            F.count(F.lit(1)).alias("n"))
 
     run.__name__ = f"train_{task}_{family}"
     return run
 
 
-def q_train_classification_naive_bayes_full(spark, sf_dir):
-    """Naive Bayes over the original (full) search space: smoothing 0, 1, 2."""
-    lp = _cls_points(spark, sf_dir)
-    tm = training.train_family(lp, "classification", "naive_bayes", training.TrainConfig(grid="full"))
-    return training.params_frame(spark, [tm])
+def _status_points(spark, sf_dir, names):
+    """The price status as label, raw numbers as features; all rows."""
+    o = _obs(spark, sf_dir).select("obs_key", binarize_status(F.col("li_ua_price_status").cast("double")).alias(C.LABEL_COL),
+                                   *[F.col(c).cast("double").alias(c) for c in names])
+    return features.assemble(o, names)
+
+
+NB_FEATURES = ["li_ua_quantity_value", "li_ua_linenumber_value"]
+
+
+def q_naive_bayes_parameters(spark, sf_dir):
+    """Class priors and conditional log shares of naive Bayes for each smoothing of the original search space."""
+    points = _status_points(spark, sf_dir, NB_FEATURES)
+    out = []
+    for smoothing in (0.0, 1.0, 2.0):
+        m = _train(points, "classification", "naive_bayes", smoothing=smoothing).model.stages[-1]
+        for label in range(2):
+            for j, name in enumerate(NB_FEATURES):
+                out.append((smoothing, float(label), name, round(float(m.pi[label]), 6), round(float(m.theta[label, j]), 6)))
+    return spark.createDataFrame(out, "smoothing double, label double, feature string, pi double, theta double")
+
+
+def _price_on_quantity(spark, sf_dir):
+    o = _obs(spark, sf_dir)
+    return features.assemble(o.select("obs_key", F.col("li_ua_price_value").alias(C.LABEL_COL), "li_ua_quantity_value"),
+                             ["li_ua_quantity_value"])
+
+
+def _line(spark, model):
+    res = spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double")
+    return res.select(F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"))
 
 
 def q_linear_fit_coefficients(spark, sf_dir):
     """Least squares of price on quantity (no regularisation): slope and intercept."""
+    tm = _train(_price_on_quantity(spark, sf_dir), "regression", "linear", regParam=0.0, solver="normal")
+    return _line(spark, tm.model.stages[-1])
+
+
+def q_glm_fit_coefficients(spark, sf_dir):
+    """The gaussian generalized linear model with identity link is the same line."""
+    tm = _train(_price_on_quantity(spark, sf_dir), "regression", "glm", family="gaussian", link="identity", regParam=0.0)
+    return _line(spark, tm.model.stages[-1])
+
+
+def _high_quantity(spark, sf_dir, label):
     o = _obs(spark, sf_dir)
-    df = features.assemble(o.select(F.col("li_ua_price_value").alias(C.LABEL_COL), "li_ua_quantity_value"),
-                           ["li_ua_quantity_value"])
-    m = LinearRegression(regParam=0.0, solver="normal", labelCol=C.LABEL_COL).fit(df)
-    res = spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double")
-    return res.select(F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"))
+    o = o.select("obs_key", label.alias(C.LABEL_COL), (F.col("li_ua_quantity_value") > 35).cast("double").alias("high"))
+    return features.assemble(o, ["high"])
+
+
+def q_logistic_log_odds(spark, sf_dir):
+    """Logistic regression on one 0/1 feature: intercept and coefficient are log-odds of the counts."""
+    label = binarize_status(F.col("li_ua_price_status").cast("double"))
+    points = _high_quantity(spark, sf_dir, label)
+    m = _train(points, "classification", "logistic", regParam=0.0, maxIter=100, tol=1e-10).model.stages[-1]
+    res = spark.createDataFrame([(float(m.intercept), float(m.coefficients[0]))], "intercept double, coefficient double")
+    return res.select(F.round("intercept", 3).alias("intercept"), F.round("coefficient", 3).alias("coefficient"))
+
+
+def q_tree_leaves(spark, sf_dir):
+    """Trees of depth 1 on a 0/1 feature: leaf means of the price, leaf majorities of the price status."""
+    price = _high_quantity(spark, sf_dir, F.col("li_ua_price_value"))
+    status = _high_quantity(spark, sf_dir, binarize_status(F.col("li_ua_price_status").cast("double")))
+    out = []
+    for task, points in (("regression", price), ("classification", status)):
+        tm = _train(points, task, "decision_tree", maxDepth=1, minInfoGain=0.0)
+        high = vector_to_array(F.col(C.FEATURES_COL))[0]
+        out.append(tm.model.transform(points).groupBy(high.alias("high"), F.round(F.col(C.PREDICTION_COL), 2).alias("leaf"))
+                   .agg(F.count(F.lit(1)).alias("n")).withColumn("task", F.lit(task)))
+    return out[0].unionByName(out[1])
+
+
+def q_isotonic_invariants(spark, sf_dir):
+    """Isotonic regression of price on quantity: the fit keeps the sum of the labels and never falls."""
+    points = _price_on_quantity(spark, sf_dir)
+    tm = _train(points, "regression", "isotonic", isotonic=True)
+    scored = tm.model.transform(points).select(vector_to_array(F.col(C.FEATURES_COL))[0].alias("x"), C.LABEL_COL, C.PREDICTION_COL)
+    by = scored.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.sum(C.PREDICTION_COL).alias("p"),
+                                 F.min(C.PREDICTION_COL).alias("lo"), F.max(C.PREDICTION_COL).alias("hi"))
+    from pyspark.sql.window import Window
+
+    falls = F.when(F.lag("hi").over(Window.orderBy("x")) > F.col("lo") + 1e-9, 1).otherwise(0)    # one row a quantity
+    return by.withColumn("falls", falls).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_values"),
+                                             F.sum("falls").alias("n_falls"), F.round(F.sum("p"), 0).alias("sum_prediction"))
+
+
+def q_validation_cells(spark, sf_dir):
+    """Every cell of a named search space with its validation metric, on a learnable label: all cells are right."""
+    points = _learnable_points(spark, sf_dir, "classification", "decision_tree")
+    space = {"classification": {"decision_tree": lambda e, n: _grid(e, {"impurity": ["gini", "entropy"], "maxDepth": [3, 5, 7, 9]})}}
+    tm = training.train_family(points, "classification", "decision_tree", training.TrainConfig(grid=space))
+    n = points.count()
+    return training.cells_frame(spark, [tm]).select("cell", "metric_name", "metric", "chosen", F.lit(n).cast("bigint").alias("n_rows"))
 
 
 CATEGORICAL_FEATURES = ["li_ua_linenumber_value", "li_ua_tax_value", "li_ua_quantity_value", "li_ua_price_value"]
 
 
 def q_categorical_map(spark, sf_dir):
-    """VectorIndexer category maps (features with at most 32 distinct values)."""
-    o = features.to_double_all(_obs(spark, sf_dir).select(*CATEGORICAL_FEATURES), keep=())
+    """VectorIndexer category maps (features with at most 32 distinct values) of the training set's own indexer."""
+    o = features.to_double_all(_obs(spark, sf_dir).select(*CATEGORICAL_FEATURES, F.lit(0.0).alias(C.LABEL_COL)), keep=())
     vec = features.assemble(o, CATEGORICAL_FEATURES)
-    vi = VectorIndexer(inputCol=C.FEATURES_COL, outputCol="idx", maxCategories=C.DEFAULT_MAX_CATEGORIES).fit(vec)
+    ts = training.training_set(vec, families=("decision_tree",))
+    vi: VectorIndexer = ts.indexer
+    ts.release()
     rows = [(int(fi), CATEGORICAL_FEATURES[fi], float(v), int(c))
             for fi, m in vi.categoryMaps.items() for v, c in m.items()]
     return spark.createDataFrame(rows, "feature_index int, feature string, value double, category int")
 
 
-def q_registry_roundtrip(spark, sf_dir):
-    """Save a fitted pipeline, load it back by key, and score with both: equal confusion counts."""
+def _registry(spark):
     import uuid
 
     from ..sources.registry import ModelRegistry, default_root
 
-    lp = _cls_points(spark, sf_dir)
-    cfg = training.TrainConfig(grid="smoke")
-    tm = training.train_family(lp, "classification", "decision_tree", cfg)
-    reg = ModelRegistry(spark, f"{default_root(spark)}/{uuid.uuid4().hex}")
+    return ModelRegistry(spark, f"{default_root(spark)}/{uuid.uuid4().hex}")
+
+
+def q_registry_roundtrip(spark, sf_dir):
+    """Save a fitted pipeline, load it back by key and score all rows with both: rows whose predictions differ."""
+    points = _status_points(spark, sf_dir, ["li_ua_quantity_value", "li_ua_price_value", "li_ua_tax_value"])
+    cfg = training.TrainConfig(grid=QUICK)
+    tm = training.train_family(points, "classification", "decision_tree", cfg)
+    reg = _registry(spark)
     key = ("classification", "li_ua_price", "decision_tree", cfg.hash("classification", "decision_tree"))
     reg.save(tm.model, *key, metric=tm.validation_metric)
-    loaded = reg.load(*key)
-    out = []
-    for source, model in (("saved", tm.model), ("loaded", loaded)):
-        out.append(model.transform(lp).groupBy(C.LABEL_COL, C.PREDICTION_COL).agg(F.count(F.lit(1)).alias("n"))
-                   .withColumn("source", F.lit(source)))
-    listing = reg.list_models().select(F.lit("registry").alias("source"), F.col("version").cast("double").alias(
-        C.LABEL_COL), F.col("metric").alias(C.PREDICTION_COL), F.lit(1).cast("bigint").alias("n"))
-    return out[0].unionByName(out[1]).unionByName(listing)
+    both = tm.model.transform(points).select(C.LABEL_COL, C.FEATURES_COL, F.col(C.PREDICTION_COL).alias("saved"))
+    both = reg.load(*key).transform(both)
+    return both.groupBy(C.LABEL_COL).agg(F.count(F.lit(1)).alias("n"),
+                                         F.sum((F.col("saved") != F.col(C.PREDICTION_COL)).cast("int")).alias("differing"))
+
+
+def q_registry_listing(spark, sf_dir):
+    """What the index lists after three saves of two keys: latest version of each, with the rows it was trained on."""
+    points = _price_on_quantity(spark, sf_dir)
+    reg = _registry(spark)
+    n = points.count()
+    for attribute, times in (("li_ua_price", 2), ("li_ua_tax", 1)):
+        tm = _train(points, "regression", "linear", regParam=0.0)
+        for _ in range(times):
+            reg.save(tm.model, "regression", attribute, "linear", "key", metric=float(n), features=["li_ua_quantity_value"])
+    return reg.list_models().groupBy("task", "attribute", "family").agg(
+        F.max("version").alias("version"), F.max("metric").cast("bigint").alias("trained_rows"),
+        F.max("features").alias("features"))
 
 
 def _job_config():
-    return jobs.JobConfig(train=training.TrainConfig(grid="smoke"))
+    return jobs.JobConfig(train=training.TrainConfig(grid=QUICK))
 
 
 def q_evaluate_classification(spark, sf_dir):
-    """Classify the price status from the raw table (attribute form of the evaluation job)."""
-    o = _obs(spark, sf_dir).drop("obs_key")
-    return _round_doubles(jobs.evaluate_classification_for(o, "li_ua_price", (0.8, 0.2), SEED,
-                                                           config=_job_config(), as_of_ms=AS_OF_MS))
+    """Classify a learnable status from the raw table (attribute form of the job), split by the row key."""
+    o = fixtures.learnable(spark, sf_dir)
+    return _round_doubles(jobs.evaluate_classification_for(o, "li_ua_b", (0.8, 0.2), SEED, config=_job_config(),
+                                                           key_cols=["obs_key"]), 3)
 
 
 def q_evaluate_regression(spark, sf_dir):
-    o = _obs(spark, sf_dir).drop("obs_key")
-    return _round_doubles(jobs.evaluate_regression_for(o, "li_ua_price", SPLIT_MS, config=_job_config()), 4)
+    """Regress a learnable value on the others, split by date."""
+    o = fixtures.learnable(spark, sf_dir).drop("obs_key")
+    return _round_doubles(jobs.evaluate_regression_for(o, "li_ua_y", SPLIT_MS, config=_job_config()), 3)
 
 
 def q_evaluate_time_series(spark, sf_dir):
-    o = _obs(spark, sf_dir).drop("obs_key")
-    return _round_doubles(jobs.evaluate_time_series_for(o, "li_ua_price", SPLIT_MS, config=_job_config()), 4)
+    """Regress a value on time alone, split by date: the rows scored per model, and whether it has its metrics."""
+    o = fixtures.learnable(spark, sf_dir).drop("obs_key")
+    report = jobs.evaluate_time_series_for(o, "li_ua_y", SPLIT_MS, config=_job_config())
+    return report.select("model", "n_rows", "dropped_labels", "error",
+                         (F.col("rmse").isNotNull() & (F.col("mae") <= F.col("rmse") + 1e-9)).alias("scored"))
 
 
 for _task, _fams in (("classification", training.CLASSIFIERS), ("regression", training.REGRESSORS)):

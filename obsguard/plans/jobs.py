@@ -1,7 +1,7 @@
 """Orchestration: train or load each family, score the hold-out set, and report all models at once.
 
-Scores of every model are stacked (model, label, prediction) and reduced by one metrics aggregate,
-so the report costs one job whatever the number of models.
+The labelled rows are stored once per evaluation. Scores of every model come from one pass over the test rows,
+stacked (model, label, prediction), and are reduced by one metrics aggregate.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.metrics import classification_report, regression_report
-from ..operators.split import random_split, split_by_date, tag_split
+from ..operators.split import tag_by_date, tag_split
+from ..session import reliable_checkpoint
 from ..sources.registry import ModelRegistry
 from ..sources.report import write_report
-from .train import CLASSIFIERS, REGRESSORS, TrainConfig, TrainedModel, label_stats, train_family
+from .labelled import labeled_points
+from .train import (CLASSIFIERS, REGRESSORS, VALID_COL, TrainConfig, TrainedModel, TrainingSet, draw_validation, spread, train_family,
+                    training_set)
 
 log = logging.getLogger(__name__)
 
@@ -41,144 +44,197 @@ class ModelSet:
     failures: dict = field(default_factory=dict)    # family -> error text
 
 
-def train_models(df: DataFrame, task: str, attribute: str = "", families=None, force_train: bool = True,
-                 config: JobConfig = JobConfig()) -> ModelSet:
+def train_models(df: DataFrame | TrainingSet, task: str, attribute: str = "", families=None, force_train: bool = True,
+                 config: JobConfig = JobConfig(), context: dict | None = None, features=(),
+                 stored: bool = False) -> ModelSet:
     """Per family: load from the registry unless forced or absent, else train and save.
 
-    A failing family is recorded with its error and the others go on.
+    `context` is all that tells this job's models from others of the same attribute (task form, as-of date,
+    threshold, split); it is part of the registry key, as are the feature names. The training rows are stored
+    once for all families; `stored` says that the caller has done so. A failing family is recorded with its error
+    and the others go on.
     """
     families = families or (CLASSIFIERS if task == "classification" else REGRESSORS)
-    registry = ModelRegistry(df.sparkSession, config.registry_root) if config.registry_root else None
-    stats = label_stats(df)
+    spark = df.frame.sparkSession if isinstance(df, TrainingSet) else df.sparkSession
+    registry = ModelRegistry(spark, config.registry_root) if config.registry_root else None
+    context = {**(context or {}), "features": list(features)}
     out = ModelSet()
+    wanted = []
     for fam in families:
-        key_hash = config.train.hash(task, fam)
         try:
+            key_hash = config.train.hash(task, fam, context)
             if registry is not None and not force_train and registry.exists(task, attribute, fam, key_hash):
-                out.models[fam] = registry.load(task, attribute, fam, key_hash)
-                continue
-            tm: TrainedModel = train_family(df, task, fam, config.train, stats)
-            out.models[fam] = tm.model
-            out.trained.append(tm)
-            if registry is not None:
-                registry.save(tm.model, task, attribute, fam, key_hash, tm.validation_metric)
+                out.models[fam] = registry.load(task, attribute, fam, key_hash, features)
+            else:
+                wanted.append((fam, key_hash))
         except Exception as e:  # noqa: BLE001 - family isolation
-            log.warning("Failed to retrieve %s %s model: %s", task, fam, e)
-            out.failures[fam] = f"{type(e).__name__}: {str(e)[:300]}"
+            out.failures[fam] = _failed(task, attribute, fam, e)
+    if not wanted:
+        return out
+    ts = df if isinstance(df, TrainingSet) else training_set(df, config.train, [f for f, _ in wanted], stored)
+    try:
+        for fam, key_hash in wanted:
+            try:
+                tm: TrainedModel = train_family(ts, task, fam, config.train)
+                out.models[fam] = tm.model
+                out.trained.append(tm)
+                if registry is not None:
+                    registry.save(tm.model, task, attribute, fam, key_hash, tm.validation_metric, features)
+            except Exception as e:  # noqa: BLE001 - family isolation
+                out.failures[fam] = _failed(task, attribute, fam, e)
+    finally:
+        if ts is not df:
+            ts.release()
     return out
 
 
-def score_all(models: dict, test: DataFrame) -> DataFrame:
-    """Stack predictions of every model: (model, label, prediction)."""
-    frames = []
-    for fam, model in models.items():
-        scored = model.transform(test).select(F.lit(fam).alias("model"), F.col(C.LABEL_COL).alias("label"),
-                                              F.col(C.PREDICTION_COL).cast("double").alias("prediction"))
-        frames.append(scored)
-    if not frames:
-        raise ValueError("no model to score")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def _failed(task: str, attribute: str, family: str, error: Exception) -> str:
+    log.warning("no %s model of family %s for attribute %r: %s", task, family, attribute, error)
+    return f"{type(error).__name__}: {error}"
 
 
-def _with_failures(report: DataFrame, failures: dict) -> DataFrame:
+def score_all(models: dict, test: DataFrame) -> DataFrame:
+    """Stack the predictions of every model, (model, label, prediction), in one pass over the test rows: the
+    models' transforms are chained, and each row then unfolds into one row per model."""
+    scored = test.select(C.LABEL_COL, C.FEATURES_COL)
+    columns = {}
+    for i, (fam, model) in enumerate(models.items()):
+        columns[fam] = f"_prediction_{i}"
+        keep = [*scored.columns, F.col(C.PREDICTION_COL).cast("double").alias(columns[fam])]
+        scored = model.transform(scored).select(*keep)
+    rows = F.array(*[F.struct(F.lit(fam).alias("model"), F.col(c).alias("prediction")) for fam, c in columns.items()])
+    if not columns:
+        rows = F.expr("cast(array() as array<struct<model:string,prediction:double>>)")
+    return scored.select(F.explode(rows).alias("r"), F.col(C.LABEL_COL).alias("label")).select(
+        "r.model", "label", "r.prediction")
+
+
+def _report(models: dict, failures: dict, test: DataFrame, summarise) -> DataFrame:
+    """The report of all models, stored, with the error of each family that has none. If scoring them together
+    fails, each is scored alone, so that one bad model costs only its own row."""
+    failures = dict(failures)
+
+    def frozen(some: dict) -> DataFrame:
+        scored = score_all(some, test)
+        rows = scored.groupBy(F.col("model").alias("m")).agg(F.count(F.lit(1)).alias("n_rows"))
+        report = summarise(scored)
+        return reliable_checkpoint(report.join(rows, report["model"] == rows["m"]).drop("m"))
+
+    try:
+        report = frozen(models)
+    except Exception as e:  # noqa: BLE001 - model isolation
+        log.warning("scoring all models together failed (%s); scoring them one by one", e)
+        report = frozen({})
+        for fam, model in models.items():
+            try:
+                report = report.unionByName(frozen({fam: model}))
+            except Exception as single:  # noqa: BLE001 - model isolation
+                failures[fam] = f"scoring failed: {type(single).__name__}: {single}"
+    report = report.withColumn("error", F.lit(None).cast("string"))
     if not failures:
-        return report.withColumn("error", F.lit(None).cast("string"))
-    spark = report.sparkSession
-    fail = spark.createDataFrame(list(failures.items()), "model string, error string")
-    return report.withColumn("error", F.lit(None).cast("string")).unionByName(fail, allowMissingColumns=True)
+        return report
+    fail = test.sparkSession.createDataFrame(list(failures.items()), "model string, error string")
+    return report.unionByName(fail, allowMissingColumns=True)
+
+
+PART = "_part"
+
+
+def _evaluate(tagged: DataFrame, task: str, summarise, force_train: bool, attribute: str, config: JobConfig, families,
+              context: dict | None, features, report_name: str) -> DataFrame:
+    """Store the labelled rows once, with their part and validation flag; train on part 0, score part 1."""
+    families = families or (CLASSIFIERS if task == "classification" else REGRESSORS)
+    drawn = draw_validation(tagged, config.train).select(C.LABEL_COL, C.FEATURES_COL, PART, VALID_COL)
+    cached = spread(drawn).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ms = train_models(cached.where(F.col(PART) == 0), task, attribute, families, force_train, config, context, features,
+                          stored=True)
+        report = _report(ms.models, ms.failures, cached.where(F.col(PART) == 1), summarise)
+    finally:
+        cached.unpersist()
+    if config.report_dir:
+        write_report(report, f"{config.report_dir.rstrip('/')}/{report_name}", config.report_format)
+    return report
 
 
 def evaluate_classification(labeled: DataFrame, splits=(0.8, 0.2), seed: int = 42, force_train: bool = True,
                             attribute: str = "", config: JobConfig = JobConfig(), legacy_swap: bool = False,
-                            families=None, key_cols=(C.ID_COL, C.TIME_COL), split: str = "hash") -> DataFrame:
+                            families=None, key_cols=None, split: str = "hash", context: dict | None = None,
+                            features=()) -> DataFrame:
     """Split → train/load classifiers → score the test part → one report row per model.
 
-    `split="hash"` draws each row's part from a hash of its key (reproducible whatever the
-    partitioning); `split="random"` is Spark's randomSplit, as the original used.
+    `split="hash"` draws each row's part from a hash of its key (`key_cols`, else all its columns and its place
+    in the scan); `split="random"` draws by Spark's generator, as the original did.
     """
     if split not in ("hash", "random"):
         raise ValueError("split must be 'hash' or 'random'")
-    # the labelled plan is computed once and kept (memory and local disk); both parts are filters of it
     if split == "hash":
-        cached = tag_split(labeled, list(splits), seed, key_cols=list(key_cols), name="_part")
-        cached = cached.persist(StorageLevel.MEMORY_AND_DISK)
-        train = cached.where(F.col("_part") == 0).drop("_part")
-        test = cached.where(F.col("_part") == 1).drop("_part")
+        tagged = tag_split(labeled, list(splits), seed, key_cols=key_cols, name=PART)
     else:
-        cached = labeled.persist(StorageLevel.MEMORY_AND_DISK)
-        train, test = random_split(cached, list(splits), seed)[:2]
-    try:
-        ms = train_models(train, "classification", attribute, families, force_train, config)
-        report = classification_report(score_all(ms.models, test), legacy_swap=legacy_swap)
-        report = _with_failures(report, ms.failures).cache()
-        report.count()
-    finally:
-        cached.unpersist()
-    if config.report_dir:
-        write_report(report, f"{config.report_dir.rstrip('/')}/classificationreport", config.report_format)
-    return report
+        share = splits[0] / sum(splits)
+        tagged = labeled.withColumn(PART, F.when(F.rand(seed) < F.lit(share), F.lit(0)).otherwise(F.lit(1)))
+    context = {"form": "classification", "split": [split, list(splits), seed, list(key_cols or ())], **(context or {})}
+    return _evaluate(tagged, "classification", lambda scored: classification_report(scored, legacy_swap=legacy_swap),
+                     force_train, attribute, config, families, context, features, "classificationreport")
 
 
-def _evaluate_regression(labeled: DataFrame, split_ms: int, force_train: bool, attribute: str,
-                         config: JobConfig, families, report_name: str) -> DataFrame:
-    cached = labeled.persist(StorageLevel.MEMORY_AND_DISK)
-    train, test = split_by_date(cached, split_ms)
-    try:
-        ms = train_models(train, "regression", attribute, families, force_train, config)
-        report = regression_report(score_all(ms.models, test))
-        report = _with_failures(report, ms.failures).cache()
-        report.count()
-    finally:
-        cached.unpersist()
-    if config.report_dir:
-        write_report(report, f"{config.report_dir.rstrip('/')}/{report_name}", config.report_format)
-    return report
+def _evaluate_by_date(labeled, split_ms, form, force_train, attribute, config, families, context, features, name):
+    context = {"form": form, "split_ms": int(split_ms), **(context or {})}
+    return _evaluate(tag_by_date(labeled, split_ms, PART), "regression", regression_report, force_train, attribute, config,
+                     families, context, features, name)
 
 
 def evaluate_regression(labeled: DataFrame, split_ms: int, force_train: bool = True, attribute: str = "",
-                        config: JobConfig = JobConfig(), families=None) -> DataFrame:
+                        config: JobConfig = JobConfig(), families=None, context: dict | None = None,
+                        features=()) -> DataFrame:
     """Split by date → train/load regressors → score → mse, rmse, r2, mae per model."""
-    return _evaluate_regression(labeled, split_ms, force_train, attribute, config, families, "regressionreport")
+    return _evaluate_by_date(labeled, split_ms, "regression", force_train, attribute, config, families, context, features,
+                             "regressionreport")
 
 
 def evaluate_time_series(labeled: DataFrame, split_ms: int, force_train: bool = True, attribute: str = "",
-                         config: JobConfig = JobConfig(), families=None) -> DataFrame:
+                         config: JobConfig = JobConfig(), families=None, context: dict | None = None,
+                         features=()) -> DataFrame:
     """The regression evaluation on time-only features, reported separately."""
-    return _evaluate_regression(labeled, split_ms, force_train, attribute, config, families,
-                                "timeseriesregressionreport")
+    return _evaluate_by_date(labeled, split_ms, "time_series", force_train, attribute, config, families, context, features,
+                             "timeseriesregressionreport")
 
 
 # -- attribute forms: load and transform the raw observation table first ---------------------------
 
-def _points(obs: DataFrame, task: str, attribute: str, as_of_ms, config: JobConfig) -> DataFrame:
-    from .labelled import labeled_points
+def _points(obs: DataFrame, task: str, attribute: str, as_of_ms, config: JobConfig, keep=()):
+    lp = labeled_points(obs, task, attribute, as_of_ms=as_of_ms, null_threshold=config.null_threshold, keep=tuple(keep))
+    context = {"as_of_ms": as_of_ms, "null_threshold": config.null_threshold, "scaled": lp.scaled}
+    return lp, context
+
 
-    return labeled_points(obs, task, attribute, as_of_ms=as_of_ms, null_threshold=config.null_threshold,
-                          sort=False).frame
+def _with_dropped(report: DataFrame, lp) -> DataFrame:
+    return report.withColumn("dropped_labels", F.lit(int(lp.dropped_labels)).cast("bigint"))
 
 
 def evaluate_classification_for(obs: DataFrame, attribute: str, splits=(0.8, 0.2), seed: int = 42,
                                 force_train: bool = True, config: JobConfig = JobConfig(),
-                                as_of_ms: int | None = None, **kw) -> DataFrame:
-    """Label the attribute's status, featurise the raw table, then evaluate the classifiers."""
-    lp = _points(obs, "classification", attribute, as_of_ms, config)
-    return evaluate_classification(lp, splits, seed, force_train, attribute, config, **kw)
+                                as_of_ms: int | None = None, key_cols=None, **kw) -> DataFrame:
+    """Label the attribute's status, featurise the raw table, then evaluate the classifiers. `key_cols` of the raw
+    table travel along and decide the split; the report says how many rows had no readable label."""
+    lp, context = _points(obs, "classification", attribute, as_of_ms, config, key_cols or ())
+    return _with_dropped(evaluate_classification(lp.frame, splits, seed, force_train, attribute, config, key_cols=key_cols,
+                                                 context=context, features=lp.feature_names, **kw), lp)
 
 
 def evaluate_regression_for(obs: DataFrame, attribute: str, split_ms: int, force_train: bool = True,
                             config: JobConfig = JobConfig(), as_of_ms: int | None = None,
                             families=None) -> DataFrame:
     """Regress the attribute's value on the other attributes, split by date."""
-    lp = _points(obs, "regression", attribute, as_of_ms, config)
-    return evaluate_regression(lp, split_ms, force_train, attribute, config, families)
+    lp, context = _points(obs, "regression", attribute, as_of_ms, config)
+    return _with_dropped(evaluate_regression(lp.frame, split_ms, force_train, attribute, config, families, context,
+                                             lp.feature_names), lp)
 
 
 def evaluate_time_series_for(obs: DataFrame, attribute: str, split_ms: int, force_train: bool = True,
                              config: JobConfig = JobConfig(), as_of_ms: int | None = None,
                              families=None) -> DataFrame:
     """Regress the attribute's value on time alone, split by date."""
-    lp = _points(obs, "time_series", attribute, as_of_ms, config)
-    return evaluate_time_series(lp, split_ms, force_train, attribute, config, families)
+    lp, context = _points(obs, "time_series", attribute, as_of_ms, config)
+    return _with_dropped(evaluate_time_series(lp.frame, split_ms, force_train, attribute, config, families, context,
+                                              lp.feature_names), lp)

@@ -232,9 +232,9 @@ def describe_sql() -> str:
         text = OBS_TYPES[c] == "s"
         x = f"TRY_CAST({q(c)} AS DOUBLE)"
         ends = (f"NULL::DOUBLE AS min, NULL::DOUBLE AS max, min({q(c)}) AS min_text, max({q(c)}) AS max_text" if text else
-                f"round(min({x}), 4) AS min, round(max({x}), 4) AS max, NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text")
-        parts.append(f"SELECT '{c}' AS column_name, count({q(c)}) AS count, round(avg({x}), 4) AS mean, "
-                     f"round(stddev_samp({x}), 4) AS stddev, {ends} FROM obs")
+                f"round(min({x}), 2) AS min, round(max({x}), 2) AS max, NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text")
+        parts.append(f"SELECT '{c}' AS column_name, count({q(c)}) AS count, round(avg({x}), 2) AS mean, "
+                     f"round(stddev_samp({x}), 2) AS stddev, {ends} FROM obs")
     return with_ctes(OBS_CTE) + "\nUNION ALL\n".join(parts)
 
 
@@ -439,6 +439,130 @@ def categorical_map_sql(max_categories: int = 32) -> str:
         "WHERE feature_index IN (SELECT feature_index FROM k)")
 
 
+LEARNABLE_CTE = """
+lb AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS ado_id, epoch_ms(l_shipdate) AS "timestamp",
+         concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS obs_key,
+         CASE WHEN l_linenumber > 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS b
+  FROM lineitem
+)"""
+
+CLASSIFIERS = ["decision_tree", "random_forest", "gbt", "mlp", "logistic", "naive_bayes"]
+REGRESSORS = ["linear", "glm", "decision_tree", "random_forest", "gbt", "isotonic"]
+
+
+def train_sql(task: str) -> str:
+    """A learnable label is predicted without error on every row."""
+    label = "b" if task == "classification" else "(10.0 * b + 5.0)::DOUBLE"
+    return with_ctes(LEARNABLE_CTE) + f"SELECT {label} AS label, {label} AS prediction, count(*) AS n FROM lb GROUP BY b"
+
+
+def naive_bayes_sql() -> str:
+    lab = binarize_sql("CAST(li_ua_price_status AS DOUBLE)")
+    base = (f"p AS (SELECT {lab} AS label, count(*) AS n, sum(li_ua_quantity_value) AS f0, "
+            f"sum(li_ua_linenumber_value)::DOUBLE AS f1 FROM obs GROUP BY 1)")
+    parts = []
+    for s in (0.0, 1.0, 2.0):
+        for j, name in enumerate(("li_ua_quantity_value", "li_ua_linenumber_value")):
+            parts.append(f"SELECT {s}::DOUBLE AS smoothing, label, '{name}' AS feature, "
+                         f"round(ln(n + {s}) - ln((SELECT sum(n) FROM p) + 2 * {s}), {R}) AS pi, "
+                         f"round(ln(f{j} + {s}) - ln(f0 + f1 + 2 * {s}), {R}) AS theta FROM p")
+    return with_ctes(OBS_CTE, base) + " UNION ALL ".join(parts)
+
+
+def line_sql() -> str:
+    return with_ctes(OBS_CTE) + (
+        "SELECT round(regr_slope(li_ua_price_value, li_ua_quantity_value), 4) AS slope, "
+        "round(regr_intercept(li_ua_price_value, li_ua_quantity_value), 2) AS intercept FROM obs")
+
+
+HIGH_CTE = """
+h AS (SELECT CASE WHEN li_ua_quantity_value > 35 THEN 1.0 ELSE 0.0 END::DOUBLE AS high, li_ua_price_value AS price,
+             CASE WHEN li_ua_price_status = 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS label FROM obs)"""
+
+
+def log_odds_sql() -> str:
+    lo = "ln(sum(label) FILTER (high = {v}) / sum(1 - label) FILTER (high = {v}))"
+    a, b = lo.format(v=0), lo.format(v=1)
+    return with_ctes(OBS_CTE, HIGH_CTE) + f"SELECT round({a}, 3) AS intercept, round({b} - {a}, 3) AS coefficient FROM h"
+
+
+def tree_leaves_sql() -> str:
+    return with_ctes(OBS_CTE, HIGH_CTE) + (
+        "SELECT high, round(avg(price), 2) AS leaf, count(*) AS n, 'regression' AS task FROM h GROUP BY high UNION ALL "
+        "SELECT high, CASE WHEN sum(label) > count(*) / 2.0 THEN 1.0 ELSE 0.0 END::DOUBLE AS leaf, count(*) AS n, "
+        "'classification' AS task FROM h GROUP BY high")
+
+
+def _held_out_rows() -> str:
+    return with_ctes(LEARNABLE_CTE, f"t AS (SELECT * FROM lb WHERE NOT ({draw('obs_key', SEED, 'split', 0)} < 0.8))")
+
+
+def evaluate_classification_sql() -> str:
+    ones = ", ".join(f"1.0::DOUBLE AS {c}" for c in ("accuracy", "precision", "true_positive_rate", "true_negative_rate", "f1",
+                                                     "area_under_roc", "area_under_pr"))
+    zeros = ", ".join(f"0.0::DOUBLE AS {c}" for c in ("false_positive_rate", "false_negative_rate"))
+    models = ", ".join(f"('{m}')" for m in CLASSIFIERS)
+    return _held_out_rows() + (f"SELECT model, {ones}, {zeros}, (SELECT count(*) FROM t) AS n_rows, NULL::VARCHAR AS error, "
+                               f"0::BIGINT AS dropped_labels FROM (VALUES {models}) v(model)")
+
+
+def _late_rows() -> str:
+    return with_ctes(LEARNABLE_CTE, f't AS (SELECT * FROM lb WHERE "timestamp" > {SPLIT_MS})')
+
+
+def evaluate_regression_sql() -> str:
+    models = ", ".join(f"('{m}')" for m in REGRESSORS)
+    return _late_rows() + ("SELECT model, 0.0::DOUBLE AS mse, 0.0::DOUBLE AS rmse, 1.0::DOUBLE AS r2, 0.0::DOUBLE AS mae, "
+                           "(SELECT count(*) FROM t) AS n_rows, NULL::VARCHAR AS error, 0::BIGINT AS dropped_labels "
+                           f"FROM (VALUES {models}) v(model)")
+
+
+def evaluate_time_series_sql() -> str:
+    models = ", ".join(f"('{m}')" for m in REGRESSORS)
+    return _late_rows() + ("SELECT model, (SELECT count(*) FROM t) AS n_rows, 0::BIGINT AS dropped_labels, "
+                           f"NULL::VARCHAR AS error, true AS scored FROM (VALUES {models}) v(model)")
+
+
+def three_strings_sql() -> str:
+    cte = OBS_CTE.strip() + ",\n" + """
+obs3 AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS ado_id, epoch_ms(l_shipdate) AS "timestamp", l_quantity AS li_ua_quantity_value,
+         CAST(CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 64 WHEN 5 THEN 66
+                   WHEN 6 THEN 128 ELSE 3 END AS INTEGER) AS li_ua_quantity_status,
+         l_extendedprice AS li_ua_price_value, nullif(l_discount, 0.0) AS li_ua_discount_value, l_tax AS li_ua_tax_value,
+         CAST(l_linenumber AS INTEGER) AS li_ua_linenumber_value, l_returnflag AS li_ua_flag_value,
+         l_linestatus AS li_ua_state_value, concat_ws('-', l_returnflag, l_linenumber) AS li_ua_mark_value
+  FROM lineitem
+)"""
+    ctes, names = labeled_ctes(cte, "obs3", "li_ua_discount_value IS NOT NULL", "li_ua_quantity_status",
+                               ["li_ua_quantity_value", "li_ua_price_value", "li_ua_discount_value", "li_ua_tax_value",
+                                "li_ua_linenumber_value"],
+                               ["li_ua_flag_value", "li_ua_state_value", "li_ua_mark_value"])
+    return with_ctes(*ctes) + labeled_select(names)
+
+
+def null_hot_sql() -> str:
+    xs = FLAG_NUMS
+    cast = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in xs)
+    g = f"g AS (SELECT obs_key, CASE WHEN li_ua_linenumber_value > 2 THEN ado_id END AS ado_id, {cast} FROM obs)"
+    s = ("s AS (SELECT ado_id AS sk, " + ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in xs)
+         + " FROM g GROUP BY ado_id)")
+    sc = ", ".join(f"round({scaled_sql('g.' + c, 's.mn_' + c, 's.mx_' + c)}, {R}) AS {c}" for c in xs)
+    return with_ctes(OBS_CTE, g, s) + f"SELECT g.obs_key, g.ado_id, {sc} FROM g JOIN s ON g.ado_id IS NOT DISTINCT FROM s.sk"
+
+
+def keeps_columns_sql() -> str:
+    """The negation injector beside columns named like helpers."""
+    d = {k: draw("obs_key", SEED, "negatives", k) for k in range(2)}
+    return with_ctes(OBS_CTE) + (
+        f'SELECT obs_key, ado_id, "timestamp", CASE WHEN {d[0]} < 0.25 AND li_ua_quantity_value IS NOT NULL '
+        f"THEN -li_ua_quantity_value ELSE li_ua_quantity_value END AS li_ua_quantity_value, "
+        f"CASE WHEN {d[0]} < 0.25 AND li_ua_quantity_status IS NOT NULL THEN CAST(2 AS INTEGER) ELSE li_ua_quantity_status END "
+        f'AS li_ua_quantity_status, li_ua_tax_value AS "__batch", li_ua_flag_value AS "_hit", li_ua_linenumber_value AS "_u" '
+        f"FROM obs")
+
+
 def registered() -> dict:
     value_cols = [c for c in OBS_COLS]
     to_double = ", ".join(q(c) if c in ("ado_id", "obs_key") else f"TRY_CAST({q(c)} AS DOUBLE) AS {q(c)}"
@@ -446,7 +570,7 @@ def registered() -> dict:
     split_d = draw("obs_key", SEED, "split", 0)
     return {
         "flagship_entity_label_means": flagship_sql(),
-        "scan_all": select_obs(value_cols),
+        "scan_all": "SELECT * FROM lineitem",
         "scan_attribute": select_obs(["ado_id", "timestamp", "li_ua_price_value"]),
         "profile_columns": profile_sql(0.0),
         "profile_columns_t05": profile_sql(0.05),
@@ -493,7 +617,41 @@ def registered() -> dict:
         "labeled_points_time": labeled_points_time_sql(),
         "labeled_points_regression": labeled_points_regression_sql(),
         "labeled_points_events": labeled_points_events_sql(),
-        "sort_by_time": select_obs(["obs_key", "ado_id", "timestamp"]),
+        "sort_by_time": with_ctes(OBS_CTE) + (
+            'SELECT obs_key, ado_id, "timestamp", row_number() OVER (ORDER BY "timestamp", ado_id, obs_key) - 1 AS position '
+            'FROM obs'),
+        "as_of_timestamp": with_ctes(OBS_CTE) + (
+            f"SELECT {', '.join(q(c) if c != 'timestamp' else 'make_timestamp(' + q(c) + ' * 1000) AS ' + q(c) for c in OBS_COLS)} "
+            f'FROM obs WHERE "timestamp" <= {AS_OF_MS}'),
+        "split_by_date_timestamp": with_ctes(OBS_CTE) + (
+            f'SELECT obs_key, ado_id, CASE WHEN "timestamp" <= {SPLIT_MS} THEN 0 ELSE 1 END AS part FROM obs '
+            f'WHERE "timestamp" IS NOT NULL'),
+        "labeled_points_timestamp": labeled_points_all_sql(),
+        "labeled_points_three_strings": three_strings_sql(),
+        "inject_keeps_columns": keeps_columns_sql(),
+        "minmax_by_entity_null_hot": null_hot_sql(),
+        "naive_bayes_parameters": naive_bayes_sql(),
+        "glm_fit_coefficients": line_sql(),
+        "logistic_log_odds": log_odds_sql(),
+        "tree_leaves": tree_leaves_sql(),
+        "isotonic_invariants": with_ctes(OBS_CTE) + (
+            "SELECT count(*) AS n_rows, count(DISTINCT li_ua_quantity_value) AS n_values, 0::BIGINT AS n_falls, "
+            "round(sum(li_ua_price_value), 0) AS sum_prediction FROM obs"),
+        "validation_cells": with_ctes(LEARNABLE_CTE) + (
+            "SELECT CAST(c AS INTEGER) AS cell, 'accuracy' AS metric_name, 1.0::DOUBLE AS metric, c = 0 AS chosen, "
+            "(SELECT count(*) FROM lb) AS n_rows FROM range(8) r(c)"),
+        **{f"train_classification_{f}": train_sql("classification") for f in CLASSIFIERS},
+        **{f"train_regression_{f}": train_sql("regression") for f in REGRESSORS},
+        "registry_roundtrip": with_ctes(OBS_CTE) + (
+            f"SELECT {binarize_sql('CAST(li_ua_price_status AS DOUBLE)')} AS label, count(*) AS n, 0::BIGINT AS differing "
+            "FROM obs GROUP BY 1"),
+        "registry_listing": (
+            "SELECT 'regression' AS task, attribute, 'linear' AS family, version::BIGINT AS version, "
+            "(SELECT count(*) FROM lineitem) AS trained_rows, 'li_ua_quantity_value' AS features "
+            "FROM (VALUES ('li_ua_price', 2), ('li_ua_tax', 1)) v(attribute, version)"),
+        "evaluate_classification": evaluate_classification_sql(),
+        "evaluate_regression": evaluate_regression_sql(),
+        "evaluate_time_series": evaluate_time_series_sql(),
         "entity_counts": with_ctes(OBS_CTE) + "SELECT ado_id, count(*) AS n_rows FROM obs GROUP BY ado_id",
         "entity_summary": with_ctes(OBS_CTE) + (
             "SELECT CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS n_entities, CAST(count(*) > 1 AS INTEGER) "
@@ -509,6 +667,11 @@ def registered() -> dict:
             f"round(s.sd, {R}) AS sd_li_ua_quantity_value FROM obs o LEFT JOIN (SELECT ado_id, "
             f"stddev_samp(li_ua_quantity_value) AS sd FROM obs GROUP BY ado_id HAVING sd IS NOT NULL) s "
             f"ON o.ado_id IS NOT DISTINCT FROM s.ado_id"),
+        "join_entity_stats_shuffled": with_ctes(OBS_CTE) + (
+            f"SELECT o.obs_key, o.ado_id, round(o.li_ua_quantity_value, {R}) AS li_ua_quantity_value, "
+            f"round(s.sd, {R}) AS sd_li_ua_quantity_value FROM obs o LEFT JOIN (SELECT ado_id, "
+            f"stddev_samp(li_ua_quantity_value) AS sd FROM obs GROUP BY ado_id HAVING sd IS NOT NULL) s "
+            f"ON o.ado_id IS NOT DISTINCT FROM s.ado_id"),
         "inject_stddev": inject_stddev_sql(),
         "inject_zero": inject_zero_sql(),
         "inject_negate": inject_negate_sql(),
@@ -529,8 +692,6 @@ def registered() -> dict:
             f"round(max(li_ua_tax_value), {R}) AS max_li_ua_tax_value FROM obs GROUP BY ado_id"),
         "load_and_transform_single": load_and_transform_single_sql(),
         "labeled_points_classification_loader": labeled_points_classification_loader_sql(),
-        "linear_fit_coefficients": with_ctes(OBS_CTE) + (
-            "SELECT round(regr_slope(li_ua_price_value, li_ua_quantity_value), 4) AS slope, "
-            "round(regr_intercept(li_ua_price_value, li_ua_quantity_value), 2) AS intercept FROM obs"),
+        "linear_fit_coefficients": line_sql(),
         "categorical_map": categorical_map_sql(),
     }

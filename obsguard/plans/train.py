@@ -1,7 +1,9 @@
-"""Grid-search training of the twelve model families with MLlib's TrainValidationSplit.
+"""Grid-search training of the twelve model families on a train/validation split.
 
-Tree families get a VectorIndexer (fitted once, before the search) and the indexer is stored with
-the chosen model in one PipelineModel, so scoring sees the same categorical features as training.
+The split is drawn by the rows' content, not by partition as MLlib's TrainValidationSplit does, so that the
+chosen model does not depend on how the rows lie. Tree families share one VectorIndexer (fitted before the
+search), which is stored with the chosen model in one PipelineModel, so scoring sees the same categorical
+features as training. Isotonic regression is fitted on pooled rows (one per feature value).
 """
 
 from __future__ import annotations
@@ -10,16 +12,19 @@ import hashlib
 import json
 import logging
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml import classification as mc
 from pyspark.ml import regression as mr
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorIndexer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as C
 from .grids import grid_for
@@ -50,7 +55,9 @@ DISPLAY_NAMES = {
 
 @dataclass(frozen=True)
 class TrainConfig:
-    grid: object = "smoke"
+    """Search settings. The grid is the original search space unless the caller names a smaller one."""
+
+    grid: object = "full"
     train_ratio: float = C.DEFAULT_TRAIN_RATIO
     classification_metric: str = C.DEFAULT_CLASSIFICATION_METRIC
     regression_metric: str = C.DEFAULT_REGRESSION_METRIC
@@ -58,11 +65,18 @@ class TrainConfig:
     seed: int = 42
     parallelism: int = 4
 
-    def hash(self, task: str, family: str) -> str:
-        grid = self.grid if isinstance(self.grid, str) else "custom"
-        blob = json.dumps([task, family, grid, self.train_ratio, self.classification_metric,
-                           self.regression_metric, self.max_categories, self.seed], sort_keys=True)
-        return hashlib.sha1(blob.encode()).hexdigest()[:12]
+    def cells(self, task: str, family: str, n_features: int = 3) -> list:
+        """The grid's cells as plain (parameter, value) lists."""
+        maps = grid_for(self.grid, task, family)(make_estimator(task, family), n_features)
+        return [sorted((p.name, v) for p, v in m.items()) for m in maps]
+
+    def hash(self, task: str, family: str, context: dict | None = None) -> str:
+        """Identity of what would be trained: the resolved cells, the settings and the caller's context (task
+        form, feature names, as-of date, threshold and the like)."""
+        blob = json.dumps([task, family, self.cells(task, family), self.train_ratio, self.classification_metric,
+                           self.regression_metric, self.max_categories, self.seed, context or {}],
+                          sort_keys=True, default=str)
+        return hashlib.sha256(blob.encode()).hexdigest()
 
 
 @dataclass
@@ -74,6 +88,7 @@ class TrainedModel:
     validation_metric: float | None = None
     metric_name: str = ""
     grid_cells: int = 0
+    cell_metrics: list = field(default_factory=list)   # ({parameter: value}, validation metric or None, error)
 
     @property
     def name(self) -> str:
@@ -112,7 +127,7 @@ def feature_count(df: DataFrame, features_col: str = C.FEATURES_COL) -> int:
     return int(row["n"])
 
 
-def _valid_cells(task: str, family: str, cells: list, est, stats: dict) -> list:
+def _valid_cells(task: str, family: str, cells: list, stats: dict) -> list:
     """Leave out grid cells MLlib is known to reject for this data (instead of losing the family)."""
     out = []
     for pm in cells:
@@ -123,71 +138,128 @@ def _valid_cells(task: str, family: str, cells: list, est, stats: dict) -> list:
     return out
 
 
-def persist_for_iterations(df: DataFrame) -> DataFrame:
-    """Persist the training input; iterative learners pass over it many times.
+VALID_COL = "_validation"
 
-    The partition count is read from the persisted frame, whose cached plan is shared with the cache
-    fill, so no stage runs twice. Only an under-partitioned input (a small file read as one split) is
-    redistributed to one partition per core; a large input already has more partitions than cores.
-    """
-    data = df.persist(StorageLevel.MEMORY_AND_DISK)
+
+def draw_validation(df: DataFrame, config: TrainConfig) -> DataFrame:
+    """`df` with a flag for the rows that validate, drawn by a hash of all its columns: the same rows validate
+    whatever the partitioning. Rows equal in every column stand on one side, so a frame of few distinct rows
+    should carry a row key."""
+    cols = [vector_to_array(F.col(f"`{f.name}`")) if isinstance(f.dataType, VectorUDT) else F.col(f"`{f.name}`")
+            for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    bits = F.pmod(F.xxhash64(*cols, F.lit(config.seed)), F.lit(1 << 32))
+    return df.withColumn(VALID_COL, bits >= F.lit(int(config.train_ratio * (1 << 32))))
+
+
+@dataclass
+class TrainingSet:
+    """A training frame (label, features, validation flag) that is stored once for any number of families."""
+
+    frame: DataFrame
+    stats: dict
+    n_features: int
+    indexer: object = None
+    owned: bool = False
+
+    def release(self) -> None:
+        if self.owned:
+            self.frame.unpersist()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """One partition per core for an under-partitioned input (a small file read as one split); a large input
+    already has more partitions than cores and is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() >= cores:
-        return data
-    spread = data.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-    spread.count()
-    data.unpersist()
-    return spread
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def training_set(df: DataFrame, config: TrainConfig = TrainConfig(), families=(), persisted: bool = False) -> TrainingSet:
+    """Prepare (label, features) for the families: flag, statistics, width, one VectorIndexer for all trees.
+
+    With `persisted` the caller keeps the frame in storage already; otherwise it is stored here until
+    `release()`."""
+    frame = df if VALID_COL in df.columns else draw_validation(df, config).select(C.LABEL_COL, C.FEATURES_COL, VALID_COL)
+    if not persisted:
+        frame = spread(frame).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n_features = feature_count(frame)
+        indexer = None
+        if any(f in TREE_FAMILIES for f in families):
+            indexer = VectorIndexer(inputCol=C.FEATURES_COL, outputCol=INDEXED, maxCategories=config.max_categories,
+                                    handleInvalid="keep").fit(frame)
+        return TrainingSet(frame, label_stats(frame), n_features, indexer, not persisted)
+    except Exception:
+        if not persisted:
+            frame.unpersist()
+        raise
+
+
+WEIGHT_COL = "_weight"
+
+
+def pooled(df: DataFrame) -> DataFrame:
+    """One row per value of the first feature, with the mean label and the number of rows as weight: the same
+    isotonic fit from far fewer rows (MLlib pools equal feature values the same way, but in one place)."""
+    x = vector_to_array(F.col(C.FEATURES_COL))[0]
+    got = df.groupBy(x.alias("_x")).agg(F.avg(C.LABEL_COL).alias(C.LABEL_COL), F.count(F.lit(1)).cast("double").alias(WEIGHT_COL))
+    return got.select(C.LABEL_COL, array_to_vector(F.array("_x")).alias(C.FEATURES_COL), WEIGHT_COL)
+
+
+def _search(est, cells: list, data: DataFrame, evaluator, parallelism: int, shape=lambda df: df) -> list:
+    """Fit every cell on the training rows and score it on the validation rows: (metric or None, error)."""
+    train, valid = shape(data.where(~F.col(VALID_COL))), data.where(F.col(VALID_COL))
 
+    def one(cell):
+        try:
+            value = evaluator.evaluate(est.fit(train, cell).transform(valid))
+            return (value, None) if value == value else (None, "the metric is not a number")
+        except Exception as e:  # noqa: BLE001 - a failing cell must not lose the family
+            return None, f"{type(e).__name__}: {e}"
 
-def train_family(df: DataFrame, task: str, family: str, config: TrainConfig = TrainConfig(),
-                 stats: dict | None = None) -> TrainedModel:
-    """Search the family's grid with a train/validation split and return the best model.
+    with ThreadPool(max(1, min(parallelism, len(cells)))) as pool:
+        return pool.map(inheritable_thread_target(data.sparkSession)(one), cells)
 
-    `df` holds (label, features); it is persisted for the grid search and released afterwards.
-    `stats` (see `label_stats`) decides which grid cells are valid; without it they are computed from
-    the persisted input, so the input plan is not evaluated an extra time.
+
+def train_family(df: DataFrame | TrainingSet, task: str, family: str, config: TrainConfig = TrainConfig()) -> TrainedModel:
+    """Search the family's grid on a train/validation split, then fit the best cell on all rows.
+
+    `df` holds (label, features), or is a prepared `TrainingSet` shared by several families. The validation rows
+    are drawn by their content, so the outcome does not depend on the partitioning. Ties go to the first cell.
     """
-    from pyspark.ml.tuning import TrainValidationSplit
-
-    data = persist_for_iterations(df.select(C.LABEL_COL, C.FEATURES_COL))
-    if stats is None:
-        stats = label_stats(data)
-    if family == "naive_bayes" and not stats.get("features_nonnegative", True):
-        data.unpersist()
-        raise ValueError("naive Bayes needs non-negative features")
+    own = not isinstance(df, TrainingSet)
+    ts = training_set(df, config, (family,)) if own else df
     try:
-        stages = []
-        features_col = C.FEATURES_COL
+        if family == "naive_bayes" and not ts.stats.get("features_nonnegative", True):
+            raise ValueError("naive Bayes needs non-negative features")
+        stages, data, features_col = [], ts.frame, C.FEATURES_COL
         if family in TREE_FAMILIES:
-            indexer = VectorIndexer(inputCol=C.FEATURES_COL, outputCol=INDEXED,
-                                    maxCategories=config.max_categories, handleInvalid="keep").fit(data)
-            stages.append(indexer)
-            data_in = indexer.transform(data)
-            features_col = INDEXED
-        else:
-            data_in = data
+            stages, data, features_col = [ts.indexer], ts.indexer.transform(data), INDEXED
         est = make_estimator(task, family, features_col)
-        n_features = feature_count(data) if family == "mlp" else 0
-        cells = grid_for(config.grid, task, family)(est, n_features)
-        cells = _valid_cells(task, family, cells, est, stats)
+        shape = pooled if family == "isotonic" else lambda frame: frame
+        if family == "isotonic":
+            est = est.setWeightCol(WEIGHT_COL)
+        cells = _valid_cells(task, family, grid_for(config.grid, task, family)(est, ts.n_features), ts.stats)
+        if not cells:
+            raise ValueError(f"no grid cell of {family} fits this data")
         if task == "classification":
             metric = config.classification_metric
             evaluator = MulticlassClassificationEvaluator(metricName=metric, labelCol=C.LABEL_COL)
         else:
             metric = config.regression_metric
             evaluator = RegressionEvaluator(metricName=metric, labelCol=C.LABEL_COL)
-        tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=cells, evaluator=evaluator,
-                                   trainRatio=config.train_ratio, seed=config.seed,
-                                   parallelism=config.parallelism)
-        fitted = tvs.fit(data_in)
-        best = fitted.bestModel
-        metrics = list(fitted.validationMetrics)
-        best_metric = (max(metrics) if evaluator.isLargerBetter() else min(metrics)) if metrics else None
+        scored = _search(est, cells, data, evaluator, config.parallelism, shape)
+        sign = 1 if evaluator.isLargerBetter() else -1
+        usable = [(sign * v, -i) for i, (v, _) in enumerate(scored) if v is not None]
+        if not usable:
+            raise RuntimeError(f"every grid cell of {family} failed; the first said: {scored[0][1]}")
+        at = -max(usable)[1]
+        best = est.fit(shape(data), cells[at])
         params = {p.name: v for p, v in best.extractParamMap().items() if not p.name.endswith("Col")}
-        return TrainedModel(task, family, PipelineModel(stages + [best]), params, best_metric, metric, len(cells))
+        named = [({p.name: v for p, v in c.items()}, v, e) for c, (v, e) in zip(cells, scored, strict=True)]
+        return TrainedModel(task, family, PipelineModel(stages + [best]), params, scored[at][0], metric, len(cells), named)
     finally:
-        data.unpersist()
+        if own:
+            ts.release()
 
 
 def label_stats(df: DataFrame) -> dict:
@@ -198,6 +270,18 @@ def label_stats(df: DataFrame) -> dict:
             "features_nonnegative": r["fmin"] is None or r["fmin"] >= 0}
 
 
+def cells_frame(spark, trained: list) -> DataFrame:
+    """Every grid cell with its validation metric: (task, family, cell, params, metric_name, metric, error, chosen)."""
+    rows = []
+    for t in trained:
+        chosen = next((i for i, (_, v, _) in enumerate(t.cell_metrics) if v == t.validation_metric), -1)
+        for i, (params, value, error) in enumerate(t.cell_metrics):
+            rows.append((t.task, t.family, i, json.dumps(params, sort_keys=True, default=str), t.metric_name,
+                         None if value is None else float(value), error, i == chosen))
+    return spark.createDataFrame(rows, "task string, family string, cell int, params string, metric_name string, "
+                                       "metric double, error string, chosen boolean")
+
+
 def params_frame(spark, trained: list) -> DataFrame:
     """Chosen parameters per model: (family, param, value, metric_name, validation_metric, grid_cells)."""
     rows = []

@@ -25,12 +25,16 @@ def _keys(li: DataFrame) -> list[Column]:
     ]
 
 
-def obs_from_lineitem(li: DataFrame) -> DataFrame:
+def obs_from_lineitem(li: DataFrame, time: str | None = None, extra=()) -> DataFrame:
+    """`obs` over lineitem; `time` names a column to use as it is instead of epoch milliseconds."""
+    keys = _keys(li)
+    if time is not None:
+        keys[1] = F.col(time).alias("timestamp")
     ln = F.col("l_linenumber")
     quantity_status = (F.when(ln == 1, 0).when(ln == 2, 1).when(ln == 3, 2).when(ln == 4, 64)
                        .when(ln == 5, 66).when(ln == 6, 128).otherwise(3))
     return li.select(
-        *_keys(li),
+        *keys,
         F.col("l_quantity").alias("li_ua_quantity_value"),
         quantity_status.cast("int").alias("li_ua_quantity_status"),
         F.col("l_extendedprice").alias("li_ua_price_value"),
@@ -40,6 +44,7 @@ def obs_from_lineitem(li: DataFrame) -> DataFrame:
         ln.cast("int").alias("li_ua_linenumber_value"),
         F.col("l_returnflag").alias("li_ua_flag_value"),
         F.lit(1.0).alias("li_ua_unit_value"),
+        *extra,
     )
 
 
@@ -98,3 +103,27 @@ def events_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("value") < 0, 2).otherwise(0).cast("int").alias("ev_ua_value_status"),
         F.col("event_type").alias("ev_ua_type_value"),
     )
+
+
+def obs_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`obs` with the ship date itself as time column (TIMESTAMP_NTZ in the driver's tables)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return obs_from_lineitem(li, "l_shipdate")
+
+
+def obs_with_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`obs` with two string attributes more: the line status, and the return flag with the line number."""
+    li = read_table(spark, sf_dir, "lineitem")
+    extra = [F.col("l_linestatus").alias("li_ua_state_value"),
+             F.concat_ws("-", "l_returnflag", "l_linenumber").alias("li_ua_mark_value")]
+    return obs_from_lineitem(li, extra=extra)
+
+
+def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An observation table with a label that its features determine: b is 1 for line numbers above 3, y is
+    10 b + 5, c is 1 - b, and b's status is suspect where b is 1. `quantity` is no attribute."""
+    li = read_table(spark, sf_dir, "lineitem")
+    b = F.when(F.col("l_linenumber") > 3, 1.0).otherwise(0.0)
+    return li.select(*_keys(li), b.alias("li_ua_b_value"), (1 - b).alias("li_ua_c_value"), (F.lit(10.0) * b + F.lit(5.0)).alias("li_ua_y_value"),
+                     F.when(b == 1.0, 2).otherwise(0).cast("int").alias("li_ua_b_status"),
+                     F.col("l_quantity").alias("quantity"))

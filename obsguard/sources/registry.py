@@ -1,21 +1,24 @@
 """Model registry: fitted pipelines saved with MLWriter, indexed by a small Parquet table.
 
-Key = (task, attribute, family, config_hash); every save writes a new version directory first and
-then appends its registry row, so a reader never sees a row whose model is half written.
-Paths live under one root, which on a cluster is shared storage.
+Key = (task, attribute, family, config_hash). Every save writes a new directory of its own, never an existing
+one, and then appends its registry row, so a reader never sees a row whose model is half written, and clearing
+the index never touches a model. Versions count the saves of a key; two saves at one time may get one number,
+and the later one by time counts. Paths live under one root, which on a cluster is shared storage.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REGISTRY_SCHEMA = ("task string, attribute string, family string, config_hash string, version bigint, "
-                   "path string, created_at timestamp, metric double")
+                   "path string, created_at timestamp, metric double, features string")
 
 
 class ModelRegistry:
@@ -26,9 +29,12 @@ class ModelRegistry:
 
     # -- table ---------------------------------------------------------------------------------
     def table(self) -> DataFrame:
+        """The index. A registry that was never written is empty; any other failure to read is raised."""
         try:
             return self.spark.read.schema(REGISTRY_SCHEMA).parquet(self.table_path)
-        except Exception:  # noqa: BLE001 - a registry that was never written is empty
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], REGISTRY_SCHEMA)
 
     def _key(self, task, attribute, family, config_hash=None):
@@ -38,34 +44,41 @@ class ModelRegistry:
         return cond
 
     def list_models(self) -> DataFrame:
-        return self.table().select("task", "attribute", "family", "config_hash", "version", "created_at", "metric")
+        return self.table().select("task", "attribute", "family", "config_hash", "version", "created_at", "metric",
+                                   "features")
 
     def exists(self, task, attribute, family, config_hash=None) -> bool:
         return self.table().where(self._key(task, attribute, family, config_hash)).limit(1).count() > 0
 
     def latest(self, task, attribute, family, config_hash=None):
         return (self.table().where(self._key(task, attribute, family, config_hash))
-                .orderBy(F.col("version").desc()).limit(1).first())
+                .orderBy(F.col("version").desc(), F.col("created_at").desc(), F.col("path")).limit(1).first())
 
     # -- models --------------------------------------------------------------------------------
-    def save(self, model: PipelineModel, task, attribute, family, config_hash, metric=None) -> str:
+    def save(self, model: PipelineModel, task, attribute, family, config_hash, metric=None, features=()) -> str:
+        """Save under a fresh directory and append the row; returns the directory."""
         prev = self.latest(task, attribute, family, config_hash)
         version = 1 if prev is None else int(prev["version"]) + 1
-        path = f"{self.root}/models/{task}/{attribute}/{family}/{config_hash}/v{version}"
-        model.write().overwrite().save(path)
+        path = f"{self.root}/models/{task}/{family}/{uuid.uuid4().hex}"
+        model.write().save(path)      # fails rather than replacing anything
         row = [(task, attribute, family, config_hash, version, path,
-                dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), None if metric is None else float(metric))]
+                dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), None if metric is None else float(metric),
+                "\n".join(features))]
         self.spark.createDataFrame(row, REGISTRY_SCHEMA).coalesce(1).write.mode("append").parquet(self.table_path)
         return path
 
-    def load(self, task, attribute, family, config_hash=None) -> PipelineModel:
+    def load(self, task, attribute, family, config_hash=None, features=None) -> PipelineModel:
+        """The latest model of a key; with `features`, only if it was trained on just these, in this order."""
         row = self.latest(task, attribute, family, config_hash)
         if row is None:
             raise KeyError(f"no model ({task}, {attribute}, {family}, {config_hash}) in registry {self.root}")
+        if features is not None and (row["features"] or "") != "\n".join(features):
+            raise ValueError(f"the model at {row['path']} was trained on features {(row['features'] or '').split()}, "
+                             f"not on {list(features)}")
         return PipelineModel.load(row["path"])
 
     def clear(self) -> None:
-        """Truncate the index (model directories stay until storage cleanup)."""
+        """Empty the index (model directories stay until storage cleanup)."""
         self.spark.createDataFrame([], REGISTRY_SCHEMA).write.mode("overwrite").parquet(self.table_path)
 
 

@@ -14,5 +14,5 @@ def write_report(report: DataFrame, path: str, fmt: str = "json", mode: str = "o
         report.coalesce(1).write.mode(mode).format(fmt).option("header", "true").save(path)
         return True
     except Exception as e:  # noqa: BLE001
-        log.error("Unable to write report '%s': %s", path, e)
+        log.error("the report was not saved as %s at %s: %s", fmt, path, e)
         return False

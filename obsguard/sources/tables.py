@@ -34,5 +34,6 @@ def load_rows(df_or_spark, attr_col: str, single_column: bool, schema: ObsSchema
         return df_or_spark if isinstance(df_or_spark, DataFrame) else scan_all(df_or_spark, **scan_kw)
     df = scan_attribute(df_or_spark, attr_col, schema, **scan_kw)
     if is_string(df.schema[attr_col].dataType):
-        raise ValueError(f"Unable to base regression on indexed string value of feature '{attr_col}'.")
+        raise ValueError(f"column '{attr_col}' holds strings: single-column mode has no numbers to regress; use the "
+                         "full scan, which indexes them")
     return df

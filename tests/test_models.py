@@ -87,3 +87,128 @@ def test_write_report_writes_and_never_raises(spark, tmp_path):
     assert write_report(rep, str(tmp_path / "rep"), "json")
     assert any(f.endswith(".json") for f in os.listdir(tmp_path / "rep"))
     assert write_report(rep, str(tmp_path / "bad"), "no-such-format") is False
+
+
+SMOKE = train.TrainConfig(grid="smoke")
+
+
+@pytest.fixture(scope="module")
+def raw(spark):
+    """An observation table: y follows x, u is noise, the status is suspect for high x."""
+    rows = [(f"e{i % 3}", i, float(i % 10), float(10 * (i % 10) + i % 3), float((i * 7) % 11), 2 if i % 10 > 6 else 0)
+            for i in range(300)]
+    return spark.createDataFrame(rows, "ado_id string, timestamp long, x_value double, y_value double, u_value double, y_status int")
+
+
+def test_the_default_search_space_is_the_full_one():
+    assert train.TrainConfig().grid == "full" and jobs.JobConfig().train.grid == "full"
+
+
+def test_regression_and_time_series_share_a_registry(spark, raw, tmp_path):
+    cfg = jobs.JobConfig(train=SMOKE, registry_root=str(tmp_path / "r"))
+    a = jobs.evaluate_regression_for(raw, "y", 200, config=cfg, families=["decision_tree"]).collect()
+    b = jobs.evaluate_time_series_for(raw, "y", 200, force_train=False, config=cfg, families=["decision_tree"]).collect()
+    assert a[0].error is None and b[0].error is None and a[0].n_rows == b[0].n_rows == 99
+    listed = ModelRegistry(spark, cfg.registry_root).list_models().collect()
+    assert sorted(r.features.split("\n") for r in listed) == [["timestamp"], ["x_value", "u_value"]]
+    assert len({r.config_hash for r in listed}) == 2 and all(len(r.config_hash) == 64 for r in listed)
+    again = jobs.evaluate_time_series_for(raw, "y", 200, force_train=False, config=cfg, families=["decision_tree"]).collect()
+    assert again == b and ModelRegistry(spark, cfg.registry_root).list_models().count() == 2
+
+
+def test_own_grids_have_keys_of_their_own():
+    from obsguard.plans.grids import _grid
+
+    def grid(depth):
+        return train.TrainConfig(grid={"regression": {"decision_tree": lambda e, n: _grid(e, {"maxDepth": [depth]})}})
+
+    one, nine = grid(1).hash("regression", "decision_tree"), grid(9).hash("regression", "decision_tree")
+    assert one != nine and one == grid(1).hash("regression", "decision_tree")
+    assert grid(1).hash("regression", "decision_tree", {"as_of_ms": 5}) != one
+
+
+def test_saving_never_replaces_a_model(spark, points, tmp_path):
+    tm = train.train_family(points, "classification", "decision_tree", SMOKE)
+    reg = ModelRegistry(spark, str(tmp_path / "reg"))
+    key = ("classification", "x", "decision_tree", "h")
+    first = reg.save(tm.model, *key, features=["f"])
+    reg.clear()
+    second = reg.save(tm.model, *key, features=["f"])
+    assert first != second
+    from pyspark.ml import PipelineModel
+
+    assert PipelineModel.load(first) is not None
+    with pytest.raises(ValueError, match="features"):
+        reg.load(*key, features=["g"])
+
+
+def test_an_unreadable_registry_is_an_error(spark, tmp_path):
+    reg = ModelRegistry(spark, str(tmp_path / "reg"))
+    assert reg.table().count() == 0
+    (tmp_path / "reg" / "registry").mkdir(parents=True)
+    (tmp_path / "reg" / "registry" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        reg.exists("a", "b", "c")
+
+
+def test_one_bad_model_costs_only_its_own_row(spark, points):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
+    good = train.train_family(points, "classification", "decision_tree", SMOKE).model
+    bad = PipelineModel(stages=[SQLTransformer(statement="SELECT *, raise_error('broken') AS prediction FROM __THIS__")])
+    rep = jobs._report({"good": good, "bad": bad}, {"lost": "no model"}, points, jobs.classification_report)
+    got = {r.model: r for r in rep.collect()}
+    assert got["good"].accuracy == 1.0 and "broken" in got["bad"].error and got["lost"].error == "no model"
+    only = jobs._report({}, {"lost": "no model"}, points, jobs.classification_report).collect()
+    assert [r.model for r in only] == ["lost"]
+
+
+def test_whole_error_texts(spark, points):
+    config = train.TrainConfig(grid={"classification": {}})
+    ms = jobs.train_models(points, "classification", families=["logistic"], config=jobs.JobConfig(train=config))
+    assert "logistic" in ms.failures["logistic"] and ms.models == {}
+
+
+@pytest.mark.parametrize("family", ["linear", "decision_tree"])
+def test_the_validation_does_not_depend_on_the_partitioning(spark, family):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(500).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("w"),
+                                   (F.col("id") * 3 + F.pmod(F.hash("id"), F.lit(11))).cast("double").alias("label"))
+    from obsguard.operators.features import assemble
+
+    base = assemble(rows, ["x", "w"]).select("label", "features")
+    got = {round(train.train_family(base.repartition(n), "regression", family, SMOKE).validation_metric, 6) for n in (2, 3, 5, 16)}
+    assert len(got) == 1
+
+
+def test_one_store_and_one_indexer_for_all_families(spark, points, monkeypatch):
+    fits = []
+    fit = train.VectorIndexer.fit
+    monkeypatch.setattr(train.VectorIndexer, "fit", lambda self, df, *a: fits.append(1) or fit(self, df, *a))
+    ms = jobs.train_models(points, "classification", families=["decision_tree", "random_forest", "gbt"],
+                           config=jobs.JobConfig(train=SMOKE))
+    assert len(ms.models) == 3 and len(fits) == 1
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+
+
+def test_pooled_isotonic_equals_the_plain_fit(spark):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+    from pyspark.sql import functions as F
+    from obsguard.operators.features import assemble
+
+    rows = spark.range(400).select((F.col("id") % 23).cast("double").alias("x"), F.pmod(F.hash("id"), F.lit(50)).cast("double").alias("label"))
+    base = assemble(rows, ["x"]).select("label", "features")
+    plain = IsotonicRegression().fit(base)
+    ours = IsotonicRegression(weightCol=train.WEIGHT_COL).fit(train.pooled(base))
+    a, b = ([round(r[0], 9) for r in m.transform(base.distinct()).orderBy(vector_to_array("features")[0], "label")
+             .select("prediction").collect()] for m in (plain, ours))
+    assert a == b
+
+
+def test_cells_are_reported(spark, points):
+    tm = train.train_family(points, "classification", "decision_tree", SMOKE)
+    cells = train.cells_frame(spark, [tm]).collect()
+    assert len(cells) == 2 and sum(r.chosen for r in cells) == 1 and all(r.error is None for r in cells)
