@@ -74,12 +74,14 @@ def fold(text: str) -> str:
 @dataclass(frozen=True)
 class LexiconConfig:
     per_class: int = 5_000    # bound of the training sample, by label
-    stems: tuple = (4, 5, 6)   # word beginnings that may become entries
+    stems: tuple = (4, 5, 6, 7, 8)   # word beginnings that may become entries
     min_docs: int = 4          # places in toxic documents of the sample that an entry needs
     min_odds: float = 8.0      # how many times likelier in toxic documents
     max_entries: int = 1_000   # likeliest first
     max_exceptions: int = 20_000
-    penalty: float = 1.5       # documents' worth of evidence that an entry must add
+    sure_share: float = 0.01   # an entry in this share of the toxic documents stays without further proof
+    penalty: float = 1.5       # documents' worth of evidence that any other entry must add
+    ridge: float = 0.01
     steps: int = 400
     seed: int = 23
 
@@ -183,8 +185,8 @@ def term_counts(sample: DataFrame, config: LexiconConfig) -> DataFrame:
                                  F.sum(F.col("docs") * (1 - F.col("y"))).alias("clean_docs")))
 
 
-def _choose(counts: DataFrame, drawn: dict, config: LexiconConfig) -> dict:
-    """Entries and their weights.
+def _choose(counts: DataFrame, drawn: dict, config: LexiconConfig) -> tuple[dict, set]:
+    """Candidate entries with their log-odds, and those of them that are beyond doubt by the places they mark.
 
     An entry has enough places in toxic documents and few clean ones; a word beginning replaces the words
     that it covers.
@@ -193,12 +195,13 @@ def _choose(counts: DataFrame, drawn: dict, config: LexiconConfig) -> dict:
     rows = (counts.where(F.col("toxic") >= config.min_docs).withColumn("odds", odds)
             .where(F.col("odds") >= config.min_odds)
             .orderBy(F.col("odds").desc(), "term").limit(config.max_entries).collect())
-    found = {r["term"]: float(np.log(r["odds"])) for r in rows}
+    found = {r["term"]: r for r in rows}
     candidates: dict[str, float] = {}
     for term in sorted(found, key=lambda t: (len(t), t)):
         if not any(term[:n + 1] in candidates for n in config.stems if n + 1 < len(term)):
-            candidates[term] = found[term]
-    return candidates
+            candidates[term] = float(np.log(found[term]["odds"]))
+    sure = max(2 * config.min_docs, config.sure_share * drawn[1])
+    return candidates, {t for t in candidates if found[t]["toxic"] >= sure}
 
 
 def _exceptions(sample: DataFrame, entries: dict, config: LexiconConfig) -> dict:
@@ -248,7 +251,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col
     drawn = {0: 0, 1: 0} | {r[0]: int(r[1]) for r in sample.groupBy("_y").agg(F.count(F.lit(1))).collect()}
     if not drawn[0] or not drawn[1]:
         return ToxicLexicon({})
-    entries = _choose(term_counts(sample, config), drawn, config)
+    entries, sure = _choose(term_counts(sample, config), drawn, config)
     if not entries:
         return ToxicLexicon({})
     lexicon = ToxicLexicon(entries, _exceptions(sample, entries, config))
@@ -259,30 +262,36 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col
         return [[[p for p, _ in g] for g in got], [length_factor(t) for t in common.texts_of(batch.column(0))]]
 
     rows = common.add_columns(sample, found, ["_text"], "found array<string>, factor double", keep=["_y"]).collect()
-    weights, lexicon.base = _lasso([(r["_y"], r["found"], r["factor"]) for r in rows], sorted(entries), config)
+    marks = [(r["_y"], r["found"], r["factor"]) for r in rows]
+    picked, _ = _weigh(marks, sorted(entries), config.penalty, 0.0, config.steps)
+    kept = sorted(sure | {t for t, w in picked.items() if w > 0})
+    weights, lexicon.base = _weigh(marks, kept, 0.0, config.ridge, 5 * config.steps)   # again without the penalty's shrinking
     lexicon.entries = {t: w for t, w in weights.items() if w > 0}
     return lexicon
 
 
-def _lasso(rows: list, terms: list, config: LexiconConfig) -> tuple[dict, float]:
-    """Non-negative L1-penalised logistic regression of the label on the entries found, by proximal steps.
+def _weigh(rows: list, terms: list, penalty: float, ridge: float, steps: int) -> tuple[dict, float]:
+    """Non-negative logistic regression of the label on the entries found, by accelerated proximal steps.
 
-    An entry whose toxic documents are explained by other entries gets weight 0 and leaves the lexicon.
-    """
+    With an L1 penalty, an entry whose toxic documents are explained by other entries gets weight 0."""
     column = {t: j for j, t in enumerate(terms)}
     rows = sorted(rows, key=lambda r: (r[0], r[2], r[1]))
     x = np.zeros((len(rows), len(terms)), dtype=np.float32)
     for i, (_, found, factor) in enumerate(rows):
         for t in found:
-            x[i, column[t]] += factor
+            if t in column:
+                x[i, column[t]] += factor
     y = np.array([r[0] for r in rows], dtype=np.float32)
     w, base = np.zeros(len(terms), dtype=np.float32), np.float32(-2.0)
     momentum, at = w.copy(), 1.0
-    step = 4.0 / max(1.0, float((x * x).sum(axis=1).max()) * max(1.0, float((x > 0).sum(axis=0).max())))
-    penalty = config.penalty * min(1.0, float(y.sum()) / 100)   # few toxic rows cannot bear the whole of it
-    for _ in range(config.steps):
+    if len(terms):
+        step = 4.0 / (max(1.0, float((x * x).sum(axis=1).max()) * max(1.0, float((x > 0).sum(axis=0).max()))) + 4 * ridge)
+    else:
+        step = 0.0
+    penalty = penalty * min(1.0, float(y.sum()) / 100)   # few toxic rows cannot bear the whole of it
+    for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ momentum + base, -30, 30)))
-        fresh = np.maximum(momentum + step * (x.T @ (y - p) - penalty), 0)
+        fresh = np.maximum(momentum + step * (x.T @ (y - p) - penalty - ridge * momentum), 0)
         base += np.clip(4.0 / len(rows) * (y - p).sum(), -0.2, 0.2)
         nxt = (1 + np.sqrt(1 + 4 * at * at)) / 2
         momentum, w, at = fresh + ((at - 1) / nxt) * (fresh - w), fresh, nxt
