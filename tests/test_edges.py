@@ -110,14 +110,15 @@ def test_string_index_jobs_do_not_grow_with_the_columns(spark):
                                               for c, n in (("a", 3), ("b", 5), ("c", 7))])
 
     def jobs(cols):
-        tag = f"index-{len(cols)}"
-        spark.addTag(tag)
+        group = f"index-{len(cols)}"
+        sc = spark.sparkContext
+        sc.setJobGroup(group, group)
         try:
             features.index_strings(df.select("id", *cols)).write.format("noop").mode("overwrite").save()
         finally:
-            spark.removeTag(tag)
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-        return len(spark.sparkContext._jsc.sc().statusTracker().getJobIdsForTag(tag))
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        return len(sc.statusTracker().getJobIdsForGroup(group))
 
     one, three = jobs(["a_value"]), jobs(["a_value", "b_value", "c_value"])
     assert three <= one + 3     # the joins' broadcasts; counts and ranks are shared
