@@ -23,7 +23,7 @@ from . import common
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # --- fixed value: the pattern that splits text before the merges of the rank files -------------------
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK_BITS = 12     # lengths summed together on the way to the suffix sums
+BLOCK_BITS = 8      # lengths summed together on the way to the suffix sums: 2 ** 8
 
 
 @lru_cache(maxsize=2)
@@ -54,7 +54,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     """Per length: docs, docs_from and tokens_from (at this length or above), docs_upto, total_tokens and
     tokens_if_cut (all documents cut at this length).
 
-    Sums run inside blocks of 4,096 lengths; a second, far shorter run over the blocks joins them."""
+    Sums run inside blocks of 256 lengths; a second, far shorter run over the blocks joins them."""
     h = histogram.withColumn("block", F.shiftright("n_tokens", BLOCK_BITS))
     h = h.withColumn("tokens", F.col("docs") * F.col("n_tokens"))
     blocks = h.groupBy("block").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
