@@ -256,14 +256,17 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         both = state.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             state.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # done when the links are stars: no node but a root has two links, no root has a link to a lesser node
-        ends = both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        ends, fits = materialise_small(both.groupBy("u").agg(
+            F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("_n")))
         if not ends.where("low < u and (high > u or low <> high)").limit(1).count():
             break
-        least = ends.select(F.col("u").alias("w"), F.least("u", "low").alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # a star's centre is a hot key; its count lets the join salt it
+        least = ends.select(F.col("u").alias("w"), F.least("u", "low").alias("m"), "_n")
+        near = lookup_join(both, least, "u", "w", how="inner", null_safe=False, may_broadcast=fits)
+        large = reliable_checkpoint(near.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        low, fits = materialise_small(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")))
+        small = lookup_join(large, low.withColumnRenamed("a", "w"), "a", "w", how="inner", null_safe=False, may_broadcast=fits)
+        small = (small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         state = reliable_checkpoint(small)
     return state.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
