@@ -215,8 +215,8 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: i
         yield Phrases([g[0] for g in got], [g[1] for g in got], window)
 
 
-def _sharded(batches: Iterator[pa.RecordBatch], text_at: int = 0) -> Iterator[list[pa.RecordBatch]]:
-    """Slices of the batches that together make one shard."""
+def sliced(batches: Iterator[pa.RecordBatch], text_at: int, most_bytes: int, most_rows: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of the batches that together hold about so many bytes of text, or so many rows."""
     held, size, rows = [], 0, 0
     for batch in batches:
         column = batch.column(text_at)
@@ -225,7 +225,7 @@ def _sharded(batches: Iterator[pa.RecordBatch], text_at: int = 0) -> Iterator[li
         for i, n in enumerate(lengths):
             size += int(n) + 1
             rows += 1
-            if size >= SHARD_BYTES or rows >= SHARD_DOCS:
+            if size >= most_bytes or rows >= most_rows:
                 held.append(batch.slice(at, i + 1 - at))
                 yield held
                 held, size, rows, at = [], 0, 0, i + 1
@@ -235,6 +235,11 @@ def _sharded(batches: Iterator[pa.RecordBatch], text_at: int = 0) -> Iterator[li
         yield held
 
 
+def _sharded(batches: Iterator[pa.RecordBatch], text_at: int = 0) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of the batches that together make one shard."""
+    return sliced(batches, text_at, SHARD_BYTES, SHARD_DOCS)
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The positional inverted index, one row a shard: ids, n_words, terms, counts, steps."""
     id_type = docs.schema[id_col].dataType.simpleString()

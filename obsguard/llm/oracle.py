@@ -131,3 +131,25 @@ select *, coalesce(sum(n_chars) over (partition by conv_id, perspective order by
                    rows between unbounded preceding and 1 preceding), 0)::bigint as "offset"
 from g
 """
+
+
+ORACLE["op11_lexical_search"] = r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+l as (select r, doc_id, len(words)::bigint as n, words from d where len(words) > 0),
+facts as (select count(*) as big_n, sum(n)::bigint as big_l from l),
+tf as (select r, w, count(*)::bigint as tf from (select r, unnest(words) as w from l) group by r, w),
+q as (
+  select distinct i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as w from (select row_number() over () as i, item_id, text from benchmark)),
+df as (select w, count(*) as df from tf where w in (select w from q) group by w),
+wt as (select w, floor(1000 * ln((2 * big_n + 2)::double / (2 * df + 1)::double))::bigint as weight from df, facts),
+s as (
+  select i, item_id, tf.r, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // big_l))))::bigint as score
+  from q join wt using (w) join tf using (w) join l on tf.r = l.r, facts group by i, item_id, tf.r),
+k as (
+  select item_id, (row_number() over (partition by i order by score desc, doc_id nulls last))::int as rank, doc_id, score
+  from s join l using (r) where score > 0)
+select item_id, rank, doc_id, score from k where rank <= 50
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import chat, common, decontam, language, mixing, neighbours, quality, sharding, simhash, tokens, toxicity
+from . import chat, common, decontam, language, lexical, mixing, neighbours, quality, sharding, simhash, tokens, toxicity
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")
+    index = common.saved(lexical.build_index(docs), "lexical-index")
+    return lexical.search(index, benchmark).withColumnRenamed("query_id", "item_id")
+
+
 def _with_checkpoints(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
