@@ -153,3 +153,24 @@ k as (
   from s join l using (r) where score > 0)
 select item_id, rank, doc_id, score from k where rank <= 50
 """
+
+
+ORACLE["op12_jaccard_join"] = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                               '[^\x20\x09-\x0D]+') as words from documents),
+s as (
+  select r, doc_id, case when words is null or len(words) = 0 then []
+    when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) end as sh from d),
+n as (select r, doc_id, len(sh)::bigint as n from s),
+t as materialized (select r, md5_number(w) as w from (select r, unnest(sh) as w from s)),
+many as materialized (select r, w from t where w in (select w from t group by w having count(*) > 1)),
+links as materialized (
+  select a, b from (select x.r as a, y.r as b, count(*) as i from many x join many y using (w) where x.r < y.r group by a, b)
+  join n na on na.r = a join n nb on nb.r = b where 100 * i >= 80 * (na.n + nb.n - i)),
+edges as (select a, b from links union all select b, a from links),
+reach(a, b) as (select r, r from n union select reach.a, edges.b from reach join edges on edges.a = reach.b),
+c as (select a as r, min(doc_id) as component_id from reach join n on n.r = reach.b group by a)
+select doc_id, n as n_shingles, component_id from n join c using (r)
+"""
