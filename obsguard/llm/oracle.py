@@ -174,3 +174,50 @@ reach(a, b) as (select r, r from n union select reach.a, edges.b from reach join
 c as (select a as r, min(doc_id) as component_id from reach join n on n.r = reach.b group by a)
 select doc_id, n as n_shingles, component_id from n join c using (r)
 """
+
+
+ORACLE["op13_merkle_manifest"] = r"""
+with recursive f as (
+  select row_number() over () as r, doc_id, lang, n_chars,
+         coalesce(strlen(doc_id::varchar)::varchar || ':' || doc_id::varchar, '-') || coalesce(strlen(source)::varchar || ':' || source, '-')
+         || coalesce(strlen(lang)::varchar || ':' || lang, '-') as head,
+         coalesce(strlen(text)::varchar || ':' || text, '-') as body,
+         xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) as crc
+  from documents),
+leaves as materialized (
+  select r, doc_id, lang, sha256(head || coalesce(strlen(n_chars::varchar)::varchar || ':' || n_chars::varchar, '-') || body) as leaf,
+         sha256(head || coalesce(strlen((n_chars + 1)::varchar)::varchar || ':' || (n_chars + 1)::varchar, '-') || body) as other,
+         coalesce(crc % 7 = 0, false) as hit from f),
+coded as materialized (
+  select *, dense_rank() over (order by lang nulls first) - 1 as t, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place,
+         count(*) over (partition by lang) as n from leaves),
+nodes(t, lvl, place, n, h) as (
+  select t, 0, place, n, leaf from coded
+  union all
+  select t, lvl + 1, place // 2, (n + 1) // 2, sha256(string_agg(h, '' order by place)) from nodes where n > 1 group by t, lvl, place // 2, n),
+subroots as materialized (select t, h, count(*) over () as m from nodes where n = 1),
+tops(lvl, place, n, h) as (
+  select 0, t, m, h from subroots
+  union all
+  select lvl + 1, place // 2, (n + 1) // 2, sha256(string_agg(h, '' order by place)) from tops where n > 1 group by lvl, place // 2, n),
+lower_siblings as materialized (
+  select c.r, x.lvl, x.h from coded c join nodes x on x.t = c.t and x.place = xor(c.place >> x.lvl, 1)),
+upper_siblings as materialized (select s.t, x.lvl, x.h from subroots s join tops x on x.place = xor(s.t >> x.lvl, 1)),
+proofs as (
+  select c.r, sha256(coalesce((select string_agg(h, '' order by lvl) from lower_siblings l where l.r = c.r), '')
+                     || coalesce((select string_agg(h, '' order by lvl) from upper_siblings u where u.t = c.t), '')) as proof_sha256 from coded c),
+fold(r, t, lvl, place, n, v) as (
+  select r, t, 0, place, n, case when hit then other else leaf end from coded
+  union all
+  select f.r, f.t, f.lvl + 1, f.place // 2, (f.n + 1) // 2, sha256(case when f.place % 2 = 0 then f.v || coalesce(s.h, '') else s.h || f.v end)
+  from fold f left join lower_siblings s on s.r = f.r and s.lvl = f.lvl where f.n > 1),
+fold_up(r, t, lvl, place, n, v) as (
+  select r, f.t, 0, f.t, m, v from fold f join subroots s on s.t = f.t where f.n = 1
+  union all
+  select f.r, f.t, f.lvl + 1, f.place // 2, (f.n + 1) // 2, sha256(case when f.place % 2 = 0 then f.v || coalesce(s.h, '') else s.h || f.v end)
+  from fold_up f left join upper_siblings s on s.t = f.t and s.lvl = f.lvl where f.n > 1)
+select c.doc_id, c.leaf, s.h as subroot, (select h from tops where n = 1) as root, p.proof_sha256, f.v as folded_root,
+       f.v = (select h from tops where n = 1) as verified
+from coded c join subroots s on s.t = c.t join proofs p on p.r = c.r join fold_up f on f.r = c.r and f.n = 1
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import chat, common, decontam, jaccard, language, lexical, mixing, neighbours, quality, sharding, simhash, tokens, toxicity
+from . import chat, common, decontam, jaccard, language, lexical, manifest, mixing, neighbours, quality, sharding, simhash, tokens, toxicity
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(common.table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(common.table(spark, sf_dir, "documents"))
+
+
 def _with_checkpoints(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
