@@ -278,9 +278,9 @@ def reduced(slots: list[bytes], levels: int) -> list[list[bytes]]:
     return out
 
 
-def levels_in(nodes: int) -> int:
-    """Levels that a slot array goes up where a tree has so many nodes: all that are left, or `LEVELS`."""
-    return min(LEVELS, max(0, int(nodes - 1).bit_length()))
+def levels_in(nodes: int, levels: int) -> int:
+    """Levels that a slot array goes up where a tree has so many nodes: all that are left, or `levels`."""
+    return min(levels, max(0, int(nodes - 1).bit_length()))
 
 
 def siblings_of(levels: list[list[bytes]], slot: int) -> list[bytes]:
@@ -296,13 +296,13 @@ def siblings_of(levels: list[list[bytes]], slot: int) -> list[bytes]:
 _BLOCK = "tree string, block bigint, nodes bigint, slots binary, docs array<bigint>, changed array<binary>, top binary"
 
 
-def slot_blocks(nodes: DataFrame) -> DataFrame:
+def slot_blocks(nodes: DataFrame, levels: int) -> DataFrame:
     """(tree, block, nodes, slots, docs, changed, top): nodes (tree, at, nodes, hash, doc_id, changed) put into slot arrays.
 
     `nodes` is the number of nodes that the tree has at this level; `top` what the array is reduced to."""
 
     def build(table: pa.Table) -> pa.Table:
-        slot = table.column("at").to_numpy() & ((1 << LEVELS) - 1)
+        slot = table.column("at").to_numpy() & ((1 << levels) - 1)
         if not np.array_equal(np.sort(slot), np.arange(len(slot))):
             raise ValueError("the ranks of a block are not its slots")
         place = np.empty(len(slot), np.int64)
@@ -310,41 +310,41 @@ def slot_blocks(nodes: DataFrame) -> DataFrame:
         table = table.take(pa.array(place))
         hashes = table.column("hash").to_pylist()
         total = table.column("nodes")[0].as_py()
-        top = reduced(hashes, levels_in(total))[-1]
+        top = reduced(hashes, levels_in(total, levels))[-1]
         return pa.table({"tree": pa.array([table.column("tree")[0].as_py()], pa.string()),
                          "block": pa.array([table.column("block")[0].as_py()], pa.int64()), "nodes": pa.array([total], pa.int64()),
                          "slots": pa.array([b"".join(hashes)], pa.binary()),
                          "docs": pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                          "changed": pa.array([table.column("changed").to_pylist()], pa.list_(pa.binary())), "top": pa.array(top, pa.binary())})
 
-    keyed = nodes.withColumn("block", F.shiftright("at", LEVELS))
+    keyed = nodes.withColumn("block", F.shiftright("at", levels))
     return keyed.groupBy("tree", "block").applyInArrow(build, _BLOCK)
 
 
-def _above(blocks: DataFrame) -> DataFrame:
+def _above(blocks: DataFrame, levels: int) -> DataFrame:
     """The blocks' tops as the nodes of the next level of slot arrays."""
-    return blocks.select("tree", F.col("block").alias("at"), F.ceil(F.col("nodes") / F.lit(1 << LEVELS)).alias("nodes"), F.col("top").alias("hash"),
+    return blocks.select("tree", F.col("block").alias("at"), F.ceil(F.col("nodes") / F.lit(1 << levels)).alias("nodes"), F.col("top").alias("hash"),
                          F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("binary").alias("changed"))
 
 
-def forest(nodes: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def forest(nodes: DataFrame, name: str, levels: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((tree, root), the lowest blocks, (tree, block, above) with the siblings above each of them, lowest first)."""
     stack, level = [], nodes
     while True:
-        stack.append(common.saved(slot_blocks(level), name))
-        if not stack[-1].where(F.col("nodes") > (1 << LEVELS)).limit(1).count():
+        stack.append(common.saved(slot_blocks(level, levels), name))
+        if not stack[-1].where(F.col("nodes") > (1 << levels)).limit(1).count():
             break
-        level = _above(stack[-1])
+        level = _above(stack[-1], levels)
         # trees that are done go up as the one node they are; it has no sibling and stays what it is
     roots = stack[-1].select("tree", F.col("top").alias("root"))
 
     def passed_down(batches):
-        size = 1 << LEVELS
+        size = 1 << levels
         for batch in batches:
             trees, blocks, above = [], [], []
             for tree, block, total, slots, upper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 row = [slots[i:i + _DIGEST] for i in range(0, len(slots), _DIGEST)]
-                rows = reduced(row, levels_in(total))
+                rows = reduced(row, levels_in(total, levels))
                 for slot in range(len(row)):
                     trees.append(tree)
                     blocks.append(block * size + slot)
@@ -374,7 +374,7 @@ def fold(value: bytes, at: int, nodes: int, siblings: list[bytes]) -> tuple[byte
     return value, used
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """One row per document: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
     leaves = common.saved(leaves_of(docs), "manifest-leaves")
     ranked, totals = ranked_leaves(leaves)
@@ -383,24 +383,24 @@ def manifest(docs: DataFrame) -> DataFrame:
     # a null language keeps its own tree: names are told from null by a mark in front
     tree = F.when(F.col("lang").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col("lang"))).alias("tree")
     nodes = nodes.select(tree, F.col("rank").alias("at"), F.col("n").alias("nodes"), F.col("leaf").alias("hash"), "doc_id", "changed")
-    subroots, blocks, above = forest(nodes, "manifest-blocks")
+    subroots, blocks, above = forest(nodes, "manifest-blocks", levels)
     # the languages' tree: null ("-") sorts before the others ("=..."), those bytewise
     langs = reliable_checkpoint(with_global_rank(subroots, "tree", name="at"))
     n_langs = langs.count()
     tops, top_blocks, top_above = forest(langs.select(F.lit("all").alias("tree"), "at", F.lit(n_langs).cast("bigint").alias("nodes"),
                                                       F.col("root").alias("hash"), F.lit(None).cast("bigint").alias("doc_id"),
-                                                      F.lit(None).cast("binary").alias("changed")), "manifest-languages")
+                                                      F.lit(None).cast("binary").alias("changed")), "manifest-languages", levels)
     top = tops.first()
     root_hash = bytes(top["root"]) if top else b""
     # per language: its place, and the siblings of its subroot
-    size = 1 << LEVELS
+    size = 1 << levels
     spread = top_blocks.join(top_above.select(F.col("block").alias("b"), "above"), F.col("block") == F.col("b"))
 
     def proofs(batches):
         for batch in batches:
             at, out = [], []
             for block, total, slots, upper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = reduced([slots[i:i + _DIGEST] for i in range(0, len(slots), _DIGEST)], levels_in(total))
+                rows = reduced([slots[i:i + _DIGEST] for i in range(0, len(slots), _DIGEST)], levels_in(total, levels))
                 at += [block * size + s for s in range(len(rows[0]))]
                 out += [b"".join(siblings_of(rows, s)) + upper for s in range(len(rows[0]))]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out, pa.binary())], ["place", "beside"])
@@ -419,7 +419,7 @@ def manifest(docs: DataFrame) -> DataFrame:
                     ("block", "nodes", "slots", "docs", "changed", "above", "subroot", "lang_at", "beside")]
             for block, total, slots, docs_, changed, upper, subroot, lang_at, beside_ in zip(*cols, strict=True):
                 row = [slots[i:i + _DIGEST] for i in range(0, len(slots), _DIGEST)]
-                rows = reduced(row, levels_in(total))
+                rows = reduced(row, levels_in(total, levels))
                 upper = [upper[i:i + _DIGEST] for i in range(0, len(upper), _DIGEST)]
                 tail = [beside_[i:i + _DIGEST] for i in range(0, len(beside_), _DIGEST)]
                 proof_hash, folded = [], []
