@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -51,6 +52,12 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of frames that are done: it learns of them by garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable], inputs: list[str], schema: str,
                 keep: list[str] | None = None) -> DataFrame:
     """Append columns computed per Arrow batch; a computed column replaces an input column of its name.

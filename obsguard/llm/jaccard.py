@@ -7,8 +7,10 @@ A document's set holds its distinct 5-word shingles, as 64-bit hashes. Two sets
 2. *Heavy shingles.* Every scan task lists the shingles frequent in it; those frequent in the corpus are at
    most 2 ** 19 (their counts add up to no more than all shingles), so that table may be broadcast. They rank as
    the most frequent ones and are neither counted nor listed by shingle, so no list of a single shingle is large.
-3. *Survivors.* Linked sets share a shingle in the first n - ceil(0.8 n) + 1 of any common order. In hash order
-   that needs no counts; a class that shares none with a class of fitting size has no link and drops out.
+3. *Survivors.* Linked sets share their first m common shingles within the first n - ceil(0.8 n) + m of any common
+   order. In hash order that needs no counts; a class that shares fewer than m of that front (m a tenth of the set)
+   with classes of fitting size has no link and drops out. 48 bits of the hash do here: a chance match only keeps
+   a class that goes later.
 4. *Rare-first order.* The survivors' shingles are counted. A shingle of one class only matches nothing, but
    ranks first and uses up prefix places. The others get a key: 7 bits of falling rarity (quarter powers of two of
    the count), then 56 bits of the hash; keys ascend from rare to frequent.
@@ -50,6 +52,7 @@ FLUSH = 1 << 22               # shingles after which a scan task lists its frequ
 LOCAL = 8                     # a shingle that a task lists stands in so many of its documents, at least
 FIRST_PIVOTS, MORE_PIVOTS = 2, 4
 _HASH_BITS = 56
+_FRONT_SHIFT = 16             # the front keeps the upper 48 bits of a hash
 _WORDS_KEPT = 1 << 20
 
 
@@ -58,6 +61,15 @@ def prefix_length(n):
     return n - (NEED * n + OF - 1) // OF + 1
 
 
+def shared_front(n):
+    """m: the places of the front that a partner's front must share."""
+    return np.maximum(1, n // 10)
+
+
+def front_length(n):
+    return prefix_length(n) - 1 + shared_front(n)
+
+
 class Shingler:
     """Distinct shingle hashes of texts; the hashes of words are remembered within a bound."""
 
@@ -110,7 +122,7 @@ def scan_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 s = shingles(text)
                 rows[0].append(len(s))
                 rows[1].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                rows[2].append(s[:prefix_length(len(s))].view(np.int64) if len(s) else None)
+                rows[2].append((s[:front_length(len(s))] >> np.uint64(_FRONT_SHIFT)).view(np.int64) if len(s) else None)
                 held.append(s)
                 size += len(s)
                 if size >= FLUSH:
@@ -174,23 +186,23 @@ def _heads(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def survivors(fronts: DataFrame, heavy) -> DataFrame:
-    """(cls): the classes that share a shingle of their hash-order prefix with a class of fitting size.
+    """(cls): the classes that share enough of their hash-order front with classes of fitting size.
 
-    `fronts` holds (cls, n, front), a row a class. A class with a heavy shingle there survives."""
+    `fronts` holds (cls, n, front), a row a class. A heavy shingle counts as shared."""
+    hot_fronts = np.unique(heavy.value.view(np.uint64) >> np.uint64(_FRONT_SHIFT)).view(np.int64)
 
     def split(batches):
         for batch in batches:
             lists = batch.column(2)
             h = lists.flatten().to_numpy(zero_copy_only=False)
             sizes = np.diff(lists.offsets.to_numpy())
-            hot = np.isin(h, heavy.value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h), pa.array(np.repeat(batch.column(1).to_numpy(), sizes)),
-                 pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(hot)], ["h", "n", "cls", "hot"])
+                 pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.isin(h, hot_fronts))], ["h", "n", "cls", "hot"])
 
     def shared(batches):
-        """Rows sorted by (hot, h, n): a row stays if its neighbour has its shingle and a fitting size."""
-        last = None
+        """Rows sorted by (hot, h, n): a row counts if its neighbour has its shingle and a fitting size."""
+        last, counted = None, False
         for batch in batches:
             h, n, cls, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if not len(h):
@@ -201,11 +213,17 @@ def survivors(fronts: DataFrame, heavy) -> DataFrame:
             keep = hot.astype(bool)
             keep[1:] |= near
             keep[:-1] |= near
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(cls[keep]))], ["cls"])
-            last = (h[-1], n[-1], cls[-1], hot[-1])
+            last, last_kept = (h[-1], n[-1], cls[-1], hot[-1]), bool(keep[-1])
+            keep[0] &= not counted
+            counted = last_kept
+            found, first, times = np.unique(cls[keep], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[keep][first]), pa.array(times)], ["cls", "n", "c"])
 
     rows = fronts.select("cls", "n", "front").mapInArrow(split, "h bigint, n bigint, cls bigint, hot boolean")
-    return routed(rows).sortWithinPartitions("hot", "h", "n").mapInArrow(shared, "cls bigint").distinct()
+    counts = routed(rows).sortWithinPartitions("hot", "h", "n").mapInArrow(shared, "cls bigint, n bigint, c bigint")
+    # a partner may be as small as this; its front covers as many common shingles as its own m
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NEED / F.lit(OF)) / 10))
+    return counts.groupBy("cls").agg(F.sum("c").alias("c"), F.max("n").alias("n")).where(F.col("c") >= least).select("cls")
 
 
 def ordered_sets(texts: DataFrame, heavy) -> DataFrame:
@@ -375,11 +393,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     extra = lookup_join(rows.select("rid", "digest").where("digest is not null"), copies, "digest", "d", how="inner", null_safe=False)
     extra = common.saved(extra.where("rid <> cls").select("rid"), "jaccard-copies")
     fronts = rows.where("digest is not null").join(extra, "rid", "left_anti").select(F.col("rid").alias("cls"), "n", "front")
+    common.release(spark)
     alive = common.saved(survivors(fronts, heavy), "jaccard-survivors")
-    keys = rows.select(F.col("rid").alias("cls"), "id", "th").join(alive, "cls")
+    common.release(spark)
+    keys = common.saved(rows.select(F.col("rid").alias("cls"), "id", "th").join(alive, "cls"), "jaccard-keys")
     own = docs.select(F.col(id_col).cast("bigint").alias("i"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("string").alias("text"))
     texts = own.join(keys, own["i"].eqNullSafe(keys["id"]) & (own["t"] == keys["th"])).select("cls", "text")
     sets = common.saved(ordered_sets(texts, heavy), "jaccard-sets")
+    common.release(spark)
     roots = linked_classes(sets)
     linked_ones = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     ids = linked_ones.join(classes.select(F.col("cls").alias("node"), "least"), "node")
