@@ -9,10 +9,11 @@ from pyspark.sql import types as T
 
 from .. import constants as C
 from ..functions.exprs import binarize_status, epoch_millis, to_double
-from ..schema import DEFAULT_SCHEMA, ObsSchema, is_string
+from ..schema import DEFAULT_SCHEMA, ObsSchema, is_string, spare_names
 from .joins import COUNT_COL, broadcast_limit, lookup_join, materialise_small
 from .rank import with_global_rank
 
+
 def to_double_all(df: DataFrame, keep=(C.ID_COL,)) -> DataFrame:
     """Cast every column but `keep` to double in one projection; unparsable values become null.
 
@@ -77,10 +78,11 @@ def index_columns(df: DataFrame, columns, force_shuffle: bool = False) -> DataFr
         whole = whole & F.col(f"`{c}`").isNotNull()
     out = df.where(whole)
     for c, (table, small) in frequency_index_tables(out, columns).items():
-        joined = lookup_join(out, table.withColumnRenamed(c, "_key"), c, "_key", how="inner", null_safe=False,
-                             may_broadcast=small and not force_shuffle)
+        key, index = spare_names(out, "key", "idx")
+        table = table.withColumnsRenamed({c: key, "_idx": index})
+        joined = lookup_join(out, table, c, key, how="inner", null_safe=False, may_broadcast=small and not force_shuffle)
         rest = [x for x in out.columns if x != c]
-        out = joined.select(*[F.col(f"`{x}`") for x in rest], F.col("_idx").alias(c))
+        out = joined.select(*[F.col(f"`{x}`") for x in rest], F.col(index).alias(c))
     return out
 
 
@@ -95,7 +97,7 @@ def index_strings(df: DataFrame, schema: ObsSchema = DEFAULT_SCHEMA, force_shuff
                               if f.name.endswith(schema.value_suffix) and is_string(f.dataType)], force_shuffle)
 
 
-def _scaled(x, mn, mx):
+def scaled_between(x, mn, mx):
     """x/std then min-max to [0, 1] in closed form: (x-min)/(max-min); a constant feature maps to 0.5."""
     return F.when(mx == mn, F.lit(0.5)).otherwise((x - mn) / (mx - mn))
 
@@ -108,22 +110,24 @@ def scale_by_entity(df: DataFrame, features, key: str = C.ID_COL, suffix: str =
     table is checkpointed and joined back, broadcast only when measured below the threshold.
     """
     features = list(features)
+    entity, *names = spare_names(df, "k", *[f"{side}{i}" for i in range(len(features)) for side in ("mn", "mx")])
+    low, high = names[::2], names[1::2]
     aggs = []
-    for i, c in enumerate(features):
-        aggs += [F.min(F.col(c)).alias(f"_mn{i}"), F.max(F.col(c)).alias(f"_mx{i}")]
+    for c, lo, hi in zip(features, low, high, strict=True):
+        aggs += [F.min(F.col(c)).alias(lo), F.max(F.col(c)).alias(hi)]
     aggs.append(F.count(F.lit(1)).alias(COUNT_COL))  # rows per entity: lets the join salt hot entities
-    stats = df.groupBy(F.col(key).alias("_k")).agg(*aggs)
+    stats = df.groupBy(F.col(key).alias(entity)).agg(*aggs)
     stats, small = materialise_small(stats)
-    joined = lookup_join(df, stats, key, "_k", how="left", null_safe=True, may_broadcast=small and not force_shuffle)
+    joined = lookup_join(df, stats, key, entity, how="left", null_safe=True, may_broadcast=small and not force_shuffle)
     out = []
     for c in df.columns:
         if c in features:
             i = features.index(c)
-            out.append(_scaled(F.col(c), F.col(f"_mn{i}"), F.col(f"_mx{i}")).alias(c + suffix))
+            out.append(scaled_between(F.col(c), F.col(low[i]), F.col(high[i])).alias(c + suffix))
             if suffix:
                 out.append(F.col(c))
         else:
-            out.append(F.col(c))
+            out.append(F.col(f"`{c}`"))
     return joined.select(*out)
 
 
@@ -142,7 +146,7 @@ def scale_global(df: DataFrame, features, suffix: str = "") -> DataFrame:
             mn, mx = stats[f"_mn{i}"], stats[f"_mx{i}"]
             mn_c = F.lit(mn).cast("double")
             mx_c = F.lit(mx).cast("double")
-            out.append(_scaled(F.col(c), mn_c, mx_c).alias(c + suffix))
+            out.append(scaled_between(F.col(c), mn_c, mx_c).alias(c + suffix))
             if suffix:
                 out.append(F.col(c))
         else:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .. import constants as C
 from ..functions.exprs import (hex_word, md5_hex, negate_int, row_key, row_max, row_min, trunc_to_int, unit_draw,
                                word_below, word_bucket)
-from ..schema import DEFAULT_SCHEMA, ObsSchema, require_columns
+from ..schema import DEFAULT_SCHEMA, ObsSchema, require_columns, spare_names
 from .entity import entity_stddev, join_entity_stats
 from .joins import COUNT_COL
 
@@ -53,20 +53,6 @@ def draws(key_cols, seed: int, mode: str, ratio: float, n_attrs: int) -> Draws:
     )
 
 
-def spare_names(df: DataFrame, *wanted: str) -> list[str]:
-    """Helper column names that no column of the frame has (in any case)."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for w in wanted:
-        n, name = 0, f"_{w}"
-        while name.lower() in taken:
-            n += 1
-            name = f"_{w}_{n}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def with_draws(df: DataFrame, dr: Draws, extra: dict | None = None) -> tuple[DataFrame, Draws]:
     """Materialise the draws (and other per-row helpers) once in a lower projection.
 

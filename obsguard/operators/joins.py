@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schema import spare_names
 from ..session import reliable_checkpoint
 
 COUNT_COL = "_n"
-HELPERS = ("_hot_key", "_hot_salts")
 SALTS_A_SHARE = 8
 
 
@@ -74,43 +74,46 @@ def hot_keys(small: DataFrame, key: str, count_col: str = COUNT_COL, partitions:
     return small.where(F.col(count_col) > F.lit(2 * share)).select(F.col(key), salts.alias("_salts"))
 
 
-def _salt_of_row(df: DataFrame, n_salts) -> F.Column:
+def _salt_of_row(df: DataFrame, n_salts, helpers) -> F.Column:
     """Spread of a hot key's rows over its salts: a hash of the row plus the number of its input partition.
 
     Distinct rows spread by their hash, equal rows by where they come from. Both are the same on a retry
     whatever the order of rows in a task, so no row is lost or doubled when a stage is run again in part."""
     cols = [F.col(f"`{f.name}`") for f in df.schema.fields
-            if f.name not in HELPERS and not isinstance(f.dataType, T.MapType)]
+            if f.name not in helpers and not isinstance(f.dataType, T.MapType)]
     spread = F.xxhash64(*cols).bitwiseAND(F.lit((1 << 40) - 1)) + F.spark_partition_id()
     return F.pmod(spread, n_salts.cast("bigint")).cast("int")
 
 
 def lookup_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, how: str = "left",
                 null_safe: bool = True, may_broadcast: bool = False, count_col: str = COUNT_COL) -> DataFrame:
-    """Join `small` (one row per key) onto `big`, dropping the small side's key and helper columns."""
-    key = "_lookup_key"
+    """Join `small` (one row per key) onto `big`, dropping the small side's key and count column.
+
+    Helper columns take names that neither side has."""
+    key, hot_key, salts, salt_left, salt_right, count_key = spare_names(
+        big, "lookup_key", "hot_key", "hot_salts", "left_salt", "right_salt", "count_key", also=small.columns)
     small = small.withColumnRenamed(small_key, key)
+    big_col = F.col(f"`{big_key}`")
 
-    def same(left, right):
-        return F.col(left).eqNullSafe(F.col(right)) if null_safe else F.col(left) == F.col(right)
+    def same():
+        return big_col.eqNullSafe(F.col(key)) if null_safe else big_col == F.col(key)
 
     if may_broadcast:
         right = small.drop(count_col)
-        return big.join(F.broadcast(right), same(big_key, key), how).drop(key)
+        return big.join(F.broadcast(right), same(), how).drop(key)
     if count_col not in small.columns:   # no counts came along: take them from the big side's key alone
-        counts = big.groupBy(F.col(big_key).alias("_count_key")).agg(F.count(F.lit(1)).alias(count_col))
-        small = reliable_checkpoint(small.join(counts, F.col(key).eqNullSafe(F.col("_count_key")), "left")
-                                    .drop("_count_key"))
+        counts = big.groupBy(big_col.alias(count_key)).agg(F.count(F.lit(1)).alias(count_col))
+        small = reliable_checkpoint(small.join(counts, F.col(key).eqNullSafe(F.col(count_key)), "left").drop(count_key))
 
-    hot = hot_keys(small, key, count_col).withColumnRenamed(key, "_hot_key").withColumnRenamed("_salts", "_hot_salts")
+    hot = hot_keys(small, key, count_col).withColumnRenamed(key, hot_key).withColumnRenamed("_salts", salts)
     # the hot-key table is bounded (< P/2 rows), so broadcasting it is safe
-    found = F.col("_hot_salts").isNotNull()
-    tagged = big.join(F.broadcast(hot), F.col(big_key).eqNullSafe(F.col("_hot_key")) & found, "left")
-    salt = F.when(found, _salt_of_row(tagged, F.col("_hot_salts"))).otherwise(F.lit(0))
-    left = tagged.withColumn("_left_salt", salt).drop(*HELPERS)
-
-    rep = small.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")) & found, "left")
-    salts = F.when(found, F.sequence(F.lit(0), F.col("_hot_salts") - 1)).otherwise(F.array(F.lit(0)))
-    right = rep.withColumn("_right_salt", F.explode(salts)).drop(*HELPERS, count_col)
-    joined = left.join(right, same(big_key, key) & (F.col("_left_salt") == F.col("_right_salt")), how)
-    return joined.drop(key, "_left_salt", "_right_salt")
+    found = F.col(salts).isNotNull()
+    tagged = big.join(F.broadcast(hot), big_col.eqNullSafe(F.col(hot_key)) & found, "left")
+    salt = F.when(found, _salt_of_row(tagged, F.col(salts), (hot_key, salts))).otherwise(F.lit(0))
+    left = tagged.withColumn(salt_left, salt).drop(hot_key, salts)
+
+    rep = small.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col(hot_key)) & found, "left")
+    every = F.when(found, F.sequence(F.lit(0), F.col(salts) - 1)).otherwise(F.array(F.lit(0)))
+    right = rep.withColumn(salt_right, F.explode(every)).drop(hot_key, salts, count_col)
+    joined = left.join(right, same() & (F.col(salt_left) == F.col(salt_right)), how)
+    return joined.drop(key, salt_left, salt_right)

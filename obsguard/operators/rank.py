@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import spare_names
 from ..session import reliable_checkpoint
 
 TWO_POW_33 = 1 << 33
@@ -16,13 +17,14 @@ def with_global_rank(df: DataFrame, *order, name: str = "_rank") -> DataFrame:
     The sorted frame is checkpointed, so the partitions that were counted are the ones that are numbered.
     One row per partition reaches the driver, whatever the number of rows.
     """
+    pid, mid = spare_names(df, "pid", "mid", also=(name,))
     ordered = reliable_checkpoint(df.orderBy(*order).withColumns(
-        {"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).orderBy("_pid").collect()
+        {pid: F.spark_partition_id(), mid: F.monotonically_increasing_id()}))
+    counts = ordered.groupBy(F.col(pid).alias("p")).agg(F.count(F.lit(1)).alias("c")).orderBy("p").collect()
     offsets, running = [], 0
     for r in counts:
-        offsets += [F.lit(int(r["_pid"])), F.lit(running)]
+        offsets += [F.lit(int(r["p"])), F.lit(running)]
         running += int(r["c"])
-    offset = F.create_map(*offsets)[F.col("_pid")] if offsets else F.lit(0).cast("bigint")
-    local = F.col("_mid") - F.col("_pid").cast("bigint") * F.lit(TWO_POW_33)
-    return ordered.select(*df.columns, (offset + local).cast("bigint").alias(name))
+    offset = F.create_map(*offsets)[F.col(pid)] if offsets else F.lit(0).cast("bigint")
+    local = F.col(mid) - F.col(pid).cast("bigint") * F.lit(TWO_POW_33)
+    return ordered.select(*[F.col(f"`{c}`") for c in df.columns], (offset + local).cast("bigint").alias(name))

@@ -16,8 +16,7 @@ from .. import constants as C
 from ..operators.clean import as_of, complete_rows, compute_profile, Profile
 from ..operators.features import (assemble, binarize_labels, index_columns, scale_by_entity, sort_by_time,
                                   to_double_all)
-from ..schema import DEFAULT_SCHEMA, ObsSchema, is_string
-from ..operators.inject import spare_names
+from ..schema import DEFAULT_SCHEMA, ObsSchema, is_string, spare_names
 from ..session import reliable_checkpoint
 from ..sources.tables import load_rows
 
@@ -49,8 +48,9 @@ class LabeledPoints:
         return self.frame.select(*[c for c in self.frame.columns if c != C.FEATURES_COL], *cols)
 
 
-def _prepare(df: DataFrame, label: str, null_threshold: float, features: str, as_of_ms: int | None,
-             schema: ObsSchema, scale: bool | None, profile: Profile | None = None, keep: tuple = ()):
+def cleaned_rows(df: DataFrame, label: str, null_threshold: float, features: str, as_of_ms: int | None,
+                 schema: ObsSchema, profile: Profile | None = None, keep: tuple = ()):
+    """(rows, profile, string columns): weak columns dropped, complete rows up to the as-of date. Lazy but for the profile."""
     if features not in FEATURE_MODES:
         raise ValueError(f"features must be one of {FEATURE_MODES}")
     if label not in df.columns:
@@ -75,11 +75,17 @@ def _prepare(df: DataFrame, label: str, null_threshold: float, features: str, as
         if key in dropped:
             raise ValueError(f"Key column '{key}' was dropped for nulls (threshold {null_threshold})")
     df = df.drop(*dropped)
+    df = as_of(complete_rows(df, [c for c in judged if c not in dropped]), as_of_ms, schema)
+    strings = [f.name for f in df.schema.fields if f.name.endswith(schema.value_suffix) and is_string(f.dataType) and f.name not in keep]
+    return df, profile, strings
+
 
+def _prepare(df: DataFrame, label: str, null_threshold: float, features: str, as_of_ms: int | None,
+             schema: ObsSchema, scale: bool | None, profile: Profile | None = None, keep: tuple = ()):
+    df, profile, strings = cleaned_rows(df, label, null_threshold, features, as_of_ms, schema, profile, keep)
+    keep = [c for c in keep if c not in (schema.id_col, schema.time_col, label)]
     lost = 0
     label_was_string = is_string(df.schema[label].dataType)
-    df = as_of(complete_rows(df, [c for c in judged if c not in dropped]), as_of_ms, schema)
-    strings = [f.name for f in df.schema.fields if f.name.endswith(schema.value_suffix) and is_string(f.dataType) and f.name not in keep]
     if strings:
         # the cleaned rows are read for the index and again for the points: keep them once in shared storage
         df = index_columns(reliable_checkpoint(df), strings)

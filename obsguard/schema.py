@@ -49,3 +49,17 @@ def require_columns(df: DataFrame, names, what: str = "column") -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"unknown {what}(s): {missing}; available: {df.columns}")
+
+
+def spare_names(df: DataFrame, *wanted: str, also=()) -> list[str]:
+    """Helper column names that no column of the frame, and none of `also`, has (in any case)."""
+    taken = {c.lower() for c in (*df.columns, *also)}
+    out = []
+    for w in wanted:
+        n, name = 0, f"_{w}"
+        while name.lower() in taken:
+            n += 1
+            name = f"_{w}_{n}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
