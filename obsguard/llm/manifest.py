@@ -3,12 +3,12 @@
 Every row is a leaf: the sha256 of its fields. A language's leaves ascend by doc_id; every two consecutive nodes
 become one until one is left, the language's subroot; the subroots, ordered by language, likewise give the root.
 
-1. *Bitmaps.* Each scan task packs its doc_ids by (language, doc_id >> 16) as sorted 16-bit positions; partial packs
+1. *Bitmaps.* Each scan task packs its doc_ids by (language, doc_id >> 12) as sorted 12-bit positions; partial packs
    of a key are merged into a container, a bitmap with a popcount directory or, where that is smaller, the
    positions themselves. Rows that repeat a doc_id are counted beside it.
 2. *Directory.* A container's first rank is the number of rows in all containers below it: the counts are summed
-   within parents of at most 65,536 children, level by level over the id's 16-bit digits. No list of containers is
-   ever whole in one task.
+   within parents of at most 4,096 children (65,536 at the top), level by level over the id's 12-bit digits. No list of
+   containers is ever whole in one task.
 3. *Ranks.* Leaves meet their container; a leaf's coordinate is the container's first rank plus the directory's
    and the popcount below its bit. Leaves are not sorted by id. Rows with one doc_id (or none) in a language go by their leaf,
    numbered by a global sort of just those rows.
@@ -41,10 +41,11 @@ from . import common
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 TAMPER = 7
-DIGIT = 16                       # bits of a doc_id that a container covers
+DIGIT = 12                       # bits of a doc_id that a container covers
+MASK = (1 << DIGIT) - 1
 LEVELS = 10                      # levels that a slot array reduces
 PACK = 1 << 20                   # ids that a scan task packs at a time
-_SPARSE = 1 << 12                # ids from which a container is a bitmap
+_SPARSE = (1 << DIGIT) // 16     # ids from which a container is a bitmap
 _DIGEST = 32
 
 
@@ -72,7 +73,7 @@ def leaves_of(docs: DataFrame) -> DataFrame:
 # -- ranks -------------------------------------------------------------------------------------------
 
 class Container:
-    """Positions (16 bits) of the ids of a key, with how often the repeated ones occur."""
+    """Positions (`DIGIT` bits) of the ids of a key, with how often the repeated ones occur."""
 
     def __init__(self, places: np.ndarray, extra_at: np.ndarray, extra: np.ndarray):
         self.places, self.extra_at, self.extra = places, extra_at, extra
@@ -143,7 +144,7 @@ def containers(leaves: DataFrame) -> DataFrame:
             names = list(codes)
             for part in np.split(order, cut):
                 packs[(names[code[part[0]]], int(chunk[part[0]]))] = Container.merged(
-                    [((ids[part] & 0xFFFF).astype(np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))])
+                    [((ids[part] & MASK).astype(np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))])
             return rows(packs)
 
         for batch in batches:
@@ -238,7 +239,7 @@ def ranked_leaves(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
                     now = [batch.column(i)[int(a)].as_py() for i in range(3, 8)]
                 if b > a + 1:
                     part = batch.slice(int(a) + 1, int(b - a) - 1)
-                    below, again = ranks_in(part.column(8).to_numpy() & 0xFFFF, *now[1:])
+                    below, again = ranks_in(part.column(8).to_numpy() & MASK, *now[1:])
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), pa.array(now[0] + below, pa.int64()), pa.array(again), *[part.column(i) for i in (8, 9, 10)]],
                         ["lang", "rank", "again", "doc_id", "leaf", "changed"])
