@@ -491,12 +491,10 @@ CATEGORICAL_FEATURES = ["li_ua_linenumber_value", "li_ua_tax_value", "li_ua_quan
 
 
 def q_categorical_map(spark, sf_dir):
-    """VectorIndexer category maps (features with at most 32 distinct values) of the training set's own indexer."""
+    """VectorIndexer category maps (features with at most 32 distinct values) as the trees' indexer learns them, straight from the scan."""
     o = features.to_double_all(_obs(spark, sf_dir).select(*CATEGORICAL_FEATURES, F.lit(0.0).alias(C.LABEL_COL)), keep=())
     vec = features.assemble(o, CATEGORICAL_FEATURES)
-    ts = training.training_set(vec, families=("decision_tree",))
-    vi: VectorIndexer = ts.indexer
-    ts.release()
+    vi: VectorIndexer = training.fit_indexer(vec)
     rows = [(int(fi), CATEGORICAL_FEATURES[fi], float(v), int(c))
             for fi, m in vi.categoryMaps.items() for v, c in m.items()]
     return spark.createDataFrame(rows, "feature_index int, feature string, value double, category int")

@@ -31,7 +31,7 @@ from ..operators.clean import Profile, as_of, complete_rows, compute_profile
 from ..operators.features import (assemble, binarize_labels, frequency_index_tables, scaled_between, to_double_all)
 from ..operators.joins import COUNT_COL, broadcast_limit, lookup_join, measured_bytes
 from ..schema import DEFAULT_SCHEMA, ObsSchema, is_string, require_columns, spare_names
-from ..session import ensure_checkpoint_dir
+from ..session import discard, ensure_checkpoint_dir, stored
 from .labelled import LabeledPoints
 
 UNSEEN_VALUES = ("keep", "skip", "error")
@@ -171,8 +171,7 @@ def fit_featuriser(df: DataFrame, label: str, null_threshold: float = C.DEFAULT_
     strings = [c for c in strings if c in names or c == label]
     needed = list(dict.fromkeys([schema.id_col, schema.time_col, *names, label]))
     # the cleaned columns that are used are read for the index and again for the ranges: keep them in shared storage
-    rows.select(*needed).write.option("compression", "zstd").parquet(f"{path}/rows")
-    rows = spark.read.schema(rows.select(*needed).schema).parquet(f"{path}/rows")
+    rows, scratch = stored(rows.select(*[F.col(f"`{c}`") for c in needed]), "featuriser-rows")
     sizes: dict = {}
     counts = {}
     if strings:
@@ -201,4 +200,5 @@ def fit_featuriser(df: DataFrame, label: str, null_threshold: float = C.DEFAULT_
         total = plain.agg(*pairs, F.count(F.lit(1)).alias("n")).first()
     out.overall = [[total[f"low{i}"], total[f"high{i}"]] for i in range(len(names))]
     out.fitted_rows, out.scaled, out.small_tables = int(total["n"] or 0), bool(do_scale), sizes
+    discard(spark, scratch)
     return out.save(spark)

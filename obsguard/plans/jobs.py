@@ -9,7 +9,6 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +19,8 @@ from ..session import reliable_checkpoint
 from ..sources.registry import ModelRegistry
 from ..sources.report import write_report
 from .labelled import labeled_points
-from .train import (CLASSIFIERS, REGRESSORS, VALID_COL, TrainConfig, TrainedModel, TrainingSet, draw_validation, spread, train_family,
-                    training_set)
+from .train import (CLASSIFIERS, REGRESSORS, VALID_COL, TrainConfig, TrainedModel, TrainingSet, draw_validation, store_drawn,
+                    train_family, training_set)
 
 log = logging.getLogger(__name__)
 
@@ -144,14 +143,14 @@ def _evaluate(tagged: DataFrame, task: str, summarise, force_train: bool, attrib
               context: dict | None, features, report_name: str) -> DataFrame:
     """Store the labelled rows once, with their part and validation flag; train on part 0, score part 1."""
     families = families or (CLASSIFIERS if task == "classification" else REGRESSORS)
-    drawn = draw_validation(tagged, config.train).select(C.LABEL_COL, C.FEATURES_COL, PART, VALID_COL)
-    cached = spread(drawn).persist(StorageLevel.MEMORY_AND_DISK)
+    stored = store_drawn(tagged.select(C.LABEL_COL, C.FEATURES_COL, PART), config.train)
+    cached = stored if VALID_COL in stored.columns else draw_validation(stored, config.train)
     try:
         ms = train_models(cached.where(F.col(PART) == 0), task, attribute, families, force_train, config, context, features,
                           stored=True)
         report = _report(ms.models, ms.failures, cached.where(F.col(PART) == 1), summarise)
     finally:
-        cached.unpersist()
+        stored.unpersist()
     if config.report_dir:
         write_report(report, f"{config.report_dir.rstrip('/')}/{report_name}", config.report_format)
     return report

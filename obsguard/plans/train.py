@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from . import gram, nested
 from .grids import grid_for
 
 log = logging.getLogger(__name__)
@@ -89,6 +90,7 @@ class TrainedModel:
     metric_name: str = ""
     grid_cells: int = 0
     cell_metrics: list = field(default_factory=list)   # ({parameter: value}, validation metric or None, error)
+    chosen: int = -1                                   # the cell of the final fit
 
     @property
     def name(self) -> str:
@@ -141,14 +143,27 @@ def _valid_cells(task: str, family: str, cells: list, stats: dict) -> list:
 VALID_COL = "_validation"
 
 
-def draw_validation(df: DataFrame, config: TrainConfig) -> DataFrame:
-    """`df` with a flag for the rows that validate, drawn by a hash of all its columns: the same rows validate
-    whatever the partitioning. Rows equal in every column stand on one side, so a frame of few distinct rows
-    should carry a row key."""
+def _content(df: DataFrame, seed: int):
+    """Hash of a row by all its columns."""
     cols = [vector_to_array(F.col(f"`{f.name}`")) if isinstance(f.dataType, VectorUDT) else F.col(f"`{f.name}`")
             for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    bits = F.pmod(F.xxhash64(*cols, F.lit(config.seed)), F.lit(1 << 32))
-    return df.withColumn(VALID_COL, bits >= F.lit(int(config.train_ratio * (1 << 32))))
+    return F.xxhash64(*cols, F.lit(seed))
+
+
+def draw_validation(df: DataFrame, config: TrainConfig, by_place: bool = False) -> DataFrame:
+    """`df` with a flag for the rows that validate, drawn by a hash of all its columns: the same rows validate
+    whatever the partitioning. Equal rows then stand on one side; `by_place` draws them apart, by their place in the scan
+    as well."""
+    bits = _content(df, config.seed)
+    if by_place:
+        bits = F.xxhash64(bits, F.monotonically_increasing_id())
+    return df.withColumn(VALID_COL, F.pmod(bits, F.lit(1 << 32)) >= F.lit(int(config.train_ratio * (1 << 32))))
+
+
+def few_kinds(df: DataFrame, seed: int) -> bool:
+    """Whether rows repeat so much (each more than twice, on average) that a draw by content would be lopsided."""
+    r = df.agg(F.approx_count_distinct(_content(df, seed)).alias("kinds"), F.count(F.lit(1)).alias("n")).first()
+    return r["kinds"] * 2 < r["n"]
 
 
 @dataclass
@@ -159,18 +174,37 @@ class TrainingSet:
     stats: dict
     n_features: int
     indexer: object = None
-    owned: bool = False
+    held: DataFrame | None = None       # the stored frame, if it is this set's own
 
     def release(self) -> None:
-        if self.owned:
-            self.frame.unpersist()
+        if self.held is not None:
+            self.held.unpersist()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """One partition per core for an under-partitioned input (a small file read as one split); a large input
-    already has more partitions than cores and is left alone."""
+def kept(df: DataFrame) -> DataFrame:
+    """The frame in storage (MEMORY_AND_DISK), computed once; an under-partitioned one (a small file read as one split)
+    with one partition per core. The partitions are counted where they are stored, so nothing runs twice."""
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cached.count()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if cached.rdd.getNumPartitions() >= cores:
+        return cached
+    wide = cached.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    wide.count()
+    cached.unpersist()
+    return wide
+
+
+def store_drawn(df: DataFrame, config: TrainConfig) -> DataFrame:
+    """The frame in storage with the flag of its validation rows; the caller unpersists it."""
+    plain = kept(df)
+    if not few_kinds(plain, config.seed):
+        # the flag follows from the stored columns: no second copy
+        return plain
+    drawn = draw_validation(plain, config, by_place=True).persist(StorageLevel.MEMORY_AND_DISK)
+    drawn.count()
+    plain.unpersist()
+    return drawn
 
 
 def training_set(df: DataFrame, config: TrainConfig = TrainConfig(), families=(), persisted: bool = False) -> TrainingSet:
@@ -178,22 +212,23 @@ def training_set(df: DataFrame, config: TrainConfig = TrainConfig(), families=()
 
     With `persisted` the caller keeps the frame in storage already; otherwise it is stored here until
     `release()`."""
-    frame = df if VALID_COL in df.columns else draw_validation(df, config).select(C.LABEL_COL, C.FEATURES_COL, VALID_COL)
-    if not persisted:
-        frame = spread(frame).persist(StorageLevel.MEMORY_AND_DISK)
+    held = df if persisted else store_drawn(df.select(*[c for c in (C.LABEL_COL, C.FEATURES_COL, VALID_COL) if c in df.columns]), config)
     try:
+        frame = held if VALID_COL in held.columns else draw_validation(held, config)
         n_features = feature_count(frame)
-        indexer = None
-        if any(f in TREE_FAMILIES for f in families):
-            indexer = VectorIndexer(inputCol=C.FEATURES_COL, outputCol=INDEXED, maxCategories=config.max_categories,
-                                    handleInvalid="keep").fit(frame)
-        return TrainingSet(frame, label_stats(frame), n_features, indexer, not persisted)
+        return TrainingSet(frame, label_stats(frame), n_features, fit_indexer(frame, config) if any(f in TREE_FAMILIES for f in families) else None,
+                           None if persisted else held)
     except Exception:
         if not persisted:
-            frame.unpersist()
+            held.unpersist()
         raise
 
 
+def fit_indexer(df: DataFrame, config: TrainConfig = TrainConfig()):
+    """The category map of the feature vectors: features with few distinct values are categorical."""
+    return VectorIndexer(inputCol=C.FEATURES_COL, outputCol=INDEXED, maxCategories=config.max_categories, handleInvalid="keep").fit(df)
+
+
 WEIGHT_COL = "_weight"
 
 
@@ -205,19 +240,45 @@ def pooled(df: DataFrame) -> DataFrame:
     return got.select(C.LABEL_COL, array_to_vector(F.array("_x")).alias(C.FEATURES_COL), WEIGHT_COL)
 
 
-def _search(est, cells: list, data: DataFrame, evaluator, parallelism: int, shape=lambda df: df) -> list:
-    """Fit every cell on the training rows and score it on the validation rows: (metric or None, error)."""
+def _search(est, cells: list, data: DataFrame, evaluator, config: TrainConfig, task: str, family: str, features_col: str,
+            n_features: int, shape=lambda df: df) -> list:
+    """Every cell's validation metric: (metric or None, error). Cells that share a pass over the data, or a fit, are
+    answered together (`gram`, `nested`); the others are fitted one by one."""
     train, valid = shape(data.where(~F.col(VALID_COL))), data.where(F.col(VALID_COL))
-
-    def one(cell):
+    metric = evaluator.getMetricName()
+    values = [{p.name: v for p, v in c.items()} for c in cells]
+    out: list = [None] * len(cells)
+    if task == "regression" and metric in gram.METRICS and n_features <= gram.MAX_FEATURES:
+        some = [i for i, v in enumerate(values) if gram.solvable(family, v)]
+        if some:
+            for i, got in zip(some, gram.search(data, F.col(VALID_COL), family, [values[i] for i in some], metric, features_col), strict=True):
+                out[i] = got
+    rest = [i for i in range(len(cells)) if out[i] is None]
+    groups = [[i] for i in rest]
+    if nested.can_nest(task, family, metric):
+        groups = [[rest[k] for k in g] for g in nested.groups_of(family, [values[i] for i in rest])]
+
+    def one(i):
         try:
-            value = evaluator.evaluate(est.fit(train, cell).transform(valid))
+            value = evaluator.evaluate(est.fit(train, cells[i]).transform(valid))
             return (value, None) if value == value else (None, "the metric is not a number")
         except Exception as e:  # noqa: BLE001 - a failing cell must not lose the family
             return None, f"{type(e).__name__}: {e}"
 
-    with ThreadPool(max(1, min(parallelism, len(cells)))) as pool:
-        return pool.map(inheritable_thread_target(data.sparkSession)(one), cells)
+    def group(some):
+        if len(some) > 1:
+            try:
+                return nested.score_group(est, [cells[i] for i in some], train, valid, task, family, metric, features_col)
+            except Exception as e:  # noqa: BLE001 - one bad cell must not lose its group
+                log.warning("one fit for %d cells of %s failed (%s); fitting them one by one", len(some), family, e)
+        return [one(i) for i in some]
+
+    if groups:
+        with ThreadPool(max(1, min(config.parallelism, len(groups)))) as pool:
+            for some, got in zip(groups, pool.map(inheritable_thread_target(data.sparkSession)(group), groups), strict=True):
+                for i, g in zip(some, got, strict=True):
+                    out[i] = g
+    return out
 
 
 def train_family(df: DataFrame | TrainingSet, task: str, family: str, config: TrainConfig = TrainConfig()) -> TrainedModel:
@@ -247,7 +308,7 @@ def train_family(df: DataFrame | TrainingSet, task: str, family: str, config: Tr
         else:
             metric = config.regression_metric
             evaluator = RegressionEvaluator(metricName=metric, labelCol=C.LABEL_COL)
-        scored = _search(est, cells, data, evaluator, config.parallelism, shape)
+        scored = _search(est, cells, data, evaluator, config, task, family, features_col, ts.n_features, shape)
         sign = 1 if evaluator.isLargerBetter() else -1
         usable = [(sign * v, -i) for i, (v, _) in enumerate(scored) if v is not None]
         if not usable:
@@ -256,7 +317,7 @@ def train_family(df: DataFrame | TrainingSet, task: str, family: str, config: Tr
         best = est.fit(shape(data), cells[at])
         params = {p.name: v for p, v in best.extractParamMap().items() if not p.name.endswith("Col")}
         named = [({p.name: v for p, v in c.items()}, v, e) for c, (v, e) in zip(cells, scored, strict=True)]
-        return TrainedModel(task, family, PipelineModel(stages + [best]), params, scored[at][0], metric, len(cells), named)
+        return TrainedModel(task, family, PipelineModel(stages + [best]), params, scored[at][0], metric, len(cells), named, at)
     finally:
         if own:
             ts.release()
@@ -274,10 +335,9 @@ def cells_frame(spark, trained: list) -> DataFrame:
     """Every grid cell with its validation metric: (task, family, cell, params, metric_name, metric, error, chosen)."""
     rows = []
     for t in trained:
-        chosen = next((i for i, (_, v, _) in enumerate(t.cell_metrics) if v == t.validation_metric), -1)
         for i, (params, value, error) in enumerate(t.cell_metrics):
             rows.append((t.task, t.family, i, json.dumps(params, sort_keys=True, default=str), t.metric_name,
-                         None if value is None else float(value), error, i == chosen))
+                         None if value is None else float(value), error, i == t.chosen))
     return spark.createDataFrame(rows, "task string, family string, cell int, params string, metric_name string, "
                                        "metric double, error string, chosen boolean")
 
