@@ -487,6 +487,70 @@ def q_validation_cells(spark, sf_dir):
     return training.cells_frame(spark, [tm]).select("cell", "metric_name", "metric", "chosen", F.lit(n).cast("bigint").alias("n_rows"))
 
 
+def _held_flag():
+    """Rows that validate, by the registered split draw of the row key (so that SQL knows them)."""
+    return split.split_word(["obs_key"], SEED)
+
+
+def q_tree_grid_cells(spark, sf_dir):
+    """All 32 tree cells of the original search space on a noisy label and one 0/1 feature: which gains allow the split,
+    and the accuracy of each cell on the validation rows."""
+    from ..functions.exprs import word_below
+
+    o = _obs(spark, sf_dir)
+    label = binarize_status(F.col("li_ua_price_status").cast("double"))
+    o = o.select("obs_key", label.alias(C.LABEL_COL), (F.col("li_ua_quantity_value") > 35).cast("double").alias("high"))
+    points = features.assemble(o, ["high"]).withColumn(training.VALID_COL, ~word_below(_held_flag(), 0.8))
+    tm = training.train_family(points.select(C.LABEL_COL, C.FEATURES_COL, training.VALID_COL), "classification", "decision_tree")
+    return _round_doubles(training.cells_frame(spark, [tm]).select(
+        "cell", F.get_json_object("params", "$.minInfoGain").cast("double").alias("min_info_gain"),
+        F.get_json_object("params", "$.impurity").alias("impurity"), F.get_json_object("params", "$.maxDepth").cast("int").alias("max_depth"),
+        "metric_name", "metric", "chosen"))
+
+
+def q_linear_grid_one_pass(spark, sf_dir):
+    """All 192 linear cells of the original search space on price by quantity, from one pass: rmse on the validation rows."""
+    from ..functions.exprs import word_below
+
+    o = _obs(spark, sf_dir)
+    o = o.select("obs_key", (F.col("li_ua_price_value") / 10000).alias(C.LABEL_COL), "li_ua_quantity_value")
+    points = features.assemble(o, ["li_ua_quantity_value"]).withColumn(training.VALID_COL, ~word_below(_held_flag(), 0.8))
+    tm = training.train_family(points.select(C.LABEL_COL, C.FEATURES_COL, training.VALID_COL), "regression", "linear")
+    names = [("reg_param", "regParam", "double"), ("elastic_net", "elasticNetParam", "double"), ("fit_intercept", "fitIntercept", "boolean")]
+    return _round_doubles(training.cells_frame(spark, [tm]).select(
+        "cell", *[F.get_json_object("params", f"$.{p}").cast(t).alias(c) for c, p, t in names], F.col("metric").alias("rmse")))
+
+
+def _slices(spark, sf_dir):
+    """Training rows (up to the split date, without some entities and one flag) and all later rows."""
+    o = _obs(spark, sf_dir).drop("li_ua_discount_value", "li_ua_unit_value")
+    early, late = split.split_by_date(o, SPLIT_MS)
+    return early.where((F.col(C.ID_COL).cast("int") % 5 != 0) & (F.col("li_ua_flag_value") != "R")), late
+
+
+def q_serve_features_on_new_rows(spark, sf_dir):
+    """A featuriser fitted on early rows measures later ones: their flag by the early index (an unseen one goes last), their
+    numbers by the early ranges of their entity (of all rows for an unseen one)."""
+    from .featuriser import fit_featuriser
+
+    early, late = _slices(spark, sf_dir)
+    fz = fit_featuriser(early, "li_ua_quantity_status", keep=("obs_key",))
+    return fz.apply(late, keep=("obs_key",)).expanded(ROUND)
+
+
+def q_serve_on_new_rows(spark, sf_dir):
+    """A line of price over time, fitted on early rows and stored, scores later ones from the registry; means by entity."""
+    early, late = _slices(spark, sf_dir)
+    grid = _one_cell("regression", "linear", regParam=0.0, solver="normal")
+    config = jobs.JobConfig(train=training.TrainConfig(grid=grid), registry_root=_registry(spark).root)
+    jobs.train_for(early, "time_series", "li_ua_price", ["linear"], config)
+    again = jobs.train_for(late, "time_series", "li_ua_price", ["linear"], config, force_train=False)      # loads, fits nothing
+    served = jobs.serve_for(late, "time_series", "li_ua_price", ["linear"], config)
+    return served.groupBy(C.ID_COL, "model").agg(
+        F.count(C.PREDICTION_COL).alias("n"), F.round(F.avg(C.PREDICTION_COL), 1).alias("mean_prediction"),
+        F.lit(len(again.trained)).cast("bigint").alias("fitted_again"))
+
+
 CATEGORICAL_FEATURES = ["li_ua_linenumber_value", "li_ua_tax_value", "li_ua_quantity_value", "li_ua_price_value"]
 
 

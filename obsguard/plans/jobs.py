@@ -8,17 +8,21 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass, field
+from functools import partial
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.metrics import classification_report, regression_report
-from ..operators.split import tag_by_date, tag_split
+from ..operators.clean import as_of
+from ..operators.split import split_by_date, tag_by_date, tag_split
+from ..schema import DEFAULT_SCHEMA, ObsSchema, spare_names
 from ..session import reliable_checkpoint
 from ..sources.registry import ModelRegistry
 from ..sources.report import write_report
-from .labelled import labeled_points
+from .featuriser import Featuriser, fit_featuriser
 from .train import (CLASSIFIERS, REGRESSORS, VALID_COL, TrainConfig, TrainedModel, TrainingSet, draw_validation, store_drawn,
                     train_family, training_set)
 
@@ -45,18 +49,19 @@ class ModelSet:
 
 def train_models(df: DataFrame | TrainingSet, task: str, attribute: str = "", families=None, force_train: bool = True,
                  config: JobConfig = JobConfig(), context: dict | None = None, features=(),
-                 stored: bool = False) -> ModelSet:
+                 stored: bool = False, featuriser: str | None = None) -> ModelSet:
     """Per family: load from the registry unless forced or absent, else train and save.
 
     `context` is all that tells this job's models from others of the same attribute (task form, as-of date,
     threshold, split); it is part of the registry key, as are the feature names. The training rows are stored
     once for all families; `stored` says that the caller has done so. A failing family is recorded with its error
-    and the others go on.
+    and the others go on. Models saved with a `featuriser` (its folder) are found again without the feature names,
+    which the featuriser knows.
     """
     families = families or (CLASSIFIERS if task == "classification" else REGRESSORS)
     spark = df.frame.sparkSession if isinstance(df, TrainingSet) else df.sparkSession
     registry = ModelRegistry(spark, config.registry_root) if config.registry_root else None
-    context = {**(context or {}), "features": list(features)}
+    context = {**(context or {}), **({"fitted": True} if featuriser else {"features": list(features)})}
     out = ModelSet()
     wanted = []
     for fam in families:
@@ -78,7 +83,7 @@ def train_models(df: DataFrame | TrainingSet, task: str, attribute: str = "", fa
                 out.models[fam] = tm.model
                 out.trained.append(tm)
                 if registry is not None:
-                    registry.save(tm.model, task, attribute, fam, key_hash, tm.validation_metric, features)
+                    registry.save(tm.model, task, attribute, fam, key_hash, tm.validation_metric, features, featuriser)
             except Exception as e:  # noqa: BLE001 - family isolation
                 out.failures[fam] = _failed(task, attribute, fam, e)
     finally:
@@ -92,20 +97,22 @@ def _failed(task: str, attribute: str, family: str, error: Exception) -> str:
     return f"{type(error).__name__}: {error}"
 
 
-def score_all(models: dict, test: DataFrame) -> DataFrame:
-    """Stack the predictions of every model, (model, label, prediction), in one pass over the test rows: the
-    models' transforms are chained, and each row then unfolds into one row per model."""
-    scored = test.select(C.LABEL_COL, C.FEATURES_COL)
+def score_all(models: dict, test: DataFrame, keep=()) -> DataFrame:
+    """Stack the predictions of every model, (kept columns, model, label, prediction), in one pass over the test rows:
+    the models' transforms are chained, and each row then unfolds into one row per model."""
+    # kept columns travel as one, under a name that no model's own columns have
+    held = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_kept") if keep else F.lit(True).alias("_kept")
+    scored = test.select(C.LABEL_COL, C.FEATURES_COL, held)
     columns = {}
     for i, (fam, model) in enumerate(models.items()):
         columns[fam] = f"_prediction_{i}"
-        keep = [*scored.columns, F.col(C.PREDICTION_COL).cast("double").alias(columns[fam])]
-        scored = model.transform(scored).select(*keep)
+        names = [*scored.columns, F.col(C.PREDICTION_COL).cast("double").alias(columns[fam])]
+        scored = model.transform(scored).select(*names)
     rows = F.array(*[F.struct(F.lit(fam).alias("model"), F.col(c).alias("prediction")) for fam, c in columns.items()])
     if not columns:
         rows = F.expr("cast(array() as array<struct<model:string,prediction:double>>)")
-    return scored.select(F.explode(rows).alias("r"), F.col(C.LABEL_COL).alias("label")).select(
-        "r.model", "label", "r.prediction")
+    return scored.select(F.explode(rows).alias("r"), F.col(C.LABEL_COL).alias("label"), "_kept").select(
+        *[F.col("_kept").getField(c).alias(c) for c in keep], "r.model", "label", "r.prediction")
 
 
 def _report(models: dict, failures: dict, test: DataFrame, summarise) -> DataFrame:
@@ -114,10 +121,7 @@ def _report(models: dict, failures: dict, test: DataFrame, summarise) -> DataFra
     failures = dict(failures)
 
     def frozen(some: dict) -> DataFrame:
-        scored = score_all(some, test)
-        rows = scored.groupBy(F.col("model").alias("m")).agg(F.count(F.lit(1)).alias("n_rows"))
-        report = summarise(scored)
-        return reliable_checkpoint(report.join(rows, report["model"] == rows["m"]).drop("m"))
+        return reliable_checkpoint(summarise(score_all(some, test)))
 
     try:
         report = frozen(models)
@@ -173,13 +177,13 @@ def evaluate_classification(labeled: DataFrame, splits=(0.8, 0.2), seed: int = 4
         share = splits[0] / sum(splits)
         tagged = labeled.withColumn(PART, F.when(F.rand(seed) < F.lit(share), F.lit(0)).otherwise(F.lit(1)))
     context = {"form": "classification", "split": [split, list(splits), seed, list(key_cols or ())], **(context or {})}
-    return _evaluate(tagged, "classification", lambda scored: classification_report(scored, legacy_swap=legacy_swap),
+    return _evaluate(tagged, "classification", lambda scored: classification_report(scored, legacy_swap=legacy_swap, with_rows=True),
                      force_train, attribute, config, families, context, features, "classificationreport")
 
 
 def _evaluate_by_date(labeled, split_ms, form, force_train, attribute, config, families, context, features, name):
     context = {"form": form, "split_ms": int(split_ms), **(context or {})}
-    return _evaluate(tag_by_date(labeled, split_ms, PART), "regression", regression_report, force_train, attribute, config,
+    return _evaluate(tag_by_date(labeled, split_ms, PART), "regression", partial(regression_report, with_rows=True), force_train, attribute, config,
                      families, context, features, name)
 
 
@@ -199,41 +203,156 @@ def evaluate_time_series(labeled: DataFrame, split_ms: int, force_train: bool =
                              "timeseriesregressionreport")
 
 
-# -- attribute forms: load and transform the raw observation table first ---------------------------
+# -- attribute forms: from the raw observation table ------------------------------------------------
+#
+# The featuriser (feature columns, string index, entity ranges) is fitted on the training rows alone and kept with the
+# models. Test rows and later slices are measured with it; they never change a feature of a training row.
 
-def _points(obs: DataFrame, task: str, attribute: str, as_of_ms, config: JobConfig, keep=()):
-    lp = labeled_points(obs, task, attribute, as_of_ms=as_of_ms, null_threshold=config.null_threshold, keep=tuple(keep))
-    context = {"as_of_ms": as_of_ms, "null_threshold": config.null_threshold, "scaled": lp.scaled}
-    return lp, context
+FORMS = {"classification": "classification", "regression": "regression", "time_series": "regression"}
+REPORTS = {"classification": "classificationreport", "regression": "regressionreport", "time_series": "timeseriesregressionreport"}
 
 
-def _with_dropped(report: DataFrame, lp) -> DataFrame:
-    return report.withColumn("dropped_labels", F.lit(int(lp.dropped_labels)).cast("bigint"))
+def _label_of(form: str, attribute: str, schema: ObsSchema) -> str:
+    if form not in FORMS:
+        raise ValueError(f"form must be one of {tuple(FORMS)}")
+    return schema.status_col(attribute) if form == "classification" else schema.value_col(attribute)
+
+
+def _context(form: str, config: JobConfig, as_of_ms: int | None, context: dict | None) -> dict:
+    return {"form": form, "as_of_ms": as_of_ms, "null_threshold": config.null_threshold, **(context or {})}
+
+
+@dataclass
+class FittedModels:
+    """Models by family, each with the featuriser that makes its features."""
+
+    models: dict = field(default_factory=dict)          # family -> PipelineModel
+    featurisers: dict = field(default_factory=dict)     # family -> Featuriser
+    failures: dict = field(default_factory=dict)        # family -> error text
+    trained: list = field(default_factory=list)         # TrainedModel of families fitted in this run
+    dropped_labels: int = 0
+
+    def by_featuriser(self) -> list[tuple[Featuriser, dict]]:
+        out: dict = {}
+        for fam, model in self.models.items():
+            fz = self.featurisers[fam]
+            out.setdefault(fz.path, (fz, {}))[1][fam] = model
+        return list(out.values())
+
+
+def load_for(spark, form: str, attribute: str, families=None, config: JobConfig = JobConfig(), as_of_ms: int | None = None,
+             context: dict | None = None) -> FittedModels:
+    """The latest stored models of an attribute with their featurisers; a family without one is a failure."""
+    task, out = FORMS[form], FittedModels()
+    if not config.registry_root:
+        raise ValueError("stored models need a registry root")
+    registry = ModelRegistry(spark, config.registry_root)
+    key_context = {**_context(form, config, as_of_ms, context), "fitted": True}
+    for fam in families or (CLASSIFIERS if task == "classification" else REGRESSORS):
+        try:
+            row = registry.latest(task, attribute, fam, config.train.hash(task, fam, key_context))
+            if row is None or not row["featuriser"]:
+                raise KeyError(f"no stored model of family {fam} for {form} of attribute {attribute!r}")
+            fz = next((f for f in out.featurisers.values() if f.path == row["featuriser"]), None) or Featuriser.load(spark, row["featuriser"])
+            if (row["features"] or "") != "\n".join(fz.feature_names):
+                raise ValueError(f"the model at {row['path']} and its featuriser name different features")
+            out.models[fam], out.featurisers[fam] = PipelineModel.load(row["path"]), fz
+        except Exception as e:  # noqa: BLE001 - family isolation
+            out.failures[fam] = f"{type(e).__name__}: {e}"
+    return out
+
+
+def train_for(obs: DataFrame, form: str, attribute: str, families=None, config: JobConfig = JobConfig(), as_of_ms: int | None = None,
+              force_train: bool = True, context: dict | None = None, keep: tuple = (), schema: ObsSchema = DEFAULT_SCHEMA) -> FittedModels:
+    """Models of one attribute from training rows of the raw table: stored ones unless forced or absent, else fitted
+    together with a featuriser and saved with it. `keep` names columns that are no features."""
+    task, label = FORMS[form], _label_of(form, attribute, schema)
+    families = list(families or (CLASSIFIERS if task == "classification" else REGRESSORS))
+    out = FittedModels()
+    if config.registry_root and not force_train:
+        out = load_for(obs.sparkSession, form, attribute, families, config, as_of_ms, context)
+        out.failures = {}
+    wanted = [f for f in families if f not in out.models]
+    if not wanted:
+        return out
+    mode = "time" if form == "time_series" else "all"
+    fz = fit_featuriser(obs, label, config.null_threshold, mode, as_of_ms, schema, keep=tuple(keep), root=config.registry_root)
+    points = fz.apply(as_of(obs, as_of_ms, schema))
+    ms = train_models(points.frame.select(C.LABEL_COL, C.FEATURES_COL), task, attribute, wanted, True, config,
+                      _context(form, config, as_of_ms, context), fz.feature_names, featuriser=fz.path)
+    out.models |= ms.models
+    out.featurisers |= {f: fz for f in ms.models}
+    out.failures, out.trained, out.dropped_labels = ms.failures, ms.trained, points.dropped_labels
+    return out
+
+
+def serve_for(obs: DataFrame, form: str, attribute: str, families=None, config: JobConfig = JobConfig(), as_of_ms: int | None = None,
+              context: dict | None = None, keep: tuple = (), labelled: bool = False, **rules) -> DataFrame:
+    """Score new rows with the stored models of an attribute: (id, time, kept columns, model, label, prediction).
+
+    Nothing is fitted: index and ranges are those of the training rows. `rules` say what happens to unseen values and
+    entities (`Featuriser.apply`). A family without a stored model is an error."""
+    fitted = load_for(obs.sparkSession, form, attribute, families, config, as_of_ms, context)
+    if fitted.failures:
+        raise KeyError("; ".join(fitted.failures.values()))
+    out = None
+    for fz, models in fitted.by_featuriser():
+        points = fz.apply(obs, keep=tuple(keep), labelled=labelled, **rules).frame
+        rest = [c for c in points.columns if c not in (C.LABEL_COL, C.FEATURES_COL)]
+        scored = score_all(models, points, rest)
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def _evaluate_for(parts: tuple[DataFrame, DataFrame], form: str, attribute: str, summarise, force_train: bool, config: JobConfig, families,
+                  as_of_ms: int | None, context: dict, keep: tuple) -> DataFrame:
+    """Fit featuriser and models on the first part, score the second: one report row per model."""
+    train, test = parts
+    fitted = train_for(train, form, attribute, families, config, as_of_ms, force_train, context, keep)
+    report, dropped, failures = None, fitted.dropped_labels, dict(fitted.failures)
+    for fz, models in fitted.by_featuriser() or [(None, {})]:
+        points = fz.apply(as_of(test, as_of_ms)) if fz else None
+        dropped += points.dropped_labels if fz else 0
+        frame = points.frame if fz else test.sparkSession.createDataFrame([], "label double, features array<double>")
+        part = _report(models, failures, frame, summarise)
+        report, failures = part if report is None else report.unionByName(part), {}
+    report = report.withColumn("dropped_labels", F.lit(int(dropped)).cast("bigint"))
+    if config.report_dir:
+        write_report(report, f"{config.report_dir.rstrip('/')}/{REPORTS[form]}", config.report_format)
+    return report
 
 
 def evaluate_classification_for(obs: DataFrame, attribute: str, splits=(0.8, 0.2), seed: int = 42,
                                 force_train: bool = True, config: JobConfig = JobConfig(),
-                                as_of_ms: int | None = None, key_cols=None, **kw) -> DataFrame:
-    """Label the attribute's status, featurise the raw table, then evaluate the classifiers. `key_cols` of the raw
-    table travel along and decide the split; the report says how many rows had no readable label."""
-    lp, context = _points(obs, "classification", attribute, as_of_ms, config, key_cols or ())
-    return _with_dropped(evaluate_classification(lp.frame, splits, seed, force_train, attribute, config, key_cols=key_cols,
-                                                 context=context, features=lp.feature_names, **kw), lp)
+                                as_of_ms: int | None = None, key_cols=None, families=None, legacy_swap: bool = False,
+                                context: dict | None = None) -> DataFrame:
+    """Label the attribute's status, split the raw rows by a hash of `key_cols` (else of all columns and the place in
+    the scan), fit on the first part and evaluate on the second; the report says how many rows had no readable label."""
+    part = spare_names(obs, "part")[0]
+    tagged = tag_split(obs, list(splits), seed, key_cols=key_cols, name=part)
+    if not key_cols:       # the place in the scan decides: both parts must come from one scan
+        tagged = reliable_checkpoint(tagged)
+    own = {"split": ["hash", list(splits), seed, list(key_cols or ())], **(context or {})}
+    return _evaluate_for(tuple(tagged.where(F.col(part) == i).drop(part) for i in (0, 1)), "classification", attribute,
+                         partial(classification_report, legacy_swap=legacy_swap, with_rows=True), force_train, config, families, as_of_ms, own,
+                         tuple(key_cols or ()))
+
+
+def _by_date(obs, form, attribute, split_ms, force_train, config, as_of_ms, families, context):
+    own = {"split_ms": int(split_ms), **(context or {})}
+    return _evaluate_for(split_by_date(obs, split_ms), form, attribute, partial(regression_report, with_rows=True), force_train, config,
+                         families, as_of_ms, own, ())
 
 
 def evaluate_regression_for(obs: DataFrame, attribute: str, split_ms: int, force_train: bool = True,
                             config: JobConfig = JobConfig(), as_of_ms: int | None = None,
-                            families=None) -> DataFrame:
-    """Regress the attribute's value on the other attributes, split by date."""
-    lp, context = _points(obs, "regression", attribute, as_of_ms, config)
-    return _with_dropped(evaluate_regression(lp.frame, split_ms, force_train, attribute, config, families, context,
-                                             lp.feature_names), lp)
+                            families=None, context: dict | None = None) -> DataFrame:
+    """Regress the attribute's value on the other attributes: rows up to the date train, later ones test."""
+    return _by_date(obs, "regression", attribute, split_ms, force_train, config, as_of_ms, families, context)
 
 
 def evaluate_time_series_for(obs: DataFrame, attribute: str, split_ms: int, force_train: bool = True,
                              config: JobConfig = JobConfig(), as_of_ms: int | None = None,
-                             families=None) -> DataFrame:
-    """Regress the attribute's value on time alone, split by date."""
-    lp, context = _points(obs, "time_series", attribute, as_of_ms, config)
-    return _with_dropped(evaluate_time_series(lp.frame, split_ms, force_train, attribute, config, families, context,
-                                              lp.feature_names), lp)
+                             families=None, context: dict | None = None) -> DataFrame:
+    """Regress the attribute's value on time alone: rows up to the date train, later ones test."""
+    return _by_date(obs, "time_series", attribute, split_ms, force_train, config, as_of_ms, families, context)

@@ -524,6 +524,85 @@ def evaluate_time_series_sql() -> str:
                            f"NULL::VARCHAR AS error, true AS scored FROM (VALUES {models}) v(model)")
 
 
+HELD = f"NOT ({draw('obs_key', SEED, 'split', 0)} < 0.8)"
+
+
+def tree_grid_sql() -> str:
+    """One split on a 0/1 feature: its gain by either impurity decides which cells split; leaves say their majority."""
+    def impurity(kind, n, ones):
+        p, r = f"({ones})::DOUBLE / ({n})", f"(1 - ({ones})::DOUBLE / ({n}))"
+        if kind == "gini":
+            return f"(1 - {p} * {p} - {r} * {r})"
+        return f"(- CASE WHEN {p} > 0 THEN {p} * log2({p}) ELSE 0 END - CASE WHEN {r} > 0 THEN {r} * log2({r}) ELSE 0 END)"
+
+    gains = ", ".join(f"{impurity(k, 'n0 + n1', 's0 + s1')} - n0::DOUBLE / (n0 + n1) * {impurity(k, 'n0', 's0')} "
+                      f"- n1::DOUBLE / (n0 + n1) * {impurity(k, 'n1', 's1')} AS {k}" for k in ("gini", "entropy"))
+    high = HIGH_CTE.strip().replace("SELECT CASE", f"SELECT {HELD} AS held, CASE", 1)
+    return with_ctes(OBS_CTE, high,
+                     "t AS (SELECT count(*) FILTER (high = 0) AS n0, count(*) FILTER (high = 1) AS n1, sum(label) FILTER (high = 0) AS s0, "
+                     "sum(label) FILTER (high = 1) AS s1 FROM h WHERE NOT held)",
+                     f"g AS (SELECT *, {gains}, (2 * s0 > n0)::INT AS l0, (2 * s1 > n1)::INT AS l1, (2 * (s0 + s1) > n0 + n1)::INT AS l FROM t)",
+                     "v AS (SELECT avg((label = CASE WHEN high = 1 THEN l1 ELSE l0 END)::INT) AS split, avg((label = l)::INT) AS root FROM h, g WHERE held)",
+                     "c AS (SELECT CAST(((a.i * 2 + b.i) * 4 + d.i) AS INTEGER) AS cell, a.v AS min_info_gain, b.v AS impurity, d.v AS max_depth "
+                     "FROM (VALUES (0, 1.0::DOUBLE), (1, 0.5::DOUBLE), (2, 0.1::DOUBLE), (3, 0.0::DOUBLE)) a(i, v), (VALUES (0, 'gini'), (1, 'entropy')) b(i, v), "
+                     "(VALUES (0, 3), (1, 5), (2, 7), (3, 9)) d(i, v))",
+                     "m AS (SELECT cell, min_info_gain, impurity, CAST(max_depth AS INTEGER) AS max_depth, "
+                     "CASE WHEN CASE impurity WHEN 'gini' THEN gini ELSE entropy END >= min_info_gain THEN split ELSE root END AS metric FROM c, g, v)") + (
+        f"SELECT cell, min_info_gain, impurity, max_depth, 'accuracy' AS metric_name, round(metric, {R}) AS metric, "
+        "cell = (SELECT min(cell) FROM m WHERE metric = (SELECT max(metric) FROM m)) AS chosen FROM m")
+
+
+def linear_grid_sql() -> str:
+    """Elastic net on one feature in closed form, from the moments of the training rows; error from those of the others."""
+    return with_ctes(OBS_CTE,
+                     f"d AS (SELECT {HELD} AS held, li_ua_quantity_value AS x, li_ua_price_value / 10000 AS y FROM obs)",
+                     "t AS (SELECT avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy, covar_pop(x, y) AS cxy, avg(x * x) AS rxx, "
+                     "avg(x * y) AS rxy FROM d WHERE NOT held)",
+                     "c AS (SELECT CAST(((i.i * 6 + e.i) * 4 + r.i) * 2 + f.i AS INTEGER) AS cell, r.v AS reg_param, e.v AS elastic_net, f.v AS fit_intercept "
+                     "FROM range(4) i(i), (VALUES (0, 0.0::DOUBLE), (1, 0.2::DOUBLE), (2, 0.4::DOUBLE), (3, 0.6::DOUBLE), (4, 0.8::DOUBLE), (5, 1.0::DOUBLE)) e(i, v), "
+                     "(VALUES (0, 0.0::DOUBLE), (1, 0.1::DOUBLE), (2, 0.01::DOUBLE), (3, 0.001::DOUBLE)) r(i, v), (VALUES (0, true), (1, false)) f(i, v))",
+                     "s AS (SELECT c.*, t.*, CASE WHEN fit_intercept THEN 1.0 ELSE rxx / (sx * sx) END AS a, "
+                     "CASE WHEN fit_intercept THEN cxy ELSE rxy END / (sx * sy) AS b, reg_param / sy * elastic_net AS l1, reg_param / sy * (1 - elastic_net) AS l2 FROM c, t)",
+                     "w AS (SELECT *, sign(b) * greatest(abs(b) - l1, 0) / (a + l2) * sy / sx AS slope FROM s)",
+                     "z AS (SELECT *, CASE WHEN fit_intercept THEN my - slope * mx ELSE 0.0 END AS icept FROM w)",
+                     "held AS (SELECT x, y FROM d WHERE held)") + (
+        f"SELECT cell, reg_param, elastic_net, fit_intercept, round(sqrt(avg((y - slope * x - icept) * (y - slope * x - icept))), {R}) AS rmse "
+        "FROM z, held GROUP BY ALL")
+
+
+def _slices_ctes() -> tuple:
+    return (OBS_CTE.strip(), f"""early AS (SELECT * FROM obs WHERE "timestamp" <= {SPLIT_MS} AND CAST(ado_id AS INTEGER) % 5 <> 0 AND li_ua_flag_value <> 'R')""",
+            f'late AS (SELECT * FROM obs WHERE "timestamp" > {SPLIT_MS})')
+
+
+def serve_features_sql() -> str:
+    feats = ["li_ua_quantity_value", "li_ua_price_value", "li_ua_tax_value", "li_ua_linenumber_value", "flag"]
+    both = ", ".join(f"min({c}) AS lo{i}, max({c}) AS hi{i}" for i, c in enumerate(feats))
+    out = ", ".join(
+        f"round(CASE WHEN {h} = {lo} THEN 0.5 ELSE (l.{c} - {lo}) / ({h} - {lo}) END, {R}) AS \"f_{'li_ua_flag_value' if c == 'flag' else c}\""
+        for c, lo, h in ((c, f"(CASE WHEN r.ado_id IS NULL THEN a.lo{i} ELSE r.lo{i} END)", f"(CASE WHEN r.ado_id IS NULL THEN a.hi{i} ELSE r.hi{i} END)")
+                         for i, c in enumerate(feats)))
+    return with_ctes(*_slices_ctes(),
+                     "idx AS (SELECT li_ua_flag_value AS v, (row_number() OVER (ORDER BY count(*) DESC, li_ua_flag_value) - 1)::DOUBLE AS flag FROM early GROUP BY 1)",
+                     "known AS (SELECT e.*, flag FROM early e JOIN idx ON v = li_ua_flag_value)",
+                     f"rng AS (SELECT ado_id, {both} FROM known GROUP BY ado_id)", f"whole AS (SELECT {both} FROM known)",
+                     "new AS (SELECT late.*, coalesce(flag, (SELECT count(*) FROM idx))::DOUBLE AS flag FROM late LEFT JOIN idx ON v = li_ua_flag_value)") + (
+        f'SELECT l.ado_id, "timestamp"::DOUBLE AS "timestamp", obs_key, {binarize_sql("CAST(li_ua_quantity_status AS DOUBLE)")} AS label, {out} '
+        "FROM new l LEFT JOIN rng r ON l.ado_id = r.ado_id, whole a")
+
+
+def serve_sql() -> str:
+    scaled = 'CASE WHEN r.hi = r.lo THEN 0.5 ELSE ("timestamp" - r.lo)::DOUBLE / (r.hi - r.lo) END'
+    new = 'CASE WHEN coalesce(r.hi, w.hi) = coalesce(r.lo, w.lo) THEN 0.5 ELSE ("timestamp" - coalesce(r.lo, w.lo))::DOUBLE / (coalesce(r.hi, w.hi) - coalesce(r.lo, w.lo)) END'
+    return with_ctes(*_slices_ctes(),
+                     'r AS (SELECT ado_id, min("timestamp") AS lo, max("timestamp") AS hi FROM early GROUP BY ado_id)',
+                     "w AS (SELECT min(lo) AS lo, max(hi) AS hi FROM r)",
+                     f"m AS (SELECT regr_slope(li_ua_price_value, {scaled}) AS slope, regr_intercept(li_ua_price_value, {scaled}) AS icept "
+                     "FROM early JOIN r USING (ado_id))") + (
+        f"SELECT l.ado_id, 'linear' AS model, count(*) AS n, round(avg(slope * ({new}) + icept), 1) AS mean_prediction, 0::BIGINT AS fitted_again "
+        "FROM late l LEFT JOIN r ON l.ado_id = r.ado_id, w, m GROUP BY l.ado_id")
+
+
 def three_strings_sql() -> str:
     cte = OBS_CTE.strip() + ",\n" + """
 obs3 AS (
@@ -642,6 +721,10 @@ def registered() -> dict:
             "(SELECT count(*) FROM lb) AS n_rows FROM range(8) r(c)"),
         **{f"train_classification_{f}": train_sql("classification") for f in CLASSIFIERS},
         **{f"train_regression_{f}": train_sql("regression") for f in REGRESSORS},
+        "tree_grid_cells": tree_grid_sql(),
+        "linear_grid_one_pass": linear_grid_sql(),
+        "serve_features_on_new_rows": serve_features_sql(),
+        "serve_on_new_rows": serve_sql(),
         "registry_roundtrip": with_ctes(OBS_CTE) + (
             f"SELECT {binarize_sql('CAST(li_ua_price_status AS DOUBLE)')} AS label, count(*) AS n, 0::BIGINT AS differing "
             "FROM obs GROUP BY 1"),

@@ -198,8 +198,8 @@ def kept(df: DataFrame) -> DataFrame:
 def store_drawn(df: DataFrame, config: TrainConfig) -> DataFrame:
     """The frame in storage with the flag of its validation rows; the caller unpersists it."""
     plain = kept(df)
-    if not few_kinds(plain, config.seed):
-        # the flag follows from the stored columns: no second copy
+    if VALID_COL in df.columns or not few_kinds(plain, config.seed):
+        # the caller's flag, or one that follows from the stored columns: no second copy
         return plain
     drawn = draw_validation(plain, config, by_place=True).persist(StorageLevel.MEMORY_AND_DISK)
     drawn.count()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REGISTRY_SCHEMA = ("task string, attribute string, family string, config_hash string, version bigint, "
-                   "path string, created_at timestamp, metric double, features string")
+                   "path string, created_at timestamp, metric double, features string, featuriser string")
 
 
 class ModelRegistry:
@@ -55,15 +55,16 @@ class ModelRegistry:
                 .orderBy(F.col("version").desc(), F.col("created_at").desc(), F.col("path")).limit(1).first())
 
     # -- models --------------------------------------------------------------------------------
-    def save(self, model: PipelineModel, task, attribute, family, config_hash, metric=None, features=()) -> str:
-        """Save under a fresh directory and append the row; returns the directory."""
+    def save(self, model: PipelineModel, task, attribute, family, config_hash, metric=None, features=(), featuriser=None) -> str:
+        """Save under a fresh directory and append the row; returns the directory. `featuriser` is the folder of the
+        fitted featuriser that makes this model's features."""
         prev = self.latest(task, attribute, family, config_hash)
         version = 1 if prev is None else int(prev["version"]) + 1
         path = f"{self.root}/models/{task}/{family}/{uuid.uuid4().hex}"
         model.write().save(path)      # fails rather than replacing anything
         row = [(task, attribute, family, config_hash, version, path,
                 dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), None if metric is None else float(metric),
-                "\n".join(features))]
+                "\n".join(features), featuriser)]
         self.spark.createDataFrame(row, REGISTRY_SCHEMA).coalesce(1).write.mode("append").parquet(self.table_path)
         return path
 
