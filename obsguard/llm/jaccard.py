@@ -16,11 +16,11 @@ A document's set holds its distinct 5-word shingles, as 64-bit hashes. Two sets
    the count), then 56 bits of the hash; keys ascend from rare to frequent.
 5. *Prefix lists.* A class is listed under the non-unique shingles of its rare-first prefix, with its size and the
    positions. Partners must pass the length filter and the positional filter.
-6. *Verification in rounds.* A list's pairs are not spelt out. Its members are ordered, those with the fewest
-   unique shingles first; each round pairs the next few members of the order (pivots) with all later members that
-   are in another component so far. A pair that several lists propose is verified once, by the suffix filter and then
-   exactly. Lists end when all members are connected or every member has been a pivot, so no link between
-   components is lost and a group of copies costs a few pairs a member.
+6. *Verification in rounds.* A list's pairs are not spelt out. In each round a list names some members as pivots
+   (first the two with the fewest unique shingles, which are nearest to most; later those outside its largest component),
+   pairs them with its members in other components, and lets the pivots go. A pair that several lists propose is
+   verified once, by the suffix filter and then exactly. A list ends when those left are in one component, so no link
+   between components is lost and a group of near copies costs a few pairs a member.
 
 Hot lists are salted when pivots are joined to members and sets to pairs (`operators.joins.lookup_join`).
 
@@ -50,7 +50,8 @@ NEED, OF = 80, 100            # links from this share of the union on
 HEAVY = 1 << 19               # heavy shingles, at most
 FLUSH = 1 << 22               # shingles after which a scan task lists its frequent ones
 LOCAL = 8                     # a shingle that a task lists stands in so many of its documents, at least
-FIRST_PIVOTS, MORE_PIVOTS = 2, 4
+FIRST_PIVOTS, MORE_PIVOTS = 2, 64        # pivots of a list in the first round, in the second; then four times as many
+BITS = 25                     # of the table that spares texts a shuffle
 _HASH_BITS = 56
 _FRONT_SHIFT = 16             # the front keeps the upper 48 bits of a hash
 _WORDS_KEPT = 1 << 20
@@ -226,6 +227,27 @@ def survivors(fronts: DataFrame, heavy) -> DataFrame:
     return counts.groupBy("cls").agg(F.sum("c").alias("c"), F.max("n").alias("n")).where(F.col("c") >= least).select("cls")
 
 
+def likely(own: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of `own` (i, t, text) whose text hash shares its place in a bit table with one of `keys` (th).
+
+    The table has 2 ** `BITS` bits at any size, 4 MB: while the keys are few against it, the join that follows moves few
+    texts; it never loses one."""
+    place = F.pmod(F.col("th"), F.lit(1 << BITS))
+    low = place.bitwiseAND(F.lit((1 << 15) - 1))
+    parts = keys.groupBy(F.shiftright(place, 15).alias("b")).agg(F.bitmap_construct_agg(low).alias("m")).collect()
+    bits = np.zeros(1 << BITS >> 3, np.uint8)
+    for r in parts:                               # 1,024 rows of 4 KB, at most
+        bits[r["b"] << 12:(r["b"] + 1) << 12] = np.frombuffer(r["m"], np.uint8)
+    shared = own.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(1).to_numpy() & ((1 << BITS) - 1)
+            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+
+    return own.mapInArrow(run, own.schema)
+
+
 def ordered_sets(texts: DataFrame, heavy) -> DataFrame:
     """(cls, n, u, tokens) of the classes whose rare-first prefix reaches shingles of several classes.
 
@@ -302,14 +324,21 @@ def prefix_lists(sets: DataFrame) -> DataFrame:
 
 
 def _proposed(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(a, b): pivots with the later members of their lists in other components, by the length and positional filters."""
-    wide = lookup_join(members, pivots, "key", "pkey", how="inner", null_safe=False).select("*", F.explode("pivots").alias("p"))
-    need = F.ceil((F.col("n") + F.col("p.n")) * NEED / F.lit(OF + NEED))
-    left = F.least(F.col("n") - F.col("pos"), F.col("p.n") - F.col("p.pos"))        # shared from here on, at most
-    later = (F.col("p.u") < F.col("u")) | ((F.col("p.u") == F.col("u")) & (F.col("p.cls") < F.col("cls")))
-    small, large = F.least("n", "p.n"), F.greatest("n", "p.n")
-    ok = later & (F.col("p.comp") != F.col("comp")) & fitting(small, large) & (left >= need)
-    return wide.where(ok).select(F.col("p.cls").alias("a"), F.col("cls").alias("b")).distinct()
+    """(a, b): pivots with the members of their lists in other components, by the length and positional filters.
+    Two pivots of a list are paired once."""
+    n, pos, comp = (F.col(c) for c in ("n", "pos", "comp"))
+
+    def fits(p):
+        need = F.ceil((n + p["n"]) * NEED / F.lit(OF + NEED))
+        left = F.least(n - pos, p["n"] - p["pos"])                                  # shared from here on, at most
+        once = F.col("turn").isNull() | (p["turn"] < F.col("turn"))
+        return once & (p["comp"] != comp) & fitting(F.least(n, p["n"]), F.greatest(n, p["n"])) & (left >= need)
+
+    wide = lookup_join(members, pivots, "key", "pkey", how="inner", null_safe=False)
+    fit = wide.select("cls", "u", F.explode(F.filter("pivots", fits)).alias("p"))
+    # one way round in all lists; first the one with fewer unique shingles, mostly the pivot
+    pair = F.array_sort(F.array(F.struct(F.col("p.u").alias("u"), F.col("p.cls").alias("cls")), F.struct("u", "cls")))
+    return fit.select(pair[0]["cls"].alias("a"), pair[1]["cls"].alias("b")).distinct()
 
 
 def apart(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -353,28 +382,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def linked_classes(sets: DataFrame) -> DataFrame:
     """(node, root) of every class that has a link, root being the least class reachable. `sets` is a stored table."""
     members = common.saved(prefix_lists(sets).withColumn("comp", F.col("cls")), "jaccard-lists")
-    links, roots, done, pivots = None, None, 0, FIRST_PIVOTS
+    links, roots, most = None, None, FIRST_PIVOTS
     while True:
-        lists = members.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        lists = reliable_checkpoint(lists.where((F.col("lo") != F.col("hi")) & (F.col("_n") > done + 1)).select("k", "_n"))
+        by_comp = members.groupBy(F.col("key").alias("k"), "comp").agg(F.count(F.lit(1)).alias("c"))
+        lists = by_comp.groupBy("k").agg(F.sum("c").alias("_n"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("big"))
+        lists = reliable_checkpoint(lists.where("comps > 1").select("k", "_n", "big"))
         if not lists.limit(1).count():
             break
-        # what is left of the lists: members of other lists are never looked at again
+        # what is left of the open lists, and which of their members take a turn as pivots
         sized = lists.withColumn("size", F.col("_n"))
-        members = common.saved(lookup_join(members, sized, "key", "k", how="inner", null_safe=False), "jaccard-lists")
-        order = F.row_number().over(Window.partitionBy("key").orderBy("u", "cls"))
-        some = members.withColumn("r", order).where(F.col("r") <= pivots).where(F.col("r") > done)
-        chosen = some.groupBy(F.col("key").alias("pkey")).agg(
-            F.collect_list(F.struct("cls", "n", "u", "pos", "comp")).alias("pivots"), F.max("size").alias("_n"))
-        pairs = common.saved(_proposed(members, chosen), "jaccard-pairs")
+        members = lookup_join(members, sized, "key", "k", how="inner", null_safe=False)
+        first = [] if roots is None else [(F.col("comp") == F.col("big")).cast("int")]
+        members = common.saved(members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*first, "u", "cls"))), "jaccard-lists")
+        members = members.withColumn("turn", F.when(F.col("r") <= most, F.col("r"))).drop("r", "big")
+        pivots = members.where("turn is not null").groupBy(F.col("key").alias("pkey")).agg(
+            F.collect_list(F.struct("cls", "n", "u", "pos", "comp", "turn")).alias("pivots"), F.max("size").alias("_n"))
+        pairs = common.saved(_proposed(members, pivots), "jaccard-pairs")
         fresh = common.saved(verified(pairs, sets), "jaccard-links")
-        members = members.drop("size")
+        members = members.where("turn is null").drop("size", "turn")
         if fresh.limit(1).count():
             links = fresh if links is None else links.unionByName(fresh)
             roots = reliable_checkpoint(components(links))
             at = roots.select(F.col("node").alias("at"), "root")
             members = members.join(at, members["cls"] == at["at"], "left").withColumn("comp", F.coalesce("root", "cls")).drop("at", "root")
-        done, pivots = pivots, pivots * MORE_PIVOTS
+        most = max(MORE_PIVOTS, most * 4)
     if roots is None:
         return sets.select(F.col("cls").alias("node"), F.col("cls").alias("root")).where(F.lit(False))
     return roots
@@ -398,6 +429,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common.release(spark)
     keys = common.saved(rows.select(F.col("rid").alias("cls"), "id", "th").join(alive, "cls"), "jaccard-keys")
     own = docs.select(F.col(id_col).cast("bigint").alias("i"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("string").alias("text"))
+    own = likely(own, keys)
     texts = own.join(keys, own["i"].eqNullSafe(keys["id"]) & (own["t"] == keys["th"])).select("cls", "text")
     sets = common.saved(ordered_sets(texts, heavy), "jaccard-sets")
     common.release(spark)
