@@ -169,6 +169,7 @@ def fit_featuriser(df: DataFrame, label: str, null_threshold: float = C.DEFAULT_
     else:
         names = [c for c in rows.columns if c.endswith(schema.value_suffix) and c != label and c not in keep]
     strings = [c for c in strings if c in names or c == label]
+    names = [c for c in names if c not in strings] + [c for c in names if c in strings]      # as the plan orders them
     needed = list(dict.fromkeys([schema.id_col, schema.time_col, *names, label]))
     # the cleaned columns that are used are read for the index and again for the ranges: keep them in shared storage
     rows, scratch = stored(rows.select(*[F.col(f"`{c}`") for c in needed]), "featuriser-rows")

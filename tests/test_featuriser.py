@@ -46,15 +46,15 @@ def test_other_rows_never_change_a_training_feature(spark, rows):
 def test_rules_for_what_training_has_not_seen(spark, rows):
     fz = fit_featuriser(rows, "y_status")
     assert fz.feature_names == ["x_value", "y_value", "s_value"] and fz.strings == {"s_value": 3} and fz.scaled
-    new = spark.createDataFrame([("e0", 1, 18.0, "a", 0.0, 2), ("e0", 2, 4.5, "zzz", 0.0, 0), ("new", 3, 4.5, "a", 0.0, 0), (None, 4, 4.5, "a", 0.0, 0),
+    new = spark.createDataFrame([("e0", 1, 18.0, "a", 0.0, 2), ("e1", 2, 4.5, "zzz", 0.0, 0), ("new", 3, 4.5, "a", 0.0, 0), (None, 4, 4.5, "a", 0.0, 0),
                                  ("e0", 5, None, "a", 0.0, 0), ("e0", 6, 1.0, None, 0.0, 0)], SCHEMA)
     got = {r["timestamp"]: r for r in fz.apply(new).expanded().collect()}
-    assert sorted(got) == [1, 2, 3, 4]                                     # rows with a null feature cannot be scored
+    assert sorted(got) == [1, 2, 3]          # without a feature, or an entity, a row cannot be scored
     assert got[1]["f_x_value"] == 2.0 and got[1]["label"] == 0.0           # outside the range of its entity
-    assert got[2]["f_s_value"] == 1.5                                      # index 3 of 0..2
-    assert got[3]["f_x_value"] == got[4]["f_x_value"] == 0.5               # by the ranges of all training rows
+    assert got[2]["f_s_value"] == 3.0                                      # index 3, where its entity has 0 and 1
+    assert got[3]["f_x_value"] == 0.5                                      # by the ranges of all training rows
     assert {r["timestamp"] for r in fz.apply(new, unseen_entities="skip").frame.collect()} == {1, 2}
-    assert {r["timestamp"] for r in fz.apply(new, unseen_values="skip").frame.collect()} == {1, 3, 4}
+    assert {r["timestamp"] for r in fz.apply(new, unseen_values="skip").frame.collect()} == {1, 3}
     assert max(r["f_x_value"] for r in fz.apply(new, clamp=True).expanded().collect()) == 1.0
     with pytest.raises(Exception, match="training has not seen"):
         fz.apply(new, unseen_values="error").frame.collect()
@@ -63,7 +63,7 @@ def test_rules_for_what_training_has_not_seen(spark, rows):
     with pytest.raises(ValueError, match="x_value"):
         fz.apply(new.drop("x_value"))
     bare = fz.apply(new.drop("y_status"), labelled=False).frame
-    assert {r["label"] for r in bare.collect()} == {None} and bare.count() == 4
+    assert {r["label"] for r in bare.collect()} == {None} and bare.count() == 3
     assert fz.apply(new.where("false")).frame.count() == 0
 
 
