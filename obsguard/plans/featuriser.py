@@ -95,8 +95,10 @@ class Featuriser:
         needed = [c for c in self.feature_names if c != s.time_col] + ([self.label] if labelled else [])
         keys = [s.id_col, s.time_col]
         require_columns(df, [*keys, *needed], "feature column")
-        carried = [c for c in keep if c not in (*keys, *needed)]
-        rows = complete_rows(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keys, *carried, *needed])]), [*keys, *needed])
+        kept = [c for c in dict.fromkeys(keep) if c not in keys]
+        carried = spare_names(df, *[f"kept{i}" for i in range(len(kept))])      # as they are, features among them too
+        rows = complete_rows(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keys, *needed])],
+                                       *[F.col(f"`{c}`").alias(k) for c, k in zip(kept, carried, strict=True)]), [*keys, *needed])
         label_was_string = labelled and is_string(df.schema[self.label].dataType)
         for c, n_values in self.strings.items():
             if c in needed:
@@ -116,7 +118,7 @@ class Featuriser:
         if labelled and self.label.endswith(s.status_suffix):
             rows = binarize_labels(rows, y)
         out = assemble(rows, names)
-        out = out.select(*[F.col(f"`{c}`") for c in (*keys, *carried)], F.col(y).alias(C.LABEL_COL), C.FEATURES_COL)
+        out = out.select(*keys, *[F.col(k).alias(c) for c, k in zip(kept, carried, strict=True)], F.col(y).alias(C.LABEL_COL), C.FEATURES_COL)
         return LabeledPoints(out, list(self.feature_names), None, self.scaled, self.label, lost)
 
     def _indexed(self, rows: DataFrame, column: str, n_values: int, unseen: str, force_shuffle: bool) -> DataFrame:
