@@ -7,8 +7,9 @@ reaches the lower bound of the tile's k-th best pair of that query. Survivors ar
 precision, and each tile's best k per query are merged by heaps. The result equals the exact search; ties go
 to the smaller id.
 
-Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no
-part. A query is not its own candidate: rows with its id are left out. Repeated ids are separate candidates.
+Vectors that are null, zero, or that hold null or non-finite components take no part; the others must have one
+length, or the search fails. A query is not its own candidate: rows with its id are left out. Rows with equal ids are
+separate candidates, and separate queries: every query row gets a list of its own, with ranks from 1.
 Few candidates: all are returned. An empty table gives an empty result.
 """
 
@@ -104,36 +105,36 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                           F.coalesce(is_query, F.lit(False)).alias("q"))
     base = base.where(usable(F.col("v")) & F.col("id").isNotNull())
     base = common.saved(base.withColumn("h", F.xxhash64("id", "v")), "vectors")
-    dims = base.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    dim = dims[0]["d"] if dims else 0
-    base = base.where(F.size("v") == dim)
-    counts = base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("int")).alias("q")).first()
+    counts = base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("int")).alias("q"), F.min(F.size("v")).alias("low"),
+                      F.max(F.size("v")).alias("high")).first()
+    if counts["low"] != counts["high"]:
+        raise ValueError(f"the vectors have {counts['low']} to {counts['high']} components; an inner product needs one length")
     # as many blocks as keep each at about its size; a row's block is a hash of it and its place in the file
     n_q = max(1, -(-int(counts["q"] or 0) // query_block))
     n_c = max(1, -(-int(counts["n"] or 0) // candidate_block))
     spread = F.xxhash64("h", F.monotonically_increasing_id())
     candidates = base.select("id", "v", F.pmod(spread, F.lit(n_c)).alias("c")).withColumn(
         "r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))))
-    queries = base.where("q").select("id", "v", F.pmod(spread, F.lit(n_q)).alias("r")).withColumn(
+    queries = base.where("q").select("id", F.monotonically_increasing_id().alias("row"), "v", F.pmod(spread, F.lit(n_q)).alias("r")).withColumn(
         "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_c - 1).cast("bigint"))))
 
     def tile(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())),
+            return pa.table({"row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())),
                              "scores": pa.array([], pa.list_(pa.float64()))})
         q = Tile(left.column("id").to_numpy(), _matrix(left.column("v")))
         c = Tile(right.column("id").to_numpy(), _matrix(right.column("v")))
         row, ids, scores = tile_best(q, c, k)
         starts = np.concatenate([np.searchsorted(row, np.arange(len(q.ids))), [len(row)]]).astype(np.int32)
-        return pa.table({"query_id": pa.array(q.ids), "ids": pa.ListArray.from_arrays(pa.array(starts), pa.array(ids)),
+        return pa.table({"row": left.column("row"), "query_id": pa.array(q.ids), "ids": pa.ListArray.from_arrays(pa.array(starts), pa.array(ids)),
                          "scores": pa.ListArray.from_arrays(pa.array(starts), pa.array(scores))})
 
     tiles = (queries.groupBy("r", "c").cogroup(candidates.groupBy("r", "c"))
-             .applyInArrow(tile, "query_id bigint, ids array<bigint>, scores array<double>"))
+             .applyInArrow(tile, "row bigint, query_id bigint, ids array<bigint>, scores array<double>"))
 
     def merge(batches):
-        """Rows sorted by query: the tiles' sorted lists of one query are merged by a heap."""
-        query, lists = None, []
+        """Rows sorted by query row: the tiles' sorted lists of one query are merged by a heap."""
+        query, own, lists = None, None, []
 
         def flush():
             best = heapq.merge(*lists)
@@ -145,16 +146,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                 ["query_id", "rank", "vec_id", "score"])
 
         for batch in batches:
-            for qid, ids, scores in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if qid != query and query is not None:
+            for row, qid, ids, scores in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if row != own and own is not None:
                     yield flush()
                     lists = []
-                query = qid
+                own, query = row, qid
                 lists.append(sorted(zip((-s for s in scores), ids, strict=True)))
                 if len(lists) > 64:
                     lists = [list(x for x, _ in zip(heapq.merge(*lists), range(k)))]
-        if query is not None:
+        if own is not None:
             yield flush()
 
-    dealt = tiles.repartition("query_id").sortWithinPartitions("query_id")
+    dealt = tiles.repartition("row").sortWithinPartitions("row")
     return dealt.mapInArrow(merge, "query_id bigint, rank int, vec_id bigint, score double")

@@ -94,15 +94,15 @@ from r left join f on r.src is not distinct from f.src
 
 ORACLE["op8_neighbours"] = r"""
 with e as (
-  select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
     and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p as (
-  select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v, c.v) as score
+  select q.r, q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v, c.v) as score
   from e q join e c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id)
 select query_id, rank, vec_id, score from (
-  select query_id, vec_id, score, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from p)
+  select query_id, vec_id, score, (row_number() over (partition by r order by score desc, vec_id))::int as rank from p)
 where rank <= 20
 """
 

@@ -6,8 +6,9 @@ partitions, every splitter picks the bucket edge nearest to its share, and those
 counted again in finer buckets of the one bucket that holds them. Then the rows are exchanged once, straight
 into their places.
 
-Equal texts are neighbours in this order and stay in one shard as long as a cut at the edge of their group
-is within tolerance; a group larger than that is cut inside, by the hash of the ids. Every shard is sorted
+Equal texts are neighbours in this order and stay in one shard: a cut that falls inside their group moves to its
+nearer edge, and the tolerance yields. Only a group of more than `WHOLE` of a fair shard is cut inside, by the
+hash of the ids. Every shard is sorted
 in `parts` smaller parts, so no task holds a shard; slots follow from the exact row counts below the cuts.
 
 Cases: a null text has no bytes (size 1, crc32 0); null ids sort by their hash
@@ -29,6 +30,7 @@ from . import common
 LAW = "bytes"
 SHARDS = 8
 TOLERANCE = 0.01         # of a shard's fair bytes, between the shards
+WHOLE = 0.5              # of a shard's fair bytes: groups of equal texts up to this stay in one shard
 LOOSE = 0.25             # of a part's fair bytes, inside a shard
 KEY_BITS = 128           # 64 of the text's hash, 64 of the id's
 MIN_KEY = -(1 << 63)
@@ -58,8 +60,8 @@ def _signed(value: int) -> int:
 class Splitter:
     """A cut on its way: it lies inside the bucket `path` (bits of the key seen so far)."""
 
-    def __init__(self, goal: float, tolerance: float):
-        self.goal, self.tolerance = goal, tolerance
+    def __init__(self, goal: float, tolerance: float, whole: float = 0.0):
+        self.goal, self.tolerance, self.whole = goal, tolerance, whole      # groups up to `whole` bytes are not cut
         self.path, self.bits = 0, 0          # the bucket: first `bits` bits of the key
         self.below = (0, 0)                  # bytes and rows below the bucket
         self.best = None                     # (error, key, rows below)
@@ -72,8 +74,8 @@ class Splitter:
 
 
 def find_splitters(rows: DataFrame, shards: int, parts: int, tolerance: float = TOLERANCE,
-                   loose: float = LOOSE) -> list[tuple[int, int]]:
-    """[(key, rows below)] of the shards * parts - 1 cuts; keys are 128-bit numbers.
+                   loose: float = LOOSE, whole: float = WHOLE) -> list[tuple[int, int]]:
+    """[(key, rows below)] of the shards * parts - 1 cuts, ascending; keys are 128-bit numbers.
 
     `rows` (h1, h2, size) is read once a round. A round brings to the driver one row per bucket of the cuts
     that are not settled, a number that depends on the cuts and not on the rows.
@@ -81,7 +83,7 @@ def find_splitters(rows: DataFrame, shards: int, parts: int, tolerance: float =
     total = rows.agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).first()
     all_bytes, all_rows = int(total["b"] or 0), int(total["n"])
     fair = all_bytes / (shards * parts)
-    cuts = [Splitter(fair * j, (tolerance * fair * parts) if j % parts == 0 else loose * fair)
+    cuts = [Splitter(fair * j, tolerance * fair * parts, whole * fair * parts) if j % parts == 0 else Splitter(fair * j, loose * fair)
             for j in range(1, shards * parts)]
     for c in cuts:
         c.offer(0, 0, 0)
@@ -126,21 +128,27 @@ def find_splitters(rows: DataFrame, shards: int, parts: int, tolerance: float =
                 path = (c.path << length) | bucket
                 c.offer(path << shift, below, rows_below)
                 if inside is None and below + b > c.goal:
-                    inside = (path, (below, rows_below))
+                    inside = (path, (below, rows_below), b)
                     c.offer((path + 1) << shift, below + b, rows_below + n)
                     break
                 below, rows_below = below + b, rows_below + n
-            if inside is None or c.best[0] <= c.tolerance or shift == 0:
+            # 64 bits down, the bucket is one group of equal texts
+            if inside is None or c.best[0] <= c.tolerance or shift == 0 or (shift == KEY_BITS - 64 and inside[2] <= c.whole):
                 c.done = True
             else:
-                c.path, c.below = inside
+                c.path, c.below, _ = inside
                 c.bits = bits + length
-    return [(c.best[1], c.best[2]) for c in cuts]
+    found = [(c.best[1], c.best[2]) for c in cuts]
+    # cuts inside a shard keep between the shard's own, which may have moved past them
+    edges = [(0, 0), *sorted(found[parts - 1::parts]), (1 << KEY_BITS, all_rows)]
+    out = []
+    for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+        out += sorted(min(max(cut, low), high) for cut in found[i * parts:(i + 1) * parts - 1]) + [high]
+    return out[:-1]
 
 
 def _placed(keyed: DataFrame, cuts: list[tuple[int, int]], parts: int) -> DataFrame:
     """`keyed` (h1, h2, ...) with its part (`_p`), shard and slot: one exchange, by part, and a sort inside."""
-    cuts = sorted(cuts)
     bounds = [k for k, _ in cuts]
     lowest = [0] + [rows for _, rows in cuts]    # rows below each part
     # parts by bucket of the key's first 12 bits: the part at the bucket's start, and the cuts inside it

@@ -249,8 +249,8 @@ def links(fps: DataFrame, longest: int = LONG_LIST) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) of every node that has a link, root being the least node reachable.
 
-    Alternating large-star and small-star rounds until nothing changes; every round's links are kept in
-    shared storage."""
+    Alternating large-star and small-star rounds until the links are stars; every round's links are kept in
+    shared storage. They halve the distances to the roots, so `rounds` is far beyond any graph: reaching it is an error."""
     state = reliable_checkpoint(edges.where("a <> b").select("a", "b").distinct())
     for _ in range(rounds):
         both = state.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
@@ -266,6 +266,8 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         small = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         state = reliable_checkpoint(small)
+    else:
+        raise RuntimeError(f"the links are not stars after {rounds} rounds")
     return state.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
 
 

@@ -138,6 +138,27 @@ def test_a_hot_group_is_cut_and_edges_hold(spark, odd, empty):
     _check_shards(sharding.shard_documents(same, 4, parts=1).collect(), 4)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_up_to_half_a_shard_stay_whole(spark, seed):
+    """Several groups of equal texts between a tenth and half of a fair shard; one of more than half is cut."""
+    rng = np.random.default_rng(seed)
+    rows, share = [], [0.1, 0.3, 0.45, 0.49, 0.2, 0.8]
+    for g, s in enumerate(share):
+        rows += [f"group {g} {seed} " + "x" * 89] * int(s * 100)
+    rows += [f"{seed} {i} " + "y" * int(rng.integers(20, 160)) for i in range(400 - len(rows))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for parts in (1, 3):
+        out = sharding.shard_documents(docs, 4, parts=parts).collect()
+        sizes = _check_shards(out, 4)
+        fair = sum(sizes.values()) / 4
+        groups = defaultdict(lambda: [set(), 0])
+        for r in out:
+            groups[r.text][0].add(r.shard)
+            groups[r.text][1] += r["size"]
+        assert all(len(g) == 1 for g, b in groups.values() if b <= sharding.WHOLE * fair)
+        assert max(abs(s - fair) for s in sizes.values()) <= 0.5 * fair
+
+
 def test_sharding_plan_is_native(docs):
     plan = sharding.shard_documents(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -367,7 +388,7 @@ def test_neighbours(spark, block):
     vectors[40] *= 1000
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
     bad = [(100, None), (120, [0.0] * 6), (140, [float("nan")] * 6), (160, [1.0] * 5 + [None]), (180, [float("inf")] * 6),
-           (200, []), (220, [1.0, 2.0])]
+           (200, [])]
     table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
     for k in (5, 200):
         got = neighbours.nearest(table, F.col("vec_id") % 20 == 0, k, query_block=block, candidate_block=block).collect()
@@ -379,6 +400,19 @@ def test_neighbours(spark, block):
     assert neighbours.nearest(table.where("vec_id >= 100"), F.lit(True)).count() == 0
 
 
+def test_every_query_row_has_a_list_and_lengths_must_agree(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(40, 4))
+    ids = [0, 0, 20, *range(1, 20), *range(21, 39)]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, F.col("vec_id") % 20 == 0, 3, query_block=2, candidate_block=8).collect()
+    want = [w for n in range(3) for w in _nearest_by_hand(ids, vectors, [n], 3)]
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(w[:3] for w in want)
+    odd_one = spark.createDataFrame([(99, [1.0, 2.0])], table.schema)
+    with pytest.raises(ValueError, match="components"):
+        neighbours.nearest(table.unionByName(odd_one), F.lit(True))
+
+
 def test_int8_bounds_hold():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(200, 33)) * rng.lognormal(size=(200, 1))
