@@ -48,13 +48,14 @@ from .simhash import components
 SHINGLE = 5
 NEED, OF = 80, 100            # links from this share of the union on
 HEAVY = 1 << 19               # heavy shingles, at most
-FLUSH = 1 << 22               # shingles after which a scan task lists its frequent ones
+FLUSH = 1 << 21               # shingles after which a scan task lists its frequent ones
 LOCAL = 8                     # a shingle that a task lists stands in so many of its documents, at least
 FIRST_PIVOTS, MORE_PIVOTS = 2, 64        # pivots of a list in the first round, in the second; then four times as many
 BITS = 25                     # of the table that spares texts a shuffle
 _HASH_BITS = 56
 _FRONT_SHIFT = 16             # the front keeps the upper 48 bits of a hash
-_WORDS_KEPT = 1 << 20
+_WORDS_KEPT = 1 << 16
+_SLICE = 256                   # texts of a batch that are Python strings at a time
 
 
 def prefix_length(n):
@@ -71,6 +72,11 @@ def front_length(n):
     return prefix_length(n) - 1 + shared_front(n)
 
 
+def texts_of(batch: pa.RecordBatch, column: int):
+    for at in range(0, batch.num_rows, _SLICE):
+        yield from batch.column(column).slice(at, _SLICE).to_pylist()
+
+
 class Shingler:
     """Distinct shingle hashes of texts; the hashes of words are remembered within a bound."""
 
@@ -85,13 +91,9 @@ class Shingler:
         known = self.known
         if len(known) > _WORDS_KEPT:
             known.clear()
-        try:
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w)
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         width = min(SHINGLE, len(h))
         n = len(h) - width + 1
         out = np.full(n, width, np.uint64)
@@ -119,7 +121,7 @@ def scan_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         names = ["kind", "id", "th", "n", "digest", "front", "h", "cnt"]
         for batch in batches:
             rows: list = [[], [], []]
-            for text in batch.column(2).to_pylist():
+            for text in texts_of(batch, 2):
                 s = shingles(text)
                 rows[0].append(len(s))
                 rows[1].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -259,7 +261,7 @@ def ordered_sets(texts: DataFrame, heavy) -> DataFrame:
         shingles = Shingler()
         for batch in batches:
             held, size = [], 0
-            for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for cls, text in zip(batch.column(0).to_pylist(), texts_of(batch, 1), strict=True):
                 s = shingles(text).view(np.int64)
                 held.append((s, np.full(len(s), cls), np.full(len(s), len(s)), np.isin(s, heavy.value)))
                 size += len(s)
