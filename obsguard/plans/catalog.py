@@ -478,6 +478,21 @@ def q_isotonic_invariants(spark, sf_dir):
                                              F.sum("falls").alias("n_falls"), F.round(F.sum("p"), 0).alias("sum_prediction"))
 
 
+def q_isotonic_steps(spark, sf_dir):
+    """The step function of price over time, rising and falling: the fitted value at every ship date."""
+    from .isotonic import isotonic_steps
+
+    o = _obs(spark, sf_dir).select(C.TIME_COL, "li_ua_price_value")
+    dates = o.groupBy(C.TIME_COL).agg(F.count(F.lit(1)).alias("n"))
+    out = None
+    for rising in (True, False):
+        steps = isotonic_steps(o, C.TIME_COL, "li_ua_price_value", increasing=rising)
+        inside = (F.col(C.TIME_COL) >= F.col("first_x")) & (F.col(C.TIME_COL) <= F.col("last_x"))
+        part = dates.join(F.broadcast(steps), inside).select(F.lit(rising).alias("rising"), C.TIME_COL, "n", F.round("value", 4).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def q_validation_cells(spark, sf_dir):
     """Every cell of a named search space with its validation metric, on a learnable label: all cells are right."""
     points = _learnable_points(spark, sf_dir, "classification", "decision_tree")

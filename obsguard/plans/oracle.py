@@ -603,6 +603,19 @@ def serve_sql() -> str:
         "FROM late l LEFT JOIN r ON l.ado_id = r.ado_id, w, m GROUP BY l.ado_id")
 
 
+def isotonic_steps_sql() -> str:
+    """The fit at a value is the greatest over starts, of the least over ends, of the mean from start to end."""
+    return with_ctes(OBS_CTE,
+                     'p AS (SELECT "timestamp" AS x, count(*) AS n, sum(li_ua_price_value) AS s FROM obs GROUP BY 1)',
+                     "c AS (SELECT x, n, row_number() OVER (ORDER BY x) AS i, sum(n) OVER (ORDER BY x) AS cn, sum(s) OVER (ORDER BY x) AS cs FROM p)",
+                     "z AS (SELECT 1 AS a, 0::HUGEINT AS cn, 0::DOUBLE AS cs UNION ALL SELECT i + 1, cn, cs FROM c)",
+                     "m AS (SELECT a, i, (c.cs - z.cs) / (c.cn - z.cn) AS mean FROM z JOIN c ON c.i >= z.a)",
+                     "f AS (SELECT a, i, min(mean) OVER (PARTITION BY a ORDER BY i DESC) AS lo, max(mean) OVER (PARTITION BY a ORDER BY i DESC) AS hi FROM m)",
+                     "g AS (SELECT i, max(lo) AS up, min(hi) AS down FROM f GROUP BY i)") + (
+        'SELECT true AS rising, x AS "timestamp", n, round(up, 4) AS value FROM c JOIN g USING (i) UNION ALL '
+        'SELECT false, x, n, round(down, 4) FROM c JOIN g USING (i)')
+
+
 def three_strings_sql() -> str:
     cte = OBS_CTE.strip() + ",\n" + """
 obs3 AS (
@@ -721,6 +734,7 @@ def registered() -> dict:
             "(SELECT count(*) FROM lb) AS n_rows FROM range(8) r(c)"),
         **{f"train_classification_{f}": train_sql("classification") for f in CLASSIFIERS},
         **{f"train_regression_{f}": train_sql("regression") for f in REGRESSORS},
+        "isotonic_steps": isotonic_steps_sql(),
         "tree_grid_cells": tree_grid_sql(),
         "linear_grid_one_pass": linear_grid_sql(),
         "serve_features_on_new_rows": serve_features_sql(),

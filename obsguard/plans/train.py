@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from .. import constants as C
 from . import gram, nested
 from .grids import grid_for
+from .isotonic import isotonic_steps, step_ends
 
 log = logging.getLogger(__name__)
 
@@ -232,19 +233,23 @@ def fit_indexer(df: DataFrame, config: TrainConfig = TrainConfig()):
 WEIGHT_COL = "_weight"
 
 
-def pooled(df: DataFrame) -> DataFrame:
-    """One row per value of the first feature, with the mean label and the number of rows as weight: the same
-    isotonic fit from far fewer rows (MLlib pools equal feature values the same way, but in one place)."""
-    x = vector_to_array(F.col(C.FEATURES_COL))[0]
-    got = df.groupBy(x.alias("_x")).agg(F.avg(C.LABEL_COL).alias(C.LABEL_COL), F.count(F.lit(1)).cast("double").alias(WEIGHT_COL))
-    return got.select(C.LABEL_COL, array_to_vector(F.array("_x")).alias(C.FEATURES_COL), WEIGHT_COL)
+def pooled(df: DataFrame, increasing: bool = True) -> DataFrame:
+    """The isotonic fit of the first feature as rows: the ends of its steps, with their value and weight. MLlib, which
+    pools in one place, gets the same model from these rows, and they are as many as the model has boundaries."""
+    rows = df.select(vector_to_array(F.col(C.FEATURES_COL))[0].alias("x"), F.col(C.LABEL_COL).alias("y"))
+    ends = step_ends(isotonic_steps(rows, "x", "y", increasing=increasing))
+    return ends.select(F.col("value").alias(C.LABEL_COL), array_to_vector(F.array("x")).alias(C.FEATURES_COL), F.col("weight").alias(WEIGHT_COL))
+
+
+def _isotonic_rows(df: DataFrame, values: dict) -> DataFrame:
+    return pooled(df, values.get("isotonic", True))
 
 
 def _search(est, cells: list, data: DataFrame, evaluator, config: TrainConfig, task: str, family: str, features_col: str,
-            n_features: int, shape=lambda df: df) -> list:
+            n_features: int, shape=lambda df, values: df) -> list:
     """Every cell's validation metric: (metric or None, error). Cells that share a pass over the data, or a fit, are
     answered together (`gram`, `nested`); the others are fitted one by one."""
-    train, valid = shape(data.where(~F.col(VALID_COL))), data.where(F.col(VALID_COL))
+    train, valid = data.where(~F.col(VALID_COL)), data.where(F.col(VALID_COL))
     metric = evaluator.getMetricName()
     values = [{p.name: v for p, v in c.items()} for c in cells]
     out: list = [None] * len(cells)
@@ -260,7 +265,7 @@ def _search(est, cells: list, data: DataFrame, evaluator, config: TrainConfig, t
 
     def one(i):
         try:
-            value = evaluator.evaluate(est.fit(train, cells[i]).transform(valid))
+            value = evaluator.evaluate(est.fit(shape(train, values[i]), cells[i]).transform(valid))
             return (value, None) if value == value else (None, "the metric is not a number")
         except Exception as e:  # noqa: BLE001 - a failing cell must not lose the family
             return None, f"{type(e).__name__}: {e}"
@@ -296,7 +301,7 @@ def train_family(df: DataFrame | TrainingSet, task: str, family: str, config: Tr
         if family in TREE_FAMILIES:
             stages, data, features_col = [ts.indexer], ts.indexer.transform(data), INDEXED
         est = make_estimator(task, family, features_col)
-        shape = pooled if family == "isotonic" else lambda frame: frame
+        shape = _isotonic_rows if family == "isotonic" else lambda frame, values: frame
         if family == "isotonic":
             est = est.setWeightCol(WEIGHT_COL)
         cells = _valid_cells(task, family, grid_for(config.grid, task, family)(est, ts.n_features), ts.stats)
@@ -314,7 +319,7 @@ def train_family(df: DataFrame | TrainingSet, task: str, family: str, config: Tr
         if not usable:
             raise RuntimeError(f"every grid cell of {family} failed; the first said: {scored[0][1]}")
         at = -max(usable)[1]
-        best = est.fit(shape(data), cells[at])
+        best = est.fit(shape(data, {p.name: v for p, v in cells[at].items()}), cells[at])
         params = {p.name: v for p, v in best.extractParamMap().items() if not p.name.endswith("Col")}
         named = [({p.name: v for p, v in c.items()}, v, e) for c, (v, e) in zip(cells, scored, strict=True)]
         return TrainedModel(task, family, PipelineModel(stages + [best]), params, scored[at][0], metric, len(cells), named, at)

@@ -110,3 +110,33 @@ def test_the_node_table_is_the_model(spark, frame):
     x = np.array([r[0].toArray() for r in rows])
     assert single.prediction[single.leaves(x)].tolist() == [model.trees[0].predict(r[0]) for r in rows]
     ts.release()
+
+
+@pytest.mark.parametrize("rising", [True, False])
+@pytest.mark.parametrize("kind", ["noise", "falling", "heavy end", "rising"])
+def test_isotonic_steps_equal_mllib(spark, rising, kind):
+    """Ties, weights, runs of violations over many chunks; chunks of 8 blocks."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+    from obsguard.plans.isotonic import isotonic_steps, step_ends
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 90, 300).astype(float)
+    y = {"noise": rng.normal(size=300) + x / 60, "falling": -x, "heavy end": x - 5000.0 * (x > 86), "rising": x}[kind]
+    rows = [(float(a), float(b), float(c)) for a, b, c in zip(x, y, rng.integers(1, 5, 300), strict=True)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0), (1.0, None, 1.0), (2.0, 1e9, 0.0)], "x double, label double, w double")
+    steps = isotonic_steps(df, "x", "label", "w", rising, chunk=8)
+    got = sorted(map(tuple, steps.collect()))
+    assert all(a[1] < b[0] and (a[3] <= b[3] + 1e-9 if rising else a[3] >= b[3] - 1e-9) for a, b in zip(got, got[1:], strict=False))
+    plain = assemble(df.limit(300), ["x"])
+    want = IsotonicRegression(weightCol="w", isotonic=rising).fit(plain)
+    ours = IsotonicRegression(weightCol="weight", isotonic=rising, labelCol="value").fit(assemble(step_ends(steps), ["x"]))
+    probe = assemble(spark.range(-2, 190).select((F.col("id") / 2).alias("x")), ["x"])
+    a, b = ([r[1] for r in m.transform(probe).select("x", "prediction").sort("x").collect()] for m in (want, ours))
+    assert np.allclose(a, b, rtol=1e-9, atol=1e-9)
+
+
+def test_isotonic_steps_of_nothing(spark):
+    from obsguard.plans.isotonic import isotonic_steps
+
+    assert isotonic_steps(spark.createDataFrame([], "x double, y double"), "x", "y").count() == 0
