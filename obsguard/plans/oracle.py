@@ -443,7 +443,7 @@ LEARNABLE_CTE = """
 lb AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS ado_id, epoch_ms(l_shipdate) AS "timestamp",
          concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS obs_key,
-         CASE WHEN l_linenumber > 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS b
+         CASE WHEN l_linenumber > 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS b, l_quantity AS quantity
   FROM lineitem
 )"""
 
@@ -451,10 +451,22 @@ CLASSIFIERS = ["decision_tree", "random_forest", "gbt", "mlp", "logistic", "naiv
 REGRESSORS = ["linear", "glm", "decision_tree", "random_forest", "gbt", "isotonic"]
 
 
-def train_sql(task: str) -> str:
-    """A learnable label is predicted without error on every row."""
-    label = "b" if task == "classification" else "(10.0 * b + 5.0)::DOUBLE"
-    return with_ctes(LEARNABLE_CTE) + f"SELECT {label} AS label, {label} AS prediction, count(*) AS n FROM lb GROUP BY b"
+NOISY_CTE = LEARNABLE_CTE.strip() + """,
+nz AS (
+  SELECT lb.*, CASE WHEN (b = 1) <> (quantity % 5 = 0) THEN 0.0 ELSE 1.0 END::DOUBLE AS label, 1 - b AS best,
+         10 * b + 5 + quantity % 5 - 2 AS y FROM lb)"""
+
+
+def train_sql(task: str, family: str) -> str:
+    """A noisy label is predicted by its majority, or its mean, on either side of b."""
+    if (task, family) == ("regression", "random_forest"):
+        return with_ctes(LEARNABLE_CTE) + ("SELECT (10.0 * b + 5.0)::DOUBLE AS label, (10.0 * b + 5.0)::DOUBLE AS prediction, count(*) AS n "
+                                           "FROM lb GROUP BY b")
+    if task == "classification":
+        return with_ctes(NOISY_CTE, "m AS (SELECT b, (avg(label) > 0.5)::INT::DOUBLE AS prediction FROM nz GROUP BY b)") + (
+            "SELECT label, prediction, count(*) AS n FROM nz JOIN m USING (b) GROUP BY ALL")
+    return with_ctes(NOISY_CTE, "m AS (SELECT b, round(avg(y), 3) AS prediction FROM nz GROUP BY b)") + (
+        "SELECT y AS label, prediction, count(*) AS n FROM nz JOIN m USING (b) GROUP BY ALL")
 
 
 def naive_bayes_sql() -> str:
@@ -494,17 +506,23 @@ def tree_leaves_sql() -> str:
         "'classification' AS task FROM h GROUP BY high")
 
 
-def _held_out_rows() -> str:
-    return with_ctes(LEARNABLE_CTE, f"t AS (SELECT * FROM lb WHERE NOT ({draw('obs_key', SEED, 'split', 0)} < 0.8))")
-
-
 def evaluate_classification_sql() -> str:
-    ones = ", ".join(f"1.0::DOUBLE AS {c}" for c in ("accuracy", "precision", "true_positive_rate", "true_negative_rate", "f1",
-                                                     "area_under_roc", "area_under_pr"))
-    zeros = ", ".join(f"0.0::DOUBLE AS {c}" for c in ("false_positive_rate", "false_negative_rate"))
+    """All families predict the training majority of each side of b; the metrics follow from the counts of the other rows."""
     models = ", ".join(f"('{m}')" for m in CLASSIFIERS)
-    return _held_out_rows() + (f"SELECT model, {ones}, {zeros}, (SELECT count(*) FROM t) AS n_rows, NULL::VARCHAR AS error, "
-                               f"0::BIGINT AS dropped_labels FROM (VALUES {models}) v(model)")
+    held = f"NOT ({draw('obs_key', SEED, 'split', 0)} < 0.8)"
+    return with_ctes(NOISY_CTE, f"x AS (SELECT *, {held} AS held FROM nz)",
+                     "m AS (SELECT b, (avg(label) > 0.5)::INT::DOUBLE AS p FROM x WHERE NOT held GROUP BY b)",
+                     "t AS (SELECT label AS y, p FROM x JOIN m USING (b) WHERE held)",
+                     "k AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (y = p) AS ok, count(*) FILTER (y = 0 AND p = 0)::DOUBLE AS tp, "
+                     "count(*) FILTER (y = 1 AND p = 0)::DOUBLE AS fp, count(*) FILTER (y = 0 AND p = 1)::DOUBLE AS fn, "
+                     "count(*) FILTER (y = 1 AND p = 1)::DOUBLE AS tn FROM t)",
+                     "r AS (SELECT *, tp / (tp + fp) AS pr, tp / (tp + fn) AS tpr, fp / (fp + tn) AS fpr, tn / (tn + fn) AS apr, "
+                     "(fp + tn) / n AS base FROM k)") + (
+        f"SELECT model, round(ok / n, 3) AS accuracy, round(pr, 3) AS precision, round(tpr, 3) AS true_positive_rate, "
+        "round(1 - fpr, 3) AS true_negative_rate, round(2 * pr * tpr / (pr + tpr), 3) AS f1, round((1 + (1 - fpr) - (1 - tpr)) / 2, 3) AS area_under_roc, "
+        "round((1 - fpr) * apr + fpr * (apr + base) / 2, 3) AS area_under_pr, round(fpr, 3) AS false_positive_rate, "
+        "round(1 - tpr, 3) AS false_negative_rate, n::BIGINT AS n_rows, NULL::VARCHAR AS error, 0::BIGINT AS dropped_labels "
+        f"FROM r, (VALUES {models}) v(model)")
 
 
 def _late_rows() -> str:
@@ -512,10 +530,14 @@ def _late_rows() -> str:
 
 
 def evaluate_regression_sql() -> str:
+    """All families predict the mean of early rows on each side of b."""
     models = ", ".join(f"('{m}')" for m in REGRESSORS)
-    return _late_rows() + ("SELECT model, 0.0::DOUBLE AS mse, 0.0::DOUBLE AS rmse, 1.0::DOUBLE AS r2, 0.0::DOUBLE AS mae, "
-                           "(SELECT count(*) FROM t) AS n_rows, NULL::VARCHAR AS error, 0::BIGINT AS dropped_labels "
-                           f"FROM (VALUES {models}) v(model)")
+    digits = "CASE model WHEN 'random_forest' THEN 1 ELSE 3 END"
+    return with_ctes(NOISY_CTE, f'm AS (SELECT b, avg(y) AS p FROM nz WHERE "timestamp" <= {SPLIT_MS} GROUP BY b)',
+                     f'k AS (SELECT count(*) AS n_rows, avg((y - p) * (y - p)) AS mse, avg(abs(y - p)) AS mae, var_pop(y) AS v '
+                     f'FROM nz JOIN m USING (b) WHERE "timestamp" > {SPLIT_MS})') + (
+        f"SELECT model, round(mse, {digits}) AS mse, round(sqrt(mse), {digits}) AS rmse, round(1 - mse / v, {digits}) AS r2, "
+        f"round(mae, {digits}) AS mae, n_rows, NULL::VARCHAR AS error, 0::BIGINT AS dropped_labels FROM k, (VALUES {models}) v(model)")
 
 
 def evaluate_time_series_sql() -> str:
@@ -732,8 +754,8 @@ def registered() -> dict:
         "validation_cells": with_ctes(LEARNABLE_CTE) + (
             "SELECT CAST(c AS INTEGER) AS cell, 'accuracy' AS metric_name, 1.0::DOUBLE AS metric, c = 0 AS chosen, "
             "(SELECT count(*) FROM lb) AS n_rows FROM range(8) r(c)"),
-        **{f"train_classification_{f}": train_sql("classification") for f in CLASSIFIERS},
-        **{f"train_regression_{f}": train_sql("regression") for f in REGRESSORS},
+        **{f"train_classification_{f}": train_sql("classification", f) for f in CLASSIFIERS},
+        **{f"train_regression_{f}": train_sql("regression", f) for f in REGRESSORS},
         "isotonic_steps": isotonic_steps_sql(),
         "tree_grid_cells": tree_grid_sql(),
         "linear_grid_one_pass": linear_grid_sql(),

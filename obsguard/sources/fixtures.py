@@ -127,3 +127,11 @@ def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(*_keys(li), b.alias("li_ua_b_value"), (1 - b).alias("li_ua_c_value"), (F.lit(10.0) * b + F.lit(5.0)).alias("li_ua_y_value"),
                      F.when(b == 1.0, 2).otherwise(0).cast("int").alias("li_ua_b_status"),
                      F.col("l_quantity").alias("quantity"))
+
+
+def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`learnable` with noise that no attribute explains: every fifth quantity flips b's status, and moves y by -2 to 2."""
+    df = learnable(spark, sf_dir)
+    step = F.col("quantity") % 5
+    status = F.when((F.col("li_ua_b_status") == 2) != (step == 0), 2).otherwise(0)
+    return df.withColumns({"li_ua_b_status": status.cast("int"), "li_ua_y_value": F.col("li_ua_y_value") + step - 2})
