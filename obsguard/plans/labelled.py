@@ -17,7 +17,7 @@ from ..operators.clean import as_of, complete_rows, compute_profile, Profile
 from ..operators.features import (assemble, binarize_labels, index_columns, scale_by_entity, sort_by_time,
                                   to_double_all)
 from ..schema import DEFAULT_SCHEMA, ObsSchema, is_string, spare_names
-from ..session import reliable_checkpoint
+from ..session import stored
 from ..sources.tables import load_rows
 
 log = logging.getLogger(__name__)
@@ -87,8 +87,11 @@ def _prepare(df: DataFrame, label: str, null_threshold: float, features: str, as
     lost = 0
     label_was_string = is_string(df.schema[label].dataType)
     if strings:
-        # the cleaned rows are read for the index and again for the points: keep them once in shared storage
-        df = index_columns(reliable_checkpoint(df), strings)
+        # the cleaned rows are read for the index and again for the points: keep what is used of them once in shared
+        # storage, column-wise, so that each reader takes only its columns
+        used = {schema.id_col, schema.time_col, label, *keep}
+        df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in used or c.endswith(schema.value_suffix)])
+        df = index_columns(stored(df, "cleaned")[0], strings)
     df = to_double_all(df, keep=(schema.id_col, *keep))
     if label_was_string and not label.endswith(schema.value_suffix):
         # a string status that does not parse has no label: such rows cannot be trained on, and are counted

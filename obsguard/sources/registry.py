@@ -1,41 +1,110 @@
-"""Model registry: fitted pipelines saved with MLWriter, indexed by a small Parquet table.
+"""Model registry: fitted pipelines saved with MLWriter, indexed by a log of numbered entries.
 
-Key = (task, attribute, family, config_hash). Every save writes a new directory of its own, never an existing
-one, and then appends its registry row, so a reader never sees a row whose model is half written, and clearing
-the index never touches a model. Versions count the saves of a key; two saves at one time may get one number,
-and the later one by time counts. Paths live under one root, which on a cluster is shared storage.
+Key = (task, attribute, family, config_hash). Every save writes a new model directory, never an existing one, and then
+commits an entry to the log: a small file that takes the next free number by a rename that fails if the number is taken
+(whoever loses tries the next one and counts again, so concurrent saves get distinct versions). Readers see a prefix of the
+log: entries appear whole or not at all, nothing is ever changed or replaced, and clearing is an entry too, so no
+reader breaks and no model is touched. After `COMPACT` entries a snapshot of the log is written as Parquet beside it, and
+readers start from the newest whole one. Paths live under one root, which on a cluster is shared storage.
+
+The rename is atomic on HDFS. Where a file system checks and then moves (a local one), a lock orders the threads of one
+driver.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
+import threading
 import uuid
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REGISTRY_SCHEMA = ("task string, attribute string, family string, config_hash string, version bigint, "
                    "path string, created_at timestamp, metric double, features string, featuriser string")
+_ENTRY = f"entry bigint, kind string, {REGISTRY_SCHEMA}"
+COMPACT = 64
+_commits = threading.Lock()
 
 
 class ModelRegistry:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.table_path = f"{self.root}/registry"
+        self.log_path = f"{self.root}/registry/log"
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+
+    # -- the log -------------------------------------------------------------------------------
+    def _names(self, folder: str) -> list[str]:
+        """Names in a folder; a folder that was never written is empty, any other failure is raised."""
+        where = self._hadoop.Path(folder)
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+    def _state(self) -> tuple[int, list[str]]:
+        """(entries in the newest whole snapshot, names of the later entry files)."""
+        done = 0
+        for name in reversed([n for n in self._names(f"{self.root}/registry") if n.startswith("snapshot-")]):
+            if "_SUCCESS" in self._names(f"{self.root}/registry/{name}"):
+                done = int(name.split("-")[1])
+                break
+        return done, [n for n in self._names(self.log_path) if n.endswith(".json") and int(n[:-5]) > done]
+
+    def entries(self) -> DataFrame:
+        """The log as it is now: (entry, kind, index columns)."""
+        done, later = self._state()
+        out = self.spark.createDataFrame([], _ENTRY)
+        if done:
+            out = out.unionByName(self.spark.read.schema(_ENTRY).parquet(f"{self.root}/registry/snapshot-{done:012d}"))
+        if later:
+            read = self.spark.read.schema(_ENTRY).option("mode", "FAILFAST").option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            out = out.unionByName(read.json([f"{self.log_path}/{n}" for n in later]))
+        return out
+
+    def _commit(self, row: dict, numbered) -> int:
+        """Append an entry under the next free number; `numbered(n)` completes the row for that number."""
+        context = self._hadoop.FileContext.getFileContext(self._hadoop.Path(self.root).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        no_options = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 0)
+        while True:
+            done, later = self._state()
+            n = max([done, *(int(x[:-5]) for x in later)]) + 1
+            text = json.dumps({"entry": n, **row, **numbered(n)}, default=str)
+            draft = f"{self.root}/registry/drafts/{uuid.uuid4().hex}"
+            self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(draft)
+            part = next(x for x in self._names(draft) if x.startswith("part-"))
+            target = self._hadoop.Path(f"{self.log_path}/{n:012d}.json")
+            try:
+                with _commits:
+                    target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target.getParent())
+                    context.rename(self._hadoop.Path(f"{draft}/{part}"), target, no_options)
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                    raise
+                continue                       # somebody else took the number
+            finally:
+                context.delete(self._hadoop.Path(draft), True)
+            if n - done >= COMPACT:
+                self.compact()
+            return n
+
+    def compact(self) -> None:
+        """Write the log up to now as one Parquet snapshot. Entry files stay, for readers that have listed them."""
+        _, later = self._state()
+        if later:
+            n = int(later[-1][:-5])
+            self.entries().coalesce(1).write.mode("ignore").parquet(f"{self.root}/registry/snapshot-{n:012d}")
 
     # -- table ---------------------------------------------------------------------------------
     def table(self) -> DataFrame:
-        """The index. A registry that was never written is empty; any other failure to read is raised."""
-        try:
-            return self.spark.read.schema(REGISTRY_SCHEMA).parquet(self.table_path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], REGISTRY_SCHEMA)
+        """The index: the saves since the last clearing. A registry that was never written is empty."""
+        log = self.entries()
+        cleared = log.where("kind = 'clear'").agg(F.coalesce(F.max("entry"), F.lit(0)).alias("cleared"))
+        kept = log.where("kind = 'save'").join(F.broadcast(cleared), F.col("entry") > F.col("cleared"))      # one row
+        return kept.select(*[c.split()[0] for c in REGISTRY_SCHEMA.split(", ")])
 
     def _key(self, task, attribute, family, config_hash=None):
         cond = (F.col("task") == task) & (F.col("attribute") == attribute) & (F.col("family") == family)
@@ -52,20 +121,23 @@ class ModelRegistry:
 
     def latest(self, task, attribute, family, config_hash=None):
         return (self.table().where(self._key(task, attribute, family, config_hash))
-                .orderBy(F.col("version").desc(), F.col("created_at").desc(), F.col("path")).limit(1).first())
+                .orderBy(F.col("created_at").desc(), F.col("version").desc(), F.col("path")).limit(1).first())
 
     # -- models --------------------------------------------------------------------------------
     def save(self, model: PipelineModel, task, attribute, family, config_hash, metric=None, features=(), featuriser=None) -> str:
-        """Save under a fresh directory and append the row; returns the directory. `featuriser` is the folder of the
-        fitted featuriser that makes this model's features."""
-        prev = self.latest(task, attribute, family, config_hash)
-        version = 1 if prev is None else int(prev["version"]) + 1
+        """Save under a fresh directory and commit the entry; returns the directory. `featuriser` is the folder of the
+        fitted featuriser that makes this model's features. Versions count all saves of a key."""
         path = f"{self.root}/models/{task}/{family}/{uuid.uuid4().hex}"
         model.write().save(path)      # fails rather than replacing anything
-        row = [(task, attribute, family, config_hash, version, path,
-                dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), None if metric is None else float(metric),
-                "\n".join(features), featuriser)]
-        self.spark.createDataFrame(row, REGISTRY_SCHEMA).coalesce(1).write.mode("append").parquet(self.table_path)
+        row = {"kind": "save", "task": task, "attribute": attribute, "family": family, "config_hash": config_hash, "path": path,
+               "created_at": dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f"),
+               "metric": None if metric is None else float(metric), "features": "\n".join(features), "featuriser": featuriser}
+
+        def numbered(n: int) -> dict:
+            saves = self.entries().where((F.col("kind") == "save") & (F.col("entry") < n) & self._key(task, attribute, family, config_hash))
+            return {"version": saves.count() + 1}
+
+        self._commit(row, numbered)
         return path
 
     def load(self, task, attribute, family, config_hash=None, features=None) -> PipelineModel:
@@ -79,8 +151,8 @@ class ModelRegistry:
         return PipelineModel.load(row["path"])
 
     def clear(self) -> None:
-        """Empty the index (model directories stay until storage cleanup)."""
-        self.spark.createDataFrame([], REGISTRY_SCHEMA).write.mode("overwrite").parquet(self.table_path)
+        """Empty the index from here on (model directories stay until storage cleanup)."""
+        self._commit({"kind": "clear"}, lambda n: {})
 
 
 def default_root(spark: SparkSession) -> str:

@@ -145,9 +145,9 @@ def test_saving_never_replaces_a_model(spark, points, tmp_path):
 def test_an_unreadable_registry_is_an_error(spark, tmp_path):
     reg = ModelRegistry(spark, str(tmp_path / "reg"))
     assert reg.table().count() == 0
-    (tmp_path / "reg" / "registry").mkdir(parents=True)
-    (tmp_path / "reg" / "registry" / "part-0.parquet").write_bytes(b"not parquet")
-    with pytest.raises(Exception, match="(?i)parquet"):
+    (tmp_path / "reg" / "registry" / "log").mkdir(parents=True)
+    (tmp_path / "reg" / "registry" / "log" / "000000000001.json").write_bytes(b"not json")
+    with pytest.raises(Exception, match="(?i)malformed"):
         reg.exists("a", "b", "c")
 
 
