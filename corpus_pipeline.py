@@ -39,8 +39,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take every document as often as its source's target asks for; repeats are rows.
 
-    A null source is a source of its own; texts without words fill no target, so they come as often as the whole
-    copies of their source; rows with equal draws (repeated ids of a source) are taken together; an empty table stays empty."""
+    A null source is a source of its own; texts without words are drawn like others but fill no target; rows with equal
+    draws (repeated ids of a source) are taken together; an empty table stays empty."""
     return mixing.mixture(docs)
 
 
