@@ -30,6 +30,7 @@ from .. import constants as C
 from . import gram, nested
 from .grids import grid_for
 from .isotonic import isotonic_steps, step_ends
+from .ledger import CellLedger, cell_name, fingerprint, search_key
 
 log = logging.getLogger(__name__)
 
@@ -66,6 +67,7 @@ class TrainConfig:
     max_categories: int = C.DEFAULT_MAX_CATEGORIES
     seed: int = 42
     parallelism: int = 4
+    ledger: str | None = None       # folder of finished cells: a search that was stopped fits only the rest
 
     def cells(self, task: str, family: str, n_features: int = 3) -> list:
         """The grid's cells as plain (parameter, value) lists."""
@@ -246,18 +248,23 @@ def _isotonic_rows(df: DataFrame, values: dict) -> DataFrame:
 
 
 def _search(est, cells: list, data: DataFrame, evaluator, config: TrainConfig, task: str, family: str, features_col: str,
-            n_features: int, shape=lambda df, values: df) -> list:
+            n_features: int, shape=lambda df, values: df, ledger: CellLedger | None = None) -> list:
     """Every cell's validation metric: (metric or None, error). Cells that share a pass over the data, or a fit, are
     answered together (`gram`, `nested`); the others are fitted one by one."""
     train, valid = data.where(~F.col(VALID_COL)), data.where(F.col(VALID_COL))
     metric = evaluator.getMetricName()
     values = [{p.name: v for p, v in c.items()} for c in cells]
     out: list = [None] * len(cells)
+    if ledger is not None:
+        known = ledger.finished()
+        out = [(known[name], None) if (name := cell_name(v)) in known else None for v in values]
     if task == "regression" and metric in gram.METRICS and n_features <= gram.MAX_FEATURES:
-        some = [i for i, v in enumerate(values) if gram.solvable(family, v)]
+        some = [i for i, v in enumerate(values) if out[i] is None and gram.solvable(family, v)]
         if some:
             for i, got in zip(some, gram.search(data, F.col(VALID_COL), family, [values[i] for i in some], metric, features_col), strict=True):
                 out[i] = got
+            if ledger is not None:
+                ledger.enter([(cell_name(values[i]), out[i][0]) for i in some if out[i][0] is not None])
     rest = [i for i in range(len(cells)) if out[i] is None]
     groups = [[i] for i in rest]
     if nested.can_nest(task, family, metric):
@@ -270,7 +277,7 @@ def _search(est, cells: list, data: DataFrame, evaluator, config: TrainConfig, t
         except Exception as e:  # noqa: BLE001 - a failing cell must not lose the family
             return None, f"{type(e).__name__}: {e}"
 
-    def group(some):
+    def answers(some):
         if len(some) > 1:
             try:
                 return nested.score_group(est, [cells[i] for i in some], train, valid, task, family, metric, features_col)
@@ -278,6 +285,12 @@ def _search(est, cells: list, data: DataFrame, evaluator, config: TrainConfig, t
                 log.warning("one fit for %d cells of %s failed (%s); fitting them one by one", len(some), family, e)
         return [one(i) for i in some]
 
+    def group(some):
+        got = answers(some)
+        if ledger is not None:
+            ledger.enter([(cell_name(values[i]), g[0]) for i, g in zip(some, got, strict=True) if g[0] is not None])
+        return got
+
     if groups:
         with ThreadPool(max(1, min(config.parallelism, len(groups)))) as pool:
             for some, got in zip(groups, pool.map(inheritable_thread_target(data.sparkSession)(group), groups), strict=True):
@@ -286,6 +299,15 @@ def _search(est, cells: list, data: DataFrame, evaluator, config: TrainConfig, t
     return out
 
 
+def _ledger(ts: TrainingSet, task: str, family: str, config: TrainConfig) -> CellLedger | None:
+    if not config.ledger:
+        return None
+    rows = ts.frame.select(C.LABEL_COL, C.FEATURES_COL, VALID_COL)
+    key = search_key(task, family, config.train_ratio, config.classification_metric, config.regression_metric, config.max_categories,
+                     fingerprint(rows, _content(rows, config.seed)))
+    return CellLedger(ts.frame.sparkSession, config.ledger, key)
+
+
 def train_family(df: DataFrame | TrainingSet, task: str, family: str, config: TrainConfig = TrainConfig()) -> TrainedModel:
     """Search the family's grid on a train/validation split, then fit the best cell on all rows.
 
@@ -313,7 +335,8 @@ def train_family(df: DataFrame | TrainingSet, task: str, family: str, config: Tr
         else:
             metric = config.regression_metric
             evaluator = RegressionEvaluator(metricName=metric, labelCol=C.LABEL_COL)
-        scored = _search(est, cells, data, evaluator, config, task, family, features_col, ts.n_features, shape)
+        scored = _search(est, cells, data, evaluator, config, task, family, features_col, ts.n_features, shape,
+                         _ledger(ts, task, family, config))
         sign = 1 if evaluator.isLargerBetter() else -1
         usable = [(sign * v, -i) for i, (v, _) in enumerate(scored) if v is not None]
         if not usable:

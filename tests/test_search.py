@@ -140,3 +140,38 @@ def test_isotonic_steps_of_nothing(spark):
     from obsguard.plans.isotonic import isotonic_steps
 
     assert isotonic_steps(spark.createDataFrame([], "x double, y double"), "x", "y").count() == 0
+
+
+def test_a_stopped_search_fits_only_the_rest(spark, frame, tmp_path, monkeypatch):
+    from obsguard.plans.ledger import CellLedger
+
+    data = frame.select(F.col("c").alias("label"), "features")
+    space = {"classification": {"naive_bayes": lambda e, n: _grid(e, {"smoothing": [0.0, 0.5, 1.0, 2.0]})}}
+    plain = train.train_family(data, "classification", "naive_bayes", train.TrainConfig(grid=space))
+    config = train.TrainConfig(grid=space, ledger=str(tmp_path / "ledger"), parallelism=1)
+    est_type = type(train.make_estimator("classification", "naive_bayes"))
+    fit, fits, enter, entered = est_type.fit, [], CellLedger.enter, []
+
+    def stops(self, some):
+        if len(entered) == 2:
+            raise RuntimeError("the driver is gone")
+        entered.append(1)
+        enter(self, some)
+
+    monkeypatch.setattr(CellLedger, "enter", stops)
+    with pytest.raises(RuntimeError, match="gone"):
+        train.train_family(data, "classification", "naive_bayes", config)
+    monkeypatch.setattr(CellLedger, "enter", enter)
+    fits.clear()
+    monkeypatch.setattr(est_type, "fit", lambda self, df, *a: fits.append(1) or fit(self, df, *a))
+    again = train.train_family(data.repartition(3), "classification", "naive_bayes", config)
+    assert len(fits) == 2 + 1                   # the two cells that were missing, and the final fit
+    assert again.cell_metrics == plain.cell_metrics and again.chosen == plain.chosen
+    ledger = CellLedger(spark, config.ledger, "")
+    before = sorted(map(tuple, ledger.entries().collect()))
+    ledger.compact()
+    assert sorted(map(tuple, ledger.entries().collect())) == before and len(before) == 4
+    fits.clear()
+    other = data.where("label = 1").unionByName(data)          # other rows: another search
+    train.train_family(other, "classification", "naive_bayes", config)
+    assert len(fits) == 4 + 1
