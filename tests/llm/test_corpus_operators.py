@@ -76,6 +76,22 @@ def test_mixture(which, request):
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix(table.repartition(5)).collect()), key=repr)
 
 
+@pytest.mark.parametrize("seed", [1, 29, 77])
+def test_mixture_meets_its_target_where_ids_repeat(spark, seed):
+    """300 of 600 rows share an id (some of them the whole row), 60 have none and one text: no source is a document off."""
+    rows = [(7 if i < 300 else None if i < 360 else i, "a" if i % 2 else "b", "w " * (5 if i < 200 or 300 <= i < 360 else 5 + i % 7))
+            for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(3)
+    got = mixing.mix(table, seed=seed)
+    assert got.count() == 600
+    for r in got.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("most")).collect():
+        assert abs(r.taken - r.target) <= r.most
+    assert got.where("taken > 2 * size").isEmpty()
+    copies = mixing.mixture(table, seed=seed)
+    assert copies.count() == got.agg(F.sum("copies")).first()[0]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, mixing.mix(table, seed=seed).collect()), key=repr)
+
+
 def test_mixture_rows_follow_the_plan(docs, empty):
     copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
     out = mixing.mixture(docs)
