@@ -6,6 +6,8 @@ matching SQL in `oracle.py`. Floating results are rounded in the query wrappers
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,23 @@ def q_profile_columns_events(spark, sf_dir):
     return _round_doubles(clean.profile_columns(fixtures.events_obs(spark, sf_dir), 0.0))
 
 
+def q_profile_from_slices(spark, sf_dir):
+    """The column profile merged from three slices by date, each scanned once on its own, with mean and deviation."""
+    from ..operators.slices import ProfileStore, describe_of, profile_of
+    from ..session import ensure_checkpoint_dir
+
+    o = _obs(spark, sf_dir)
+    store = ProfileStore(spark, f"{ensure_checkpoint_dir(spark)}/profile-{uuid.uuid4().hex}")
+    when = F.col(C.TIME_COL)
+    for name, part in (("early", when <= SPLIT_MS), ("middle", (when > SPLIT_MS) & (when <= AS_OF_MS)),
+                       ("late", (when > AS_OF_MS) | when.isNull())):
+        store.add(name, o.where(part))
+    merged = store.merged()
+    numbers = describe_of(merged).select(F.col("column_name").alias("c"), "mean", "stddev")
+    both = profile_of(merged, 0.05).join(F.broadcast(numbers), F.col("column_name") == F.col("c"), "left").drop("c")
+    return _round_doubles(both.withColumns({c: F.round(c, 2) for c in ("mean", "stddev")}))
+
+
 def q_describe_columns(spark, sf_dir):
     o = _obs(spark, sf_dir)
     return _round_doubles(clean.describe_columns(o), 2)
@@ -537,6 +556,56 @@ def q_tree_grid_cells(spark, sf_dir):
         "metric_name", "metric", "chosen"))
 
 
+def _price_by_sides(spark, sf_dir):
+    """Price in ten thousands by three 0/1 features: high quantity, middle quantity, line number above 3."""
+    o = _obs(spark, sf_dir)
+    quantity = F.col("li_ua_quantity_value")
+    sides = {"high": quantity > 25, "middle": (quantity > 10) & (quantity <= 40), "last": F.col("li_ua_linenumber_value") > 3}
+    o = o.select((F.col("li_ua_price_value") / 10000).alias(C.LABEL_COL), *[c.cast("double").alias(n) for n, c in sides.items()])
+    return features.assemble(o, list(sides)), list(sides)
+
+
+def q_forest_trees_as_table(spark, sf_dir):
+    """Every tree of a forest of single splits, read from its table of nodes: by feature and side, the rows that reach the
+    leaf, what the trees that chose the feature say there, and rows where table and model differ. (No bootstrap, one feature
+    drawn a tree: the leaves are the features' group means, and every feature is drawn.)"""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from .ensembles import TreeTable
+
+    points, names = _price_by_sides(spark, sf_dir)
+    forest = RandomForestRegressor(numTrees=24, maxDepth=1, featureSubsetStrategy="1", bootstrap=False, seed=SEED).fit(
+        points.select(C.LABEL_COL, C.FEATURES_COL))
+    table = TreeTable.of(spark, forest)
+    roots = table.nodes.where("left >= 0 and id = 0").select(F.col("tree").alias("t"), "feature")
+    scored = table.score(forest.transform(points).withColumnRenamed(C.PREDICTION_COL, "own"), trees_col="says")
+    off = (F.abs(F.col("own") - F.col(C.PREDICTION_COL)) > 1e-9).cast("int")
+    says = scored.select(*names, off.alias("off"), F.posexplode("says").alias("t", "says")).join(F.broadcast(roots), "t")
+    feature = F.array(*[F.lit(n) for n in names])[F.col("feature")]
+    side = F.element_at(F.array(*names), F.col("feature") + 1)
+    per_tree = says.groupBy("t", feature.alias("feature"), side.alias("side")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("says").alias("least"), F.max("says").alias("most"), F.sum("off").alias("off"))
+    return _round_doubles(per_tree.groupBy("feature", "side").agg(
+        F.max("n").alias("n_rows"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("off").alias("differing")), 5)
+
+
+def q_boosted_chain_as_table(spark, sf_dir):
+    """A chain of three single splits with step 0.5, read from its table of nodes: what it says after every tree for each
+    combination of sides, and rows where table and model differ."""
+    from pyspark.ml.regression import GBTRegressor
+
+    from .ensembles import TreeTable
+
+    points, names = _price_by_sides(spark, sf_dir)
+    chain = GBTRegressor(maxIter=3, maxDepth=1, stepSize=0.5, seed=SEED).fit(points.select(C.LABEL_COL, C.FEATURES_COL))
+    scored = TreeTable.of(spark, chain).score(chain.transform(points).withColumnRenamed(C.PREDICTION_COL, "own"), trees_col="says")
+    off = (F.abs(F.col("own") - F.col(C.PREDICTION_COL)) > 1e-9).cast("int")
+    first, second, third = (F.get("says", F.lit(i)) for i in range(3))
+    steps = {"after_1": first, "after_2": first + 0.5 * second, "after_3": first + 0.5 * second + 0.5 * third}
+    return _round_doubles(scored.groupBy(*names).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.avg(c).alias(n) for n, c in steps.items()], F.sum(off).alias("differing")), 5)
+
+
 def q_linear_grid_one_pass(spark, sf_dir):
     """All 192 linear cells of the original search space on price by quantity, from one pass: rmse on the validation rows."""
     from ..functions.exprs import word_below
@@ -594,8 +663,6 @@ def q_categorical_map(spark, sf_dir):
 
 
 def _registry(spark):
-    import uuid
-
     from ..sources.registry import ModelRegistry, default_root
 
     return ModelRegistry(spark, f"{default_root(spark)}/{uuid.uuid4().hex}")

@@ -238,6 +238,47 @@ def describe_sql() -> str:
     return with_ctes(OBS_CTE) + "\nUNION ALL\n".join(parts)
 
 
+def profile_from_slices_sql() -> str:
+    numbers = [f"SELECT '{c}' AS c, round(avg(x), 2) AS mean, round(stddev_samp(x), 2) AS stddev FROM "
+               f"(SELECT TRY_CAST({q(c)} AS DOUBLE) AS x FROM obs)" for c in OBS_COLS]
+    whole = profile_sql(0.05)
+    head, body = with_ctes(OBS_CTE), whole[len(with_ctes(OBS_CTE)):]
+    return (head + f"SELECT p.*, d.mean, d.stddev FROM ({body}) p LEFT JOIN (" + "\nUNION ALL\n".join(numbers) + ") d ON d.c = p.column_name")
+
+
+SIDES_CTE = """
+sides AS (
+  SELECT li_ua_price_value / 10000 AS y, (li_ua_quantity_value > 25)::DOUBLE AS high,
+         (li_ua_quantity_value > 10 AND li_ua_quantity_value <= 40)::DOUBLE AS middle, (li_ua_linenumber_value > 3)::DOUBLE AS last
+  FROM obs
+)"""
+SIDES = ("high", "middle", "last")
+
+
+def forest_trees_sql() -> str:
+    parts = [f"SELECT '{f}' AS feature, {f} AS side, count(*) AS n_rows, round(avg(y), 5) AS least, round(avg(y), 5) AS most, "
+             f"0::BIGINT AS differing FROM sides GROUP BY {f}" for f in SIDES]
+    return with_ctes(OBS_CTE, SIDES_CTE) + "\nUNION ALL\n".join(parts)
+
+
+def boosted_chain_sql() -> str:
+    """Three rounds over the cells of the sides: the feature whose split explains most of what is left, its group means,
+    the first taken whole, the later ones on twice the residual at step 0.5."""
+    ctes = [OBS_CTE, SIDES_CTE, "f0 AS (SELECT high, middle, last, count(*) AS n, avg(y) AS y, 0.0::DOUBLE AS p FROM sides GROUP BY ALL)"]
+    for i in range(1, 4):
+        rest, step = ("y", "1.0") if i == 1 else ("2 * (y - p)", "0.5")
+        groups = "\nUNION ALL\n".join(
+            f"SELECT '{f}' AS feature, {f} AS side, sum(n) AS n, sum(n * {rest}) / sum(n) AS m FROM f{i - 1} GROUP BY {f}" for f in SIDES)
+        side = "CASE g.feature " + " ".join(f"WHEN '{f}' THEN c.{f}" for f in SIDES) + " END"
+        ctes.append(f"g{i} AS ({groups})")
+        ctes.append(f"b{i} AS (SELECT feature FROM g{i} GROUP BY feature ORDER BY sum(n * m * m) DESC LIMIT 1)")
+        ctes.append(f"f{i} AS (SELECT c.high, c.middle, c.last, c.n, c.y, c.p + {step} * g.m AS p FROM f{i - 1} c, b{i} b JOIN g{i} g "
+                    f"ON g.feature = b.feature WHERE g.side = {side})")
+    return with_ctes(*ctes) + (
+        "SELECT a.high, a.middle, a.last, a.n AS n_rows, round(a.p, 5) AS after_1, round(b.p, 5) AS after_2, round(c.p, 5) AS after_3, "
+        "0::BIGINT AS differing FROM f1 a JOIN f2 b USING (high, middle, last) JOIN f3 c USING (high, middle, last)")
+
+
 def select_obs(cols, where="TRUE") -> str:
     return with_ctes(OBS_CTE) + f"SELECT {', '.join(q(c) for c in cols)} FROM obs WHERE {where}"
 
@@ -689,6 +730,7 @@ def registered() -> dict:
         "profile_columns": profile_sql(0.0),
         "profile_columns_t05": profile_sql(0.05),
         "describe_columns": describe_sql(),
+        "profile_from_slices": profile_from_slices_sql(),
         "drop_incomplete_columns": select_obs([c for c in OBS_COLS
                                                if c not in ("li_ua_discount_value", "li_ua_unit_value")]),
         "drop_incomplete_columns_t05": select_obs([c for c in OBS_COLS if c != "li_ua_unit_value"]),
@@ -758,6 +800,8 @@ def registered() -> dict:
         **{f"train_regression_{f}": train_sql("regression", f) for f in REGRESSORS},
         "isotonic_steps": isotonic_steps_sql(),
         "tree_grid_cells": tree_grid_sql(),
+        "forest_trees_as_table": forest_trees_sql(),
+        "boosted_chain_as_table": boosted_chain_sql(),
         "linear_grid_one_pass": linear_grid_sql(),
         "serve_features_on_new_rows": serve_features_sql(),
         "serve_on_new_rows": serve_sql(),
