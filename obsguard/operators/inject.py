@@ -13,7 +13,7 @@ projection (plus, for the stddev mode, one per-entity aggregate joined back).
 from __future__ import annotations
 
 import random
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ from ..functions.exprs import (hex_word, md5_hex, negate_int, row_key, row_max,
 from ..schema import DEFAULT_SCHEMA, ObsSchema, require_columns, spare_names
 from .entity import entity_stddev, join_entity_stats
 from .joins import COUNT_COL
+from .moments import entity_stddev_exact
 
 SLOT_HIT, SLOT_ATTR, SLOT_U, SLOT_SIGN = 0, 1, 2, 3
 
@@ -84,18 +85,20 @@ class SuspectInjector:
     """Configuration of the injectors: change size `magnitude`, share of hit rows `ratio`.
 
     `key_cols` tell rows apart; rows with equal keys are hit together. Without them every row draws by all its
-    columns and its place in the scan."""
+    columns and its place in the scan. `exact` takes the deviations of `stddev` from exact sums, so that a rerun over
+    another partitioning gives the same bits (`moments.py`); without it their last bits may differ."""
 
     magnitude: float = C.DEFAULT_MAGNITUDE
     ratio: float = C.DEFAULT_RATIO
     schema: ObsSchema = DEFAULT_SCHEMA
     key_cols: tuple | None = None
+    exact: bool = False
 
     def with_magnitude(self, magnitude: float) -> "SuspectInjector":
-        return SuspectInjector(magnitude, self.ratio, self.schema, self.key_cols)
+        return replace(self, magnitude=magnitude)
 
     def with_ratio(self, ratio: float) -> "SuspectInjector":
-        return SuspectInjector(self.magnitude, ratio, self.schema, self.key_cols)
+        return replace(self, ratio=ratio)
 
     # -- helpers -----------------------------------------------------------------------------
     def _keys(self, df: DataFrame) -> list:
@@ -148,7 +151,8 @@ class SuspectInjector:
         attributes = list(attributes)
         seed = self._seed(seed)
         sch = self.schema
-        stats = entity_stddev(df, attributes, sch, require_all=True, with_count=True)
+        deviations = entity_stddev_exact if self.exact else entity_stddev
+        stats = deviations(df, attributes, sch, require_all=True, with_count=True)
         if not attributes:
             return df
         names = spare_names(df, *[f"sd_{a}" for a in attributes])
