@@ -17,7 +17,8 @@ from dataclasses import dataclass
 import numpy as np
 
 PAD = 4                  # separator code points between texts; no n-gram reaches over them
-PIECE = 1 << 19          # characters handled at a time
+PIECE = 1 << 19          # characters of one text handled at a time
+GROUP = 1 << 17          # characters of several texts handled at a time: bounds the arrays of a task
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -54,7 +55,7 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Groups of (text number, text or piece of it), of about PIECE characters."""
+    """Groups of (text number, text or piece of it): up to GROUP characters together, or one piece of up to PIECE."""
     numbers, parts, size = [], [], 0
     for i, text in enumerate(texts):
         at = 0
@@ -64,7 +65,7 @@ def pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
             else:
                 cut = text.rfind(" ", at + 1, at + PIECE)
                 part = text[at:cut + 1 if cut > 0 else at + PIECE]
-            if size + len(part) > PIECE and parts:
+            if size + len(part) > GROUP and parts:
                 yield numbers, parts
                 numbers, parts, size = [], [], 0
             numbers.append(i)
