@@ -94,3 +94,21 @@ def test_other_models_are_refused(fitted):
     with pytest.raises(ValueError):
         kind_of(object())
     assert kind_of(fitted["chain_c"]) == ("chain", "classification")
+
+
+def test_no_row_carries_the_nodes(spark, points, fitted):
+    """The nodes are a value of the plan, not a column joined to every row."""
+    scored = TreeTable.of(spark, fitted["forest_r"]).score(points)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "Subquery" in plan
+
+
+def test_forest_query_scores_a_row_once(spark, sf_small):
+    """Rows are counted before they unfold into one row a tree, and no filter walks the trees again."""
+    from obsguard.plans import catalog
+
+    out = catalog.q_forest_trees_as_table(spark, sf_small)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Filter" in line and "transform(" in line]
+    generate = next(i for i, line in enumerate(plan) if "Generate posexplode" in line)
+    assert any("Aggregate" in line and "count(1)" in line for line in plan[generate + 1:])
