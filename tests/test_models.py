@@ -214,3 +214,71 @@ def test_cells_are_reported(spark, points):
     tm = train.train_family(points, "classification", "decision_tree", SMOKE)
     cells = train.cells_frame(spark, [tm]).collect()
     assert len(cells) == 2 and sum(r.chosen for r in cells) == 1 and all(r.error is None for r in cells)
+
+
+def _numbered(spark, rows):
+    """(label, features) with six feature vectors and five labels each, or two classes."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    x = F.array((F.col("id") % 3).cast("double"), (F.col("id") % 2).cast("double"))
+    y = (F.col("id") % 3) * 10 + (F.col("id") % 2) * 4 + F.floor(F.col("id") / 6) % 5
+    return spark.range(rows).select(y.cast("double").alias("label"), array_to_vector(x).alias("features"))
+
+
+def test_large_frames_are_stored_in_parts_of_bounded_rows(spark, monkeypatch):
+    """However few splits a table is read in, a task of a fit reads a bounded number of rows."""
+    monkeypatch.setattr(train, "PART_NUMBERS", 10_000, raising=False)
+    stored = train.kept(_numbered(spark, 20_000).coalesce(4))
+    assert stored.rdd.getNumPartitions() >= 20          # two features and eight more a row
+    assert stored.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).max() <= 1_100
+    assert stored.count() == 20_000
+    stored.unpersist()
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_boosted_chain_is_fitted_on_pools(spark, monkeypatch, task):
+    """Equal feature vectors are one weighted row a bin, and the chain says what the chain of all rows says."""
+    from pyspark.sql import functions as F
+
+    points = _numbered(spark, 6_000)
+    if task == "classification":
+        points = points.withColumn("label", (F.col("label") % 5 > 1).cast("double"))
+    said, fitted_rows = {}, {}
+    for name, least in (("rows", 1 << 40), ("pools", 1)):
+        monkeypatch.setattr(train, "POOL_FROM", least, raising=False)
+        monkeypatch.setattr(train, "POOL_GAIN", 0, raising=False)
+        grid = {task: {"gbt": lambda e, n: train.grid_for("smoke", task, "gbt")(e, n)}}
+        seen = []
+        plain = train.make_estimator
+
+        def watched(*a, plain=plain, seen=seen, **k):
+            est = plain(*a, **k)
+            fit = est._fit
+            est._fit = lambda df: (seen.append(df.count()), fit(df))[1]
+            est.copy = lambda extra=None, est=est: (est._set(**{p.name: v for p, v in (extra or {}).items()}), est)[1]
+            return est
+
+        with monkeypatch.context() as m:
+            m.setattr(train, "make_estimator", watched)
+            tm = train.train_family(points, task, "gbt", train.TrainConfig(grid=grid))
+        fitted_rows[name] = max(seen)
+        said[name] = {(tuple(r[0]), round(r[1], 9)) for r in tm.model.transform(points).select("features", "prediction").distinct().collect()}
+        said[name, "metric"] = tm.validation_metric
+    assert fitted_rows["rows"] == 6_000 and fitted_rows["pools"] < 1_000
+    assert said["rows"] == said["pools"]
+    assert said["rows", "metric"] == pytest.approx(said["pools", "metric"], abs=1e-9)
+
+
+def test_grids_that_count_rows_are_not_pooled(spark):
+    from pyspark.ml.regression import GBTRegressor
+
+    data = train.draw_validation(_numbered(spark, 200_000), train.TrainConfig())
+    est = GBTRegressor()
+    for cell in ({est.subsamplingRate: 0.5}, {est.minInstancesPerNode: 5}, {est.lossType: "absolute"}):
+        assert train.pooled_points(data, est, [cell], "regression", "features") is None
+    pools = train.pooled_points(data, est, [{}], "regression", "features")
+    from pyspark.sql import functions as F
+
+    assert pools.agg(F.sum(train.WEIGHT_COL)).first()[0] == 200_000 and pools.count() < 2_000
+    pools.unpersist()
