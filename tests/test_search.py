@@ -175,3 +175,22 @@ def test_a_stopped_search_fits_only_the_rest(spark, frame, tmp_path, monkeypatch
     other = data.where("label = 1").unionByName(data)          # other rows: another search
     train.train_family(other, "classification", "naive_bayes", config)
     assert len(fits) == 4 + 1
+
+
+def test_gram_hands_numbers_to_python_not_arrays(spark, monkeypatch):
+    """One column a feature reaches the aggregate's tasks, and the sums are those of the rows."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from obsguard.plans import gram
+
+    a, b = F.col("id").cast("double"), (F.col("id") % 7).cast("double")
+    data = spark.range(500).select(array_to_vector(F.array(a, b)).alias("features"), (a + 2 * b).alias("label"))
+    seen, plain = [], type(data).mapInPandas
+    monkeypatch.setattr(type(data), "mapInPandas", lambda self, *x, **k: (seen.append(dict(self.dtypes)), plain(self, *x, **k))[1])
+    got = gram.moments(data, F.col("label") > 100)
+    assert seen and not [t for t in seen[0].values() if t.startswith("array")]
+    rows = np.array([[i, i % 7, i + 2 * (i % 7)] for i in range(500)], float)
+    for side in (False, True):
+        assert np.allclose(got[side].means(), rows[(rows[:, 2] > 100) == side].mean(axis=0))
