@@ -9,7 +9,8 @@ into their places.
 Equal texts are neighbours in this order and stay in one shard: a cut that falls inside their group moves to its
 nearer edge, and the tolerance yields. Only a group of more than `WHOLE` of a fair shard is cut inside, by the
 hash of the ids. Every shard is sorted
-in `parts` smaller parts, so no task holds a shard; slots follow from the exact row counts below the cuts.
+in `parts` smaller parts, so no task holds a shard: a part is a partition of its own, dealt by its number, and is sorted once;
+slots follow from the exact row counts below the cuts and a row's place in its part.
 
 Cases: a null text has no bytes (size 1, crc32 0); null ids sort by their hash
 like any other; rows equal in id and text are neighbours; an empty table gives an empty result; more shards
@@ -23,7 +24,6 @@ from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 
@@ -34,6 +34,7 @@ WHOLE = 0.5              # of a shard's fair bytes: groups of equal texts up to
 LOOSE = 0.25             # of a part's fair bytes, inside a shard
 KEY_BITS = 128           # 64 of the text's hash, 64 of the id's
 MIN_KEY = -(1 << 63)
+PLACE_BITS = 33          # monotonically_increasing_id: the low 33 bits number the rows of a partition
 
 
 def size_of(text: Column) -> Column:
@@ -148,7 +149,9 @@ def find_splitters(rows: DataFrame, shards: int, parts: int, tolerance: float =
 
 
 def _placed(keyed: DataFrame, cuts: list[tuple[int, int]], parts: int) -> DataFrame:
-    """`keyed` (h1, h2, ...) with its part (`_p`), shard and slot: one exchange, by part, and a sort inside."""
+    """`keyed` (h1, h2, ...) with its shard and slot: one exchange that makes every part a partition (a hash of the part's
+    number would pile several into one), and a sort inside. A row's place is counted as it leaves the sort; a window would hold
+    the whole part, texts included, a second time."""
     bounds = [k for k, _ in cuts]
     lowest = [0] + [rows for _, rows in cuts]    # rows below each part
     # parts by bucket of the key's first 12 bits: the part at the bucket's start, and the cuts inside it
@@ -169,9 +172,9 @@ def _placed(keyed: DataFrame, cuts: list[tuple[int, int]], parts: int) -> DataFr
     shard = F.floor(F.col("_p") / parts).cast("int")
     offset = [lowest[p] - lowest[p - p % parts] for p in range(len(lowest))]
     before = F.element_at(F.array(*[F.lit(o) for o in offset]).cast("array<bigint>"), F.col("_p") + 1)
-    inside = Window.partitionBy("_p").orderBy("h1", "h2")
-    return (tagged.withColumn("_at", F.row_number().over(inside))
-            .withColumns({"shard": shard, "slot": before + F.col("_at") - 1}).drop("_p", "_at"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return (tagged.repartitionById(len(lowest), F.col("_p")).sortWithinPartitions("h1", "h2").withColumn("_at", place)
+            .withColumns({"shard": shard, "slot": before + F.col("_at")}).drop("_p", "_at"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text",

@@ -175,6 +175,18 @@ def test_groups_up_to_half_a_shard_stay_whole(spark, seed):
         assert max(abs(s - fair) for s in sizes.values()) <= 0.5 * fair
 
 
+def test_a_task_sorts_one_part_and_holds_it_once(spark):
+    """Every part is a partition of its own (dealt by hash, several met in one), and no window buffers it again."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    out = sharding.shard_documents(docs, 8, parts=4)
+    tasks = out.withColumn("task", F.spark_partition_id()).groupBy("task").agg(
+        F.sum("size").alias("bytes"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(tasks) == 32 and all(r.high - r.low + 1 == r.n for r in tasks)
+    assert max(r.bytes for r in tasks) <= 1.6 * sum(r.bytes for r in tasks) / 32
+    assert "Window" not in out._jdf.queryExecution().toString()
+    _check_shards(out.collect(), 8)
+
+
 def test_sharding_plan_is_native(docs):
     plan = sharding.shard_documents(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
