@@ -282,3 +282,20 @@ def test_grids_that_count_rows_are_not_pooled(spark):
 
     assert pools.agg(F.sum(train.WEIGHT_COL)).first()[0] == 200_000 and pools.count() < 2_000
     pools.unpersist()
+
+
+def test_many_feature_vectors_that_repeat_a_little_are_pooled_once_each(spark):
+    """A feature of 4,096 values, each held by some fifty rows: one pool for a value and side, not one for every bin."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    data = spark.range(200_000).select(((F.col("id") * 7919) % 4096 / 4096).alias("a"), (F.col("id") % 5).cast("double").alias("label"),
+                                       (F.col("id") % 4 == 0).alias(train.VALID_COL))
+    data = VectorAssembler(inputCols=["a"], outputCol="features").transform(data).select("label", "features", train.VALID_COL)
+    pools = train.pooled_points(data, train.make_estimator("regression", "gbt"), [{}], "regression", "features")
+    assert pools is not None
+    assert pools.count() == data.select("features", train.VALID_COL).distinct().count()
+    sums = pools.agg(F.sum(train.WEIGHT_COL).alias("n"), F.sum(F.col(train.WEIGHT_COL) * F.col("label")).alias("y")).first()
+    want = data.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y")).first()
+    assert sums["n"] == want["n"] and sums["y"] == pytest.approx(want["y"])
+    pools.unpersist()
