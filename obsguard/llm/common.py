@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 HOLD_OUT_FOLDS = 5
+SLICE_BYTES = 1 << 21    # of an Arrow batch that are worked on, and sent back, together
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,11 +59,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows, without copies, of about SLICE_BYTES each (one row at least).
+
+    Spark fills a batch by rows, however long their texts: its strings, and their copies, are made for one run at a time."""
+    rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable], inputs: list[str], schema: str,
                 keep: list[str] | None = None) -> DataFrame:
     """Append columns computed per Arrow batch; a computed column replaces an input column of its name.
 
-    `fn` gets a batch holding only `inputs` (aliased positionally as i0, i1, ...) and returns one array
+    `fn` gets a run of a batch's rows, with `inputs` first (aliased positionally as i0, i1, ...), and returns one array
     per field of `schema`; the kept input columns travel beside them in the same batch.
     """
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -71,17 +81,19 @@ def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable], inputs:
     new = _parse_datatype_string(schema)
     names = {f.name for f in new.fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
+    # a kept input travels once
+    sent = list(dict.fromkeys(c for c in kept if c not in inputs))
     part = df.select(*[F.col(f"`{c}`").alias(f"i{i}") for i, c in enumerate(inputs)],
-                     *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)])
+                     *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(sent)])
+    places = [inputs.index(c) if c in inputs else len(inputs) + sent.index(c) for c in kept]
     kept_fields = [df.schema[c] for c in kept]
     out_schema = StructType([type(f)(f"k{i}", f.dataType, True) for i, f in enumerate(kept_fields)] + new.fields)
-    n_in = len(inputs)
     new_types = [f.type for f in to_arrow_schema(new)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (run_of for whole in batches for run_of in slices(whole)):
             cols = fn(batch)
-            arrays = [batch.column(n_in + i) for i in range(len(kept))]
+            arrays = [batch.column(i) for i in places]
             arrays += [pa.array(c, type=t) for c, t in zip(cols, new_types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out_schema.fields])
 

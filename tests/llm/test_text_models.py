@@ -154,3 +154,18 @@ def test_held_out_rows_are_not_learned_from(spark):
     docs = spark.createDataFrame([(i, "qua ", "xx") for i in ids] + [(1, "some text", "en")], "doc_id long, text string, lang string")
     assert 0 < len(ids) < 200 and 1 not in ids
     assert language.fit_languages(docs).languages == ["en"]
+
+
+def test_columns_are_added_a_run_of_rows_at_a_time(spark):
+    rows = [(i, None if i % 7 == 0 else f"{i} " + "x" * 200_000) for i in range(60)] + [(None, ""), (3, "3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+    def run(batch):
+        texts = common.texts_of(batch.column(0))
+        return [len(t) for t in texts], [t.split(" ")[0] for t in texts], [batch.nbytes] * len(texts)
+
+    got = common.add_columns(docs, run, ["text"], "n long, word string, size long").collect()
+    assert [(r.doc_id, r.n, r.word) for r in got] == [(i, len(t or ""), (t or "").split(" ")[0]) for i, t in rows]
+    assert [r.text for r in got] == [t for _, t in rows]
+    assert max(r["size"] for r in got) < 3 * common.SLICE_BYTES       # all rows together: 10 MB
+    assert common.add_columns(docs.where("doc_id < 0"), run, ["text"], "n long, word string, size long").count() == 0
