@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from obsguard.plans import jobs, train
+from obsguard.plans import featuriser, jobs, train
 from obsguard.plans.featuriser import Featuriser, fit_featuriser
 from obsguard.plans.grids import _grid
 from obsguard.plans.labelled import transform_rows
@@ -105,3 +105,16 @@ def test_the_evaluation_fits_on_its_training_part(spark, rows):
     a = jobs.evaluate_regression_for(rows, "y", 90, config=config, families=["decision_tree"]).first()
     b = jobs.evaluate_regression_for(early.unionByName(far), "y", 90, config=config, families=["decision_tree"]).first()
     assert a.n_rows == b.n_rows == 29 and a.mse < 30 < b.mse
+
+
+def test_rows_that_are_read_once_are_not_stored(spark, rows, monkeypatch):
+    """Without string columns the ranges are all there is to learn: one pass, straight from the source."""
+    kept = []
+    plain = featuriser.stored
+    monkeypatch.setattr(featuriser, "stored", lambda df, name: kept.append(name) or plain(df, name))
+    with_strings = fit_featuriser(rows, "y_value")
+    assert kept == ["featuriser-rows"] and with_strings.strings
+    fz = fit_featuriser(rows.drop("s_value"), "y_value")
+    assert kept == ["featuriser-rows"] and not fz.strings
+    at, same = with_strings.feature_names, [with_strings.overall[with_strings.feature_names.index(c)] for c in fz.feature_names]
+    assert "s_value" in at and fz.overall == same

@@ -1,8 +1,13 @@
+import glob
+
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
+from obsguard.operators.split import tag_split
 from obsguard.plans import jobs, train
 from obsguard.plans.grids import grid_size
+from obsguard.session import ensure_checkpoint_dir
 from obsguard.sources.registry import ModelRegistry
 
 
@@ -299,3 +304,28 @@ def test_many_feature_vectors_that_repeat_a_little_are_pooled_once_each(spark):
     want = data.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y")).first()
     assert sums["n"] == want["n"] and sums["y"] == pytest.approx(want["y"])
     pools.unpersist()
+
+
+def test_the_draw_of_a_keyed_split_is_made_once(spark):
+    """Profile, featuriser, training store and scoring read the parts; a row's key is computed for none of them again."""
+    passes = spark.sparkContext.accumulator(0)
+    key = F.udf(lambda i: passes.add(1) or f"k{i}", "string")
+    raw = spark.range(600).select(F.concat(F.lit("e"), F.col("id") % 3).alias("ado_id"), F.col("id").alias("timestamp"), key("id").alias("obs_key"),
+                                  (F.col("id") % 2).cast("double").alias("a_ua_b_value"), (F.col("id") % 11).cast("double").alias("a_ua_q_value"),
+                                  F.when(F.col("id") % 2 == 1, 2).otherwise(0).alias("a_ua_b_status"))
+    rep = jobs.evaluate_classification_for(raw, "a_ua_b", (0.7, 0.3), 1, config=jobs.JobConfig(train=train.TrainConfig(grid="smoke")), key_cols=["obs_key"],
+                                           families=["naive_bayes", "decision_tree"]).collect()
+    assert {r["model"]: r["error"] for r in rep} == {"naive_bayes": None, "decision_tree": None}
+    assert passes.value == 600
+    keys = spark.range(600).select(F.concat(F.lit("k"), F.col("id")).alias("obs_key"))
+    assert {r["n_rows"] for r in rep} == {tag_split(keys, [0.7, 0.3], 1, key_cols=["obs_key"]).where("part = 1").count()}
+    assert not glob.glob(f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/tagged-rows-*")
+
+
+def test_a_void_column_does_not_stop_a_keyed_split(spark):
+    raw = spark.range(400).select(F.concat(F.lit("e"), F.col("id") % 3).alias("ado_id"), F.col("id").alias("timestamp"), F.lit(None).alias("a_ua_none_value"),
+                                  (F.col("id") % 2).cast("double").alias("a_ua_b_value"), F.when(F.col("id") % 2 == 1, 2).otherwise(0).alias("a_ua_b_status"))
+    rep = jobs.evaluate_classification_for(raw, "a_ua_b", (0.7, 0.3), 1, config=jobs.JobConfig(train=train.TrainConfig(grid="smoke")), key_cols=["timestamp"],
+                                           families=["naive_bayes"]).collect()
+    want = tag_split(raw.select("timestamp"), [0.7, 0.3], 1, key_cols=["timestamp"]).where("part = 1").count()
+    assert [(r["model"], r["error"], r["n_rows"]) for r in rep] == [("naive_bayes", None, want)]

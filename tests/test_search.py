@@ -2,6 +2,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import functions as F
 
@@ -194,3 +195,28 @@ def test_gram_hands_numbers_to_python_not_arrays(spark, monkeypatch):
     rows = np.array([[i, i % 7, i + 2 * (i % 7)] for i in range(500)], float)
     for side in (False, True):
         assert np.allclose(got[side].means(), rows[(rows[:, 2] > 100) == side].mean(axis=0))
+
+
+def test_a_classifiers_cells_are_counted_inside_the_tasks(spark):
+    rows = spark.createDataFrame([(float(i % 2) if i % 50 else None, [float(i % 5)]) for i in range(1000)], "label double, x array<double>")
+    valid = rows.select("label", array_to_vector("x").alias("features")).coalesce(1)
+
+    def predict(x):
+        return np.column_stack([x[:, 0] > 2, x[:, 0] > 0]).astype(float)
+
+    pairs = nested._counted(valid, "features", predict)
+    assert pairs.count() <= 2 * 6                # two cells, three labels, two predictions: no row a (row, cell)
+    want = nested._scored(valid, "features", predict).groupBy("cell", "label", "prediction").count()
+    assert set(map(tuple, pairs.select("cell", "label", "prediction", "n").collect())) == set(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("metric", ["accuracy", "f1", "weightedPrecision", "hammingLoss", "logLoss"])
+def test_a_fitted_cells_metric_comes_from_counted_pairs(spark, metric, monkeypatch):
+    scored = spark.range(1000).select((F.col("id") % 3).cast("double").alias("label"), (F.col("id") % 7 % 3).cast("double").alias("prediction"),
+                                      array_to_vector(F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2))).alias("probability"))
+    ev = MulticlassClassificationEvaluator(metricName=metric)
+    want, seen = ev.evaluate(scored), []
+    plain = MulticlassClassificationEvaluator._evaluate
+    monkeypatch.setattr(MulticlassClassificationEvaluator, "_evaluate", lambda self, df: seen.append(df.count()) or plain(self, df))
+    assert train._measured(ev, scored) == want
+    assert seen == [1000 if metric == "logLoss" else 9]
