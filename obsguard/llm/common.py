@@ -41,15 +41,15 @@ def uniform(*cols: Column, seed: int) -> Column:
     return bits.cast("double") / F.lit(float(1 << 53))
 
 
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
+def saved(df: DataFrame, name: str = "table", options: dict[str, str] | None = None) -> DataFrame:
     """Write a frame as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage on storage that every executor sees, column-compressed, so a lost executor costs
-    only the tasks it was running.
+    only the tasks it was running. `options` are the writer's.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**(options or {})).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,10 +2,11 @@
 
 The documents are dealt as they lie into shards of about `SHARD_BYTES` of text. Each shard holds, for every
 term (hash of a lower-cased word), the sorted list of its positions; shards are stored as Parquet rows on
-shared storage and can be searched any number of times. A search visits every shard with the stated
-benchmark windows: for each window it starts from the positions of the window's rarest term in that shard
-and intersects them, offset by offset, with the lists of the next rarer terms. Word order decides an exact
-phrase match; with `slop`, every term may stand up to so many words away from its place (proximity).
+shared storage, in row groups of bounded bytes (`save_index`), and can be searched any number of times. A
+search visits every shard with the stated benchmark windows: for each window it starts from the positions of
+the window's rarest term in that shard and intersects them, offset by offset, with the lists of the next
+rarer terms. Word order decides an exact phrase match; with `slop`, every term may stand up to so many words
+away from its place (proximity).
 Nothing is shuffled. A benchmark above `BLOCK_BYTES` is searched block after block, each block broadcast.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A window is `window` consecutive
@@ -18,13 +19,12 @@ has no id to list. Very long texts are one shard each. Terms are compared by 64-
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,6 +36,7 @@ SHARD_DOCS = 1 << 15
 BLOCK_BYTES = 8 << 20        # benchmark text that is broadcast at a time
 GAP = 4096                   # positions left free between documents: no window, with its slop, reaches over
 CANDIDATES = 1 << 20         # places compared at a time
+GROUP_BYTES = 8 << 20        # of shards that a Parquet writer holds, or a reader takes in, at a time
 _STEP = 1 << 20              # bytes hashed at a time
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -72,6 +73,32 @@ def word_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
 
 
+def _varints(values: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes of seven bits as each needs, lowest first; a byte from 128 on goes on."""
+    size = np.ones(len(values), dtype=np.int64)
+    for k in range(1, 9):
+        size += values >= 1 << 7 * k
+    starts = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), dtype=np.uint8)
+    for k in range(int(size.max(initial=0))):
+        has = size > k
+        out[starts[has] + k] = values[has] >> 7 * k & 127 | (size[has] > k + 1) * 128
+    return out.tobytes()
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    """What `_varints` has packed."""
+    raw = np.frombuffer(packed, np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    size = ends - starts + 1
+    out = np.zeros(len(ends), dtype=np.int64)
+    for k in range(int(size.max(initial=0))):
+        has = size > k
+        out[has] |= (raw[starts[has] + k] & 127).astype(np.int64) << 7 * k
+    return out
+
+
 class Shard:
     """Positional postings of some documents, sorted by term and position."""
 
@@ -94,13 +121,12 @@ class Shard:
         steps = np.diff(self.positions, prepend=0)
         heads = (np.cumsum(self.counts) - self.counts).astype(np.int64)
         steps[heads] = self.positions[heads]
-        return self.n_words, self.terms.tobytes(), self.counts.astype("<u4").tobytes(), steps.astype("<u8").tobytes()
+        return self.n_words, self.terms.tobytes(), _varints(self.counts), _varints(steps)
 
     @classmethod
     def unpacked(cls, n_words, terms: bytes, counts: bytes, steps: bytes) -> Shard:
-        terms, counts = np.frombuffer(terms, "<u8"), np.frombuffer(counts, "<u4").astype(np.int64)
-        steps = np.frombuffer(steps, "<u8").astype(np.int64)
-        sums = np.cumsum(steps)
+        terms, counts = np.frombuffer(terms, "<u8"), _numbers(counts)
+        sums = np.cumsum(_numbers(steps))
         heads = np.cumsum(counts) - counts
         base = np.where(heads > 0, sums[np.maximum(heads - 1, 0)], 0) if len(heads) else heads
         return cls(np.asarray(n_words, dtype=np.int64), terms, counts, sums - np.repeat(base, counts))
@@ -258,6 +284,15 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         run, f"ids array<{id_type}>, {_INDEX_FIELDS}")
 
 
+def save_index(index: DataFrame, name: str = "decontam-index") -> DataFrame:
+    """The index, or a state of its search, on shared storage.
+
+    A row holds a whole shard, and a Parquet writer left alone looks at its size every hundred rows: here it looks at
+    every row, and ends a group at `GROUP_BYTES`, which is also what a reader takes in at a time."""
+    checks = {f"parquet.{part}.size.row.check.{end}": "1" for part in ("block", "page") for end in ("min", "max")}
+    return common.saved(index, name, {"parquet.block.size": str(GROUP_BYTES), "parquet.enable.dictionary": "false", **checks})
+
+
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, item_col: str = "item_id",
            text_col: str = "text") -> DataFrame:
     """The index's documents with their matches: (id, n_words, matches) with matches of (item, start, stop).
@@ -297,37 +332,35 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     phrases, after = None, benchmark_blocks(benchmark, item_col, text_col, window)
     for following in after:
         if phrases is not None:   # a further block: keep the state so far, so that one block is out at a time
-            state = common.saved(state.mapInArrow(visit(spark.sparkContext.broadcast(phrases), False), state.schema),
-                                 "decontam-state")
+            state = save_index(state.mapInArrow(visit(spark.sparkContext.broadcast(phrases), False), state.schema),
+                               "decontam-state")
         phrases = following
     return state.mapInArrow(visit(spark.sparkContext.broadcast(phrases), True),
                             f"id {id_type}, n_words bigint, matches array<{match}>")
 
 
-def _hit_words(matches: list) -> int:
+def _hit_words(matches: Column) -> Column:
     """Words inside any span."""
-    hit, reach = 0, 0
-    for start, stop in sorted((m["start"], m["stop"]) for m in matches):
-        hit += max(0, stop - max(start, reach))
-        reach = max(reach, stop)
-    return hit
+    zero = F.lit(0).cast("bigint")
+    spans = F.array_sort(F.transform(matches, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"))))
+
+    def further(a: Column, m: Column) -> Column:
+        more = F.greatest(zero, m["stop"] - F.greatest(m["start"], a["reach"]))
+        return F.struct((a["hit"] + more).alias("hit"), F.greatest(a["reach"], m["stop"]).alias("reach"))
+
+    return F.aggregate(spans, F.struct(zero.alias("hit"), zero.alias("reach")), further, lambda a: a["hit"])
 
 
 def summarise(found: DataFrame) -> DataFrame:
-    """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
-
-    def run(batch):
-        hits, items, digests = [], [], []
-        for matches in batch.column(0).to_pylist():
-            ids = sorted({m["item"] for m in matches if m["item"] is not None})
-            hits.append(_hit_words(matches))
-            items.append(len(ids))
-            digests.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-        return [hits, items, digests]
-
-    out = common.add_columns(found, run, ["matches"], "n_hit bigint, n_items bigint, items_sha256 string",
-                             keep=["id", "n_words"])
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Column expressions only: the stage that searches has no second set of Python workers."""
+    named = F.filter(F.transform("matches", lambda m: m["item"]), lambda i: i.isNotNull())
+    out = found.select("id", "n_words", _hit_words(F.col("matches")).alias("n_hit"),
+                       F.array_sort(F.array_distinct(named)).alias("items"))
+    return out.select("id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                      F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW,

@@ -60,7 +60,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")
-    index = common.saved(decontam.build_index(docs), "decontam-index")
+    index = decontam.save_index(decontam.build_index(docs))
     found = decontam.summarise(decontam.search(index, benchmark))
     return found.withColumnRenamed("id", "doc_id")
 

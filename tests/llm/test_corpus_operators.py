@@ -4,13 +4,16 @@ import re
 import zlib
 from collections import defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from obsguard.llm import chat, common, decontam, mixing, neighbours, sharding, simhash, tokens
+from obsguard.llm import chat, common, decontam, mixing, neighbours, queries, sharding, simhash, tokens
+from obsguard.session import ensure_checkpoint_dir
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -375,6 +378,45 @@ def test_index_round_trip():
     assert list(shard.n_words) == [3, 0, 1, 0, 500, 2]
 
 
+def test_packed_numbers_take_few_bytes():
+    values = np.array([0, 1, 127, 128, 16383, 16384, 2**31, 2**35 - 1, 2**62, 2**63 - 1, 0], dtype=np.int64)
+    packed = decontam._varints(values)
+    assert np.array_equal(decontam._numbers(packed), values)
+    assert len(packed) == sum(max(1, -(-int(v).bit_length() // 7)) for v in values)
+    assert len(decontam._numbers(decontam._varints(values[:0]))) == 0
+    n_words, terms, counts, steps = decontam.Shard.build(["one two three " * 10_000] * 3).packed()
+    assert len(steps) < 100_000 and len(counts) <= 9     # of 90,000 places of three terms
+
+
+def test_the_index_is_written_in_groups_of_bounded_bytes(spark, tmp_path, monkeypatch):
+    """A writer that looks at its size every hundred rows held a hundred shards at once."""
+    monkeypatch.setattr(decontam, "GROUP_BYTES", 1 << 20, raising=False)
+    item = "a passage that stands in the seventh of the documents and in no other one of them at all"
+    text = F.concat(F.repeat(F.lit("red green blue "), 210_000), F.when(F.col("id") == 7, item).otherwise(""))   # a shard each
+    spark.range(12).coalesce(1).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(kept.glob("decontam-index-*"))
+    got = queries.op10_decontaminate(spark, str(tmp_path))
+    (folder,) = set(kept.glob("decontam-index-*")) - before
+    groups = [m.row_group(g) for f in folder.glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 12
+    assert max(g.total_byte_size for g in groups) < 2 << 20 and max(g.num_rows for g in groups) <= 3
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1     # one set of Python workers in the stage that searches
+    assert [tuple(r)[:4] for r in got.where("contaminated").collect()] == [(7, 630_019, 19, 1)]
+
+
+def test_overlapping_and_repeated_matches_are_summed_up_once(spark):
+    match = "array<struct<item:string,start:bigint,stop:bigint>>"
+    rows = [(1, 50, [("b", 0, 10), ("a", 5, 12), ("b", 20, 30), (None, 21, 25), ("", 40, 41)]), (2, 9, []), (None, 0, []),
+            (3, 8, [(None, 2, 4)]), (4, 9, [("é", 0, 2), ("z", 0, 2), ("\U0001F600", 1, 2), ("\uffff", 1, 2)])]
+    got = {r.id: tuple(r)[1:] for r in decontam.summarise(spark.createDataFrame(rows, f"id long, n_words long, matches {match}")).collect()}
+    sha = {k: hashlib.sha256(v.encode()).hexdigest() for k, v in {1: ",a,b", 2: "", 4: "z,é,\uffff,\U0001F600"}.items()}
+    assert got == {1: (50, 23, 3, sha[1], True), 2: (9, 0, 0, sha[2], False), None: (0, 0, 0, sha[2], False),
+                   3: (8, 2, 0, sha[2], True), 4: (9, 2, 4, sha[4], True)}
+
+
 # -- chat --------------------------------------------------------------------------------------------
 
 def test_perspectives(spark):
